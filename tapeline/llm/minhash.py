@@ -6,8 +6,8 @@ probability; survivors are confirmed on their full shingle sets.
 
 Groups of any size: equal shingle sets are one class first. In each bucket every class is tried against one
 pivot (as many pairs as classes); connected classes need no further test. Only buckets that still hold
-several components are compared across components, in blocks of bounded size, and a pair is tried only in
-the first band that it shares, so it leaves the blocks once at most.
+several components are compared across components, inside tasks that hold two blocks of bounded size; a pair
+is tried only in the first band that it shares, and only links that join components leave a task.
 """
 
 from __future__ import annotations
@@ -101,10 +101,11 @@ def _prune(batches: Iterator[pd.DataFrame], least: dict[int, int]) -> Iterator[p
             yield pdf.iloc[survivors(sig_matrix(pdf["sig_a"]), sig_matrix(pdf["sig_b"]), least)][["a", "b"]]
 
 
-def _across(batches: Iterator[pd.DataFrame], least: dict[int, int]) -> Iterator[pd.DataFrame]:
-    """Surviving pairs of two blocks of a bucket whose classes lie in different components.
+def _across(batches: Iterator[pd.DataFrame], least: dict[int, int], percent: int) -> Iterator[pd.DataFrame]:
+    """Links that join different components between two blocks of a bucket, confirmed on the full sets.
 
     Pairs with the bucket's pivot have been tried, and pairs that share an earlier band are tried there.
+    A link that joins two components settles all other pairs between them, so few links leave the task.
     """
     for g in by_group(batches, ["key", "lo", "hi"]):
         lo, hi, band = g["lo"].iloc[0], g["hi"].iloc[0], int(g["band"].iloc[0])
@@ -114,18 +115,43 @@ def _across(batches: Iterator[pd.DataFrame], least: dict[int, int]) -> Iterator[
             continue
         sl, sr = sig_matrix(left["sig"]), sig_matrix(right["sig"])
         il, ir = left["id"].to_numpy(), right["id"].to_numpy()
-        cl, cr = left["component"].to_numpy(), right["component"].to_numpy()
-        for i in range(len(left)):
-            other = np.flatnonzero((cr != cl[i]) & ((ir > il[i]) if lo == hi else True))
+        cl, cr = left["component"].to_numpy().copy(), right["component"].to_numpy().copy()
+        tl, tr = ([np.frombuffer(x, np.uint64) for x in t["shingles"]] for t in (left, right))
+        nr = np.array([len(x) for x in tr])
+        for i, mine in enumerate(tl):
+            fewer, more = np.minimum(nr, len(mine)), np.maximum(nr, len(mine))
+            other = np.flatnonzero((cr != cl[i]) & (100 * fewer >= percent * more) & ((ir > il[i]) if lo == hi else True))
             if not len(other):
                 continue
-            mine = np.broadcast_to(sl[i], (len(other), N_PERM))
-            other = other[survivors(mine, sr[other], least)]
+            other = other[survivors(np.broadcast_to(sl[i], (len(other), N_PERM)), sr[other], least)]
             if len(other):
                 bands = (sr[other] == sl[i]).reshape(len(other), N_BANDS, BAND_ROWS).all(axis=2)
                 other = other[bands.argmax(axis=1) == band]
-            if len(other):
-                yield pd.DataFrame({"a": np.minimum(ir[other], il[i]), "b": np.maximum(ir[other], il[i])})
+            if not len(other):
+                continue
+            theirs = np.concatenate([tr[j] for j in other])
+            at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+            owner = np.repeat(np.arange(len(other)), nr[other])
+            shared = np.bincount(owner[mine[at] == theirs], minlength=len(other))
+            linked = other[100 * shared >= percent * (len(mine) + nr[other] - shared)]
+            found = []
+            for j in linked:
+                if cr[j] != cl[i]:
+                    found.append((min(il[i], ir[j]), max(il[i], ir[j])))
+                    old, new = cr[j], cl[i]
+                    cl[cl == old] = new
+                    cr[cr == old] = new
+            if found:
+                yield pd.DataFrame(found, columns=["a", "b"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(id, text) to the sorted distinct shingles."""
+    for b in batches:
+        for s in kernels.shingle_sets(b.column(1), k):
+            cuts = np.concatenate([[0], np.cumsum(s.count)])
+            packed = [s.h[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, len(s.count)), pa.array(packed, pa.binary())], ["id", "shingles"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -193,50 +219,49 @@ def near_duplicates(
         bands.groupBy("key").agg(F.count("*").alias("m"), F.min(pick).alias("p")).where("m > 1").select("key", "m", F.col("p.id").alias("pivot"))
     )
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Links among distinct (a, b), on the texts of both; a text travels once for each of its pairs."""
-        pairs = store.save(pairs)
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        some = store.save(texts.join(ids, "id", "left_semi"))
-        both = pairs.join(some.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(
-            some.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b"
-        )
-
-        def confirm(batches):
-            return _confirm(batches, shingle, percent)
-
-        links = store.save(both.select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long").distinct())
-        store.drop(pairs)
-        store.drop(some)
-        return links
-
-    star = bands.join(buckets, "key").where("id != pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-    star = star.join(reps.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(
-        reps.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b"
-    )
+    # texts of the classes that share a bucket with another; merge joins behave alike at every size
+    shared = bands.join(buckets, "key")
+    some = store.save(texts.join(shared.select("id").distinct().hint("merge"), "id", "left_semi"))
+
+    star = shared.where("id != pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+    for c in ("a", "b"):
+        star = star.join(reps.select(F.col("id").alias(c), F.col("sig").alias(f"sig_{c}")).hint("merge"), c)
 
     def prune(batches):
         return _prune(batches, least)
 
-    links = confirmed(star.mapInPandas(prune, "a long, b long"))
+    def confirm(batches):
+        return _confirm(batches, shingle, percent)
+
+    pairs = star.mapInPandas(prune, "a long, b long")
+    for c in ("a", "b"):
+        pairs = pairs.join(some.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")).hint("merge"), c)
+    links = store.save(pairs.select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long").distinct())
     comps = store.save(connected_components(links, store))
 
     label = F.coalesce("component", "id")
-    held = bands.join(buckets.where("m > 2"), "key").join(comps.withColumnRenamed("node", "id"), "id", "left")
+    held = shared.where("m > 2").join(comps.withColumnRenamed("node", "id"), "id", "left")
     held = held.select("key", "band", "m", "pivot", "id", label.alias("component"))
     side = F.when(F.col("id") != F.col("pivot"), F.col("component"))
     mixed = held.groupBy("key").agg(F.min(side).alias("x"), F.max(side).alias("y")).where("x != y").select("key")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     members = held.join(mixed, "key").withColumn("blk", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    members = members.select("key", "band", "pivot", "id", "component", "blk", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("c"))
-    members = members.select("key", "band", "pivot", "id", "component", "blk", F.least("blk", "c").alias("lo"), F.greatest("blk", "c").alias("hi"))
-    members = members.join(reps, "id").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    members = store.save(members.select("key", "band", "m", "pivot", "id", "component", "blk"))
 
-    def across(batches):
-        return _across(batches, least)
+    def sets(batches):
+        return _sets(batches, shingle)
 
-    more = confirmed(members.mapInPandas(across, "a long, b long").distinct())
-    store.drop(comps)
+    def across(batches):
+        return _across(batches, least, percent)
+
+    full = some.join(members.select("id").distinct().hint("merge"), "id", "left_semi").mapInArrow(sets, "id long, shingles binary")
+    spread = members.select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("c")).drop("m")
+    spread = spread.withColumn("lo", F.least("blk", "c")).withColumn("hi", F.greatest("blk", "c")).drop("c")
+    spread = spread.join(reps.hint("merge"), "id").join(full.hint("merge"), "id")
+    spread = spread.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    more = store.save(spread.mapInPandas(across, "a long, b long").distinct())
+    for t in (some, members, comps):
+        store.drop(t)
     comps = connected_components(links.unionByName(more), store)
 
     whole = signed.join(classes, ["n", "d1", "d2"], "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
