@@ -288,6 +288,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     buckets = buckets or 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = texts.where("id is not null")
+    # a key that is never null: both joins below then read one and the same exchange of the texts
+    keyed = texts.withColumn("k", F.coalesce("id", F.lit(-(2**63))))
 
     def first(batches):
         return _first_level(batches, base, window, buckets)
@@ -299,9 +301,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         return _window_answer(pdf, window)
 
     alive = known.mapInArrow(first, LEVEL_1).groupBy("bucket").applyInPandas(_first_answer, "id long, at int")
-    alive = alive.groupBy("id").agg(F.collect_set("at").alias("marks"))
-    near = known.join(alive, "id").select("id", "text", "marks").mapInArrow(windows, LEVEL_3)
+    alive = alive.groupBy(F.col("id").alias("k")).agg(F.collect_set("at").alias("marks"))
+    near = keyed.join(alive.hint("merge"), "k").select("id", "text", "marks").mapInArrow(windows, LEVEL_3)
     gone = near.groupBy("bucket").applyInPandas(answer, "id long, at int, to int")
-    gone = gone.groupBy("id").agg(F.collect_list(F.struct("at", "to")).alias("r")).select("id", F.col("r.at").alias("at"), F.col("r.to").alias("to"))
-    cut = texts.join(gone, "id", "left").select("id", "text", "at", "to").mapInArrow(_cut, "id long, kept_text string, n_words long, n_removed long")
+    gone = gone.groupBy(F.col("id").alias("k")).agg(F.collect_list(F.struct("at", "to")).alias("r"))
+    gone = gone.select("k", F.col("r.at").alias("at"), F.col("r.to").alias("to"))
+    cut = keyed.join(gone.hint("merge"), "k", "left").select("id", "text", "at", "to").mapInArrow(_cut, "id long, kept_text string, n_words long, n_removed long")
     return cut.withColumnRenamed("id", id_col)
