@@ -38,7 +38,7 @@ def seeds(df: DataFrame) -> DataFrame:
     """One row for each mask and position of the tokens: at int, seed long."""
     n = len(MASKS)
     last = (F.size("tokens") - SPAN + 1) * n - 1
-    rows = df.where(F.size("tokens") >= SPAN).select("*", F.explode(F.sequence(F.lit(0), last)).alias("_k"))
+    rows = df.select("*", F.explode(F.when(F.size("tokens") >= SPAN, F.sequence(F.lit(0), last))).alias("_k"))
     rows = rows.withColumn("at", F.expr(f"int(_k div {n})"))
     kind = F.col("_k") % n
     value = F.when(kind == 0, seed(F.col("tokens"), F.col("at"), MASKS[0]))
@@ -89,7 +89,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", i
     begin = F.greatest(F.lit(0), F.col("at") - WINDOW + SPAN)
     near = F.slice("tokens", begin + 1, F.col("at") - begin + WINDOW)
     hits = hits.select("id", "item", near.alias("near"), (F.col("at") - begin).alias("near_at"), "item_tokens", "item_at")
-    found = hits.where(overlap(F.col("near"), F.col("near_at"), F.col("item_tokens"), F.col("item_at")))
+    # as a generator, since a filter would move into the join, whose probe side then leaves generated code
+    # and buffers the tokens once for each position
+    real = overlap(F.col("near"), F.col("near_at"), F.col("item_tokens"), F.col("item_at"))
+    found = hits.select("id", "item", F.explode(F.when(real, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))))
     return found.groupBy("id", "item").agg(F.count("*").alias("hits")).select(F.col("id").alias(id_col), F.col("item").alias(item_col), "hits")
 
 
