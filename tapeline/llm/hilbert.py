@@ -7,7 +7,7 @@ are split by id. Runs of ranks become shards whose row counts differ by one at m
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,11 +120,10 @@ def hilbert_shards(
     ranked = rows.select(keep).repartitionByRange(parts, "hilbert", id_col).sortWithinPartitions("hilbert", id_col)
     ranked = store.save(ranked.withColumn("_at", place))
     part, local = F.expr("shiftrightunsigned(_at, 33)"), F.col("_at").bitwiseAND(F.lit(2**33 - 1))
-    sizes = {r.p: r.n for r in ranked.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
-    before, total = {}, 0
-    for p in sorted(sizes):  # one number for each partition
-        before[p], total = total, total + sizes[p]
-    offsets = spark.createDataFrame(list(before.items()), "_p long, _before long")
+    total = ranked.count()
+    # a row for each partition: the one window over all of them stays as small as their number
+    sizes = ranked.groupBy(part.alias("_p")).agg(F.count("*").alias("n"))
+    offsets = sizes.select("_p", (F.sum("n").over(Window.orderBy("_p")) - F.col("n")).alias("_before"))
     out = ranked.withColumn("_p", part).join(F.broadcast(offsets), "_p").withColumn("_rank", F.col("_before") + local)
     shard = F.expr(f"int((_rank * {n_shards}L) div {max(total, 1)}L)")
     slot = F.expr(f"_rank - ((shard * {total}L + {n_shards - 1}L) div {n_shards}L)")
