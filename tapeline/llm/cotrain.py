@@ -23,7 +23,7 @@ from .common import Store, prepare
 HEADS = ("low", "toxic")
 BITS, PREFIXES = 20, (4, 5, 6)
 #: Labelled rows that fit the classifiers, chosen by a hash of the id; the only bounded sample.
-LABELLED = 8000
+LABELLED = 6000
 #: Hashed text features kept for each property, by strength of association.
 FEATURES = 256
 #: Documents that a view labels in a round, for each property and each of its two values.
@@ -35,7 +35,7 @@ _PUNCT = np.zeros(256, bool)
 _PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
 
-def statistics(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, own: np.ndarray) -> np.ndarray:
+def statistics(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, token: np.ndarray) -> np.ndarray:
     """Character and repetition statistics of each text, all ratios or logarithms."""
     n = len(offsets) - 1
     size = np.diff(offsets)
@@ -48,7 +48,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, own: np.n
     wide[:-1] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E)
     upper = ((data >= 65) & (data <= 90)) | wide
     again = np.zeros(len(row), bool)
-    again[1:] = (own[1:] == own[:-1]) & (row[1:] == row[:-1])
+    again[1:] = (token[1:] == token[:-1]) & (row[1:] == row[:-1])
     tokens = np.bincount(row, minlength=n)
     chars, words = np.maximum(size, 1), np.maximum(tokens, 1)
     cols = [np.log1p(size), np.log1p(tokens), per_row(upper) / chars, per_row((data >= 48) & (data <= 57)) / chars, per_row(_PUNCT[data]) / words]
@@ -58,12 +58,12 @@ def statistics(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, own: np.n
 
 
 def text_rows(col: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, statistics, token row, feature numbers), about a slice of text at a time."""
+    """(first row, statistics, token row, 64-bit features), about a slice of text at a time."""
     data, offsets = kernels.buffers(col)
     for a, b in kernels.row_ranges(np.diff(offsets)):
         o, d = offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]]
-        row, own, feats = kernels.token_features(d, o, PREFIXES, BITS)
-        yield a, statistics(d, o, row, own), row, feats
+        row, feats = kernels.token_features(d, o, PREFIXES)
+        yield a, statistics(d, o, row, feats[0]), row, feats
 
 
 def meta_rows(pdf: pd.DataFrame, numeric: list[str], nominal: list[str]) -> np.ndarray:
@@ -128,7 +128,8 @@ def calibrated(m: Linear, x: np.ndarray, y: np.ndarray) -> Linear:
 
 
 class Model(NamedTuple):
-    chosen: np.ndarray  # feature number -> column, or -1
+    chosen: np.ndarray  # leading BITS of a feature -> column, or -1
+    exact: np.ndarray  # the feature of each column
     mean: np.ndarray
     scale: np.ndarray
     text: dict[str, Linear]
@@ -137,10 +138,12 @@ class Model(NamedTuple):
     report: dict
 
     def text_matrix(self, stats: np.ndarray, row: np.ndarray, feats: np.ndarray) -> np.ndarray:
-        col = self.chosen[feats]
+        col = self.chosen[(feats >> np.uint64(64 - BITS)).astype(np.int64)]
         kind, at = np.nonzero(col >= 0)
-        x = np.zeros((len(stats), int(self.chosen.max()) + 1))
-        x[row[at], col[kind, at]] = 1
+        col = col[kind, at]
+        same = self.exact[col] == feats[kind, at]
+        x = np.zeros((len(stats), len(self.exact)))
+        x[row[at[same]], col[same]] = 1
         return np.hstack([x, (stats - self.mean) / self.scale])
 
     def scores(self, col: pa.Array, meta: np.ndarray) -> np.ndarray:
@@ -173,38 +176,40 @@ def _sample(pdf: pd.DataFrame, numeric: list[str], nominal: list[str]) -> _Sampl
     return _Sample(stats, bags, meta_rows(pdf, numeric, nominal), {h: pdf[h].to_numpy(float) for h in HEADS})
 
 
-def _choose(s: _Sample) -> np.ndarray:
+def _choose(s: _Sample) -> tuple[np.ndarray, np.ndarray]:
     """The features that differ most between the classes, by the statistic of two proportions."""
-    chosen = np.full(1 << BITS, -1, np.int16)
-    picks: list[int] = []
+    table, exact = np.full(1 << BITS, -1, np.int16), []
+    if not s.bags:
+        return table, np.zeros(0, np.uint64)
+    names, at = np.unique(np.concatenate(s.bags), return_inverse=True)
+    doc = np.repeat(np.arange(len(s.bags)), [len(b) for b in s.bags])
+    total = np.bincount(at, minlength=len(names))
     for h in HEADS:
         y = s.y[h]
-        if not len(y) or y.min() == y.max():
+        if y.min() == y.max():
             continue
-        hit = [np.zeros(1 << BITS), np.zeros(1 << BITS)]
-        for bag, t in zip(s.bags, y, strict=True):
-            hit[int(t)][bag] += 1
+        hit = np.bincount(at, y[doc], minlength=len(names))
         n1, n0 = y.sum(), len(y) - y.sum()
-        p = (hit[0] + hit[1]) / len(y)
-        z = np.abs(hit[1] / n1 - hit[0] / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
-        z[(hit[0] + hit[1]) < 5] = 0
-        top = np.argsort(-z, kind="stable")[:FEATURES]
-        picks += [int(f) for f in top if z[f] > 4]
-    for f in picks:
-        if chosen[f] < 0:
-            chosen[f] = chosen.max() + 1
-    return chosen
+        p = total / len(y)
+        z = np.abs(hit / n1 - (total - hit) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
+        z[total < 5] = 0
+        for f in np.argsort(-z, kind="stable")[:FEATURES]:
+            place = int(names[f] >> np.uint64(64 - BITS))
+            if z[f] > 4 and table[place] < 0:  # a place holds its strongest feature
+                table[place] = len(exact)
+                exact.append(names[f])
+    return table, np.array(exact, np.uint64)
 
 
 def _model(train: _Sample, held: _Sample, more_text: list[tuple[_Sample, dict]], more_meta: list[tuple[np.ndarray, dict]]) -> Model:
     """Both views fitted on the labelled rows and on what the other view has labelled (nan: not labelled)."""
-    chosen = _choose(train)
+    chosen, exact = _choose(train)
     mean, scale = (train.stats.mean(axis=0), train.stats.std(axis=0) + 1e-6) if len(train.stats) else (np.zeros(16), np.ones(16))
-    bare = Model(chosen, mean, scale, {}, {}, {}, {})
+    bare = Model(chosen, exact, mean, scale, {}, {}, {}, {})
 
     def matrix(s: _Sample) -> np.ndarray:
         row = np.repeat(np.arange(len(s.bags)), [len(b) for b in s.bags])
-        return bare.text_matrix(s.stats, row, np.concatenate(s.bags)[None, :] if s.bags else np.zeros((1, 0), int))
+        return bare.text_matrix(s.stats, row, np.concatenate(s.bags)[None, :] if s.bags else np.zeros((1, 0), np.uint64))
 
     xs, xh = matrix(train), matrix(held)
     text, meta, both, report = {}, {}, {}, {}
@@ -228,7 +233,7 @@ def _model(train: _Sample, held: _Sample, more_text: list[tuple[_Sample, dict]],
         for k in ("text", "meta"):  # may the view teach? by its precision on held-out rows of which it is confident
             for value, sure in ((1, p[k] >= CONFIDENT), (0, p[k] <= 1 - CONFIDENT)):
                 report[h][k][value] = bool(sure.sum() >= 20 and (held.y[h][sure] == value).mean() >= CONFIDENT)
-    return Model(chosen, mean, scale, text, meta, both, report)
+    return Model(chosen, exact, mean, scale, text, meta, both, report)
 
 
 def train(

@@ -86,11 +86,10 @@ _TOKEN_END = np.ones(256, bool)
 _TOKEN_END[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
-def token_features(data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed features of a text's tokens (runs of letters, digits and non-ASCII bytes, A-Z lower-cased).
+def token_features(data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of texts' tokens (runs of letters, digits and non-ASCII bytes, A-Z lower-cased).
 
-    Returns each token's row, its own hash, and its feature numbers: one for the token and one for each
-    prefix length, below 2^bits.
+    Returns each token's row and its 64-bit features: the token's hash and one for each prefix length.
     """
     low = _LOWER[data]
     n = len(low)
@@ -101,17 +100,14 @@ def token_features(data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, .
     after[(offsets[1:] - 1)[offsets[1:] > 0]] = False
     starts, ends = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
     _p.grow(n + 1)
-    feats = np.empty((1 + len(prefixes), len(starts)), np.int32)
+    feats = np.empty((1 + len(prefixes), len(starts)), np.uint64)
     with np.errstate(over="ignore"):
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[low] * _p.up[:n], out=total[1:])
-        own = None
         for k, length in enumerate((0, *prefixes)):
             stop = np.minimum(ends, starts + length) if length else ends
-            h = mix((total[stop] - total[starts]) * _p.down[starts] + U(k * 0x9E3779B97F4A7C15 % 2**64))
-            own = h if k == 0 else own
-            feats[k] = (h >> U(64 - bits)).astype(np.int32)
-    return np.searchsorted(offsets, starts, side="right") - 1, own, feats
+            feats[k] = mix((total[stop] - total[starts]) * _p.down[starts] + U(k * 0x9E3779B97F4A7C15 % 2**64))
+    return np.searchsorted(offsets, starts, side="right") - 1, feats
 
 
 def _long(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
