@@ -14,6 +14,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ from .common import Store, prepare
 HEADS = ("low", "toxic")
 BITS, PREFIXES = 20, (4, 5, 6)
 #: Labelled rows that fit the classifiers, chosen by a hash of the id; the only bounded sample.
-LABELLED = 6000
+LABELLED = 4000
 #: Hashed text features kept for each property, by strength of association.
 FEATURES = 256
 #: Documents that a view labels in a round, for each property and each of its two values.
@@ -166,14 +167,23 @@ class _Sample(NamedTuple):
     y: dict[str, np.ndarray]
 
 
-def _sample(pdf: pd.DataFrame, numeric: list[str], nominal: list[str]) -> _Sample:
-    stats, bags = [], []
-    for _, s, row, feats in text_rows(pa.array(pdf["text"].tolist(), pa.string())):
+def _sample(t: pa.Table, numeric: list[str], nominal: list[str]) -> _Sample:
+    stats, bags = [np.zeros((0, 16))], []
+    for _, s, row, feats in text_rows(t.column("text")):
         stats.append(s)
         cuts = np.searchsorted(row, np.arange(len(s) + 1))
         bags += [np.unique(feats[:, a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    stats = np.vstack(stats) if stats else np.zeros((0, 16))
-    return _Sample(stats, bags, meta_rows(pdf, numeric, nominal), {h: pdf[h].to_numpy(float) for h in HEADS})
+    y = {h: t.column(h).to_numpy().astype(float) if h in t.column_names else np.zeros(len(t)) for h in HEADS}
+    return _Sample(np.vstack(stats), bags, meta_rows(t.select([*numeric, *nominal]).to_pandas(), numeric, nominal), y)
+
+
+def _common(bags: list[np.ndarray]) -> list[np.ndarray]:
+    """The bags without features that surely are in fewer than 5 of them; keeps the driver's memory low."""
+    count = np.zeros(1 << 22, np.int32)
+    places = [(b >> np.uint64(42)).astype(np.int32) for b in bags]
+    for p in places:
+        count[p] += 1
+    return [b[count[p] >= 5] for b, p in zip(bags, places, strict=True)]
 
 
 def _choose(s: _Sample) -> tuple[np.ndarray, np.ndarray]:
@@ -181,8 +191,9 @@ def _choose(s: _Sample) -> tuple[np.ndarray, np.ndarray]:
     table, exact = np.full(1 << BITS, -1, np.int16), []
     if not s.bags:
         return table, np.zeros(0, np.uint64)
-    names, at = np.unique(np.concatenate(s.bags), return_inverse=True)
-    doc = np.repeat(np.arange(len(s.bags)), [len(b) for b in s.bags])
+    bags = _common(s.bags)
+    names, at = np.unique(np.concatenate(bags), return_inverse=True)
+    doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
     total = np.bincount(at, minlength=len(names))
     for h in HEADS:
         y = s.y[h]
@@ -260,10 +271,11 @@ def train(
         F.max((F.coalesce("quality", F.lit(1)) == 0).cast("int")).alias("low"), F.max((F.coalesce("toxic", F.lit(0)) == 1).cast("int")).alias("toxic")
     )
     few = marks.orderBy(F.xxhash64("id"), "id").limit(LABELLED)
-    gold = cols.join(F.broadcast(few), "id").dropDuplicates(["id"]).toPandas().sort_values("id")  # LABELLED rows at most
-    part = gold["id"].to_numpy(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+    gold = cols.join(F.broadcast(few), "id").dropDuplicates(["id"]).toArrow().sort_by("id")  # LABELLED rows at most
+    part = gold.column("id").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
     held_rows = (part % np.uint64(10)) < 3
-    labelled, held = _sample(gold[~held_rows], num, nom), _sample(gold[held_rows], num, nom)
+    labelled, held = (_sample(gold.filter(pa.array(m)), num, nom) for m in (~held_rows, held_rows))
+    del gold
     more_text: list = []
     more_meta: list = []
     used: set[int] = set()
@@ -287,15 +299,18 @@ def train(
         if not ids:
             break
         wanted = docs.sparkSession.createDataFrame([(i,) for i in ids], "id long")  # 8 * PER_ROUND at most
-        rows = cols.join(F.broadcast(wanted), "id").dropDuplicates(["id"]).toPandas().sort_values("id")
+        rows = cols.join(F.broadcast(wanted), "id").dropDuplicates(["id"]).toArrow().sort_by("id")
         used |= set(ids)
         for k, other in (("text", more_meta), ("meta", more_text)):
-            mine = rows[rows["id"].isin(list(picks[k]))]
-            if mine.empty:
+            mine = [i for i in rows.column("id").to_pylist() if i in picks[k]]
+            if not mine:
                 continue
-            said = {h: np.array([picks[k][i].get(h, np.nan) for i in mine["id"]]) for h in HEADS}
-            s = _sample(mine.assign(low=0, toxic=0), num, nom)
-            other.append((s.meta if other is more_meta else s, said))
+            said = {h: np.array([picks[k][i].get(h, np.nan) for i in mine]) for h in HEADS}
+            mine_rows = rows.filter(pc.is_in(rows.column("id"), pa.array(mine, pa.int64())))
+            if other is more_meta:  # only the metadata is needed
+                other.append((meta_rows(mine_rows.select([*num, *nom]).to_pandas(), num, nom), said))
+            else:
+                other.append((_sample(mine_rows, num, nom), said))
         model = _model(labelled, held, more_text, more_meta)
     return model
 
