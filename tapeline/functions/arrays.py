@@ -20,7 +20,7 @@ def total(xs: Column) -> Column:
 
 
 def mean(xs: Column) -> Column:
-    return total(xs) / F.size(xs)
+    return F.try_divide(total(xs), F.size(xs))
 
 
 def median(xs: Column) -> Column:

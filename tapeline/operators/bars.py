@@ -8,8 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-BY_TIME = Window.partitionBy("symbol").orderBy("open_time")
+
+def by_time() -> WindowSpec:
+    return Window.partitionBy("symbol").orderBy("open_time")
 
 
 def interval_ms(text: Column) -> Column:
@@ -37,7 +40,7 @@ def coarsen(bars: DataFrame, step_ms: int) -> DataFrame:
 
 def sanity(bars: DataFrame) -> DataFrame:
     """Counts of impossible bars for each symbol."""
-    gap = F.col("open_time") - F.lag("open_time").over(BY_TIME)
+    gap = F.col("open_time") - F.lag("open_time").over(by_time())
     b = bars.withColumn("gap", gap)
     count = lambda c: F.count_if(c)
     return b.groupBy("symbol").agg(
@@ -51,7 +54,7 @@ def sanity(bars: DataFrame) -> DataFrame:
 
 def live_issues(bars: DataFrame, step_ms: int) -> DataFrame:
     """Bars with at least one fault, named."""
-    gap = F.col("open_time") - F.lag("open_time").over(BY_TIME)
+    gap = F.col("open_time") - F.lag("open_time").over(by_time())
     slack = 1e-9
     issues = F.array_compact(
         F.array(
@@ -72,7 +75,7 @@ def repair(bars: DataFrame) -> DataFrame:
 
 def with_step(bars: DataFrame) -> DataFrame:
     """gap to the previous bar, and step: the symbol's commonest gap (the least of equals)."""
-    b = bars.withColumn("gap", F.col("open_time") - F.lag("open_time").over(BY_TIME))
+    b = bars.withColumn("gap", F.col("open_time") - F.lag("open_time").over(by_time()))
     modes = b.where("gap is not null").groupBy("symbol", "gap").count()
     modes = modes.groupBy("symbol").agg(F.max_by("gap", F.struct("count", -F.col("gap"))).alias("step"))
     return b.join(modes, "symbol")
@@ -137,16 +140,16 @@ def islands(bars: DataFrame) -> DataFrame:
     """Runs of consecutive bars: first, last, length."""
     b = with_step(bars)
     new = F.when(F.coalesce(F.col("gap") > F.col("step"), F.lit(True)), 1).otherwise(0)
-    b = b.withColumn("island", F.sum(new).over(BY_TIME))
+    b = b.withColumn("island", F.sum(new).over(by_time()))
     return b.groupBy("symbol", "island").agg(F.min("open_time").alias("first"), F.max("open_time").alias("last"), F.count("*").alias("bars"))
 
 
 def longest_runs(bars: DataFrame) -> DataFrame:
     """The longest runs of flat bars and of falling closes for each symbol."""
-    b = bars.withColumn("fall", F.coalesce(F.col("close") < F.lag("close").over(BY_TIME), F.lit(False))).withColumn("flat", F.col("high") == F.col("low"))
+    b = bars.withColumn("fall", F.coalesce(F.col("close") < F.lag("close").over(by_time()), F.lit(False))).withColumn("flat", F.col("high") == F.col("low"))
     out = None
     for c in ("flat", "fall"):
-        groups = b.withColumn("g", F.sum((~F.col(c)).cast("int")).over(BY_TIME)).where(c).groupBy("symbol", "g").agg(F.count("*").alias("n"))
+        groups = b.withColumn("g", F.sum((~F.col(c)).cast("int")).over(by_time())).where(c).groupBy("symbol", "g").agg(F.count("*").alias("n"))
         top = groups.groupBy("symbol").agg(F.max("n").alias(f"longest_{c}"))
         out = top if out is None else out.join(top, "symbol", "full")
     return b.select("symbol").distinct().join(out, "symbol", "left").select("symbol", *(F.coalesce(f"longest_{c}", F.lit(0)).alias(f"longest_{c}") for c in ("flat", "fall")))
@@ -162,7 +165,7 @@ def zombie_tail(bars: DataFrame, thin: float = 0.0) -> DataFrame:
 
 def true_range(bars: DataFrame) -> DataFrame:
     """tr: of the first bar its range."""
-    pc = F.lag("close").over(BY_TIME)
+    pc = F.lag("close").over(by_time())
     tr = F.when(pc.isNull(), F.col("high") - F.col("low")).otherwise(F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - pc), F.abs(F.col("low") - pc)))
     return bars.withColumn("tr", tr)
 
@@ -174,7 +177,7 @@ def atr(bars: DataFrame, n: int = 14, chunk: int = 1024) -> DataFrame:
     double precision for chunk >= 500 * n / 7, so the end of the chunk before is all that a chunk needs.
     """
     keep = 1 - 1 / n
-    b = true_range(bars).withColumn("rn", F.row_number().over(BY_TIME) - 1)
+    b = true_range(bars).withColumn("rn", F.row_number().over(by_time()) - 1)
     rows = b.groupBy("symbol", F.expr(f"rn div {chunk}").alias("c")).agg(F.sort_array(F.collect_list(F.struct("rn", "open_time", "tr"))).alias("r"))
     zero = F.struct(F.lit(0.0).alias("y"), F.array().cast("array<double>").alias("out"))
 
@@ -196,8 +199,8 @@ def liquid(bars: DataFrame, least: float, rows: int) -> DataFrame:
 
 def contiguous(bars: DataFrame, win: int, step_ms: int, least_n: int) -> DataFrame:
     """For each bar, whether the window that ends there has no hole and enough ticks in every bar."""
-    w = BY_TIME.rowsBetween(1 - win, 0)
-    ok = (F.count("*").over(w) == win) & (F.min("n").over(w) >= least_n) & (F.col("open_time") - F.lag("open_time", win - 1).over(BY_TIME) == (win - 1) * step_ms)
+    w = by_time().rowsBetween(1 - win, 0)
+    ok = (F.count("*").over(w) == win) & (F.min("n").over(w) >= least_n) & (F.col("open_time") - F.lag("open_time", win - 1).over(by_time()) == (win - 1) * step_ms)
     return bars.withColumn("valid", F.coalesce(ok, F.lit(False)))
 
 

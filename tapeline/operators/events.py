@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-BY_TIME = Window.partitionBy("symbol").orderBy("open_time")
+
+def by_time() -> WindowSpec:
+    return Window.partitionBy("symbol").orderBy("open_time")
 
 
 def wicks(bars: DataFrame, levels: tuple[float, ...], side: str = "down", recover: float = 0.5, least_qv: float = 0.0, warm_up: int = 60, horizons: tuple[int, ...] = (15, 60, 240)) -> DataFrame:
@@ -14,16 +17,16 @@ def wicks(bars: DataFrame, levels: tuple[float, ...], side: str = "down", recove
     A bar needs one before and one after it, warm_up bars before, and volume of least_qv. recover is the share
     of the wick that the close wins back, 1 where there is none.
     """
-    pc = F.coalesce(F.lag("close").over(BY_TIME), F.col("open"))
-    b = bars.withColumn("pre_close", pc).withColumn("rn", F.row_number().over(BY_TIME) - 1).withColumn("next", F.lead("close").over(BY_TIME))
+    pc = F.coalesce(F.lag("close").over(by_time()), F.col("open"))
+    b = bars.withColumn("pre_close", pc).withColumn("rn", F.row_number().over(by_time()) - 1).withColumn("next", F.lead("close").over(by_time()))
     extreme = F.col("low") if side == "down" else F.col("high")
-    dev = (F.col("pre_close") - F.col("low")) / F.col("pre_close") if side == "down" else (F.col("high") - F.col("pre_close")) / F.col("pre_close")
+    dev = F.try_divide(F.col("pre_close") - F.col("low"), F.col("pre_close")) if side == "down" else F.try_divide(F.col("high") - F.col("pre_close"), F.col("pre_close"))
     depth = F.abs(F.col("pre_close") - extreme)
     back = F.abs(F.col("close") - extreme)
     cols = {"dev": dev, "recover": F.when(depth > 0, back / depth).otherwise(1.0)}
     for h in horizons:
-        w = BY_TIME.rowsBetween(1, h)
-        cols |= {f"mfe_{h}": F.max("high").over(w) / F.col("close") - 1, f"mae_{h}": F.min("low").over(w) / F.col("close") - 1, f"ret_{h}": F.last("close").over(w) / F.col("close") - 1}
+        w = by_time().rowsBetween(1, h)
+        cols |= {f"mfe_{h}": F.try_divide(F.max("high").over(w), F.col("close")) - 1, f"mae_{h}": F.try_divide(F.min("low").over(w), F.col("close")) - 1, f"ret_{h}": F.try_divide(F.last("close").over(w), F.col("close")) - 1}
     b = b.withColumns(cols).where(F.col("next").isNotNull() & (F.col("rn") >= warm_up) & (F.col("qv") >= least_qv))
     hit = F.filter(F.array(*[F.lit(float(x)) for x in levels]), lambda x: x <= F.col("dev"))
     keep = ["symbol", "open_time", "pre_close", "close", "qv", "dev", "recover", *(f"{k}_{h}" for h in horizons for k in ("mfe", "mae", "ret"))]
@@ -59,10 +62,10 @@ def limit_candidates(bars: DataFrame, depth: float, high_bars: int, hold: int) -
 
     A candidate needs hold + 1 bars after it.
     """
-    shifted, ahead = BY_TIME.rowsBetween(-high_bars, -1), BY_TIME.rowsBetween(1, hold)
+    shifted, ahead = by_time().rowsBetween(-high_bars, -1), by_time().rowsBetween(1, hold)
     ref = F.when(F.count("*").over(shifted) == high_bars, F.max("close").over(shifted))
-    b = bars.withColumn("rn", F.row_number().over(BY_TIME) - 1).withColumn("len", F.count("*").over(Window.partitionBy("symbol"))).withColumn("entry", ref * (1 - depth))
-    b = b.withColumns({"ret": F.lead("close", hold).over(BY_TIME) / F.col("entry") - 1, "mfe": F.max("high").over(ahead) / F.col("entry") - 1, "mae": F.min("low").over(ahead) / F.col("entry") - 1})
+    b = bars.withColumn("rn", F.row_number().over(by_time()) - 1).withColumn("len", F.count("*").over(Window.partitionBy("symbol"))).withColumn("entry", ref * (1 - depth))
+    b = b.withColumns({"ret": F.try_divide(F.lead("close", hold).over(by_time()), F.col("entry")) - 1, "mfe": F.try_divide(F.max("high").over(ahead), F.col("entry")) - 1, "mae": F.try_divide(F.min("low").over(ahead), F.col("entry")) - 1})
     return b.where((F.col("high") > F.col("entry")) & (F.col("low") <= F.col("entry")) & (F.col("rn") + hold + 1 < F.col("len"))).select("symbol", "rn", F.col("open_time").alias("t0"), "entry", "ret", "mfe", "mae")
 
 
@@ -116,7 +119,7 @@ def tails(trades: DataFrame, by: list[str], tie: str = "t0") -> DataFrame:
         F.when((total > 0) & (n >= 10), best / total).alias("tail_share"),
         F.when(n >= 20, F.get(q, F.lit(0))).alias("q05"),
         F.when(n >= 20, worst).alias("worst_mean"),
-        (gain / F.abs(loss)).alias("payoff"),
+        F.try_divide(gain, F.abs(loss)).alias("payoff"),
         *(F.get(q, F.lit(i)).alias(f"p{p}") for i, p in enumerate((5, 25, 50, 75, 95))),
         F.when(F.avg("ret") > F.get(q, F.lit(2)), "right").otherwise("left").alias("skew"),
     )
@@ -124,12 +127,12 @@ def tails(trades: DataFrame, by: list[str], tie: str = "t0") -> DataFrame:
 
 def random_entries(bars: DataFrame, trades: DataFrame, hold: int, times: int, seed: str) -> DataFrame:
     """For each symbol, ``times`` as many random entries as trades, held as long: their mean return, and buy and hold."""
-    b = bars.withColumn("later", F.lead("close", hold).over(BY_TIME))
+    b = bars.withColumn("later", F.lead("close", hold).over(by_time()))
     n = trades.groupBy("symbol").agg((F.count("*") * times).alias("k"))
     w = Window.partitionBy("symbol").orderBy(F.md5(F.concat_ws("-", F.lit(seed), "symbol", F.col("open_time").cast("string"))), "open_time")
     got = b.where("later is not null").join(n, "symbol").withColumn("i", F.row_number().over(w)).where("i <= k")
-    r = got.groupBy("symbol").agg(F.count("*").alias("n"), F.avg(F.col("later") / F.col("close") - 1).alias("random_ret"))
-    held = bars.groupBy("symbol").agg((F.max_by("close", "open_time") / F.min_by("close", "open_time") - 1).alias("hold_ret"))
+    r = got.groupBy("symbol").agg(F.count("*").alias("n"), F.avg(F.try_divide(F.col("later"), F.col("close")) - 1).alias("random_ret"))
+    held = bars.groupBy("symbol").agg((F.try_divide(F.max_by("close", "open_time"), F.min_by("close", "open_time")) - 1).alias("hold_ret"))
     return r.join(held, "symbol")
 
 
@@ -144,7 +147,7 @@ def fills(orders: DataFrame, ticks: DataFrame, before_us: int, after_us: int) ->
     near = o.join(k, ["symbol", "_b"]).where(f"us between t - {before_us}L and t + {after_us}L and price <= `limit`")
     first = near.groupBy("symbol", "t", "limit").agg(F.min_by("price", F.struct("us", "id")).alias("touch"), F.min("us").alias("fill_us"))
     worse = F.least("limit", "touch")
-    return first.select("symbol", "t", "limit", "fill_us", worse.alias("fill"), (F.col("limit") / worse - 1).alias("slippage"))
+    return first.select("symbol", "t", "limit", "fill_us", worse.alias("fill"), (F.try_divide(F.col("limit"), worse) - 1).alias("slippage"))
 
 
 def after_fill(fill: DataFrame, ticks: DataFrame, horizons: tuple[int, ...], span_us: int) -> DataFrame:
@@ -153,7 +156,7 @@ def after_fill(fill: DataFrame, ticks: DataFrame, horizons: tuple[int, ...], spa
     k = ticks.where("price > 0").withColumn("_b", F.expr(f"us div {span_us}L")).select("symbol", "_b", "us", "id", "price")
     near = b.join(k, ["symbol", "_b"]).where(f"us > fill_us and us <= fill_us + {span_us}L")
     near = near.withColumn("n", F.row_number().over(Window.partitionBy("symbol", "t").orderBy("us", "id")))
-    move = F.col("price") / F.col("fill") - 1
+    move = F.try_divide(F.col("price"), F.col("fill")) - 1
     cols = []
     for h in horizons:
         inside = F.col("n") <= h
@@ -200,7 +203,7 @@ def ambiguity(outcomes: DataFrame) -> DataFrame:
 
 def breadth(bars: DataFrame, drop: float = -0.02) -> DataFrame:
     """For each time: symbols that fell by more than drop, symbols that traded, their ratio."""
-    b = bars.withColumn("ret", F.coalesce(F.col("close") / F.lag("close").over(BY_TIME) - 1, F.lit(0.0)))
+    b = bars.withColumn("ret", F.coalesce(F.try_divide(F.col("close"), F.lag("close").over(by_time())) - 1, F.lit(0.0)))
     g = b.groupBy("open_time").agg(F.count_if(F.col("ret") < drop).alias("falling"), F.count_if(F.col("qv") > 0).alias("trading"))
     return g.withColumn("share", F.when(F.col("trading") > 0, F.col("falling") / F.col("trading")).otherwise(0.0))
 

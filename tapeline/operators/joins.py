@@ -16,11 +16,10 @@ def asof(left: DataFrame, right: DataFrame, value: str, direction: str = "backwa
     mark = F.struct(F.col("t").alias("at"), F.col(value).alias("v"))
     r = right.select("symbol", "t", mark.alias("_r"), F.lit(1 - side).alias("_o")).withColumns({c: F.lit(None).cast(left.schema[c].dataType) for c in cols if c not in ("symbol", "t")})
     both = left.withColumn("_r", F.lit(None).cast(r.schema["_r"].dataType)).withColumn("_o", F.lit(side)).withColumn("_l", F.lit(True)).unionByName(r.withColumn("_l", F.lit(False)))
-    w = Window.partitionBy("symbol").orderBy("t", "_o")
-    if direction == "backward":
-        found = F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    else:
-        found = F.first("_r", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    order = ("t", "_o") if direction == "backward" else (F.col("t").desc(), F.col("_o").desc())
+    # a running value either way: a frame that begins at each row would scan what follows it again and again
+    w = Window.partitionBy("symbol").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    found = F.last("_r", ignorenulls=True).over(w)
     return both.withColumn("_f", found).where("_l").select(*cols, F.col("_f.at").alias("match_t"), F.col("_f.v").alias(value))
 
 

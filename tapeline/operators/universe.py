@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-BY_DAY = Window.partitionBy("sym").orderBy("day")
+
+def by_day() -> WindowSpec:
+    return Window.partitionBy("sym").orderBy("day")
 
 
 def calendar(panel: DataFrame) -> DataFrame:
@@ -19,7 +22,7 @@ def rolling_liquidity(dense: DataFrame, spans: tuple[tuple[int, int], ...] = ((3
     """Rolling medians of dvol, null before the least number of days."""
     out = dense
     for n, least in spans:
-        w = BY_DAY.rowsBetween(1 - n, 0)
+        w = by_day().rowsBetween(1 - n, 0)
         out = out.withColumn(f"liq{n}", F.when(F.count("*").over(w) >= least, F.percentile("dvol", F.lit(0.5)).over(w)))
     return out
 

@@ -9,10 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from tapeline.functions import arrays
 
-BY_TIME = Window.partitionBy("symbol").orderBy("open_time")
+
+def by_time() -> WindowSpec:
+    return Window.partitionBy("symbol").orderBy("open_time")
 FIELDS = ("open_time", "open", "high", "low", "close", "qv", "n")
 
 
@@ -21,7 +24,7 @@ def windows(bars: DataFrame, win: int = 100, stride: int = 5, horizon: int = 0,
     reach = win - 1 + horizon
     if chunk % stride or chunk < reach:
         raise ValueError("chunk must be a multiple of stride and hold a window with its horizon")
-    rows = bars.withColumn("rn", F.row_number().over(BY_TIME) - 1)
+    rows = bars.withColumn("rn", F.row_number().over(by_time()) - 1)
     own = F.expr(f"rn div {chunk}")
     before = F.when((own > 0) & (F.col("rn") % chunk < reach), own - 1)  # the chunk before reaches into this one
     rows = rows.withColumn("c", F.explode(F.array_compact(F.array(own, before))))
@@ -45,7 +48,7 @@ def metadata(w: DataFrame, horizon: int, win: int = 100) -> DataFrame:
     """symbol, t0, t1, amp_pct, vol_pct and forward return, best and worst, null unless the horizon is full."""
     last = F.get("close", F.lit(win - 1))
     amp = (F.exp(F.ln(F.array_max("high")) - F.ln(F.array_min("low"))) - 1) * 100
-    vol = arrays.mean(F.transform(F.arrays_zip("high", "low", "close"), lambda b: (b["high"] - b["low"]) / b["close"])) * 100
+    vol = arrays.mean(F.transform(F.arrays_zip("high", "low", "close"), lambda b: F.try_divide(b["high"] - b["low"], b["close"]))) * 100
     full = F.size("f_close") == horizon
     return w.select(
         "symbol",
@@ -53,9 +56,9 @@ def metadata(w: DataFrame, horizon: int, win: int = 100) -> DataFrame:
         "t1",
         amp.alias("amp_pct"),
         vol.alias("vol_pct"),
-        F.when(full, F.get("f_close", F.lit(horizon - 1)) / last - 1).alias("fwd_ret"),
-        F.when(full, F.array_max("f_high") / last - 1).alias("fwd_max"),
-        F.when(full, F.array_min("f_low") / last - 1).alias("fwd_min"),
+        F.when(full, F.try_divide(F.get("f_close", F.lit(horizon - 1)), last) - 1).alias("fwd_ret"),
+        F.when(full, F.try_divide(F.array_max("f_high"), last) - 1).alias("fwd_max"),
+        F.when(full, F.try_divide(F.array_min("f_low"), last) - 1).alias("fwd_min"),
     )
 
 
@@ -72,8 +75,8 @@ def library(bars: DataFrame, win: int = 100, stride: int = 5, horizon: int = 0,
         "t0",
         "t1",
         "v",
-        ((F.array_max("high") / F.array_min("low") - 1) * 100).alias("amp_pct"),
-        F.when(full, F.get("f_close", F.lit(max(horizon, 1) - 1)) / last - 1).alias("fwd_ret"),
+        ((F.try_divide(F.array_max("high"), F.array_min("low")) - 1) * 100).alias("amp_pct"),
+        F.when(full, F.try_divide(F.get("f_close", F.lit(max(horizon, 1) - 1)), last) - 1).alias("fwd_ret"),
     )
 
 
@@ -89,14 +92,14 @@ def forward(bars: DataFrame, horizons: tuple[int, ...], full: bool = True) -> Da
     """
     out = bars
     for h in horizons:
-        w = BY_TIME.rowsBetween(1, h)
+        w = by_time().rowsBetween(1, h)
         n = F.count("*").over(w)
         ok = (n == h) if full else (n > 0)
         out = out.withColumns(
             {
-                f"ret_{h}": F.when(ok, F.last("close").over(w) / F.col("close") - 1),
-                f"mfe_{h}": F.when(ok, F.max("high").over(w) / F.col("close") - 1),
-                f"mae_{h}": F.when(ok, F.min("low").over(w) / F.col("close") - 1),
+                f"ret_{h}": F.when(ok, F.try_divide(F.last("close").over(w), F.col("close")) - 1),
+                f"mfe_{h}": F.when(ok, F.try_divide(F.max("high").over(w), F.col("close")) - 1),
+                f"mae_{h}": F.when(ok, F.try_divide(F.min("low").over(w), F.col("close")) - 1),
             }
         )
     return out
@@ -104,17 +107,17 @@ def forward(bars: DataFrame, horizons: tuple[int, ...], full: bool = True) -> Da
 
 def trailing(bars: DataFrame, high_bars: int = 60, std_bars: int = 1440, std_least: int = 240, median_bars: int = 60, median_least: int = 20) -> DataFrame:
     """Shifted rolling high of the close, rolling volatility and median volume, all-time high and the fall from it."""
-    shifted = BY_TIME.rowsBetween(-high_bars, -1)
-    ret = F.col("close") / F.lag("close").over(BY_TIME) - 1
+    shifted = by_time().rowsBetween(-high_bars, -1)
+    ret = F.try_divide(F.col("close"), F.lag("close").over(by_time())) - 1
     b = bars.withColumn("ret", F.coalesce(ret, F.lit(0.0)))
-    sw, mw = BY_TIME.rowsBetween(1 - std_bars, 0), BY_TIME.rowsBetween(1 - median_bars, 0)
-    ath = F.max("close").over(BY_TIME.rowsBetween(Window.unboundedPreceding, 0))
+    sw, mw = by_time().rowsBetween(1 - std_bars, 0), by_time().rowsBetween(1 - median_bars, 0)
+    ath = F.max("close").over(by_time().rowsBetween(Window.unboundedPreceding, 0))
     return b.withColumns(
         {
             "high_ref": F.when(F.count("*").over(shifted) == high_bars, F.max("close").over(shifted)),
             "vol": F.when(F.count("ret").over(sw) >= std_least, F.stddev_samp("ret").over(sw)),
             "med_qv": F.when(F.count("qv").over(mw) >= median_least, F.percentile("qv", F.lit(0.5)).over(mw)),
-            "below_ath": F.col("close") / ath - 1,
-            "drop": F.col("close") / F.lag("close", high_bars).over(BY_TIME) - 1,
+            "below_ath": F.try_divide(F.col("close"), ath) - 1,
+            "drop": F.try_divide(F.col("close"), F.lag("close", high_bars).over(by_time())) - 1,
         }
     )

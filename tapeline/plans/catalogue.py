@@ -175,7 +175,7 @@ def band_selfjoin(spark, d):
 
 @query
 def point_lookup(spark, d):
-    b = S.bars(spark, d).withColumn("pos", F.row_number().over(B.BY_TIME) - 1).select("symbol", "open_time", "pos")
+    b = S.bars(spark, d).withColumn("pos", F.row_number().over(B.by_time()) - 1).select("symbol", "open_time", "pos")
     want = S.bars(spark, d, 6).select("symbol", "open_time")
     return J.matched(want, b, ["symbol", "open_time"]).where("pos is not null")
 
@@ -656,7 +656,7 @@ def pretrade_features(spark, d):
     t = W.trailing(S.bars(spark, d), 12, 48, 24, 24, 10).select("symbol", "open_time", "vol", "med_qv", "qv", "below_ath", "drop")
     b = V.breadth(S.bars(spark, d)).select("open_time", "falling", "share")
     got = J.matched(_trades(spark, d).select("symbol", F.col("t0").alias("open_time"), "ret"), t, ["symbol", "open_time"]).join(b, "open_time", "left")
-    out = got.select("symbol", F.col("open_time").alias("t0"), R("drop").alias("drop"), R("vol").alias("vol"), R(F.col("qv") / F.col("med_qv")).alias("vol_ratio"), R("below_ath").alias("below_ath"), F.coalesce("falling", F.lit(0)).alias("breadth"), R(F.coalesce("share", F.lit(0.0))).alias("breadth_pct"))
+    out = got.select("symbol", F.col("open_time").alias("t0"), R("drop").alias("drop"), R("vol").alias("vol"), R(F.try_divide(F.col("qv"), F.col("med_qv"))).alias("vol_ratio"), R("below_ath").alias("below_ath"), F.coalesce("falling", F.lit(0)).alias("breadth"), R(F.coalesce("share", F.lit(0.0))).alias("breadth_pct"))
     return out
 
 
