@@ -19,8 +19,8 @@ SPAN = 13
 WINDOW = 20
 #: ... of which this percentage at least are equal.
 PERCENT = 80
-#: Benchmark hashes up to this number are sent to every executor (24 bytes each); more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Benchmark seeds sent to every executor at once, about 350 bytes each; more go in several passes.
+BROADCAST_ROWS = 200_000
 
 TOKEN_GAP = r"[^\p{L}\p{N}]+"
 
@@ -47,10 +47,11 @@ def seeds(df: DataFrame) -> DataFrame:
     return rows.withColumn("seed", F.xxhash64(kind, value)).drop("_k")
 
 
-def overlap(doc: Column, doc_at: Column, item: Column, item_at: Column) -> Column:
+def overlap(doc: Column, doc_at: Column, item: Column, item_at: Column, need: Column) -> Column:
     """Whether some window of aligned tokens that holds the hit's span has enough equal ones.
 
-    doc holds the document's tokens around the hit, doc_at and item_at are the hit's places in both arrays.
+    doc and item hold the tokens around the hit, doc_at and item_at are the hit's places in these arrays, need
+    is the length of a window.
     """
 
     def windows(need: Column) -> Column:
@@ -68,7 +69,13 @@ def overlap(doc: Column, doc_at: Column, item: Column, item_at: Column) -> Colum
         )
         return F.when(lowest <= highest, found).otherwise(F.lit(False))
 
-    return let(F.least(F.lit(WINDOW), F.size(item)), windows)
+    return let(need, windows)
+
+
+def around(at: Column) -> tuple[Column, Column]:
+    """The tokens that a window around a hit can reach, and the hit's place among them."""
+    begin = F.greatest(F.lit(0), at - WINDOW + SPAN)
+    return F.slice("tokens", begin + 1, at - begin + WINDOW), at - begin
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -79,19 +86,22 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", i
     hits counts the verified seed hits of the pair. Other columns are ignored. Empty tables: no rows.
     """
     items = benchmark.select(F.col(item_col).alias("item"), token_hashes(F.col(text_col)).alias("tokens"))
-    item_seeds = seeds(items).select("seed", F.col("item"), F.col("at").alias("item_at"), F.col("tokens").alias("item_tokens"))
+    near, place = around(F.col("at"))
+    need = F.least(F.lit(WINDOW), F.size("tokens"))
+    item_seeds = seeds(items).select("seed", "item", near.alias("item_near"), place.alias("item_at"), need.alias("need"))
     n = items.where(F.size("tokens") >= SPAN).agg(F.coalesce(F.sum((F.size("tokens") - SPAN + 1) * len(MASKS)), F.lit(0))).first()[0]
-    if n <= BROADCAST_ROWS:
-        item_seeds = F.broadcast(item_seeds)
+    passes = max(1, -(-n // BROADCAST_ROWS))
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), token_hashes(F.col(text_col)).alias("tokens"))
-    hits = seeds(rows).join(item_seeds, "seed")
-    # only the tokens that a window around the hit can reach go on
-    begin = F.greatest(F.lit(0), F.col("at") - WINDOW + SPAN)
-    near = F.slice("tokens", begin + 1, F.col("at") - begin + WINDOW)
-    hits = hits.select("id", "item", near.alias("near"), (F.col("at") - begin).alias("near_at"), "item_tokens", "item_at")
+    hits = None
+    for k in range(passes):  # equal seeds go in one pass, so passes share no hit
+        part = item_seeds if passes == 1 else item_seeds.where(F.pmod(F.xxhash64("seed"), F.lit(passes)) == k)
+        found = seeds(rows).join(F.broadcast(part), "seed")
+        # only the tokens that a window around the hit can reach go on
+        found = found.select("id", "item", near.alias("near"), place.alias("near_at"), "item_near", "item_at", "need")
+        hits = found if hits is None else hits.unionByName(found)
     # as a generator, since a filter would move into the join, whose probe side then leaves generated code
     # and buffers the tokens once for each position
-    real = overlap(F.col("near"), F.col("near_at"), F.col("item_tokens"), F.col("item_at"))
+    real = overlap(F.col("near"), F.col("near_at"), F.col("item_near"), F.col("item_at"), F.col("need"))
     found = hits.select("id", "item", F.explode(F.when(real, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))))
     return found.groupBy("id", "item").agg(F.count("*").alias("hits")).select(F.col("id").alias(id_col), F.col("item").alias(item_col), "hits")
 
