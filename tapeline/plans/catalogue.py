@@ -105,7 +105,7 @@ def atr_ewm(spark, d):
 
 @query
 def liquidity_gate(spark, d):
-    return B.liquid(S.bars(spark, d), 300.0, 200)
+    return B.liquid(S.bars(spark, d), 100.0, 200)
 
 
 @query
@@ -758,9 +758,9 @@ def archive_months(spark, d):
     return e.select("key", klines.month_of(F.col("key")).alias("month"), klines.leveraged(F.substring_index("key", "-", 1)).alias("leveraged"))
 
 
-def neighbours_of(spark: SparkSession, d: str, k: int = 24) -> DataFrame:
+def neighbours_of(spark: SparkSession, d: str, k: int = 24, win: int = 50) -> DataFrame:
     """Flagship: the windows most like the newest one of the first symbol, without those of its own time."""
-    lib = _lib(spark, d)
+    lib = W.library(S.bars(spark, d), win, 5, 24)
     newest: Column = F.struct("t1", "symbol")
     q = lib.select("symbol", "t0", "t1", "v").orderBy(newest.desc()).limit(1)
     found = K.search(q, lib, k, 600, ["q_symbol", "q_t0"], ["c_symbol", "c_t0"], K.overlaps())

@@ -90,7 +90,7 @@ TR = f"tr AS (SELECT *, greatest(high - low, coalesce(abs(high - lag(close) OVER
 ATR = "atr AS (SELECT symbol, rn, open_time, open, tr, tr AS y FROM tr WHERE rn = 0 UNION ALL SELECT t.symbol, t.rn, t.open_time, t.open, t.tr, a.y * (1 - 1 / 14::DOUBLE) + t.tr / 14 FROM atr a JOIN tr t ON t.symbol = a.symbol AND t.rn = a.rn + 1)"
 put_bars("true_range", f"SELECT symbol, open_time, {r('tr')} FROM tr", TR)
 put_bars("atr_ewm", f"SELECT symbol, open_time, {r('tr', 'CASE WHEN rn >= 13 THEN y END AS atr')} FROM atr", TR, ATR, recursive=True)
-put_bars("liquidity_gate", "SELECT symbol FROM b GROUP BY symbol HAVING quantile_cont(qv, 0.5) >= 300 AND count(*) >= 200")
+put_bars("liquidity_gate", "SELECT symbol FROM b GROUP BY symbol HAVING quantile_cont(qv, 0.5) >= 100 AND count(*) >= 200")
 put_bars(
     "window_contiguity",
     f"""SELECT symbol, count(*) AS bars, count(*) FILTER (k >= 100 AND m >= 1 AND open_time - p = {99 * 2 * HOUR}) AS valid FROM (SELECT *, row_number() OVER ({W}) AS k,
