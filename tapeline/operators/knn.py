@@ -89,3 +89,54 @@ def sample(rows: DataFrame, n: int, seed: str, by: list[str], key: Column) -> Da
 
 def similarity(dist: Column, scale: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.sqrt(dist) / scale))
+
+
+def separated(rows: DataFrame, gap: int, seed: str) -> DataFrame:
+    """Walks each symbol's windows in hash order and keeps those at least ``gap`` from every one kept."""
+    order = F.md5(F.concat_ws("-", F.lit(seed), "symbol", F.col("t0").cast("string")))
+    packed = rows.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), "t0"))).alias("r"))
+
+    def step(kept: Column, x: Column) -> Column:
+        return F.when(F.exists(kept, lambda t: F.abs(t - x["t0"]) < gap), kept).otherwise(F.concat(kept, F.array(x["t0"])))
+
+    return packed.select("symbol", F.explode(F.aggregate("r", F.array().cast("array<bigint>"), step)).alias("t0"))
+
+
+def channels(queries: DataFrame, library: DataFrame, near: int, seed: str, pool: int = 8) -> DataFrame:
+    """Four candidates for each query, one a channel, none twice: nearest by shape, nearest by raw vector, a random
+    one of like amplitude and time, a random one. place (1 to 4) is their shuffled order.
+
+    Each channel offers its first ``pool``; a channel whose offers are all taken yields nothing.
+    """
+    cols = ["symbol", "t0", "t1", "v", "raw", "amp_pct"]
+    pairs = distances(queries.select(cols), library.select(cols)).where(~overlaps())
+    pairs = pairs.withColumn("raw_dist", arrays.squared_l2(F.col("q_raw"), F.col("c_raw"), 64))
+    h = F.md5(F.concat_ws("-", F.lit(seed), "q_symbol", F.col("q_t0").cast("string"), "c_symbol", F.col("c_t0").cast("string")))
+    like = (F.abs(F.col("q_t0") - F.col("c_t0")) <= near) & F.col("c_amp_pct").between(F.col("q_amp_pct") * 0.5, F.col("q_amp_pct") * 2)
+    by = ["q_symbol", "q_t0"]
+    ties = ["c_symbol", "c_t0"]
+    w = Window.partitionBy(*by)
+    offers = pairs.withColumns(
+        {
+            "shape": F.row_number().over(w.orderBy("dist", *ties)),
+            "raw_rank": F.row_number().over(w.orderBy("raw_dist", *ties)),
+            "regime": F.when(like, F.row_number().over(w.orderBy(F.when(like, h).asc_nulls_last(), *ties))),
+            "any": F.row_number().over(w.orderBy(F.reverse(h), *ties)),
+        }
+    ).where(F.least("shape", "raw_rank", F.coalesce("regime", F.lit(10**9)), "any") <= pool)
+    c = F.struct("c_symbol", "c_t0")
+    lists = [F.sort_array(F.collect_list(F.when(F.col(r) <= pool, F.struct(F.col(r).alias("r"), c.alias("c"))))) for r in ("shape", "raw_rank", "regime", "any")]
+    packed = offers.groupBy(*by).agg(*(x.alias(f"l{i}") for i, x in enumerate(lists)))
+    picks: list[Column] = []
+    for i in range(4):
+        taken = F.array_compact(F.array(*picks)) if picks else None
+        free = F.filter(f"l{i}", lambda x: x["r"] > 0) if taken is None else F.filter(f"l{i}", _free(taken))
+        picks.append(F.get(free, F.lit(0))["c"])
+    names = ("shape", "raw", "regime", "random")
+    rows = packed.select(*by, F.inline(F.array(*[F.struct(F.lit(n).alias("channel"), p.alias("c")) for n, p in zip(names, picks, strict=True)]))).where("c is not null")
+    order = F.md5(F.concat_ws("-", F.lit(seed), "q_symbol", F.col("q_t0").cast("string"), "channel"))
+    return rows.select(*by, "channel", "c.c_symbol", "c.c_t0", F.row_number().over(w.orderBy(order)).alias("place"))
+
+
+def _free(taken: Column):
+    return lambda x: ~F.array_contains(taken, x["c"])

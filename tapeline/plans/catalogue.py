@@ -177,7 +177,7 @@ def band_selfjoin(spark, d):
 def point_lookup(spark, d):
     b = S.bars(spark, d).withColumn("pos", F.row_number().over(B.by_time()) - 1).select("symbol", "open_time", "pos")
     want = S.bars(spark, d, 6).select("symbol", "open_time")
-    return J.matched(want, b, ["symbol", "open_time"]).where("pos is not null")
+    return J.matched(want, b, ["symbol", "open_time"], least=0.05).where("pos is not null")
 
 
 @query
@@ -362,6 +362,23 @@ def window_pick_latest(spark, d):
     return r.groupBy("symbol").agg(F.max_by("t0", F.struct("t1", "t0")).alias("t0"), F.max("t1").alias("t1"))
 
 
+@query
+def separated_sample(spark, d):
+    return K.separated(_ranges(spark, d), 20 * 2 * HOUR, "sep").select("symbol", "t0")
+
+
+@query
+def blind_candidates(spark, d):
+    lib = _lib(spark, d).join(_lib(spark, d, kind="raw").select("symbol", "t0", F.col("v").alias("raw")), ["symbol", "t0"])
+    return K.channels(lib.where("k % 40 = 0"), lib, 10 * DAY, "blind")
+
+
+@query
+def blind_tally(spark, d):
+    x = blind_candidates(spark, d).withColumn("picked", F.col("place") == 1 + F.col("q_t0") % 4)
+    return x.where("picked").groupBy("channel").agg(F.count("*").alias("n"))
+
+
 # universe
 
 

@@ -166,3 +166,50 @@ def test_resample_is_linear_interpolation(spark):
     x = np.random.default_rng(0).normal(size=100)
     v = spark.createDataFrame([(x.tolist(),)], "x array<double>").select(arrays.resample(F.col("x"), 100, 32)).first()[0]
     assert np.allclose(v, np.interp(np.linspace(0, 99, 32), np.arange(100), x))
+
+
+def test_separated_windows_keep_their_distance(spark):
+    from tapeline.plans.catalogue import QUERIES
+
+    got = QUERIES["separated_sample"](spark, f"{DATA}/sf0.01").toPandas()
+    assert len(got) and all(np.diff(sorted(g.t0)).min(initial=10**18) >= 40 * 3_600_000 for _, g in got.groupby("symbol"))
+
+
+def test_blind_candidates_are_distinct(spark):
+    from tapeline.plans.catalogue import QUERIES
+
+    got = QUERIES["blind_candidates"](spark, f"{DATA}/sf0.01").toPandas()
+    for _, g in got.groupby(["q_symbol", "q_t0"]):
+        assert not g.duplicated(["c_symbol", "c_t0"]).any() and sorted(g.place) == list(range(1, len(g) + 1)) and {"shape", "raw", "random"} <= set(g.channel)
+
+
+@pytest.mark.parametrize("log", [False, True])
+def test_chart_round_trip(log):
+    from tapeline.sources.screenshot import candles
+
+    rnd = np.random.default_rng(7)
+    img = np.zeros((480, 60 * 16, 3), np.uint8)
+    top, bottom = 200.0, 100.0
+    want = []
+    row = lambda p: int(round((np.log(top / p) / np.log(top / bottom) if log else (top - p) / (top - bottom)) * 479))
+    for k in range(60):
+        o, c = rnd.uniform(120, 180, 2)
+        h, low = max(o, c) + rnd.uniform(0, 15), min(o, c) - rnd.uniform(0, 15)
+        colour = (0, 200, 80) if c >= o else (220, 30, 30)
+        img[row(h) : row(low) + 1, k * 16 + 6 : k * 16 + 7] = colour
+        img[row(max(o, c)) : row(min(o, c)) + 1, k * 16 + 2 : k * 16 + 12] = colour
+        want.append((o, h, low, c))
+    got = candles(img, 0, 900_000, top, bottom, log)
+    assert len(got) == 60 and np.abs(got[["open", "high", "low", "close"]].to_numpy() - np.array(want)).max() < 0.6
+
+
+def test_service_answers(spark):
+    from tapeline.api import Service
+
+    s = Service(windows.library(fixtures.bars(spark, f"{DATA}/sf0.01"), 100, 5, 24))
+    status, info = s.answer("/api/info")
+    assert status == 200 and info["symbols"] == 5 and len(s.coins()) == 5
+    status, got = s.answer("/api/search?symbol=click&topk=5")
+    q = got["query"]
+    assert status == 200 and len(got["results"]) == 5 and all(r["t0"] > q["t1"] or r["t1"] < q["t0"] for r in got["results"])
+    assert s.answer("/api/search?symbol=none")[0] == 400 and s.answer("/api/search?topk=x")[0] == 400 and s.answer("/x")[0] == 404
