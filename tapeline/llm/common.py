@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Parts into which the rows of one key are dealt where a join's small side can be repeated.
+SALTS = 16
 #: Rows per Arrow batch: long texts (100 kB and more) then stay within a worker's memory.
 BATCH_ROWS = 512
 
@@ -58,6 +60,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def salt(*columns: str | Column) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int").alias("salt")
+
+
+def salted(small: DataFrame) -> DataFrame:
+    """Each row once for every salt."""
+    return small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def by_group(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """The groups of a partition that is sorted by keys, one at a time."""
     rest: list[pd.DataFrame] = []

@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, salt, salted
 
 #: A chunk ends where the rolling hash's first hexadecimal digit is one of these: every fourth line on average.
 ENDS = ("0", "1", "2", "3")
 ROLL = 2
+#: Occurrences of a chunk that are compared with its first one in one part.
+PART = 500
 
 
 def chunks(text: Column, min_lines: int) -> Column:
@@ -70,22 +72,26 @@ def drop_repeated_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     slim = rows.select(F.col(id_col).alias("_id"), "_th", F.col(text_col).alias("_text"))
     held = slim.where(F.col("_text").isNotNull()).select(*key, F.inline(chunks(F.col("_text"), min_lines)))
     place = F.struct("_id", "_th", "pos")
-    seen = held.groupBy("h").agg(F.count("*").alias("c"), F.min(place).alias("first")).where("c > 1").drop("c")
-    found = held.join(seen, "h").withColumn("is_first", F.equal_null(place, F.col("first")))
-    found = found.groupBy(*key).agg(F.collect_set(F.struct("pos", "n", "h", "is_first")).alias("found"))
+    # a chunk that many documents hold is dealt out: by a fixed number of salts here, by its count below
+    seen = held.groupBy("h").agg(F.count("*").alias("c"), F.min(place).alias("first")).where("c > 1")
+    found = held.withColumn("salt", salt("_id", "_th")).join(salted(seen), ["h", "salt"])
+    found = found.withColumn("is_first", F.equal_null(place, F.col("first"))).withColumn("parts", (1 + F.floor(F.col("c") / PART)).cast("int"))
+    found = found.groupBy(*key).agg(F.collect_set(F.struct("pos", "n", "h", "is_first", "parts")).alias("found"))
     with_text = slim.alias("s").join(found.alias("f"), _same("s", "f"))
     piece = let(
         F.split("s._text", "\n"),
         lambda lines: F.transform(
             "f.found",
             lambda c: F.struct(
-                c["pos"].alias("pos"), c["n"].alias("n"), c["h"].alias("h"), c["is_first"].alias("is_first"), F.array_join(F.slice(lines, c["pos"] + 1, c["n"]), "\n").alias("body")
+                c["pos"].alias("pos"), c["n"].alias("n"), c["h"].alias("h"), c["is_first"].alias("is_first"), c["parts"].alias("parts"), F.array_join(F.slice(lines, c["pos"] + 1, c["n"]), "\n").alias("body")
             ),
         ),
     )
     pieces = with_text.select("s._id", "s._th", F.inline(piece))
-    firsts = pieces.where("is_first").select("h", F.col("body").alias("first_body")).dropDuplicates(["h"])
-    gone = pieces.where("not is_first").join(firsts, "h").where("body = first_body")
+    firsts = pieces.where("is_first").select("h", "parts", F.col("body").alias("first_body")).dropDuplicates(["h"])
+    firsts = firsts.select("h", "first_body", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    rest = pieces.where("not is_first").withColumn("part", F.pmod(F.xxhash64(*key), F.col("parts")).cast("int"))
+    gone = rest.join(firsts, ["h", "part"]).where("body = first_body")
     gone = gone.groupBy(*key).agg(F.sort_array(F.collect_set(F.struct("pos", "n"))).alias("gone"))
     left = rows.withColumnRenamed(id_col, "_id").alias("l")
     out = left.join(gone.alias("g"), _same("l", "g"), "left")
