@@ -5,22 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Milliseconds of the bucket of time that one task of an as-of join scans.
+DAY = 86_400_000
 
-def asof(left: DataFrame, right: DataFrame, value: str, direction: str = "backward", strict: bool = False) -> DataFrame:
+
+def asof(left: DataFrame, right: DataFrame, value: str, direction: str = "backward", strict: bool = False, width: int = DAY) -> DataFrame:
     """left (symbol, t) with the t and value of the last right row at or before it (first at or after it: 'forward').
 
-    One shuffle by symbol: the union of both sides is scanned in order; ties follow ``strict``.
+    Both sides are cut into buckets of ``width`` of t, so a symbol with most of the rows is many tasks: the union
+    is scanned in order within a bucket, which starts from what the symbol's buckets before it end with (one row
+    a bucket). Of right rows at equal t the greatest value counts, the least one going forward.
     """
-    cols = left.columns
-    side = 1 if strict == (direction == "forward") else 0  # where left stands among rows of equal t
+    cols, back = left.columns, direction == "backward"
+    side = 1 if strict != back else 0  # where left stands among rows of equal t
     mark = F.struct(F.col("t").alias("at"), F.col(value).alias("v"))
-    r = right.select("symbol", "t", mark.alias("_r"), F.lit(1 - side).alias("_o")).withColumns({c: F.lit(None).cast(left.schema[c].dataType) for c in cols if c not in ("symbol", "t")})
-    both = left.withColumn("_r", F.lit(None).cast(r.schema["_r"].dataType)).withColumn("_o", F.lit(side)).withColumn("_l", F.lit(True)).unionByName(r.withColumn("_l", F.lit(False)))
-    order = ("t", "_o") if direction == "backward" else (F.col("t").desc(), F.col("_o").desc())
+    r = right.select("symbol", "t", mark.alias("_r"), F.lit(1 - side).alias("_o"), F.lit(False).alias("_l"))
+    both = left.withColumns({"_o": F.lit(side), "_l": F.lit(True)}).unionByName(r, allowMissingColumns=True)
+    both = both.withColumn("_b", F.expr(f"t div {width}L"))
+    way = F.asc if back else F.desc
+    ends = both.groupBy("symbol", "_b").agg((F.max if back else F.min)("_r").alias("_r"))
+    before = Window.partitionBy("symbol").orderBy(way("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    start = ends.select("symbol", "_b", F.last("_r", ignorenulls=True).over(before).alias("_r"), F.lit(False).alias("_l"), F.lit(0).alias("_s"))
+    rows = both.withColumn("_s", F.lit(1)).unionByName(start, allowMissingColumns=True)
     # a running value either way: a frame that begins at each row would scan what follows it again and again
-    w = Window.partitionBy("symbol").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    found = F.last("_r", ignorenulls=True).over(w)
-    return both.withColumn("_f", found).where("_l").select(*cols, F.col("_f.at").alias("match_t"), F.col("_f.v").alias(value))
+    w = Window.partitionBy("symbol", "_b").orderBy("_s", *map(way, ("t", "_o", "_r.v"))).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("_f", F.last("_r", ignorenulls=True).over(w)).where("_l").select(*cols, F.col("_f.at").alias("match_t"), F.col("_f.v").alias(value))
 
 
 def covering(points: DataFrame, ranges: DataFrame, width: int) -> DataFrame:

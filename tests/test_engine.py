@@ -30,6 +30,28 @@ def test_entry_finds_neighbours(spark):
     assert 0 < len(out) <= 24 and out["dist"].is_monotonic_increasing
 
 
+@pytest.mark.parametrize("direction", ["backward", "forward"])
+@pytest.mark.parametrize("strict", [False, True])
+def test_asof_in_buckets_equals_brute_force(spark, same, direction, strict):
+    rng = random.Random(5)
+    left = [("hot" if rng.random() < 0.8 else rng.choice("ab"), rng.randrange(-50, 400), k) for k in range(300)] + [("alone", 7, 300)]
+    right = [(rng.choice(["hot", "a"]), rng.randrange(-30, 380), float(rng.randrange(5))) for _ in range(60)] + [("b", 90, 1.0), ("b", 90, 2.0)]
+    expected = []
+    for symbol, t, k in left:
+        if direction == "backward":
+            found = max(((u, v) for s, u, v in right if s == symbol and (u < t if strict else u <= t)), default=(None, None))
+        else:
+            found = min(((u, v) for s, u, v in right if s == symbol and (u > t if strict else u >= t)), default=(None, None))
+        expected.append((symbol, t, k, *found))
+    a = spark.createDataFrame(left, "symbol string, t long, id long")
+    b = spark.createDataFrame(right, "symbol string, t long, close double")
+    truth = spark.createDataFrame(expected, "symbol string, t long, id long, match_t long, close double").toPandas()
+    for width in (1, 20, 1000):
+        same(joins.asof(a, b, "close", direction, strict, width).toPandas(), truth)
+    assert joins.asof(a.limit(0), b, "close", direction, strict).count() == 0
+    assert joins.asof(a, b.limit(0), "close", direction, strict).where("match_t is null").count() == len(left)
+
+
 def test_chunked_windows_equal_unchunked(spark, same):
     b = fixtures.bars(spark, SF)
     a = windows.library(b, 100, 5, 10).select("symbol", "t0", "t1", F.round("amp_pct", 6).alias("a"), F.round("fwd_ret", 6).alias("f")).toPandas()
