@@ -3,6 +3,9 @@
 A hash over the hashes of the last two lines decides whether a chunk ends there, so boundaries follow the
 content and survive shifts. Chunks of two lines or more that occur before (smaller id, then earlier place)
 are removed, once their bytes equal those of the first occurrence.
+
+Such chunks miss most passages of a few lines, which hold no two boundaries. With whole=True every two
+neighbouring lines are a chunk, so every repeated run of two lines or more goes, wherever it begins.
 """
 
 from __future__ import annotations
@@ -44,6 +47,18 @@ def chunks(text: Column, min_lines: int) -> Column:
     )
 
 
+def rolls(text: Column) -> Column:
+    """array<struct<pos int, n int, h long>> of every two neighbouring lines; pos counts lines from 0."""
+
+    def pairs(lines: Column) -> Column:
+        def pair(i: Column) -> Column:
+            return F.struct((i - 1).alias("pos"), F.lit(2).alias("n"), F.xxhash64(F.get(lines, i - 1), F.get(lines, i)).alias("h"))
+
+        return F.when(F.size(lines) > 1, F.transform(F.sequence(F.lit(1), F.size(lines) - 1), pair))
+
+    return let(F.split(text, "\n"), pairs)
+
+
 def without(text: Column, removed: Column) -> Column:
     """Text without the lines of removed, an array<struct<pos, n>> sorted by pos."""
 
@@ -58,19 +73,22 @@ def without(text: Column, removed: Column) -> Column:
     return let(F.split(text, "\n"), lambda lines: let(removed, lambda gone: rest(lines, gone)))
 
 
-def drop_repeated_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2) -> DataFrame:
+def drop_repeated_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, whole: bool = False) -> DataFrame:
     """docs with n_lines long, n_removed long (lines) and text_col without the repeated chunks.
 
     Chunks are judged on the input. The first occurrence stays; of rows that repeat the same id and text each
     keeps what the others keep. A null id sorts before all others. Null text stays null (0 lines); empty text
     is one empty line. A text may become empty. A chunk whose hash equals that of an earlier one but whose
     bytes differ stays. Columns of docs named n_lines or n_removed are replaced. No rows in: no rows out.
+    whole takes the chunks of rolls(), and min_lines has no effect. These overlap, so that the first occurrence
+    of every line stays, but not always that of a pair: of one line many times over, one is left.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed", text_col)]
     rows = docs.select(*names, text_col).withColumn("_th", F.xxhash64(text_col))
     key = ["_id", "_th"]
     slim = rows.select(F.col(id_col).alias("_id"), "_th", F.col(text_col).alias("_text"))
-    held = slim.where(F.col("_text").isNotNull()).select(*key, F.inline(chunks(F.col("_text"), min_lines)))
+    cut = rolls(F.col("_text")) if whole else chunks(F.col("_text"), min_lines)
+    held = slim.where(F.col("_text").isNotNull()).select(*key, F.inline(cut))
     place = F.struct("_id", "_th", "pos")
     # a chunk that many documents hold is dealt out: by a fixed number of salts here, by its count below
     seen = held.groupBy("h").agg(F.count("*").alias("c"), F.min(place).alias("first")).where("c > 1")
@@ -92,7 +110,10 @@ def drop_repeated_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     firsts = firsts.select("h", "first_body", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     rest = pieces.where("not is_first").withColumn("part", F.pmod(F.xxhash64(*key), F.col("parts")).cast("int"))
     gone = rest.join(firsts, ["h", "part"]).where("body = first_body")
-    gone = gone.groupBy(*key).agg(F.sort_array(F.collect_set(F.struct("pos", "n"))).alias("gone"))
+    gone = gone.groupBy(*key).agg(F.collect_set(F.struct("pos", "n")).alias("gone"))
+    # line by line, since chunks may overlap
+    each = F.array_distinct(F.flatten(F.transform("gone", lambda c: F.sequence(c["pos"], c["pos"] + c["n"] - 1))))
+    gone = gone.select(*key, F.transform(F.sort_array(each), lambda i: F.struct(i.alias("pos"), F.lit(1).alias("n"))).alias("gone"))
     left = rows.withColumnRenamed(id_col, "_id").alias("l")
     out = left.join(gone.alias("g"), _same("l", "g"), "left")
     text = F.when(F.col("g.gone").isNull(), F.col(f"l.{text_col}")).otherwise(without(F.col(f"l.{text_col}"), F.col("g.gone")))

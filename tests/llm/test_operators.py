@@ -414,6 +414,44 @@ def test_line_chunks_resist_shifts(spark):
     assert got[1] == 0 and got[2] >= 40
 
 
+def plain_line_repeats(docs):
+    """By doc_id, the lines that stay where every repeated pair of neighbouring lines goes."""
+    seen, out = {}, {}
+    for d, t in sorted(docs):
+        lines, gone = t.split("\n"), set()
+        for i in range(len(lines) - 1):
+            if seen.setdefault(tuple(lines[i : i + 2]), (d, i)) != (d, i):
+                gone.update((i, i + 1))
+        out[d] = (len(lines), len(gone), "\n".join(x for i, x in enumerate(lines) if i not in gone))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_whole_line_repeats_against_brute_force(spark, seed):
+    rnd = random.Random(seed)
+    vocab = [f"line {i}" for i in range(4 if seed == 0 else 60)]
+    docs = [(d, "\n".join(rnd.choice(vocab) for _ in range(rnd.randrange(1, 30)))) for d in rnd.sample(range(-500, 500), 60)]
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_chunks.drop_repeated_chunks(spark.createDataFrame(docs, DOC).repartition(5), whole=True).collect()}
+    assert got == plain_line_repeats(docs)
+    first = {x for _, t, in docs for x in t.split("\n")}
+    assert {x for _, _, t in got.values() for x in t.split("\n")} - {""} == first
+
+
+def test_short_passages_go_in_the_pipeline(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(9)
+    line = lambda: " ".join(f"c{rnd.randrange(10**6)}" for _ in range(30))
+    docs, want = [], {}
+    for n in range(2, 9):
+        for k in range(10):
+            passage, own = [line() for _ in range(n)], [line() for _ in range(4)]
+            docs += [(100 * n + k, "\n".join([line(), *passage, line()])), (10_000 + 100 * n + k, "\n".join([*own[:2], *passage, *own[2:]]))]
+            want[10_000 + 100 * n + k] = "\n".join(own)
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, spark.createDataFrame(docs, DOC), SF).collect()}
+    assert got == {**dict(docs), **want}
+
+
 # 10
 
 
