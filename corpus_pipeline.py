@@ -20,7 +20,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated runs of two lines or more go; a document of nothing else goes with them. n_chars follows the text."""
+    """Repeated runs of two lines or more and repeated lines of over 50 words go; a document of nothing else goes with them. n_chars follows the text."""
     out = line_chunks.drop_repeated_chunks(docs, whole=True).where("n_removed = 0 or text != ''")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))

@@ -5,7 +5,8 @@ content and survive shifts. Chunks of two lines or more that occur before (small
 are removed, once their bytes equal those of the first occurrence.
 
 Such chunks miss most passages of a few lines, which hold no two boundaries. With whole=True every two
-neighbouring lines are a chunk, so every repeated run of two lines or more goes, wherever it begins.
+neighbouring lines are a chunk, so every repeated run of two lines or more goes, wherever it begins; and so is
+every line of more than LINE_WORDS words.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ from .common import let, salt, salted
 #: A chunk ends where the rolling hash's first hexadecimal digit is one of these: every fourth line on average.
 ENDS = ("0", "1", "2", "3")
 ROLL = 2
+#: A line of more words than this is a chunk of its own where every two neighbouring lines are.
+LINE_WORDS = 50
+WORD_GAP = r"[\x20\x09-\x0D]+"
 #: Occurrences of a chunk that are compared with its first one in one part.
 PART = 500
 
@@ -48,15 +52,24 @@ def chunks(text: Column, min_lines: int) -> Column:
 
 
 def rolls(text: Column) -> Column:
-    """array<struct<pos int, n int, h long>> of every two neighbouring lines; pos counts lines from 0."""
+    """array<struct<pos int, n int, h long>> of every two neighbouring lines and of every line of more than
+    LINE_WORDS words; pos counts lines from 0."""
 
-    def pairs(lines: Column) -> Column:
+    def all_of(lines: Column) -> Column:
         def pair(i: Column) -> Column:
-            return F.struct((i - 1).alias("pos"), F.lit(2).alias("n"), F.xxhash64(F.get(lines, i - 1), F.get(lines, i)).alias("h"))
+            return F.struct(i.alias("pos"), F.lit(2).alias("n"), F.xxhash64(F.get(lines, i), F.get(lines, i + 1)).alias("h"))
 
-        return F.when(F.size(lines) > 1, F.transform(F.sequence(F.lit(1), F.size(lines) - 1), pair))
+        def one(i: Column) -> Column:
+            return F.struct(i.alias("pos"), F.lit(1).alias("n"), F.xxhash64(F.get(lines, i)).alias("h"))
 
-    return let(F.split(text, "\n"), pairs)
+        def is_long(i: Column) -> Column:
+            words = F.array_remove(F.split(F.get(lines, i), WORD_GAP), "")
+            return (F.length(F.get(lines, i)) > 2 * LINE_WORDS) & (F.size(words) > LINE_WORDS)  # the length is cheap
+
+        places = F.sequence(F.lit(0), F.size(lines) - 1)
+        return F.concat(F.transform(F.filter(places, lambda i: i < F.size(lines) - 1), pair), F.transform(F.filter(places, is_long), one))
+
+    return let(F.split(text, "\n"), all_of)
 
 
 def without(text: Column, removed: Column) -> Column:

@@ -452,6 +452,19 @@ def test_short_passages_go_in_the_pipeline(spark):
     assert got == {**dict(docs), **want}
 
 
+def test_long_lines_and_exact_copies_go_in_the_pipeline(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(10)
+    line = lambda n: " ".join(f"c{rnd.randrange(10**6)}" for _ in range(n))
+    long, odd, short, own = line(51), line(60).replace(" ", " \t "), line(50), [line(12) for _ in range(6)]
+    whole = "\n".join(line(n) for n in (5, 60, 3, 40, 1))
+    docs = [(1, f"{own[0]}\n{long}\n{own[1]}\n{odd}"), (2, f"{own[2]}\n{long}\n{own[3]}"), (3, long), (4, f"{odd}\n{own[4]}"), (5, f"{short}\n{own[5]}"), (6, f"{own[4]}\n{short}"), (7, whole), (8, whole), (9, short), (10, short)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, spark.createDataFrame(docs, DOC), SF).collect()}
+    gone = {2: f"{own[2]}\n{own[3]}", 4: own[4]}
+    assert got == {**{d: t for d, t in docs if d not in (3, 8)}, **gone}
+
+
 # 10
 
 
