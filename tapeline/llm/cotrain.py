@@ -262,6 +262,9 @@ def train(
     Labelled rows beyond LABELLED are left out of the fit, by the order of a hash; conflicting labels of an id
     count as the worse one; null labels as good. Without labels, or of one class alone, a property has its
     prior. Each round scores every unlabelled document; only the PER_ROUND most confident come to the driver.
+    PER_ROUND does not grow with docs. A view teaches a value only where at least 20 held-out rows (three tenths
+    of the labels) are confident of it, CONFIDENT of them rightly: with few labels of a value none is exchanged,
+    and with fewer than 20 held-out rows, or of one class alone, the text view alone judges.
     """
     prepare(docs.sparkSession)
     store = Store(docs.sparkSession)
