@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from . import kernels
 from .common import Store, prepare
+from .linear import Linear, calibrated, fit, sigmoid
 
 HEADS = ("low", "toxic")
 BITS, PREFIXES = 20, (4, 5, 6)
@@ -81,53 +82,6 @@ def meta_rows(pdf: pd.DataFrame, numeric: list[str], nominal: list[str]) -> np.n
     return np.hstack(blocks) if blocks else np.zeros((len(pdf), 1))
 
 
-class Linear(NamedTuple):
-    """A logistic model on standardised columns, with Platt's calibration of its score."""
-
-    weight: np.ndarray
-    bias: float
-    slope: float = 1.0
-    shift: float = 0.0
-
-    def score(self, x: np.ndarray) -> np.ndarray:
-        return self.slope * (x @ self.weight + self.bias) + self.shift
-
-
-def sigmoid(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
-
-def fit(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 12) -> Linear:
-    """Ridge logistic regression by Newton steps; a constant where only one class is present."""
-    rate = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.0
-    base = float(np.log(max(rate, 1e-6) / max(1 - rate, 1e-6)))
-    if len(y) == 0 or y.min() == y.max():
-        return Linear(np.zeros(x.shape[1]), base)
-    a = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(a.shape[1])
-    w[-1] = base
-    ridge = np.full(a.shape[1], l2)
-    ridge[-1] = 1e-6
-    for _ in range(steps):
-        p = sigmoid(a @ w)
-        g = a.T @ (p - y) + ridge * w
-        h = (a * (p * (1 - p))[:, None]).T @ a + np.diag(ridge + 1e-9)
-        step = np.linalg.solve(h, g)
-        w -= step
-        if np.abs(step).max() < 1e-4:
-            break
-    return Linear(w[:-1], float(w[-1]))
-
-
-def calibrated(m: Linear, x: np.ndarray, y: np.ndarray) -> Linear:
-    if len(y) < 20 or y.min() == y.max():
-        return m
-    z = m.score(x)
-    target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
-    c = fit(z[:, None], target, l2=1e-3)
-    return Linear(m.weight, m.bias, max(float(c.weight[0]), 1e-3), c.bias)
-
-
 class Model(NamedTuple):
     chosen: np.ndarray  # leading BITS of a feature -> column, or -1
     exact: np.ndarray  # the feature of each column
