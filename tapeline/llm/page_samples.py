@@ -112,7 +112,15 @@ class _Page:
         if rnd.random() < 0.1:  # nothing but the main text
             top, end = [], []
         rnd.shuffle(top)
-        story = self.box("main", self.story()) if rnd.random() < 0.95 else self.story()
+        if rnd.random() < 0.06:  # a few words, bare or in one paragraph
+            story = "<hr>".join(self.main(self.said(rnd.randint(1, 6), rnd.random() < 0.5)) for _ in range(rnd.randint(1, 2)))
+            story = story if rnd.random() < 0.4 else f"<p>{story}</p>"
+            if rnd.random() < 0.5:
+                story = self.box("main", story)
+            else:
+                top, end = [], []
+        else:
+            story = self.box("main", self.story()) if rnd.random() < 0.95 else self.story()
         return f"<!DOCTYPE html><html><head><title>x</title></head><body>{''.join(top)}{story}{''.join(end)}</body></html>"
 
 

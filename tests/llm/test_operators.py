@@ -376,9 +376,9 @@ def article(page):
 
 @pytest.mark.parametrize("headings", [True, False])
 def test_the_cut_decides_where_names_say_nothing(headings):
-    """Pages without article, nav, footer and class names still equal their article; without headings as well, the
-    cut changes many labels and fewer pages are wrong than by the costs of each block alone."""
-    pages = pd.read_parquet(f"{DATA}/sf0.1/pages.parquet").html[:800]
+    """Pages without article, nav, footer and class names still equal their article; without headings as well the
+    cut changes many labels, and fewer pages are wrong than by the costs of each block alone."""
+    pages = pd.read_parquet(f"{DATA}/sf0.1/pages.parquet").html
     change = mute if headings else lambda h: re.sub(r"<(/?)h1>", r"<\1div>", mute(h))
     model = html.default_model()
     alone = model.without_edges()
@@ -389,7 +389,7 @@ def test_the_cut_decides_where_names_say_nothing(headings):
         changed += sum(a != b for a, b in zip(*got, strict=True))
         for k in (0, 1):
             wrong[k] += "\n".join(b.text for b, x in zip(blocks, got[k], strict=True) if x) != article(h)
-    assert wrong[0] < wrong[1] and changed > 0 and (wrong[0] == 0 if headings else changed > 100)
+    assert wrong[0] == 0 if headings else wrong[0] < wrong[1] and changed > 100
 
 
 def test_edges_help_on_made_pages():
