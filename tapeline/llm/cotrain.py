@@ -1,20 +1,24 @@
 """Quality filter by co-training two views of a document.
 
 One classifier sees the text (hashed tokens, token prefixes, character statistics), the other the page's
-metadata. Over rounds each labels the documents of which it is confident for the other, where its calibrated
-held-out precision bears that out; at the end both calibrated views are combined and all documents scored.
-Two properties are judged: low quality and toxicity.
+metadata (its values, their pairs). Over rounds each view labels, for the other, the documents of which it is
+most confident, in the proportions of the classes; at the end both calibrated views are combined and all
+documents scored. Two properties are judged: low quality and toxicity.
+
+Labelled rows are dealt into three parts: one fits the views, one calibrates and combines them, one decides
+which view may teach what and which round is kept. Texts are read once for the rounds: what the views need of a
+document (some hundred bytes) is stored, and rounds read that.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +32,14 @@ BITS, PREFIXES = 20, (4, 5, 6)
 LABELLED = 4000
 #: Hashed text features kept for each property, by strength of association.
 FEATURES = 256
-#: Documents that a view labels in a round, for each property and each of its two values.
-PER_ROUND = 200
-CONFIDENT = 0.95
+#: Of the unlabelled documents, the share that a view labels in a round for a property, and the least and the
+#: greatest number: these rows come to the driver.
+SHARE, FEWEST, MOST = 0.02, 50, 2000
+#: A view may teach a value of which it is so sure, if so many of the deciding rows bear it out.
+CONFIDENT, BORNE_OUT = 0.85, 10
 META_BUCKETS = 64
+#: Columns of statistics().
+N_STATS = 16
 
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
@@ -68,18 +76,26 @@ def text_rows(col: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.n
         yield a, statistics(d, o, row, feats[0]), row, feats
 
 
-def meta_rows(pdf: pd.DataFrame, numeric: list[str], nominal: list[str]) -> np.ndarray:
-    """One-hot hashed nominal columns; numbers by their logarithm's bucket; null and NaN a bucket of their own."""
-    blocks = []
-    for c in nominal:
-        h = pd.util.hash_array(pdf[c].fillna("\0null").astype(str).to_numpy(object)) % META_BUCKETS
-        blocks.append(np.eye(META_BUCKETS)[h])
+def meta_codes(pdf: pd.DataFrame, numeric: list[str], nominal: list[str]) -> np.ndarray:
+    """A bucket from 0 to META_BUCKETS - 1 for each column and each pair of columns.
+
+    Nominal columns are hashed; numbers go by their logarithm; null and NaN are a bucket of their own.
+    """
+    own = [pd.util.hash_array(pdf[c].fillna("\0null").astype(str).to_numpy(object)).astype(np.int64) % META_BUCKETS for c in nominal]
     for c in numeric:
         x = pd.to_numeric(pdf[c], errors="coerce").to_numpy(float)
         finite = np.isfinite(x)
         level = np.where(finite, 1 + np.clip(np.floor(2 * np.log2(1 + np.abs(np.where(finite, x, 0)))), 0, META_BUCKETS - 2), 0)
-        blocks.append(np.eye(META_BUCKETS)[level.astype(int)])
-    return np.hstack(blocks) if blocks else np.zeros((len(pdf), 1))
+        own.append(level.astype(np.int64))
+    pairs = [(a * 1_000_003 + b * 7919 + 12345) % 1_000_033 % META_BUCKETS for a, b in itertools.combinations(own, 2)]
+    return np.stack([*own, *pairs], axis=1) if own else np.zeros((len(pdf), 1), np.int64)
+
+
+def one_hot(codes: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(codes), codes.shape[1] * META_BUCKETS))
+    for k in range(codes.shape[1]):
+        out[np.arange(len(codes)), k * META_BUCKETS + codes[:, k]] = 1
+    return out
 
 
 class Model(NamedTuple):
@@ -90,45 +106,56 @@ class Model(NamedTuple):
     text: dict[str, Linear]
     meta: dict[str, Linear]
     both: dict[str, Linear]
+    base: dict[str, float]  # log odds of the property among the calibrating rows
     report: dict
 
-    def text_matrix(self, stats: np.ndarray, row: np.ndarray, feats: np.ndarray) -> np.ndarray:
+    def hits(self, n: int, row: np.ndarray, feats: np.ndarray) -> np.ndarray:
+        """n rows of bool, a column for each chosen feature."""
         col = self.chosen[(feats >> np.uint64(64 - BITS)).astype(np.int64)]
         kind, at = np.nonzero(col >= 0)
         col = col[kind, at]
         same = self.exact[col] == feats[kind, at]
-        x = np.zeros((len(stats), len(self.exact)))
-        x[row[at[same]], col[same]] = 1
-        return np.hstack([x, (stats - self.mean) / self.scale])
-
-    def scores(self, col: pa.Array, meta: np.ndarray) -> np.ndarray:
-        """Columns text and meta score for each head, then the combined probability for each head."""
-        out = np.empty((len(meta), 3 * len(HEADS)))
-        for first, stats, row, feats in text_rows(col):
-            part = slice(first, first + len(stats))
-            x = self.text_matrix(stats, row, feats)
-            for k, h in enumerate(HEADS):
-                t, m = self.text[h].score(x), self.meta[h].score(meta[part])
-                out[part, 2 * k], out[part, 2 * k + 1] = t, m
-                out[part, 4 + k] = sigmoid(self.both[h].score(np.stack([t, m], axis=1)))
-        return out
-
-
-class _Sample(NamedTuple):
+        x = np.zeros((n, len(self.exact)), bool)
+        x[row[at[same]], col[same]] = True
+        return x
+
+    def matrix(self, hits: np.ndarray, stats: np.ndarray) -> np.ndarray:
+        return np.hstack([hits, (stats - self.mean) / self.scale])
+
+    def views(self, x: np.ndarray, codes: np.ndarray, head: str) -> tuple[np.ndarray, np.ndarray]:
+        """Calibrated log odds of the text view and of the metadata view."""
+        m = self.meta[head]
+        place = np.arange(codes.shape[1]) * META_BUCKETS + codes
+        return self.text[head].score(x), m.slope * (m.weight[place].sum(axis=1) + m.bias) + m.shift
+
+    def combined(self, text: np.ndarray, meta: np.ndarray, head: str) -> np.ndarray:
+        """Probability of the property: what either view adds to the log odds of any document."""
+        return sigmoid(self.both[head].score(np.stack([text, meta - self.base[head]], axis=1)))
+
+    def judged(self, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """A column for each property."""
+        return np.stack([self.combined(*self.views(x, codes, h), h) for h in HEADS], axis=1)
+
+
+class _Rows(NamedTuple):
+    """Documents as the views see them; y[h] is nan where nothing is known, w weighs the rows."""
+
     stats: np.ndarray
-    bags: list[np.ndarray]
-    meta: np.ndarray
+    bags: list[np.ndarray] | None
+    hits: np.ndarray | None
+    codes: np.ndarray
     y: dict[str, np.ndarray]
+    w: np.ndarray
 
 
-def _sample(t: pa.Table, numeric: list[str], nominal: list[str]) -> _Sample:
-    stats, bags = [np.zeros((0, 16))], []
+def _gold(t: pa.Table, numeric: list[str], nominal: list[str]) -> _Rows:
+    stats, bags = [np.zeros((0, N_STATS))], []
     for _, s, row, feats in text_rows(t.column("text")):
         stats.append(s)
         cuts = np.searchsorted(row, np.arange(len(s) + 1))
         bags += [np.unique(feats[:, a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    y = {h: t.column(h).to_numpy().astype(float) if h in t.column_names else np.zeros(len(t)) for h in HEADS}
-    return _Sample(np.vstack(stats), bags, meta_rows(t.select([*numeric, *nominal]).to_pandas(), numeric, nominal), y)
+    y = {h: t.column(h).to_numpy().astype(float) for h in HEADS}
+    return _Rows(np.vstack(stats), bags, None, meta_codes(t.select([*numeric, *nominal]).to_pandas(), numeric, nominal), y, np.ones(len(t)))
 
 
 def _common(bags: list[np.ndarray]) -> list[np.ndarray]:
@@ -140,7 +167,7 @@ def _common(bags: list[np.ndarray]) -> list[np.ndarray]:
     return [b[count[p] >= 5] for b, p in zip(bags, places, strict=True)]
 
 
-def _choose(s: _Sample) -> tuple[np.ndarray, np.ndarray]:
+def _choose(s: _Rows) -> tuple[np.ndarray, np.ndarray]:
     """The features that differ most between the classes, by the statistic of two proportions."""
     table, exact = np.full(1 << BITS, -1, np.int16), []
     if not s.bags:
@@ -166,39 +193,69 @@ def _choose(s: _Sample) -> tuple[np.ndarray, np.ndarray]:
     return table, np.array(exact, np.uint64)
 
 
-def _model(train: _Sample, held: _Sample, more_text: list[tuple[_Sample, dict]], more_meta: list[tuple[np.ndarray, dict]]) -> Model:
-    """Both views fitted on the labelled rows and on what the other view has labelled (nan: not labelled)."""
-    chosen, exact = _choose(train)
-    mean, scale = (train.stats.mean(axis=0), train.stats.std(axis=0) + 1e-6) if len(train.stats) else (np.zeros(16), np.ones(16))
-    bare = Model(chosen, exact, mean, scale, {}, {}, {}, {})
+def _blank(rows: _Rows) -> Model:
+    chosen, exact = _choose(rows)
+    mean, scale = (rows.stats.mean(axis=0), rows.stats.std(axis=0) + 1e-6) if len(rows.stats) else (np.zeros(N_STATS), np.ones(N_STATS))
+    return Model(chosen, exact, mean, scale, {}, {}, {}, {}, {})
 
-    def matrix(s: _Sample) -> np.ndarray:
-        row = np.repeat(np.arange(len(s.bags)), [len(b) for b in s.bags])
-        return bare.text_matrix(s.stats, row, np.concatenate(s.bags)[None, :] if s.bags else np.zeros((1, 0), np.uint64))
 
-    xs, xh = matrix(train), matrix(held)
-    text, meta, both, report = {}, {}, {}, {}
+def _matrix(blank: Model, s: _Rows) -> np.ndarray:
+    hits = s.hits
+    if hits is None:
+        row = np.repeat(np.arange(len(s.bags)), [len(b) for b in s.bags])
+        hits = blank.hits(len(s.bags), row, np.concatenate(s.bags)[None, :] if s.bags else np.zeros((1, 0), np.uint64))
+    return blank.matrix(hits, s.stats)
+
+
+def _model(blank: Model, parts: list[_Rows], for_text: list[_Rows], for_meta: list[_Rows]) -> Model:
+    """Both views fitted on the first part and on what the other view has labelled, calibrated and combined on the
+    second, reported on the third."""
+    train, scale, decide = parts
+    xt, xs, xd = (_matrix(blank, s) for s in parts)
+    pseudo_text = [_matrix(blank, s) for s in for_text]
+    text, meta, both, base, report = {}, {}, {}, {}, {}
+    out = blank._replace(text=text, meta=meta, both=both, base=base, report=report)
     for h in HEADS:
-        x, y = [xs], [train.y[h]]
-        for s, said in more_text:
-            ok = ~np.isnan(said[h])
-            x.append(matrix(s)[ok])
-            y.append(said[h][ok])
-        text[h] = calibrated(fit(np.vstack(x), np.concatenate(y)), xh, held.y[h])
-        x, y = [train.meta], [train.y[h]]
-        for m, said in more_meta:
-            ok = ~np.isnan(said[h])
-            x.append(m[ok])
-            y.append(said[h][ok])
-        meta[h] = calibrated(fit(np.vstack(x), np.concatenate(y), l2=5.0), held.meta, held.y[h])
-        z = np.stack([text[h].score(xh), meta[h].score(held.meta)], axis=1)
-        both[h] = fit(z, held.y[h], l2=0.05) if len(held.y[h]) >= 20 and held.y[h].min() < held.y[h].max() else Linear(np.array([1.0, 0.0]), 0.0)
-        p = {"text": sigmoid(z[:, 0]), "meta": sigmoid(z[:, 1]), "both": sigmoid(both[h].score(z))}
-        report[h] = {k: {"accuracy": float(((v >= 0.5) == held.y[h]).mean()) if len(v) else 1.0} for k, v in p.items()}
-        for k in ("text", "meta"):  # may the view teach? by its precision on held-out rows of which it is confident
+
+        def stacked(own: np.ndarray, others: list[np.ndarray], rows: list[_Rows]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            known = [~np.isnan(r.y[h]) for r in rows]
+            x = np.vstack([own, *(m[k] for m, k in zip(others, known, strict=True))])
+            y = np.concatenate([train.y[h], *(r.y[h][k] for r, k in zip(rows, known, strict=True))])
+            return x, y, np.concatenate([train.w, *(r.w[k] for r, k in zip(rows, known, strict=True))])
+
+        x, y, w = stacked(xt, pseudo_text, for_text)
+        text[h] = calibrated(fit(x, y, weight=w), xs, scale.y[h])
+        x, y, w = stacked(one_hot(train.codes), [one_hot(r.codes) for r in for_meta], for_meta)
+        meta[h] = calibrated(fit(x, y, l2=5.0, weight=w), one_hot(scale.codes), scale.y[h])
+        n, bad = len(scale.y[h]), scale.y[h].sum()
+        base[h] = float(np.log((bad + 0.5) / (n - bad + 0.5)))
+        t, m = out.views(xs, scale.codes, h)
+        enough = n >= 20 and scale.y[h].min() < scale.y[h].max()
+        # views that are independent add up with weights of 1; few rows move the weights little from there
+        both[h] = fit(np.stack([t, m - base[h]], axis=1), scale.y[h], l2=5.0, toward=1.0) if enough else Linear(np.array([1.0, 0.0]), 0.0)
+        t, m = out.views(xd, decide.codes, h)
+        p = {"text": sigmoid(t), "meta": sigmoid(m), "both": out.combined(t, m, h)}
+        truth = decide.y[h]
+        report[h] = {k: {"accuracy": float(((v >= 0.5) == truth).mean()) if len(v) else 1.0, "rows": len(v)} for k, v in p.items()}
+        safe = np.clip(p["both"], 1e-6, 1 - 1e-6)
+        report[h]["loss"] = float(-(truth * np.log(safe) + (1 - truth) * np.log(1 - safe)).mean()) if len(safe) else 0.0
+        for k in ("text", "meta"):
             for value, sure in ((1, p[k] >= CONFIDENT), (0, p[k] <= 1 - CONFIDENT)):
-                report[h][k][value] = bool(sure.sum() >= 20 and (held.y[h][sure] == value).mean() >= CONFIDENT)
-    return Model(chosen, exact, mean, scale, text, meta, both, report)
+                share = float((truth[sure] == value).mean()) if sure.any() else 0.0
+                report[h][k][value] = share if sure.sum() >= BORNE_OUT and share >= CONFIDENT else 0.0
+    return out
+
+
+def _better(old: Model, new: Model) -> Model:
+    """For each property the new views, unless they raise the loss on the deciding rows by more than 0.001."""
+    keep = {h: new if new.report[h]["loss"] <= old.report[h]["loss"] + 1e-3 else old for h in HEADS}
+    return new._replace(**{k: {h: getattr(keep[h], k)[h] for h in HEADS} for k in ("text", "meta", "both", "base", "report")})
+
+
+class Trained(NamedTuple):
+    model: Model
+    stored: DataFrame  # id, hits, stats, codes of every row of the documents
+    taught: dict  # (from, property, value) -> documents labelled in all rounds
 
 
 def train(
@@ -210,15 +267,18 @@ def train(
     numeric: tuple[str, ...] = ("n_chars",),
     nominal: tuple[str, ...] = ("lang", "source"),
     rounds: int = 2,
-) -> Model:
+) -> Trained:
     """Co-train on labels (id_col, quality 0/1, toxic 0/1) and on all documents without a label.
 
     Labelled rows beyond LABELLED are left out of the fit, by the order of a hash; conflicting labels of an id
     count as the worse one; null labels as good. Without labels, or of one class alone, a property has its
-    prior. Each round scores every unlabelled document; only the PER_ROUND most confident come to the driver.
-    PER_ROUND does not grow with docs. A view teaches a value only where at least 20 held-out rows (three tenths
-    of the labels) are confident of it, CONFIDENT of them rightly: with few labels of a value none is exchanged,
-    and with fewer than 20 held-out rows, or of one class alone, the text view alone judges.
+    prior. Each round scores every unlabelled document; a view passes on, for each property, SHARE of them (FEWEST
+    at least, MOST at most), divided between both values by the property's frequency. It may teach a value only
+    where it gives it CONFIDENT or more, and where CONFIDENT or more of the deciding rows (a fifth of the labels)
+    of which it is so sure, BORNE_OUT at least, bear it out; what it teaches counts by that share. It passes nothing
+    on of which the other view is surer the other way. Where a round raises a property's loss on the deciding rows, the
+    views of that property stay as they were. With fewer than 20 calibrating rows, or of
+    one class alone, the text view alone judges.
     """
     prepare(docs.sparkSession)
     store = Store(docs.sparkSession)
@@ -229,81 +289,135 @@ def train(
     )
     few = marks.orderBy(F.xxhash64("id"), "id").limit(LABELLED)
     gold = cols.join(F.broadcast(few), "id").dropDuplicates(["id"]).toArrow().sort_by("id")  # LABELLED rows at most
-    part = gold.column("id").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
-    held_rows = (part % np.uint64(10)) < 3
-    labelled, held = (_sample(gold.filter(pa.array(m)), num, nom) for m in (~held_rows, held_rows))
+    part = (gold.column("id").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(5)
+    parts = [_gold(gold.filter(pa.array(m)), num, nom) for m in (part < 3, part == 3, part == 4)]
     del gold
-    more_text: list = []
-    more_meta: list = []
+    blank = _blank(parts[0])
+    stored = store.save(_features(cols, blank, num, nom))
+    pool = stored.join(marks.select("id"), "id", "left_anti").where("id is not null")
+    model, taught = _model(blank, parts, [], []), {}
+    for_text: list[_Rows] = []
+    for_meta: list[_Rows] = []
+    size = pool.count() if rounds else 0
     used: set[int] = set()
-    model = _model(labelled, held, more_text, more_meta)
     for _ in range(rounds):
-        # where a property's views may teach at all
-        asks = [(h, v, k) for h in HEADS for v in (1, 0) for k in ("text", "meta") if model.report[h][k][v]]
+        many = int(min(max(SHARE * size, FEWEST), MOST))
+        asks = {(k, h, v): model.report[h][k][v] for k in ("text", "meta") for h in HEADS for v in (1, 0) if model.report[h][k][v]}
         if not asks:
             break
-        pool = store.save(_scored(cols, model, num, nom).join(marks, "id", "left_anti").where("id is not null"))
+        scored = store.save(_scored(pool, model))
         picks: dict[str, dict[int, dict]] = {"text": {}, "meta": {}}
-        for h, v, k in asks:
-            c = F.col(f"{k}_{h}")
-            best = pool.select("id", c.alias("z")).orderBy(c.desc() if v else c.asc(), F.xxhash64("id"), "id").limit(PER_ROUND + len(used))
-            limit = float(np.log(CONFIDENT / (1 - CONFIDENT)))
-            sure = [r.id for r in best.collect() if (r.z >= limit if v else r.z <= -limit) and r.id not in used]
-            for i in sure[:PER_ROUND]:
-                picks[k].setdefault(i, {})[h] = float(v)
-        store.drop(pool)
+        sure = float(np.log(CONFIDENT / (1 - CONFIDENT)))
+        for (k, h, v), weight in asks.items():
+            rate = sigmoid(np.array(model.base[h]))
+            n = max(1, round(many * float(rate if v else 1 - rate)))
+            c, other = F.col(f"{k}_{h}"), F.col(f"{'meta' if k == 'text' else 'text'}_{h}")
+            agreed = (c >= sure) & (c + other > 0) if v else (c <= -sure) & (c + other < 0)
+            best = scored.where(agreed).orderBy(c.desc() if v else c.asc(), F.xxhash64("id"), "id").select("id").limit(n + len(used))
+            fresh = [r.id for r in best.collect() if r.id not in used][:n]  # MOST and those used before at most
+            for i in fresh:
+                picks[k].setdefault(i, {})[h] = (float(v), weight)
+            taught[(k, h, v)] = taught.get((k, h, v), 0) + len(fresh)
+        store.drop(scored)
         ids = sorted({*picks["text"], *picks["meta"]})
         if not ids:
             break
-        wanted = docs.sparkSession.createDataFrame([(i,) for i in ids], "id long")  # 8 * PER_ROUND at most
-        rows = cols.join(F.broadcast(wanted), "id").dropDuplicates(["id"]).toArrow().sort_by("id")
         used |= set(ids)
-        for k, other in (("text", more_meta), ("meta", more_text)):
-            mine = [i for i in rows.column("id").to_pylist() if i in picks[k]]
-            if not mine:
-                continue
-            said = {h: np.array([picks[k][i].get(h, np.nan) for i in mine]) for h in HEADS}
-            mine_rows = rows.filter(pc.is_in(rows.column("id"), pa.array(mine, pa.int64())))
-            if other is more_meta:  # only the metadata is needed
-                other.append((meta_rows(mine_rows.select([*num, *nom]).to_pandas(), num, nom), said))
-            else:
-                other.append((_sample(mine_rows, num, nom), said))
-        model = _model(labelled, held, more_text, more_meta)
-    return model
-
-
-def _scored(cols: DataFrame, model: Model, numeric: list[str], nominal: list[str]) -> DataFrame:
-    names = [f"{k}_{h}" for h in HEADS for k in ("text", "meta")] + [f"p_{h}" for h in HEADS]
+        wanted = docs.sparkSession.createDataFrame(pd.DataFrame({"id": ids}), "id long")  # 8 * MOST at most
+        rows = pool.join(F.broadcast(wanted), "id").dropDuplicates(["id"]).toPandas().sort_values("id")
+        for k, other in (("text", for_meta), ("meta", for_text)):
+            mine = rows[rows["id"].isin(picks[k].keys())]
+            if len(mine):
+                said = [picks[k][i] for i in mine["id"]]
+                y = {h: np.array([s[h][0] if h in s else np.nan for s in said]) for h in HEADS}
+                hits, stats, codes = _unpacked(mine["hits"].tolist(), mine["stats"].tolist(), mine["codes"].tolist(), len(blank.exact))
+                other.append(_Rows(stats, None, hits, codes, y, np.array([min(w for _, w in s.values()) for s in said])))
+        model = _better(model, _model(blank, parts, for_text, for_meta))
+    return Trained(model, stored, taught)
+
+
+def _unpacked(hits: list, stats: list, codes: list, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    m = len(hits)
+    h = np.unpackbits(np.frombuffer(b"".join(map(bytes, hits)), np.uint8).reshape(m, -1), axis=1, count=n).astype(bool) if n else np.zeros((m, 0), bool)
+    s = np.frombuffer(b"".join(map(bytes, stats)), np.float32).reshape(m, N_STATS).astype(float)
+    return h, s, np.frombuffer(b"".join(map(bytes, codes)), np.uint8).reshape(m, -1).astype(np.int64)
+
+
+def _rows_of(b: pa.RecordBatch, at: int, model: Model, numeric: list[str], nominal: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hits, statistics (rounded to single precision, as they are stored) and metadata codes of a batch."""
+    codes = meta_codes(pa.Table.from_batches([b]).select([*numeric, *nominal]).to_pandas(), numeric, nominal)
+    hits, stats = np.zeros((b.num_rows, len(model.exact)), bool), np.zeros((b.num_rows, N_STATS), np.float32)
+    for first, s, row, feats in text_rows(b.column(at)):
+        part = slice(first, first + len(s))
+        hits[part], stats[part] = model.hits(len(s), row, feats), s
+    return hits, stats, codes
+
+
+def _features(cols: DataFrame, blank: Model, numeric: list[str], nominal: list[str]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hits, stats, codes = _rows_of(b, 1, blank, numeric, nominal)
+            packed = (np.packbits(hits, axis=1), stats, codes.astype(np.uint8))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in packed)], ["id", "hits", "stats", "codes"])
+
+    return cols.mapInArrow(run, "id long, hits binary, stats binary, codes binary")
+
+
+def _scored(pool: DataFrame, model: Model) -> DataFrame:
+    """id and the log odds of either view for each property."""
+    names = [f"{k}_{h}" for h in HEADS for k in ("text", "meta")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pdf = pa.Table.from_batches([b]).select([*numeric, *nominal]).to_pandas()
-            z = model.scores(b.column(1), meta_rows(pdf, numeric, nominal))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(z[:, k]) for k in range(z.shape[1]))], ["id", *names])
+            if b.num_rows:
+                hits, stats, codes = _unpacked(*(b.column(k).to_pylist() for k in (1, 2, 3)), len(model.exact))
+                x = model.matrix(hits, stats)
+                z = [v for h in HEADS for v in model.views(x, codes, h)]
+                yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, z)], ["id", *names])
+
+    return pool.select("id", "hits", "stats", "codes").mapInArrow(run, ", ".join(["id long", *(f"{n} double" for n in names)]))
 
-    return cols.mapInArrow(run, ", ".join(["id long", *(f"{n} double" for n in names)]))
+
+def judge_stored(trained: Trained, *, id_col: str = "doc_id", reject: float = 0.5) -> DataFrame:
+    """(id_col, p_low, p_toxic, kept) for every row that train() read, from what it stored: no text is read again."""
+    model = trained.model
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                hits, stats, codes = _unpacked(*(b.column(k).to_pylist() for k in (1, 2, 3)), len(model.exact))
+                p = np.round(model.judged(model.matrix(hits, stats), codes), 6)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array((p < reject).all(axis=1))], ["id", "p_low", "p_toxic", "kept"])
+
+    return trained.stored.mapInArrow(run, "id long, p_low double, p_toxic double, kept boolean").withColumnRenamed("id", id_col)
 
 
 def judge(
-    docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", numeric: tuple[str, ...] = ("n_chars",), nominal: tuple[str, ...] = ("lang", "source"), reject: float = 0.5
+    docs: DataFrame,
+    model: Model,
+    *,
+    text_col: str = "text",
+    numeric: tuple[str, ...] = ("n_chars",),
+    nominal: tuple[str, ...] = ("lang", "source"),
+    reject: float = 0.5,
+    names: tuple[str, str, str] = ("p_low", "p_toxic", "kept"),
 ) -> DataFrame:
     """docs with p_low, p_toxic and kept, for every row: kept unless either probability reaches ``reject``.
 
     Null or empty text has no tokens and is judged by its statistics and metadata; null metadata is a value
-    of its own. Columns of these three names are replaced; others pass through; no rows in, no rows out.
+    of its own. ``names`` are the new columns' names; columns of docs so named are replaced, others pass through.
+    No rows in, no rows out.
     """
     prepare(docs.sparkSession)
     num, nom = list(numeric), list(nominal)
-    names = [c for c in docs.columns if c not in ("p_low", "p_toxic", "kept")]
-    frame = docs.select(names)
+    frame = docs.select([c for c in docs.columns if c not in names])
     at = frame.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pdf = pa.Table.from_batches([b]).select([*num, *nom]).to_pandas()
-            z = model.scores(b.column(at), meta_rows(pdf, num, nom))
-            p = np.round(z[:, -2:], 6)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array((p < reject).all(axis=1))], [*b.schema.names, "p_low", "p_toxic", "kept"])
+            hits, stats, codes = _rows_of(b, at, model, num, nom)
+            p = np.round(model.judged(model.matrix(hits, stats.astype(float)), codes), 6)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array((p < reject).all(axis=1))], [*b.schema.names, *names])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema), "p_low double, p_toxic double, kept boolean"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema), f"{names[0]} double, {names[1]} double, {names[2]} boolean"])
     return frame.mapInArrow(run, schema)

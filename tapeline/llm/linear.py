@@ -23,23 +23,39 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 12) -> Linear:
-    """Ridge logistic regression by Newton steps; a constant where only one class is present."""
+def fit(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 12, weight: np.ndarray | None = None, toward: float = 0.0) -> Linear:
+    """Logistic regression by Newton steps, its coefficients drawn to ``toward``; rows count by their weight.
+
+    A constant where only one class is present.
+    """
     rate = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.0
     base = float(np.log(max(rate, 1e-6) / max(1 - rate, 1e-6)))
     if len(y) == 0 or y.min() == y.max():
         return Linear(np.zeros(x.shape[1]), base)
+    r = np.ones(len(y)) if weight is None else weight
     a = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(a.shape[1])
-    w[-1] = base
+    aim = np.full(a.shape[1], toward)
+    aim[-1] = base
     ridge = np.full(a.shape[1], l2)
     ridge[-1] = 1e-6
+
+    def cost(w: np.ndarray) -> float:
+        z = a @ w
+        return float((r * (np.logaddexp(0, z) - y * z)).sum() + (ridge * (w - aim) ** 2).sum() / 2)
+
+    w = np.zeros(a.shape[1])
+    w[-1] = base
+    now = cost(w)
     for _ in range(steps):
         p = sigmoid(a @ w)
-        g = a.T @ (p - y) + ridge * w
-        h = (a * (p * (1 - p))[:, None]).T @ a + np.diag(ridge + 1e-9)
+        g = a.T @ (r * (p - y)) + ridge * (w - aim)
+        h = (a * (r * p * (1 - p))[:, None]).T @ a + np.diag(ridge + 1e-9)
         step = np.linalg.solve(h, g)
-        w -= step
+        new = cost(w - step)
+        while new > now and np.abs(step).max() > 1e-6:  # a full step may overshoot where classes are far apart
+            step = step / 2
+            new = cost(w - step)
+        w, now = w - step, min(new, now)
         if np.abs(step).max() < 1e-4:
             break
     return Linear(w[:-1], float(w[-1]))

@@ -13,8 +13,7 @@ from .common import table
 
 def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = cotrain.train(docs, table(spark, sf_dir, "labels"))
-    return cotrain.judge(docs, model).select("doc_id", "p_low", "p_toxic", "kept")
+    return cotrain.judge_stored(cotrain.train(docs, table(spark, sf_dir, "labels")))
 
 
 def op2_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,24 +87,38 @@ def test_components_against_a_loop(spark):
 
 
 def test_cotraining_held_out_accuracy(spark):
+    """On a quarter of the labels, of which no training, calibrating or deciding row is one."""
     docs, labels = spark.read.parquet(f"{DATA}/sf0.1/documents.parquet"), spark.read.parquet(f"{DATA}/sf0.1/labels.parquet")
     test = F.col("doc_id") % 4 == 0
-    model = cotrain.train(docs, labels.where(~test))
-    got = cotrain.judge(docs, model).join(labels.where(test), "doc_id").toPandas()
+    trained = cotrain.train(docs, labels.where(~test))
+    got = cotrain.judge_stored(trained).join(labels.where(test), "doc_id").toPandas()
     bad = (got.quality == 0) | (got.toxic == 1)
-    assert (got.kept == ~bad).mean() > 0.97
+    assert (got.kept == ~bad).mean() > 0.98
     assert (~got.kept[~bad]).mean() < 0.01
-    assert model.report["low"]["both"]["accuracy"] > 0.9
+    assert trained.model.report["low"]["both"]["accuracy"] > 0.98
+    # both views teach: text both values, metadata (which knows nothing of either property here) the common one
+    assert {k for k, n in trained.taught.items() if n} >= {("text", "low", 1), ("text", "low", 0), ("text", "toxic", 1), ("meta", "toxic", 0)}
+
+
+def test_cotraining_stored_equals_read_again(spark, same):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    trained = cotrain.train(docs, labels)
+    again = cotrain.judge(docs, trained.model).select("doc_id", "p_low", "p_toxic", "kept")
+    same(cotrain.judge_stored(trained).toPandas(), again.toPandas())
 
 
 def test_cotraining_odd_inputs(spark):
     docs = odd_docs(spark)
     labels = spark.createDataFrame([(4, 1, 0), (4, 0, None), (5, None, 1), (None, 0, 0), (99, 0, 1)], "doc_id long, quality int, toxic int")
     for marks in (labels, labels.limit(0)):
-        out = cotrain.judge(docs, cotrain.train(docs, marks))
-        assert out.count() == docs.count() and out.where("kept is null").count() == 0
+        trained = cotrain.train(docs, marks)
+        out = cotrain.judge(docs, trained.model)
+        assert out.count() == docs.count() == cotrain.judge_stored(trained).count() and out.where("kept is null").count() == 0
+    named = cotrain.judge(docs, trained.model, names=("a1", "a2", "a3"))
+    assert {r.kept for r in named.select("kept").collect()} == {"x"} and dict(named.dtypes)["a3"] == "boolean"
     empty = docs.limit(0)
-    assert cotrain.judge(empty, cotrain.train(empty, labels)).count() == 0
+    trained = cotrain.train(empty, labels)
+    assert cotrain.judge(empty, trained.model).count() == cotrain.judge_stored(trained).count() == 0
 
 
 def test_confident_views_teach_each_other(spark):
@@ -114,9 +128,9 @@ def test_confident_views_teach_each_other(spark):
     rows = [(i, mk(i % 3 == 0), "en", "bad.com" if i % 3 == 0 else "ok.com", 100) for i in range(1500)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     labels = docs.where("doc_id < 600").selectExpr("doc_id", "cast(doc_id % 3 != 0 as int) quality", "0 toxic")
-    model = cotrain.train(docs, labels)
-    assert model.report["low"]["meta"][1] and model.report["low"]["text"][1]
-    got = cotrain.judge(docs, model).where("doc_id >= 600").toPandas()
+    trained = cotrain.train(docs, labels)
+    assert all(trained.taught[(k, "low", v)] for k in ("text", "meta") for v in (1, 0))
+    got = cotrain.judge_stored(trained).where("doc_id >= 600").toPandas()
     assert (got.kept == (got.doc_id % 3 != 0)).all()
 
 
