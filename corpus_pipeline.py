@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeline.llm import cotrain, line_chunks, minhash, packing, spaced_seeds
-from tapeline.llm.common import Store, table
+from tapeline.llm.common import Store, free, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that co-training calls neither low in quality nor toxic."""
-    model = cotrain.train(docs, table(spark, sf_dir, "labels"))
-    return cotrain.judge(docs, model).where("kept").select(docs.columns)
+    model = cotrain.train(docs, table(spark, sf_dir, "labels")).model
+    names = tuple(free(docs, n) for n in ("p_low", "p_toxic", "kept"))
+    return cotrain.judge(docs, model, names=names).where(names[2]).select(docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
