@@ -120,7 +120,7 @@ class Model(NamedTuple):
         return x
 
     def matrix(self, hits: np.ndarray, stats: np.ndarray) -> np.ndarray:
-        return np.hstack([hits, (stats - self.mean) / self.scale])
+        return np.hstack([hits, np.clip((stats - self.mean) / self.scale, -3, 3)])  # as far as labelled rows tell
 
     def views(self, x: np.ndarray, codes: np.ndarray, head: str) -> tuple[np.ndarray, np.ndarray]:
         """Calibrated log odds of the text view and of the metadata view."""
