@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from .spaced_seeds import MASKS, PERCENT, SPAN, WINDOW
-
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 
-
-
-
 _SUBSTRING = f"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS w FROM documents),
 p AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d),
 k AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) AS r FROM p),
@@ -62,14 +57,14 @@ SELECT d.doc_id, coalesce(len(l), 0)::BIGINT AS n_lines, (coalesce(len(l), 0) -
   CASE WHEN text IS NOT NULL THEN sha256(coalesce(kept, '')) END AS kept_sha256 FROM d LEFT JOIN s USING (doc_id)"""
 
 _TOKENS = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
-_MASKS = ", ".join(f"({m}, {[k for k, c in enumerate(mask) if c == '1']})" for m, mask in enumerate(MASKS))
-_SEEDS = f"""SELECT id, t, m, a, array_to_string(list_transform(o, lambda k: t[a + k + 1]), ' ') AS s
-  FROM (SELECT id, t, unnest(range(len(t) - {SPAN - 1})) AS a FROM {{0}} WHERE len(t) >= {SPAN}), (VALUES {_MASKS}) v(m, o)"""
+# the rule itself, without seeds: 12 equal tokens of 15, 16 of 20 and so on hold three in a row
+_THREE = "SELECT id, a, t[a + 1] AS x, t[a + 2] AS y, t[a + 3] AS z FROM (SELECT id, t, unnest(range(len(t) - 2)) AS a FROM {0} WHERE len(t) >= 3)"
 _DECONTAMINATE = f"""WITH d AS (SELECT doc_id AS id, {_TOKENS} AS t FROM documents WHERE text IS NOT NULL), b AS (SELECT item_id AS id, {_TOKENS} AS t FROM benchmark),
-h AS (SELECT x.id AS doc_id, y.id AS item, x.t AS t, y.t AS u, x.a AS p, y.a AS q, least({WINDOW}, len(y.t)) AS need
-  FROM ({_SEEDS.format('d')}) x JOIN ({_SEEDS.format('b')}) y ON x.m = y.m AND x.s = y.s),
-w AS (SELECT doc_id, item, t, u, p, q, need, unnest(range(greatest(0, q + {SPAN} - need, q - p), least(q, len(u) - need, q - p + len(t) - need) + 1)) AS f FROM h),
-o AS (SELECT DISTINCT doc_id, item FROM w WHERE len(list_filter(range(need), lambda k: t[f + k - q + p + 1] = u[f + k + 1])) * 100 >= need * {PERCENT}),
+h AS (SELECT DISTINCT x.id AS doc_id, y.id AS item, x.a - y.a AS shift FROM ({_THREE.format('d')}) x JOIN ({_THREE.format('(SELECT * FROM b WHERE len(t) >= 5)')}) y USING (x, y, z)),
+w AS (SELECT doc_id, item, shift, d.t, b.t AS u, least(20, len(b.t)) AS need, CASE WHEN len(b.t) < 13 THEN 100 ELSE 80 END AS pc FROM h JOIN d ON d.id = h.doc_id JOIN b ON b.id = h.item),
+f AS (SELECT *, unnest(range(greatest(0, -shift), least(len(u) - need, len(t) - need - shift) + 1)) AS f FROM w),
+o AS (SELECT DISTINCT doc_id, item FROM f WHERE len(list_filter(range(need), lambda k: t[f + k + shift + 1] = u[f + k + 1])) * 100 >= need * pc
+  UNION SELECT d.id, b.id FROM d JOIN b ON d.t = b.t WHERE len(b.t) BETWEEN 1 AND 4),
 g AS (SELECT doc_id, count(*) AS n, min(item) AS first_item FROM o GROUP BY doc_id)
 SELECT doc_id, n IS NULL AS kept, coalesce(n, 0)::BIGINT AS n_items, coalesce(first_item, -1) AS first_item FROM documents LEFT JOIN g USING (doc_id)"""
 

@@ -3,6 +3,10 @@
 Tokens are runs of letters and digits of the lower-cased text. A mask hashes some positions of a span and
 ignores the others, so a substituted token does not hide an overlap. Hashes of benchmark and documents are
 joined; around every hit the aligned tokens are compared, and a window of enough equal tokens is an overlap.
+
+The masks reach every overlap of the rule: whichever 4 of 20 tokens, 3 of 15 to 19 or 2 of 13 or 14 are
+substituted, one mask lies on equal tokens alone (the tests try all placements). Items under 13 tokens are
+matched exactly: wholly, in a row; those under 5 tokens only against documents of nothing else.
 """
 
 from __future__ import annotations
@@ -10,17 +14,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import free, let
 
 #: 1: position hashed, 0: ignored.
-MASKS = ("1110110010111", "1101011100111", "1111001101011")
-SPAN = 13
+MASKS = ("1111011", "11000010111", "1101111")
 #: An overlap is a window of so many aligned tokens (the whole item where it is shorter) ...
 WINDOW = 20
 #: ... of which this percentage at least are equal.
 PERCENT = 80
-#: Benchmark seeds sent to every executor at once, about 350 bytes each; more go in several passes.
+#: Items of fewer tokens must be equal in all of them ...
+LEAST = 13
+#: ... and those of fewer than this to the whole document.
+WHOLE = 5
+#: Benchmark seeds sent to every executor with their tokens, about 350 bytes each.
 BROADCAST_ROWS = 200_000
+#: Above that, only the seeds are sent, about 40 bytes each, and the documents' seeds found among them are shuffled.
+FILTER_ROWS = 4_000_000
 
 TOKEN_GAP = r"[^\p{L}\p{N}]+"
 
@@ -34,29 +43,29 @@ def seed(tokens: Column, at: Column, mask: str) -> Column:
     return F.xxhash64(*[F.get(tokens, at + k) for k, c in enumerate(mask) if c == "1"])
 
 
-def seeds(df: DataFrame) -> DataFrame:
-    """One row for each mask and position of the tokens: at int, seed long."""
-    n = len(MASKS)
-    last = (F.size("tokens") - SPAN + 1) * n - 1
-    rows = df.select("*", F.explode(F.when(F.size("tokens") >= SPAN, F.sequence(F.lit(0), last))).alias("_k"))
+def seeds(df: DataFrame, masks: list[str], kinds: Column) -> DataFrame:
+    """One row for each of the kinds (places in masks) and position of the tokens: at int, span int, seed long."""
+    n = len(masks)
+    span = lambda k: F.get(F.array(*[F.lit(len(m)) for m in masks]), k)
+    places = F.flatten(F.transform(kinds, lambda k: F.when(F.size("tokens") >= span(k), F.transform(F.sequence(F.lit(0), F.size("tokens") - span(k)), lambda a: a * n + k)).otherwise(F.array().cast("array<int>"))))
+    rows = df.select("*", F.explode(places).alias("_k"))
     rows = rows.withColumn("at", F.expr(f"int(_k div {n})"))
     kind = F.col("_k") % n
-    value = F.when(kind == 0, seed(F.col("tokens"), F.col("at"), MASKS[0]))
-    for k, m in enumerate(MASKS[1:], 1):
+    value = F.when(kind == 0, seed(F.col("tokens"), F.col("at"), masks[0]))
+    for k, m in enumerate(masks[1:], 1):
         value = value.when(kind == k, seed(F.col("tokens"), F.col("at"), m))
-    return rows.withColumn("seed", F.xxhash64(kind, value)).drop("_k")
+    return rows.withColumn("seed", F.xxhash64(kind, value)).withColumn("span", span(kind)).drop("_k")
 
 
-def overlap(doc: Column, doc_at: Column, item: Column, item_at: Column, need: Column) -> Column:
-    """Whether some window of aligned tokens that holds the hit's span has enough equal ones.
+def overlap(doc: Column, doc_at: Column, item: Column, item_at: Column, span: Column, need: Column, percent: Column) -> Column:
+    """Whether some window of ``need`` aligned tokens that holds the hit's span has enough equal ones.
 
-    doc and item hold the tokens around the hit, doc_at and item_at are the hit's places in these arrays, need
-    is the length of a window.
+    doc and item hold the tokens around the hit, doc_at and item_at are the hit's places in these arrays.
     """
 
     def windows(need: Column) -> Column:
         # starts, in the item, of the windows of `need` tokens that hold the span and lie in both texts
-        lowest = F.greatest(F.lit(0), item_at + SPAN - need, item_at - doc_at)
+        lowest = F.greatest(F.lit(0), item_at + span - need, item_at - doc_at)
         highest = F.least(item_at, F.size(item) - need, item_at - doc_at + F.size(doc) - need)
         same = F.transform(
             F.sequence(F.lit(0), F.size(item) - 1), lambda q: F.when(F.get(doc, q - item_at + doc_at) == F.get(item, q), 1).otherwise(0)
@@ -64,7 +73,7 @@ def overlap(doc: Column, doc_at: Column, item: Column, item_at: Column, need: Co
         found = let(
             same,
             lambda s: F.exists(
-                F.sequence(lowest, highest), lambda b: F.aggregate(F.slice(s, b + 1, need), F.lit(0), lambda a, x: a + x) * 100 >= need * PERCENT
+                F.sequence(lowest, highest), lambda b: F.aggregate(F.slice(s, b + 1, need), F.lit(0), lambda a, x: a + x) * 100 >= need * percent
             ),
         )
         return F.when(lowest <= highest, found).otherwise(F.lit(False))
@@ -72,37 +81,55 @@ def overlap(doc: Column, doc_at: Column, item: Column, item_at: Column, need: Co
     return let(need, windows)
 
 
-def around(at: Column) -> tuple[Column, Column]:
+def around(at: Column, span: Column) -> tuple[Column, Column]:
     """The tokens that a window around a hit can reach, and the hit's place among them."""
-    begin = F.greatest(F.lit(0), at - WINDOW + SPAN)
+    begin = F.greatest(F.lit(0), at - WINDOW + span)
     return F.slice("tokens", begin + 1, at - begin + WINDOW), at - begin
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(id_col, item_col, hits long): documents and the benchmark items that they overlap, each pair once.
 
-    Items of fewer than 13 tokens hold no seed and are never reported; shorter documents and null or empty
-    texts overlap nothing. Rows that share an id are one document; a null id or item is a value like others.
-    hits counts the verified seed hits of the pair. Other columns are ignored. Empty tables: no rows.
+    An overlap is a window of 20 aligned tokens of both (of the whole item, where that has 13 to 19) of which 80
+    per cent are equal; for an item of 5 to 12 tokens, all of them in a row; for a shorter one, a document of the
+    same tokens and no others. Null texts and texts without tokens overlap nothing. Rows that share an id are one
+    document; a null id or item is a value like others. hits counts the verified seed hits of the pair. Other
+    columns are ignored. Empty tables: no rows. Documents are read and cut into tokens once, however many seeds
+    the benchmark has.
     """
     items = benchmark.select(F.col(item_col).alias("item"), token_hashes(F.col(text_col)).alias("tokens"))
-    near, place = around(F.col("at"))
-    need = F.least(F.lit(WINDOW), F.size("tokens"))
-    item_seeds = seeds(items).select("seed", "item", near.alias("item_near"), place.alias("item_at"), need.alias("need"))
-    n = items.where(F.size("tokens") >= SPAN).agg(F.coalesce(F.sum((F.size("tokens") - SPAN + 1) * len(MASKS)), F.lit(0))).first()[0]
-    passes = max(1, -(-n // BROADCAST_ROWS))
+    size = F.size("tokens")
+    # at most 20 rows, by length
+    counts = {r.n: r.c for r in items.where(size > 0).groupBy(F.least(size, F.lit(WINDOW)).alias("n")).agg(F.sum(size.cast("long")).alias("c")).collect()}
+    short = sorted(n for n in counts if WHOLE <= n < LEAST)
+    masks = [*(MASKS if any(n >= LEAST for n in counts) else ()), *("1" * n for n in short)]
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), token_hashes(F.col(text_col)).alias("tokens"))
-    hits = None
-    for k in range(passes):  # equal seeds go in one pass, so passes share no hit
-        part = item_seeds if passes == 1 else item_seeds.where(F.pmod(F.xxhash64("seed"), F.lit(passes)) == k)
-        found = seeds(rows).join(F.broadcast(part), "seed")
-        # only the tokens that a window around the hit can reach go on
-        found = found.select("id", "item", near.alias("near"), place.alias("near_at"), "item_near", "item_at", "need")
-        hits = found if hits is None else hits.unionByName(found)
-    # as a generator, since a filter would move into the join, whose probe side then leaves generated code
-    # and buffers the tokens once for each position
-    real = overlap(F.col("near"), F.col("near_at"), F.col("item_near"), F.col("item_at"), F.col("need"))
-    found = hits.select("id", "item", F.explode(F.when(real, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))))
+    whole = F.xxhash64("tokens").alias("seed")
+    tiny = (size > 0) & (size < WHOLE)
+    found = rows.where(tiny).select("id", whole, "tokens").join(items.where(tiny).select("item", whole, F.col("tokens").alias("theirs")), "seed").where("tokens = theirs").select("id", "item")
+    if masks:
+        of_long = F.array(*[F.lit(k) for k, m in enumerate(masks) if m in MASKS]).cast("array<int>")
+        of_short = F.when(F.lit(False), F.lit(-1))
+        for n in short:
+            of_short = of_short.when(size == n, masks.index("1" * n))
+        kinds = F.when(size >= LEAST, of_long).when(of_short.isNotNull(), F.array(of_short))
+        near, place = around(F.col("at"), F.col("span"))
+        need = F.least(F.lit(WINDOW), size)
+        item_seeds = seeds(items.where(kinds.isNotNull()), masks, kinds).select("seed", "item", near.alias("item_near"), place.alias("item_at"), need.alias("need"), F.when(size < LEAST, 100).otherwise(PERCENT).alias("percent"))
+        many = sum(c * (len(MASKS) if n >= LEAST else 1) for n, c in counts.items() if n >= WHOLE)
+        own = seeds(rows, masks, F.array(*[F.lit(k) for k in range(len(masks))]))
+        if many > BROADCAST_ROWS:
+            known = item_seeds.select("seed").distinct()
+            own = own.join(F.broadcast(known) if many <= FILTER_ROWS else known, "seed", "left_semi")
+        hits = own.select("seed", "id", "span", near.alias("near"), place.alias("near_at")) if many > BROADCAST_ROWS else own
+        hits = hits.join(F.broadcast(item_seeds) if many <= BROADCAST_ROWS else item_seeds, "seed")
+        if many <= BROADCAST_ROWS:  # only the tokens that a window around the hit can reach go on
+            hits = hits.select("id", "item", "span", near.alias("near"), place.alias("near_at"), "item_near", "item_at", "need", "percent")
+        # as a generator, since a filter would move into the join, whose probe side then leaves generated code
+        # and buffers the tokens once for each position
+        real = overlap(F.col("near"), F.col("near_at"), F.col("item_near"), F.col("item_at"), F.col("span"), F.col("need"), F.col("percent"))
+        seen = hits.select("id", "item", F.explode(F.when(real, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))))
+        found = found.unionAll(seen.select("id", "item"))
     return found.groupBy("id", "item").agg(F.count("*").alias("hits")).select(F.col("id").alias(id_col), F.col("item").alias(item_col), "hits")
 
 
@@ -116,6 +143,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **names: str) -> DataFr
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **names: str) -> DataFrame:
     """docs without the documents that overlap the benchmark; columns unchanged."""
-    id_col = names.get("id_col", "doc_id")
-    bad = overlaps(docs, benchmark, **names).select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
+    id_col, mark = names.get("id_col", "doc_id"), free(docs, "_id")
+    bad = overlaps(docs, benchmark, **names).select(F.col(id_col).alias(mark)).distinct()
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col(mark)), "left_anti")

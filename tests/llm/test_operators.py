@@ -543,13 +543,65 @@ def test_seeds_tolerate_substitutions_and_spare_clean_text(spark):
     assert sorted(r.doc_id for r in spaced_seeds.decontaminate(docs, bench).collect()) == [3, 4]
 
 
+@pytest.mark.parametrize("n, changed", [(13, 2), (14, 2), (15, 3), (16, 3), (17, 3), (18, 3), (19, 3), (20, 4)])
+def test_masks_reach_every_overlap(n, changed):
+    """Whichever tokens are substituted, some mask lies on equal ones alone: no overlap of the rule is without a seed."""
+    marks = [{i for i, c in enumerate(m) if c == "1"} for m in spaced_seeds.MASKS]
+    spots = [{i + a for i in m} for m, mask in zip(marks, spaced_seeds.MASKS, strict=True) for a in range(n - len(mask) + 1)]
+    assert all(any(not p & set(gone) for p in spots) for gone in itertools.combinations(range(n), changed))
+
+
+def plain_overlaps(docs, items):
+    cut = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    found = set()
+    for d, t in docs:
+        for i, u in items:
+            a, b = cut(t), cut(u)
+            need = min(20, len(b))
+            share = 100 if len(b) < 13 else 80
+            if 0 < len(b) < 5:
+                hit = a == b
+            else:
+                hit = len(b) and any(
+                    100 * sum(x == y for x, y in zip(a[p : p + need], b[q : q + need], strict=True)) >= share * need
+                    for q in range(len(b) - need + 1)
+                    for p in range(len(a) - need + 1)
+                )
+            if hit:
+                found.add((d, i))
+    return found
+
+
+@pytest.mark.parametrize("limits", [(10**6, 10**6), (10, 10**6), (10, 10)])
+def test_seeds_against_brute_force(spark, monkeypatch, limits):
+    """Items of every length, copied with as many substitutions as the rule allows, one more, and none."""
+    monkeypatch.setattr(spaced_seeds, "BROADCAST_ROWS", limits[0])
+    monkeypatch.setattr(spaced_seeds, "FILTER_ROWS", limits[1])
+    rnd = random.Random(12)
+    word = lambda: f"q{rnd.randrange(40)}"
+    items = [(n, " ".join(f"i{n}x{k}" if k % 2 else word() for k in range(n))) for n in (1, 2, 4, 5, 8, 12, 13, 14, 15, 17, 19, 20, 21, 33)]
+    docs = []
+    for n, t in items:
+        for more in (-1, 0, 1):
+            w = t.split()
+            for k in rnd.sample(range(min(n, 20)), max(0, min(n, (0 if n < 13 else min(n, 20) // 5) + more))):
+                w[k] = "other"
+            pad = [] if n < 5 and more == 0 else [word() for _ in range(rnd.randrange(1, 30))]
+            docs.append((1000 * n + more, " ".join([*pad, *w, *pad[:3]])))
+    got = spaced_seeds.overlaps(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == plain_overlaps(docs, items)
+
+
 def test_seeds_odd_inputs(spark, monkeypatch):
     docs = odd_docs(spark).unionByName(odd_docs(spark).where("doc_id = 8").withColumn("text", F.expr("array_join(transform(sequence(1, 60), x -> concat('z', x)), ' ')")).withColumn("doc_id", F.lit(80).cast("long")))
+    docs = docs.withColumn("_id", F.lit("own"))
     text = " ".join(f"w{i % 997}" for i in range(500, 600))
-    bench = spark.createDataFrame([(None, text), (None, None), (3, ""), (4, "one two")], "item_id long, text string")
+    bench = spark.createDataFrame([(None, text), (None, None), (3, ""), (4, "One, two!")], "item_id long, text string")
     for limit in (10**6, 50):
         monkeypatch.setattr(spaced_seeds, "BROADCAST_ROWS", limit)
-        assert {r.doc_id for r in spaced_seeds.contamination(docs, bench).where("not kept").collect()} == {5, 6}
+        assert {r.doc_id for r in spaced_seeds.contamination(docs, bench).where("not kept").collect()} == {4, 5, 6, None}
+    left = spaced_seeds.decontaminate(docs, bench)
+    assert left.columns == docs.columns and left.count() == docs.count() - 5 and {r[0] for r in left.select("_id").collect()} == {"own"}
     assert spaced_seeds.decontaminate(docs, bench.limit(0)).count() == docs.count()
     assert spaced_seeds.decontaminate(docs.limit(0), bench).count() == 0
 
