@@ -1,16 +1,20 @@
 """Embedding near-duplicates by int8 tile products with error bounds.
 
-Vectors of one label are sorted along a fixed direction and cut into tiles. A pair of tiles is multiplied in
-int8 (as float32, where these integers are exact); a product plus the two vectors' error bounds below the
-threshold settles a pair, and only the others are recomputed in double precision. Tile pairs whose ranges
-along the direction differ by more than the threshold allows are never formed. Equal vectors are one class;
-a tile pair gives a count and a root for each class it links, never the pairs themselves.
+Unit vectors of one label are quantised to int8 once, with a scale and rigorous bounds on the error, ordered by
+cells along a few directions and cut into tiles. Tiles are stored and sent as int8, an eighth of the bytes; a
+strip keeps one tile in a task while the tiles it meets stream past. A product plus its error bound below the
+threshold rules a pair out, a product less its bound at or above it links the pair, and only tile pairs that
+hold pairs between are met again in double precision, for those pairs. Tile pairs whose ranges along any
+direction are farther apart than the threshold allows are never formed. Equal vectors are one class; a tile pair
+gives a count and a root for each class it links, never the pairs themselves.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -20,23 +24,22 @@ from pyspark.sql import functions as F
 
 from .common import Store, connected_components, prepare
 
-TILE = 512
+TILE = 1024
+#: Directions along which ranges of tiles are kept; tiles are ordered by cells of the first two, then the third.
+DIRECTIONS = 4
+SLACK = 1e-9  # above any rounding of the double-precision sums here
 
 
-def _direction(dim: int) -> np.ndarray:
-    x = np.random.default_rng(dim).standard_normal(dim)
-    return x / np.linalg.norm(x)
+@lru_cache(maxsize=16)
+def directions(dim: int) -> np.ndarray:
+    """Orthonormal columns, the same in every process."""
+    x = np.random.default_rng(dim).standard_normal((dim, min(DIRECTIONS, dim)))
+    return np.linalg.qr(x)[0]
 
 
-def _project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Places each vector along the direction of its dimension."""
-    for pdf in batches:
-        out = []
-        for v in pdf["v"]:
-            x = np.asarray(v, np.float64)
-            x = x / np.abs(x).max()
-            out.append(float(x @ _direction(len(x)) / np.linalg.norm(x)))
-        yield pdf.assign(x=out, v=[np.asarray(v, np.float64).tobytes() for v in pdf["v"]])
+def unit(v: np.ndarray) -> np.ndarray:
+    v = v / np.abs(v).max(axis=1)[:, None]  # no overflow of squares
+    return v / np.linalg.norm(v, axis=1)[:, None]
 
 
 def quantise(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -44,18 +47,80 @@ def quantise(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     scale = np.abs(v).max(axis=1) / 127
     q = np.rint(v / scale[:, None]).astype(np.int8)
     back = q * scale[:, None]
-    slack = 1e-9  # above any rounding of these double-precision sums
-    return q, scale, np.linalg.norm(back, axis=1) + slack, np.linalg.norm(v - back, axis=1) + slack
+    return q, scale, np.linalg.norm(back, axis=1) + SLACK, np.linalg.norm(v - back, axis=1) + SLACK
+
+
+class Tile(NamedTuple):
+    cls: np.ndarray
+    copies: np.ndarray
+    q: np.ndarray
+    scale: np.ndarray
+    norm: np.ndarray
+    error: np.ndarray
+
+    def packed(self) -> bytes:
+        return b"".join(np.ascontiguousarray(x).tobytes() for x in self)
 
+    @staticmethod
+    def read(raw: bytes, dim: int) -> Tile:
+        n, at, out = len(raw) // (40 + dim), 0, []
+        for kind, width in ((np.int64, 1), (np.int64, 1), (np.int8, dim), (np.float64, 1), (np.float64, 1), (np.float64, 1)):
+            x = np.frombuffer(raw, kind, n * width, at)
+            at += x.nbytes
+            out.append(x.reshape(n, dim) if kind is np.int8 else x)
+        return Tile(*out)
 
-def candidates(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of all pairs of unit rows that may reach the threshold."""
-    qa, sa, na, ea = quantise(a)
-    qb, sb, nb, eb = quantise(b)
-    product = (qa.astype(np.float32) @ qb.astype(np.float32).T).astype(np.float64) * sa[:, None] * sb[None, :]
+
+def bounds(a: Tile, b: Tile) -> tuple[np.ndarray, np.ndarray]:
+    """For all pairs the int8 product, scaled, and what the true product may differ from it.
+
+    float32 holds the integers exactly up to 1040 dimensions (127 * 127 * 1040 < 2^24), beyond that float64 is used.
+    """
+    kind = np.float32 if a.q.shape[1] <= 1040 else np.float64
+    product = (a.q.astype(kind) @ b.q.astype(kind).T).astype(np.float64) * a.scale[:, None] * b.scale[None, :]
     # |u.v - u'.v'| <= |u'||v - v'| + |u - u'||v|, and |v| = 1
-    bound = na[:, None] * eb[None, :] + ea[:, None] * (1 + 1e-9)
-    return np.nonzero(product + bound >= threshold)
+    return product, a.norm[:, None] * b.error[None, :] + a.error[:, None] * (1 + SLACK) + SLACK
+
+
+def split(a: Tile, b: Tile, same: bool, threshold: float) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Positions of the pairs that surely link, and of those that the int8 products leave open."""
+    product, off = bounds(a, b)
+    sure, open_ = product - off >= threshold, (product + off >= threshold) & (product - off < threshold)
+    if same:
+        once = a.cls[:, None] < b.cls[None, :]
+        sure, open_ = sure & once, open_ & once
+    return np.nonzero(sure), np.nonzero(open_)
+
+
+def links_of(a: Tile, b: Tile, i: np.ndarray, j: np.ndarray) -> pd.DataFrame | None:
+    """For each class that the pairs (i, j) link: how many vectors it is linked to, and a root."""
+    if not len(i):
+        return None
+    links = np.concatenate([np.bincount(i, b.copies[j], len(a.cls)), np.bincount(j, a.copies[i], len(b.cls))]).astype(np.int64)
+    ids = np.concatenate([a.cls, b.cls])
+    root, far = ids.copy(), j + len(a.cls)
+    while True:  # the smallest class that links reach inside this pair of tiles
+        low = np.minimum(root[i], root[far])
+        new = root.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, far, low)
+        if (new == root).all():
+            break
+        root = new
+    hit = links > 0
+    return pd.DataFrame({"cls": ids[hit], "links": links[hit], "root": root[hit]})
+
+
+def _quantised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """cls, copies, label, dim, v to the int8 row and its place, one matrix product for each dimension of a batch."""
+    for pdf in batches:
+        for dim, rows in pdf.groupby("dim", sort=False):
+            u = unit(np.stack([np.asarray(v, np.float64) for v in rows["v"]]))
+            q, scale, norm, error = quantise(u)
+            x = np.zeros((len(rows), DIRECTIONS))
+            x[:, : min(DIRECTIONS, dim)] = u @ directions(int(dim))
+            out = rows[["cls", "copies", "label", "dim"]].assign(q=[r.tobytes() for r in q], scale=scale, norm=norm, error=error)
+            yield out.assign(**{f"x{k}": x[:, k] for k in range(DIRECTIONS)})
 
 
 def _number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -72,50 +137,57 @@ def _number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _blob(pdf: pd.DataFrame) -> pd.DataFrame:
     """A tile as one row."""
+    dim = int(pdf["dim"].iloc[0])
+    q = np.frombuffer(b"".join(pdf["q"]), np.int8).reshape(-1, dim)
+    tile = Tile(*(pdf[c].to_numpy(np.int64) for c in ("cls", "copies")), q, *(pdf[c].to_numpy(float) for c in ("scale", "norm", "error")))
     one = pdf.iloc[:1][["label", "dim", "tile"]].reset_index(drop=True)
-    return one.assign(
-        cls=[pdf["cls"].to_numpy(np.int64).tobytes()], copies=[pdf["copies"].to_numpy(np.int64).tobytes()], v=[b"".join(pdf["v"])], xmin=pdf["x"].min(), xmax=pdf["x"].max()
-    )
+    ends = {f"{e}{k}": [getattr(pdf[f"x{k}"], e)()] for k in range(DIRECTIONS) for e in ("min", "max")}
+    return one.assign(raw=[tile.packed()], **ends)
 
 
-def link_tiles(left: tuple, right: tuple, same: bool, threshold: float) -> pd.DataFrame | None:
-    """Links between two tiles (classes, copies, rows): for each linked class their count and a root."""
-    (il, ml, raw_l), (ir, mr, raw_r) = left, right
-    raw_l, raw_r = raw_l / np.abs(raw_l).max(axis=1)[:, None], raw_r / np.abs(raw_r).max(axis=1)[:, None]
-    norm_l, norm_r = np.linalg.norm(raw_l, axis=1), np.linalg.norm(raw_r, axis=1)
-    i, j = candidates(raw_l / norm_l[:, None], raw_r / norm_r[:, None], threshold)
-    if same:
-        i, j = i[il[i] < ir[j]], j[il[i] < ir[j]]
-    ok = np.empty(len(i), bool)
-    for a in range(0, len(i), 1 << 15):
-        p, q = i[a : a + (1 << 15)], j[a : a + (1 << 15)]
-        ok[a : a + (1 << 15)] = np.einsum("ij,ij->i", raw_l[p], raw_r[q]) / (norm_l[p] * norm_r[q]) >= threshold
-    i, j = i[ok], j[ok]
-    if not len(i):
-        return None
-    links = np.concatenate([np.bincount(i, mr[j], len(il)), np.bincount(j, ml[i], len(ir))]).astype(np.int64)
-    ids = np.concatenate([il, ir])
-    root, far = ids.copy(), j + len(il)
-    while True:  # the smallest class that links reach inside this pair of tiles
-        low = np.minimum(root[i], root[far])
-        new = root.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, far, low)
-        if (new == root).all():
-            break
-        root = new
-    hit = links > 0
-    return pd.DataFrame({"cls": ids[hit], "links": links[hit], "root": root[hit]})
+def _doubles(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The unit rows of a tile's classes, by class."""
+    pdf = pdf.sort_values("cls")
+    one = pdf.iloc[:1][["label", "dim", "tile"]].reset_index(drop=True)
+    v = np.stack([np.asarray(x, np.float64) for x in pdf["v"]])
+    return one.assign(ids=[pdf["cls"].to_numpy(np.int64).tobytes()], v=[v.tobytes()])
+
+
+def _strips(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
+    """Rows sorted by strip, the strip's own tile first; links that int8 settles, and the tile pairs left open."""
+    key, own = None, None
+    for pdf in batches:
+        for r in pdf.itertuples(index=False):
+            tile = Tile.read(r.raw, r.dim)
+            if r.other < 0:
+                key, own = r.strip, tile
+            a, b = (own, tile) if r.other < 0 or key < r.other else (tile, own)  # bounds depend on the order
+            (i, j), (p, _) = split(a, b, r.other < 0, threshold)
+            found = links_of(a, b, i, j)
+            if found is not None:
+                yield found.assign(at=None, lo=None, hi=None)
+            if len(p):
+                other = key if r.other < 0 else r.other
+                yield pd.DataFrame({"cls": [None], "links": [None], "root": [None], "at": [r.at], "lo": [min(key, other)], "hi": [max(key, other)]})
 
 
-def _tile_links(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
+def _exact(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
+    """The open pairs of two tiles by cosine in double precision."""
     for pdf in batches:
         for r in pdf.itertuples(index=False):
-            left, right = (
-                (np.frombuffer(c, np.int64), np.frombuffer(m, np.int64), np.frombuffer(v).reshape(-1, r.dim))
-                for c, m, v in ((r.cls_a, r.copies_a, r.v_a), (r.cls_b, r.copies_b, r.v_b))
-            )
-            out = link_tiles(left, right, r.lo == r.hi, threshold)
+            a, b = Tile.read(r.raw_a, r.dim), Tile.read(r.raw_b, r.dim)
+            rows = []
+            for t, ids, v in ((a, r.ids_a, r.v_a), (b, r.ids_b, r.v_b)):
+                x = np.frombuffer(v).reshape(-1, r.dim)[np.searchsorted(np.frombuffer(ids, np.int64), t.cls)]
+                x = x / np.abs(x).max(axis=1)[:, None]
+                rows.append((x, np.linalg.norm(x, axis=1)))
+            (va, na), (vb, nb) = rows
+            _, (i, j) = split(a, b, r.lo == r.hi, threshold)
+            ok = np.empty(len(i), bool)
+            for k in range(0, len(i), 1 << 15):
+                p, q = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
+                ok[k : k + (1 << 15)] = np.einsum("ij,ij->i", va[p], vb[q]) / (na[p] * nb[q]) >= threshold
+            out = links_of(a, b, i[ok], j[ok])
             if out is not None:
                 yield out
 
@@ -129,6 +201,7 @@ def near_duplicate_vectors(
     n_links counts the other rows linked directly. A null label, and a vector that is null, empty, zero or
     holds null, NaN or infinity, links with nothing. component_id is the smallest id that links reach; a null
     id has none, counts as a row, and is kept. Repeated rows are rows of their own. Other columns are ignored.
+    Vectors count as equal if 128 bits of hashes of label and components are (by chance for n rows: n^2 / 2^129).
     """
     spark = vectors.sparkSession
     prepare(spark)
@@ -137,42 +210,63 @@ def near_duplicate_vectors(
     fit = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), v.alias("v"))
     ok = F.coalesce(F.col("v").isNotNull() & fit & F.col("label").isNotNull(), F.lit(False))
-    rows = rows.withColumn("key", F.when(ok, F.struct("label", "v")))
-    good = rows.where("key is not null").select("id", "key", F.xxhash64("key").alias("h"))
-    classes = good.groupBy("h", "key").agg(F.min("id").alias("cls"), F.count("*").alias("copies"))
+    # 128 bits stand for label and vector, so that joins need not move vectors
+    hashes = [F.when(ok, F.xxhash64(*seed, "label", "v")).alias(n) for n, seed in (("h", []), ("g", [F.lit(1)]))]
+    rows = rows.select("id", "label", "v", *hashes)
+    classes = rows.where("h is not null").groupBy("h", "g").agg(F.min("id").alias("cls"), F.count("*").alias("copies"), F.any_value("label").alias("label"), F.any_value("v").alias("v"))
     # a class of rows without ids still needs a number of its own: above all ids, and never shown
     classes = store.save(classes.withColumn("cls", F.coalesce("cls", F.lit(2**62) + F.pmod("h", F.lit(2**61)))))
     kind = rows.schema["label"].dataType.simpleString()
-    flat = classes.select("cls", "copies", "key.label", F.size("key.v").alias("dim"), F.col("key.v").alias("v"))
-    columns = f"cls long, copies long, label {kind}, dim int, v binary, x double"
-    order = ["label", "dim", "x", "cls"]
+    flat = classes.select("cls", "copies", "label", F.size("v").alias("dim"), "v")
+    places = ", ".join(f"x{k} double" for k in range(DIRECTIONS))
+    columns = f"cls long, copies long, label {kind}, dim int, q binary, scale double, norm double, error double, {places}"
+    reach = math.sqrt(2 - 2 * threshold) + 1e-9  # no farther apart along any direction than in space
+    order = ["label", "dim", F.floor(F.col("x0") / (reach / 2)), F.floor(F.col("x1") / (reach / 2)), "x2", "cls"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lined = flat.mapInPandas(_project, columns).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    lined = flat.mapInPandas(_quantised, columns).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     lined = store.save(lined.mapInPandas(_number, f"{columns}, part int, nth long"))
     before = lined.groupBy("label", "dim", "part").agg(F.count("*").alias("n"))
     before = before.withColumn("before", F.sum("n").over(Window.partitionBy("label", "dim").orderBy("part")) - F.col("n"))
     tiled = lined.join(before.drop("n"), ["label", "dim", "part"]).withColumn("tile", F.expr(f"(before + nth) div {TILE}"))
-    blobs = tiled.select("label", "dim", "tile", "cls", "copies", "v", "x").groupBy("label", "dim", "tile")
-    blobs = store.save(blobs.applyInPandas(_blob, f"label {kind}, dim int, tile long, cls binary, copies binary, v binary, xmin double, xmax double"))
-    reach = math.sqrt(2 - 2 * threshold) + 1e-9  # no farther apart along any direction than in space
-    at = blobs.select("label", "dim", "tile", "xmin", "xmax")
-    pairs = at.select("label", "dim", F.col("tile").alias("lo"), F.col("xmax").alias("to")).join(
-        at.select("label", "dim", F.col("tile").alias("hi"), F.col("xmin").alias("from")), ["label", "dim"]
-    )
-    pairs = pairs.where((F.col("lo") <= F.col("hi")) & (F.col("from") - F.col("to") <= reach)).drop("from", "to")
-    for side, end in (("a", "lo"), ("b", "hi")):
-        tile = blobs.select("label", "dim", F.col("tile").alias(end), *(F.col(c).alias(f"{c}_{side}") for c in ("cls", "copies", "v")))
-        pairs = pairs.join(tile, ["label", "dim", end])
+    ends = ", ".join(f"min{k} double, max{k} double" for k in range(DIRECTIONS))
+    blobs = tiled.groupBy("label", "dim", "tile").applyInPandas(_blob, f"label {kind}, dim int, tile long, raw binary, {ends}")
+    blobs = store.save(blobs.withColumn("at", F.xxhash64("label", "dim")))
+    at = blobs.drop("raw")
+    left, right = at.alias("l"), at.alias("r")
+    apart = None
+    for k in range(DIRECTIONS):
+        gap = F.greatest(F.col(f"l.min{k}") - F.col(f"r.max{k}"), F.col(f"r.min{k}") - F.col(f"l.max{k}")) > reach
+        apart = gap if apart is None else apart | gap
+    pairs = left.join(right, (F.col("l.label") == F.col("r.label")) & (F.col("l.dim") == F.col("r.dim")) & (F.col("l.tile") < F.col("r.tile"))).where(~apart)
+    lo, hi = F.col("l.tile"), F.col("r.tile")
+    even = (lo + hi) % 2 == 0  # so that strips meet about equally many tiles
+    pairs = pairs.select("l.label", "l.dim", F.when(even, lo).otherwise(hi).alias("strip"), F.when(even, hi).otherwise(lo).alias("other"))
+    met = pairs.join(blobs.select("label", "dim", F.col("tile").alias("other"), "raw", "at"), ["label", "dim", "other"])
+    met = met.select("at", "dim", "strip", "other", "raw").unionByName(blobs.select("at", "dim", F.col("tile").alias("strip"), F.lit(-1).cast("long").alias("other"), "raw"))
+
+    def strips(batches):
+        return _strips(batches, threshold)
 
-    def link(batches):
-        return _tile_links(batches, threshold)
+    def exact(batches):
+        return _exact(batches, threshold)
 
-    links = store.save(pairs.drop("label").repartition("lo", "hi", "dim").mapInPandas(link, "cls long, links long, root long"))
+    met = met.repartition("at", "dim", "strip").sortWithinPartitions("at", "dim", "strip", "other")
+    seen = store.save(met.mapInPandas(strips, "cls long, links long, root long, at long, lo long, hi long"))
+    # in double precision, the tiles that hold open pairs
+    left_open = seen.where("at is not null").select("at", "lo", "hi")
+    wanted = left_open.select("at", F.explode(F.array("lo", "hi")).alias("tile")).distinct()
+    some = tiled.select("label", "dim", "tile", "cls", F.xxhash64("label", "dim").alias("at")).join(wanted, ["at", "tile"], "left_semi")
+    full = some.join(classes.select("cls", "v"), "cls").groupBy("label", "dim", "tile")
+    full = full.applyInPandas(_doubles, f"label {kind}, dim int, tile long, ids binary, v binary").join(blobs.select("label", "dim", "tile", "raw", "at"), ["label", "dim", "tile"])
+    again = left_open
+    for side, end in (("a", "lo"), ("b", "hi")):
+        again = again.join(full.select("at", "dim", F.col("tile").alias(end), *(F.col(c).alias(f"{c}_{side}") for c in ("ids", "v", "raw"))), ["at", "dim", end] if side == "b" else ["at", end])
+    links = store.save(seen.where("cls is not null").select("cls", "links", "root").unionByName(again.mapInPandas(exact, "cls long, links long, root long")))
     comps = connected_components(links.select(F.col("cls").alias("a"), F.col("root").alias("b")), store)
     totals = links.groupBy("cls").agg(F.sum("links").alias("links"))
     facts = classes.join(totals, "cls", "left").join(comps.withColumnRenamed("node", "cls"), "cls", "left")
-    facts = facts.select("h", "key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "cls").alias("c"))
-    out = rows.withColumn("h", F.xxhash64("key")).join(facts, ["h", "key"], "left")
+    facts = facts.select("h", "g", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "cls").alias("c"))
+    out = rows.select("id", "h", "g").join(facts, ["h", "g"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("c", "id"))
     return out.select(
         F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")
