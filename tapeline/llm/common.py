@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Parts into which the rows of one key are dealt where a join's small side can be repeated.
-SALTS = 16
+#: Keys with over one part in so many of the rows of a join are dealt out.
+HOT_KEYS = 10_000
 #: Rows per Arrow batch: long texts (100 kB and more) then stay within a worker's memory.
 BATCH_ROWS = 512
 
@@ -21,25 +21,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound the batches that go to Python workers."""
+    """Bound the batches that go to Python workers, for the session: plans read the setting when they run."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; own folder only where none is set."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; one of our own only in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tapeline-"))
         root = spark.sparkContext.getCheckpointDir()
     return root
 
 
+#: The stores of this process, oldest first; see clear_since.
+STORES: list[Store] = []
+
+
+def clear_since(n: int, but: Store | None = None) -> None:
+    """Delete the tables of all stores after the first n, once no later plan reads them."""
+    for s in STORES[n:]:
+        if s is not but:
+            s.delete(s.root)
+    STORES[n:] = [s for s in STORES[n:] if s is but]
+
+
 class Store:
     """Parquet tables in the shared folder, which cut lineage and outlive lost executors."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{scratch_root(spark)}/tapeline-{uuid.uuid4().hex}"
         self.n = 0
+        STORES.append(self)
 
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -51,7 +66,10 @@ class Store:
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table that no later plan reads."""
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        self.delete(df.scratch_path)
+
+    def delete(self, where: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -68,13 +86,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def salt(*columns: str | Column) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int").alias("salt")
-
+def dealt(rows: DataFrame, small: DataFrame, key: list[str], count: str, *spread: str | Column) -> tuple[DataFrame, DataFrame, list[str]]:
+    """rows and small ready for an equi-join on the key and a salt, so that no key is one task's.
 
-def salted(small: DataFrame) -> DataFrame:
-    """Each row once for every salt."""
-    return small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    small has a row a key and how many rows of rows have it. Keys with over a ten-thousandth of these rows (so at
+    most 10,000 keys, which are broadcast) are dealt into parts of that size by a hash of ``spread``.
+    """
+    total = small.agg(F.sum(count)).first()[0] or 0
+    limit = max(total // HOT_KEYS, 1000)
+    parts = F.ceil(F.col(count) / limit).cast("int")
+    hot = small.where(F.col(count) > limit).select(*key, parts.alias("_parts"))
+    rows = rows.join(F.broadcast(hot), key, "left")
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64(*spread), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    return rows, small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col(count) > limit, parts - 1).otherwise(0)))), [*key, "salt"]
 
 
 def by_group(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, salt, salted
+from .common import Store, dealt, free, let
 
 #: A chunk ends where the rolling hash's first hexadecimal digit is one of these: every fourth line on average.
 ENDS = ("0", "1", "2", "3")
@@ -86,26 +86,30 @@ def without(text: Column, removed: Column) -> Column:
     return let(F.split(text, "\n"), lambda lines: let(removed, lambda gone: rest(lines, gone)))
 
 
-def drop_repeated_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, whole: bool = False) -> DataFrame:
+def drop_repeated_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, whole: bool = False, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
     """docs with n_lines long, n_removed long (lines) and text_col without the repeated chunks.
 
     Chunks are judged on the input. The first occurrence stays; of rows that repeat the same id and text each
     keeps what the others keep. A null id sorts before all others. Null text stays null (0 lines); empty text
     is one empty line. A text may become empty. A chunk whose hash equals that of an earlier one but whose
-    bytes differ stays. Columns of docs named n_lines or n_removed are replaced. No rows in: no rows out.
+    bytes differ stays. ``counts`` are the names of both new columns; columns of docs so named are replaced. No
+    rows in: no rows out.
     whole takes the chunks of rolls(), and min_lines has no effect. These overlap, so that the first occurrence
     of every line stays, but not always that of a pair: of one line many times over, one is left.
     """
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed", text_col)]
-    rows = docs.select(*names, text_col).withColumn("_th", F.xxhash64(text_col))
+    store = Store(docs.sparkSession)
+    names = [c for c in docs.columns if c not in (*counts, text_col)]
+    own_id, own_hash = free(docs, "_id"), free(docs, "_th")
+    rows = docs.select(*names, text_col).withColumn(own_hash, F.xxhash64(text_col))
     key = ["_id", "_th"]
-    slim = rows.select(F.col(id_col).alias("_id"), "_th", F.col(text_col).alias("_text"))
+    slim = rows.select(F.col(id_col).alias("_id"), F.col(own_hash).alias("_th"), F.col(text_col).alias("_text"))
     cut = rolls(F.col("_text")) if whole else chunks(F.col("_text"), min_lines)
     held = slim.where(F.col("_text").isNotNull()).select(*key, F.inline(cut))
     place = F.struct("_id", "_th", "pos")
-    # a chunk that many documents hold is dealt out: by a fixed number of salts here, by its count below
-    seen = held.groupBy("h").agg(F.count("*").alias("c"), F.min(place).alias("first")).where("c > 1")
-    found = held.withColumn("salt", salt("_id", "_th")).join(salted(seen), ["h", "salt"])
+    # a chunk that many documents hold is dealt out by its count, here and where its bytes are compared
+    seen = store.save(held.groupBy("h").agg(F.count("*").alias("c"), F.min(place).alias("first")).where("c > 1"))
+    some, firsts, on = dealt(held, seen, ["h"], "c", "_id", "_th", "pos")
+    found = some.join(firsts, on)
     found = found.withColumn("is_first", F.equal_null(place, F.col("first"))).withColumn("parts", (1 + F.floor(F.col("c") / PART)).cast("int"))
     found = found.groupBy(*key).agg(F.collect_set(F.struct("pos", "n", "h", "is_first", "parts")).alias("found"))
     with_text = slim.alias("s").join(found.alias("f"), _same("s", "f"))
@@ -127,13 +131,12 @@ def drop_repeated_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     # line by line, since chunks may overlap
     each = F.array_distinct(F.flatten(F.transform("gone", lambda c: F.sequence(c["pos"], c["pos"] + c["n"] - 1))))
     gone = gone.select(*key, F.transform(F.sort_array(each), lambda i: F.struct(i.alias("pos"), F.lit(1).alias("n"))).alias("gone"))
-    left = rows.withColumnRenamed(id_col, "_id").alias("l")
-    out = left.join(gone.alias("g"), _same("l", "g"), "left")
+    gone = gone.select(F.col("_id").alias(own_id), F.col("_th").alias(own_hash), "gone")
+    out = rows.alias("l").join(gone.alias("g"), (F.col(f"l.{own_hash}") == F.col(f"g.{own_hash}")) & F.col(f"l.{id_col}").eqNullSafe(F.col(f"g.{own_id}")), "left")
     text = F.when(F.col("g.gone").isNull(), F.col(f"l.{text_col}")).otherwise(without(F.col(f"l.{text_col}"), F.col("g.gone")))
     lines = F.when(F.col(f"l.{text_col}").isNull(), 0).otherwise(F.size(F.split(f"l.{text_col}", "\n")))
     removed = F.coalesce(F.aggregate("g.gone", F.lit(0), lambda a, c: a + c["n"]), F.lit(0))
-    kept = [F.col("l._id").alias(id_col) if c == id_col else F.col(f"l.{c}") for c in names]
-    return out.select(*kept, text.alias(text_col), lines.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
+    return out.select(*(F.col(f"l.{c}") for c in names), text.alias(text_col), lines.cast("long").alias(counts[0]), removed.cast("long").alias(counts[1]))
 
 
 def _same(a: str, b: str) -> Column:

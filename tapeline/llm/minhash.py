@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import Store, by_group, connected_components, prepare, salt, salted
+from .common import Store, by_group, connected_components, dealt, prepare
 
 N_PERM, BAND_ROWS = 128, 4
 N_BANDS = N_PERM // BAND_ROWS
@@ -205,9 +205,10 @@ def near_duplicates(
     signed = store.save(texts.mapInArrow(sign, "id long, n long, d1 long, d2 long, sig binary"))
     real = signed.where("id is not null and n > 0")
     # classes of one document stand for themselves; the members of the others are dealt out, whatever their number
-    classes = real.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
-    classes, key = salted(classes), ["n", "d1", "d2", "salt"]
-    mine = real.withColumn("salt", salt("id")).join(classes, key, "left")
+    classes = real.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1")
+    classes = store.save(classes)
+    mine, several, key = dealt(real, classes, ["n", "d1", "d2"], "c", "id")
+    mine = mine.join(several.drop("c"), key, "left")
     reps = store.save(mine.where("rep is null or id = rep").select("id", "sig").dropDuplicates(["id"]))
     bands = reps.select(
         "id",
@@ -265,7 +266,8 @@ def near_duplicates(
         store.drop(t)
     comps = connected_components(links.unionByName(more), store)
 
-    whole = signed.select("id", "n", "d1", "d2", salt("id")).join(classes, key, "left").withColumn("rep", F.coalesce("rep", "id"))
+    whole, several, key = dealt(signed.select("id", "n", "d1", "d2"), classes, ["n", "d1", "d2"], "c", "id")
+    whole = whole.join(several.drop("c"), key, "left").withColumn("rep", F.coalesce("rep", "id"))
     whole = whole.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     whole = whole.select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"))
     return whole.select(
