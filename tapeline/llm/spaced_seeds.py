@@ -38,27 +38,26 @@ def token_hashes(text: Column) -> Column:
     return F.transform(F.array_remove(F.split(F.lower(text), TOKEN_GAP), ""), lambda t: F.xxhash64(t))
 
 
-def seed(tokens: Column, at: Column, mask: str) -> Column:
-    """Hash of the positions that mask keeps, from position at (from 0)."""
-    return F.xxhash64(*[F.get(tokens, at + k) for k, c in enumerate(mask) if c == "1"])
+def seeds(df: DataFrame, masks: list[str]) -> DataFrame:
+    """One row for each mask and position of the tokens: kind (the mask) and at int, seed long.
 
-
-def seeds(df: DataFrame, masks: list[str], kinds: Column) -> DataFrame:
-    """One row for each of the kinds (places in masks) and position of the tokens: at int, span int, seed long."""
+    At the end of the tokens a seed is of those that there are: verification rules such hits out. seed is never
+    null, since a join would filter nulls first; and what follows the generator is kept small, since a method of
+    over 8000 bytes is not compiled to machine code.
+    """
     n = len(masks)
-    span = lambda k: F.get(F.array(*[F.lit(len(m)) for m in masks]), k)
-    places = F.flatten(F.transform(kinds, lambda k: F.when(F.size("tokens") >= span(k), F.transform(F.sequence(F.lit(0), F.size("tokens") - span(k)), lambda a: a * n + k)).otherwise(F.array().cast("array<int>"))))
-    rows = df.select("*", F.explode(places).alias("_k"))
+    last = (F.size("tokens") - min(map(len, masks)) + 1) * n - 1
+    rows = df.select("*", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("_k"))
     rows = rows.withColumn("at", F.expr(f"int(_k div {n})"))
-    kind = F.col("_k") % n
-    value = F.when(kind == 0, seed(F.col("tokens"), F.col("at"), masks[0]))
-    for k, m in enumerate(masks[1:], 1):
-        value = value.when(kind == k, seed(F.col("tokens"), F.col("at"), m))
-    return rows.withColumn("seed", F.xxhash64(kind, value)).withColumn("span", span(kind)).drop("_k")
+    kind, value = F.col("_k") % n, None
+    for k, m in enumerate(masks):
+        one = F.xxhash64(*[F.get("tokens", F.col("at") + i) for i, c in enumerate(m) if c == "1"])
+        value = F.when(kind == 0, one) if value is None else value.when(kind == k, one)
+    return rows.withColumn("seed", F.xxhash64(kind, value)).withColumn("kind", kind).drop("_k")
 
 
-def overlap(doc: Column, doc_at: Column, item: Column, item_at: Column, span: Column, need: Column, percent: Column) -> Column:
-    """Whether some window of ``need`` aligned tokens that holds the hit's span has enough equal ones.
+def overlap(doc: Column, doc_at: Column, item: Column, item_at: Column, span: int, need: Column, percent: Column) -> Column:
+    """Whether some window of ``need`` aligned tokens that holds ``span`` tokens from the hit on has enough equal ones.
 
     doc and item hold the tokens around the hit, doc_at and item_at are the hit's places in these arrays.
     """
@@ -81,7 +80,7 @@ def overlap(doc: Column, doc_at: Column, item: Column, item_at: Column, span: Co
     return let(need, windows)
 
 
-def around(at: Column, span: Column) -> tuple[Column, Column]:
+def around(at: Column, span: int) -> tuple[Column, Column]:
     """The tokens that a window around a hit can reach, and the hit's place among them."""
     begin = F.greatest(F.lit(0), at - WINDOW + span)
     return F.slice("tokens", begin + 1, at - begin + WINDOW), at - begin
@@ -108,26 +107,26 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", i
     tiny = (size > 0) & (size < WHOLE)
     found = rows.where(tiny).select("id", whole, "tokens").join(items.where(tiny).select("item", whole, F.col("tokens").alias("theirs")), "seed").where("tokens = theirs").select("id", "item")
     if masks:
-        of_long = F.array(*[F.lit(k) for k, m in enumerate(masks) if m in MASKS]).cast("array<int>")
-        of_short = F.when(F.lit(False), F.lit(-1))
-        for n in short:
-            of_short = of_short.when(size == n, masks.index("1" * n))
-        kinds = F.when(size >= LEAST, of_long).when(of_short.isNotNull(), F.array(of_short))
-        near, place = around(F.col("at"), F.col("span"))
+        span = min(map(len, masks))  # of every hit, so many tokens at least lie in the window that holds its mask
+        near, place = around(F.col("at"), span)
         need = F.least(F.lit(WINDOW), size)
-        item_seeds = seeds(items.where(kinds.isNotNull()), masks, kinds).select("seed", "item", near.alias("item_near"), place.alias("item_at"), need.alias("need"), F.when(size < LEAST, 100).otherwise(PERCENT).alias("percent"))
+        length = F.get(F.array(*[F.lit(len(m)) for m in masks]), F.col("kind"))
+        own_kind = F.when(size >= LEAST, F.col("kind") < len(masks) - len(short)).otherwise(length == size)
+        item_seeds = seeds(items.where(size >= WHOLE), masks).where((F.col("at") + length <= size) & own_kind)
+        item_seeds = item_seeds.select("seed", "item", near.alias("item_near"), place.alias("item_at"), need.alias("need"), F.when(size < LEAST, 100).otherwise(PERCENT).alias("percent"))
         many = sum(c * (len(MASKS) if n >= LEAST else 1) for n, c in counts.items() if n >= WHOLE)
-        own = seeds(rows, masks, F.array(*[F.lit(k) for k in range(len(masks))]))
+        own = seeds(rows, masks)
         if many > BROADCAST_ROWS:
             known = item_seeds.select("seed").distinct()
             own = own.join(F.broadcast(known) if many <= FILTER_ROWS else known, "seed", "left_semi")
-        hits = own.select("seed", "id", "span", near.alias("near"), place.alias("near_at")) if many > BROADCAST_ROWS else own
-        hits = hits.join(F.broadcast(item_seeds) if many <= BROADCAST_ROWS else item_seeds, "seed")
+        if many > BROADCAST_ROWS:
+            own = own.select("seed", "id", near.alias("near"), place.alias("near_at"))
+        hits = own.join(F.broadcast(item_seeds) if many <= BROADCAST_ROWS else item_seeds, "seed")
         if many <= BROADCAST_ROWS:  # only the tokens that a window around the hit can reach go on
-            hits = hits.select("id", "item", "span", near.alias("near"), place.alias("near_at"), "item_near", "item_at", "need", "percent")
+            hits = hits.select("id", "item", near.alias("near"), place.alias("near_at"), "item_near", "item_at", "need", "percent")
         # as a generator, since a filter would move into the join, whose probe side then leaves generated code
         # and buffers the tokens once for each position
-        real = overlap(F.col("near"), F.col("near_at"), F.col("item_near"), F.col("item_at"), F.col("span"), F.col("need"), F.col("percent"))
+        real = overlap(F.col("near"), F.col("near_at"), F.col("item_near"), F.col("item_at"), span, F.col("need"), F.col("percent"))
         seen = hits.select("id", "item", F.explode(F.when(real, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))))
         found = found.unionAll(seen.select("id", "item"))
     return found.groupBy("id", "item").agg(F.count("*").alias("hits")).select(F.col("id").alias(id_col), F.col("item").alias(item_col), "hits")
