@@ -13,31 +13,51 @@ from pyspark.sql import types as T
 
 from .common import Store, let
 
-#: Leading bytes of a string that its quantiser keeps, in order.
-PREFIX = 7
-
-
 def ordinal(df: DataFrame, name: str) -> Column:
-    """An order-preserving double of a column: numbers as they are, strings by their first bytes, null lowest."""
+    """The column with a total order: strings (null lowest, as no string), or doubles (null and NaN lowest)."""
     if isinstance(df.schema[name].dataType, T.StringType):
-        head = F.hex(F.rpad(F.substring(F.encode(name, "UTF-8"), 1, PREFIX), PREFIX, F.lit(b"\x00")))
-        number = F.conv(head, 16, 10).cast("double")
-    else:
-        number = F.col(name).cast("double")
+        return F.col(name)
+    number = F.col(name).cast("double")
     return F.coalesce(F.when(~F.isnan(number), number), F.lit(-1.7976931348623157e308))
 
 
-def quantised(df: DataFrame, dims: list[str], bits: int) -> list[Column]:
+def string_cuts(df: DataFrame, name: str, bits: int, store: Store) -> list[str]:
+    """The strings at the quantiles k / 2^bits of the column's non-null values, by exact counts.
+
+    Distinct strings are counted and range-partitioned; running counts are taken within partitions, so no task sees
+    more than its range. At most 2^bits - 1 strings come to the driver.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("x")).agg(F.count("*").alias("n"))
+    lined = store.save(counts.repartitionByRange(parts, "x").sortWithinPartitions("x").withColumn("p", F.spark_partition_id()))
+    sums = lined.groupBy("p").agg(F.sum("n").alias("m")).withColumn("before", F.sum("m").over(Window.orderBy("p")) - F.col("m"))
+    total = sums.agg(F.sum("m")).first()[0] or 0
+    up_to = F.col("before") + F.sum("n").over(Window.partitionBy("p").orderBy("x"))
+    ranked = lined.join(F.broadcast(sums.drop("m")), "p").withColumn("c", up_to)  # a row a partition
+    step = lambda c: F.floor(c * 2**bits / F.lit(max(total, 1)))
+    reached = ranked.withColumn("k", step(F.col("c"))).where((F.col("k") > step(F.col("c") - F.col("n"))) & (F.col("k") < 2**bits))
+    got = sorted(r.x for r in reached.select("x").collect())
+    store.drop(lined)
+    return got
+
+
+def quantised(df: DataFrame, dims: list[str], bits: int, store: Store) -> list[Column]:
     """A cell from 0 to 2^bits - 1 for each dimension, cut at quantiles over all rows.
 
-    The cuts (2^bits - 1 numbers a dimension) are the only values that come to the driver.
+    The cuts (2^bits - 1 values a dimension) are the only values that come to the driver.
     """
     at = [k / 2**bits for k in range(1, 2**bits)]
-    cuts = df.agg(*[F.percentile_approx(ordinal(df, d), at, 10_000).alias(f"q{i}") for i, d in enumerate(dims)]).first()
+    texts = {d for d in dims if isinstance(df.schema[d].dataType, T.StringType)}
+    numbers = [d for d in dims if d not in texts]
+    found = df.agg(*[F.percentile_approx(ordinal(df, d), at, 10_000).alias(f"q{i}") for i, d in enumerate(numbers)]).first() if numbers else []
+    cuts = {d: [float(x) for x in found[i] or []] for i, d in enumerate(numbers)}
     out = []
-    for i, d in enumerate(dims):
-        edges = F.array(*[F.lit(float(x)) for x in sorted(set(cuts[i] or []))]).cast("array<double>")
-        out.append(let(ordinal(df, d), _below(edges)))
+    for d in dims:
+        if d in texts:
+            edges = F.array(*map(F.lit, string_cuts(df, d, bits, store))).cast("array<string>")
+            out.append(F.when(F.col(d).isNull(), 0).otherwise(let(F.col(d), _below(edges))))
+        else:
+            out.append(let(ordinal(df, d), _below(F.array(*map(F.lit, sorted(set(cuts[d])))).cast("array<double>"))))
     return out
 
 
@@ -108,12 +128,13 @@ def hilbert_shards(
     Shards are runs of the order (hilbert, id); their row counts differ by one at most, so fewer rows than
     shards leave shards empty. Nulls in a dimension or in the id sort first; NaN counts as null. Repeated rows
     and equal ids each get a slot, in any order among themselves. Columns of df with these three names are
-    replaced. No rows in: no rows out. Strings are quantised by their first 7 bytes.
+    replaced. No rows in: no rows out. df is read once and stored, so hand over the columns that shards need.
     """
     spark = df.sparkSession
     store = Store(spark)
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cells = F.array(*quantised(df, dims, bits))
+    df = store.save(df)
+    cells = F.array(*quantised(df, dims, bits, store))
     rows = df.withColumn("hilbert", hilbert_index(cells, len(dims), bits))
     keep = [c for c in rows.columns if c not in ("shard", "slot")]
     place = F.monotonically_increasing_id()

@@ -137,6 +137,27 @@ def plan(
     return runs
 
 
+def bins_of(runs: list[tuple[int, int, int, int, int]]) -> int:
+    return max((first + end - begin for _, begin, end, first, _ in runs), default=0)
+
+
+def evenest(counts: dict[int, int], capacity: int, max_cost: float, rule: str) -> tuple[int, list[tuple[int, int, int, int, int]]]:
+    """The least of capacity, capacity / 2, ... documents a sequence that costs no sequence more than the token
+    capacity alone, and its plan: sequences of many tiny documents are spread over others where that is free."""
+    best = (capacity, plan(counts, capacity, max_docs=capacity, max_cost=max_cost, rule=rule))
+    fewest, limit = bins_of(best[1]), capacity // 2
+    while limit:
+        for weights in ((1.0, 0.01, 0.01), (1.0, 1.0, 0.01)):
+            runs = plan(counts, capacity, max_docs=limit, max_cost=max_cost, weights=weights, rule=rule)
+            if bins_of(runs) <= fewest:
+                best = (limit, runs)
+                break
+        else:
+            return best
+        limit //= 2
+    return best
+
+
 def pack(
     docs: DataFrame,
     tokenizer_path: str,
@@ -144,7 +165,7 @@ def pack(
     id_col: str = "doc_id",
     text_col: str = "text",
     capacity: int = 2048,
-    max_docs: int = 2048,
+    max_docs: int | None = None,
     max_cost: float | None = None,
     rule: str = "norm",
     with_ids: bool = False,
@@ -153,7 +174,9 @@ def pack(
 
     A document is its ids and a closing id 0; one longer than capacity is cut into pieces of capacity of which
     the first may be shorter. Sequences hold at most capacity tokens, max_docs pieces and an attention cost
-    (sum of squared lengths) of max_cost (default: capacity squared). Null or empty text is the closing id
+    (sum of squared lengths) of max_cost. max_docs None: the tightest limit that costs no sequence more, see
+    evenest(). max_cost None: capacity squared, the cost of a piece that fills a sequence; lower ones bind, and need
+    shorter pieces. Null or empty text is the closing id
     alone. A null id is packed like others. Repeated rows are packed once each. Other columns are dropped.
     No rows in: no rows out.
     """
@@ -169,7 +192,8 @@ def pack(
     by_part = cuts.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = by_part.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n"))
     counts = {r.length: r.n for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
-    runs = plan(counts, capacity, max_docs=max_docs, max_cost=float(capacity) ** 2 if max_cost is None else max_cost, rule=rule)
+    cost = float(capacity) ** 2 if max_cost is None else max_cost
+    runs = evenest(counts, capacity, cost, rule)[1] if max_docs is None else plan(counts, capacity, max_docs=max_docs, max_cost=cost, rule=rule)
     per: dict[int, list] = {}
     for length, a, b, first, offset in runs:
         per.setdefault(length, []).append((a, b, first, offset))

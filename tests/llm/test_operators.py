@@ -167,6 +167,35 @@ def test_hilbert_odd_inputs(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == docs.count()
 
 
+def test_strings_are_cut_whole(spark):
+    """Values with a long common beginning fall into different cells, in their order and evenly."""
+    rows = [(i, f"https://www.example.com/a/very/long/path/{i % 40:03d}", None) for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, url string, none string")
+    store = Store(spark)
+    got = df.select("url", *(c.alias(n) for c, n in zip(hilbert.quantised(df, ["url", "none"], 3, store), ("u", "z"), strict=True))).toPandas()
+    assert got.groupby("u").url.nunique().to_dict() == dict.fromkeys(range(8), 5) and set(got.z) == {0}
+    assert got.sort_values("url").u.is_monotonic_increasing
+
+
+def test_written_shards_prune_by_every_dimension(spark, tmp_path):
+    """Of 64 files, a range of any one dimension touches far fewer than in any other order of the rows."""
+    import pyarrow.parquet as pq
+
+    rnd = random.Random(4)
+    rows = [(i, rnd.random(), rnd.random(), rnd.random()) for i in range(8000)]
+    df = spark.createDataFrame(rows, "doc_id long, a double, b double, c double")
+    hilbert.write_shards(hilbert.hilbert_shards(df, ["a", "b", "c"], n_shards=64), str(tmp_path / "s"), ["a", "b", "c"])
+    files = list((tmp_path / "s").rglob("*.parquet"))
+    assert len(files) == 64
+    for c in ("a", "b", "c"):
+        ends = []
+        for f in files:
+            group = pq.ParquetFile(f).metadata.row_group(0)
+            col = next(group.column(k).statistics for k in range(group.num_columns) if group.column(k).path_in_schema == c)
+            ends.append((col.min, col.max))
+        assert sum(lo <= 0.55 and hi >= 0.45 for lo, hi in ends) < 40
+
+
 # 3
 
 
@@ -233,16 +262,69 @@ def test_chat_round_trip(spark):
 # 5
 
 
-def test_fast_ids_equal_the_tokenizers_file():
+def test_fast_ids_equal_the_tokenizers_file(spark):
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(BPE)
     slow.encode_special_tokens = True
-    texts = ["", "Hello  world\n\n don't <|endoftext|> 12345 日本語 é́   \U0001f600", "a" * 5000, "\t\t  x", "tion" * 900] + [r.text for r in []]
-    for t in texts:
+    docs = [r.text for r in spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").select("text").collect()]
+    assert len(docs) > 500
+    for t in ["", "Hello  world\n\n don't <|endoftext|> 12345 日本語 é́   \U0001f600", "a" * 5000, "\t\t  x", "tion" * 900, *docs]:
         assert packing.encoder(BPE)(t).tolist() == slow.encode(t, add_special_tokens=False).ids
 
 
+def fewest_bins(pieces, caps):
+    """The least number of bins, by trying all ways."""
+    best = len(pieces)
+
+    def place(k, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if k == len(pieces):
+            best = len(bins)
+            return
+        need = (pieces[k], 1, pieces[k] ** 2)
+        for i, b in enumerate(bins):
+            left = tuple(x - y for x, y in zip(b, need, strict=True))
+            if min(left) >= 0 and b not in bins[:i]:
+                place(k + 1, [*bins[:i], left, *bins[i + 1 :]])
+        place(k + 1, [*bins, tuple(x - y for x, y in zip(caps, need, strict=True))])
+
+    place(0, [])
+    return best
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_packing_against_the_optimum(rule):
+    """Small cases where each of the capacities binds: never more than one bin above the optimum, mostly none."""
+    rnd = random.Random(11)
+    above = 0
+    for k in range(60):
+        pieces = sorted((rnd.randint(1, 12) for _ in range(9)), reverse=True)
+        caps = (20, rnd.choice([2, 3, 9]), rnd.choice([144, 180, 400]))
+        counts = defaultdict(int)
+        for p in pieces:
+            counts[p] += 1
+        got = packing.bins_of(packing.plan(counts, caps[0], max_docs=caps[1], max_cost=float(caps[2]), weights=(1.0, 1.0, 1.0), rule=rule))
+        best = fewest_bins(pieces, caps)
+        assert best <= got <= best + 1
+        above += got > best
+    assert above <= 12
+
+
+def test_document_limit_is_tight_and_free():
+    counts = {1: 3000, 700: 900, 1300: 880, 5: 400}
+    limit, runs = packing.evenest(counts, 2048, 2048.0**2, "norm")
+    alone = packing.bins_of(packing.plan(counts, 2048, max_docs=2048, max_cost=2048.0**2))
+    assert packing.bins_of(runs) == alone and limit < 64
+    held = defaultdict(int)
+    for length, a, b, first, _ in runs:
+        for k in range(b - a):
+            held[first + k] += 1
+    assert max(held.values()) <= limit and sum(held.values()) == sum(counts.values())
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_packing_places_every_piece(spark, rule):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(odd_docs(spark).selectExpr("doc_id + 1000000 AS doc_id", "text"))
@@ -651,6 +733,31 @@ def test_pipeline_stages_keep_their_columns_and_the_clean(spark, tmp_path):
     assert set(pd.unique(docs.toPandas().doc_id)) == set(texts[3])
 
 
+def test_pipeline_stages_handle_odd_tables(spark, tmp_path):
+    """Nulls, empty texts, repeated rows, a null id, columns named like results; then an empty table."""
+    import corpus_pipeline
+
+    docs = odd_docs(spark)
+    for c in ("_id", "_th", "n_removed", "_kept", "gone"):
+        docs = docs.withColumn(c, F.lit("own"))
+    want = docs.schema
+    names = {"x": ("id", "kept", "n_lines", "p_low"), "own": ("_id", "_th", "n_removed", "_kept", "gone")}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, docs, SF)
+        assert [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in want], name
+        out.write.parquet(str(tmp_path / str(k)))
+        got = spark.read.parquet(str(tmp_path / str(k)))
+        for value, cols in names.items():
+            assert got.where(F.expr(" or ".join(f"`{c}` is distinct from '{value}'" for c in cols))).count() == 0, name
+        if name != "quality":  # whose judgement on such texts is its own
+            docs = got
+    assert {r.doc_id for r in docs.collect()} >= {1, 2, 3, 5, 7, 8} and docs.where("doc_id = 6").count() == 0
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
+
+
 def test_every_operator_is_registered():
     import __spark_entry__ as e
 
