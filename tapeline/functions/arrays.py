@@ -115,14 +115,14 @@ def block_vectors(open_: Column, high: Column, low: Column, close: Column, volum
         def trend(res: Column) -> Column:
             ss_res = total(F.transform(res, lambda x: x * x))
             ss_tot = let(mean(c), lambda m: total(F.transform(c, lambda x: (x - m) * (x - m))))
-            r2 = let(ss_tot, lambda t: F.when(t > 1e-12, 1 - ss_res / t).otherwise(0.0))
+            r2 = 1 - (ss_res / win) / F.greatest(ss_tot / win, F.lit(1e-18))
             top, bottom = F.array_max(high), F.array_min(low)
-            pos = F.when(top - bottom > 1e-12, (last - bottom) / (top - bottom)).otherwise(0.5)
+            pos = (last - bottom) / F.greatest(top - bottom, F.lit(1e-18))
             return F.array((last - c0) / a, r2, pos, (top - bottom) / a)
 
         def vol(v: Column) -> Column:
-            floor_ = let(F.greatest(median(v), F.lit(1e-9)), lambda m: F.transform(v, lambda x: F.ln(F.greatest(x / m, F.lit(1e-12)))))
-            return let(floor_, lambda x: resample(x, win, 8))
+            logs = let(F.greatest(median(v), F.lit(1e-12)), lambda m: F.transform(v, lambda x: F.ln(F.greatest((x + m * 1e-9) / m, F.lit(1e-9)))))
+            return let(logs, lambda x: resample(x, win, 8))
 
         return let(
             detrend(c, win),

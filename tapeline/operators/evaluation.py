@@ -102,48 +102,57 @@ def by_year(periods: DataFrame, schemes: list[str]) -> DataFrame:
     return x.withColumn("positive", sum((F.coalesce(F.col(s), F.lit(0.0)) > 0).cast("int") for s in schemes))
 
 
-def block_bootstrap(periods: DataFrame, order: str, reps: int, block: int, seed: str) -> DataFrame:
-    """Sharpe difference of columns a and b over block resamples: estimate, standard error, two-sided p.
+def block_draws(places: DataFrame, n: DataFrame, reps: int, block: int, seed: str) -> DataFrame:
+    """(rep, places' columns) of ``reps`` resamples: ceil(n / block) blocks that start anywhere and end with the series.
 
-    Each resample takes ceil(n / block) blocks, truncated at n periods. Only (replicate, block) starts are
-    generated; they meet the periods by an equi-join on the place.
+    Only (replicate, block) starts are generated; they meet the periods by an equi-join on the place, which leaves
+    out what lies past the end.
     """
-    x = periods.withColumn("i", F.row_number().over(Window.orderBy(order)) - 1).select("i", "a", "b")  # a row a period
-    n = x.agg(F.count("*").alias("n"))
-    spark = periods.sparkSession
-    draws = spark.range(reps).select(F.col("id").alias("rep")).crossJoin(F.broadcast(n))
+    draws = places.sparkSession.range(reps).select(F.col("id").alias("rep")).crossJoin(F.broadcast(n))  # one row
     draws = draws.select("rep", "n", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block).cast("int") - 1)).alias("j"))
-    start = F.conv(F.substring(hash_order(seed, "rep", "j"), 1, 8), 16, 10).cast("long") % F.greatest(F.col("n") - block + 1, F.lit(1))
-    draws = draws.withColumn("start", start).select("rep", F.explode(F.sequence(F.lit(0), F.least(F.lit(block), F.col("n") - F.col("j") * block).cast("int") - 1)).alias("o"), "start")
-    got = draws.withColumn("i", F.col("start") + F.col("o")).join(x, "i")
-    sharpe = lambda c: F.avg(c) / F.stddev_pop(c)
-    d = got.groupBy("rep").agg((sharpe("a") - sharpe("b")).alias("d"))
-    actual = x.agg((sharpe("a") - sharpe("b")).alias("diff"))
-    s = d.agg(F.stddev_pop("d").alias("se"), (2 * F.least(F.avg((F.col("d") <= 0).cast("double")), F.avg((F.col("d") >= 0).cast("double")))).alias("p"))
+    start = F.conv(F.substring(hash_order(seed, "rep", "j"), 1, 8), 16, 10).cast("long") % F.col("n")
+    draws = draws.select("rep", F.explode(F.sequence(start, start + (block - 1))).alias("i"))
+    return draws.join(places, "i")
+
+
+def block_bootstrap(periods: DataFrame, order: str, reps: int, block: int, seed: str, per_year: float) -> DataFrame:
+    """Difference of the yearly Sharpe ratios of columns b and a: estimate, block-bootstrap standard error, two-sided p.
+
+    A resample in which a column does not vary counts as neither side. No periods: one row of nulls.
+    """
+    x = periods.withColumn("i", F.row_number().over(Window.orderBy(order)) - 1).select("i", "a", "b")  # a row a period
+    n = x.agg(F.count("*").alias("n")).where("n > 0")
+    sharpe = lambda c: F.try_divide(F.avg(c), F.stddev_pop(c)) * per_year**0.5
+    d = block_draws(x, n, reps, block, seed).groupBy("rep").agg((sharpe("b") - sharpe("a")).alias("d"))
+    actual = x.agg((sharpe("b") - sharpe("a")).alias("diff"))
+    side = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
+    s = d.agg(F.stddev_pop("d").alias("se"), (2 * F.least(side(F.col("d") <= 0), side(F.col("d") >= 0))).alias("p"))
     return actual.crossJoin(s)
 
 
 def bootstrap_mean(periods: DataFrame, order: str, reps: int, block: int, seed: str, least: int = 20) -> DataFrame:
-    """Mean of a - b, its block-bootstrap standard error and their ratio; null under ``least`` periods."""
-    x = periods.withColumn("i", F.row_number().over(Window.orderBy(order)) - 1).select("i", (F.col("a") - F.col("b")).alias("d"))
-    n = x.agg(F.count("*").alias("n"))
-    draws = periods.sparkSession.range(reps).select(F.col("id").alias("rep")).crossJoin(F.broadcast(n))
-    draws = draws.select("rep", "n", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block).cast("int") - 1)).alias("j"))
-    start = F.conv(F.substring(hash_order(seed, "rep", "j"), 1, 8), 16, 10).cast("long") % F.greatest(F.col("n") - block + 1, F.lit(1))
-    draws = draws.withColumn("start", start).select("rep", F.explode(F.sequence(F.lit(0), F.least(F.lit(block), F.col("n") - F.col("j") * block).cast("int") - 1)).alias("o"), "start")
-    m = draws.withColumn("i", F.col("start") + F.col("o")).join(x, "i").groupBy("rep").agg(F.avg("d").alias("m"))
-    se = m.agg(F.stddev_pop("m").alias("se"))
+    """Mean of b - a over periods that have both, its block-bootstrap standard error and their ratio; null under
+    ``least`` periods."""
+    both = periods.where("a is not null and b is not null")
+    x = both.withColumn("i", F.row_number().over(Window.orderBy(order)) - 1).select("i", (F.col("b") - F.col("a")).alias("d"))
+    n = x.agg(F.count("*").alias("n")).where("n > 0")
+    se = block_draws(x, n, reps, block, seed).groupBy("rep").agg(F.avg("d").alias("m")).agg(F.stddev_pop("m").alias("se"))
     out = x.agg(F.avg("d").alias("mean"), F.count("*").alias("n")).crossJoin(se)
     ok = F.col("n") >= least
     return out.select(F.when(ok, F.col("mean")).alias("mean"), F.when(ok, F.col("se")).alias("se"), F.when(ok & (F.col("se") > 0), F.col("mean") / F.col("se")).alias("t"))
 
 
 def random_control(rows: DataFrame, key: str, value: str, chosen: str, reps: int, seed: str) -> DataFrame:
-    """The rule's mean against means of random subsets of the same size: its mean, theirs, share below it."""
-    size = rows.agg(F.count_if(chosen).alias("k"), F.avg(F.when(F.col(chosen), F.col(value))).alias("rule"))
-    draws = rows.select(key, value).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    w = Window.partitionBy("rep").orderBy(hash_order(seed, "rep", key), key)
-    draws = draws.withColumn("n", F.row_number().over(w)).crossJoin(F.broadcast(size)).where("n <= k")
+    """The rule's mean against means of random subsets of the same size: its mean, theirs, share below it.
+
+    Before a replicate's rows are sorted, a hash bound that holds as many as are wanted (but for odds of about 1e-9)
+    leaves the others out.
+    """
+    size = rows.agg(F.count_if(chosen).alias("k"), F.count("*").alias("total"), F.avg(F.when(F.col(chosen), F.col(value))).alias("rule"))
+    draws = rows.select(key, value).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).crossJoin(F.broadcast(size))
+    draws = draws.withColumn("o", hash_order(seed, "rep", key))
+    draws = draws.where(F.conv(F.substring("o", 1, 8), 16, 10).cast("double") / 2**32 <= (F.col("k") + 6 * F.sqrt("k") + 20) / F.col("total"))
+    draws = draws.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("o", key))).where("n <= k")
     means = draws.groupBy("rep").agg(F.avg(value).alias("m"), F.first("rule").alias("rule"))
     return means.agg(F.first("rule").alias("rule"), F.avg("m").alias("control"), F.avg((F.col("m") < F.col("rule")).cast("double")).alias("rank"))
 

@@ -11,48 +11,60 @@ def by_time() -> WindowSpec:
     return Window.partitionBy("symbol").orderBy("open_time")
 
 
-def wicks(bars: DataFrame, levels: tuple[float, ...], side: str = "down", recover: float = 0.5, least_qv: float = 0.0, warm_up: int = 60, horizons: tuple[int, ...] = (15, 60, 240)) -> DataFrame:
-    """One row for each bar and level that its wick reaches, from the close before; horizons end with the series.
-
-    A bar needs one before and one after it, warm_up bars before, and volume of least_qv. recover is the share
-    of the wick that the close wins back, 1 where there is none.
+def wicks(bars: DataFrame, levels: tuple[float, ...], sides: tuple[str, ...] = ("down", "up"), recover: float = 0.5, least_qv: float = 0.0, warm_up: int = 60, horizons: tuple[int, ...] = (15, 60, 240)) -> DataFrame:
+    """One row for each bar, side and level that its wick reaches, measured from the close before.
+
+    entry is the wick's extreme. Outcomes over each horizon (cut at the end of the series) are relative to entry, as
+    of a purchase there (down) or a sale (up): best and worst move, move at the end; back is the end relative to the
+    close before. recover is the share of the wick that the close wins back, 1 where there is none. A bar needs a bar
+    after it, warm_up bars before, volume of least_qv, a positive close before and a positive extreme. Null or
+    non-finite prices give no event; no rows in, no rows out.
     """
-    pc = F.coalesce(F.lag("close").over(by_time()), F.col("open"))
-    b = bars.withColumn("pre_close", pc).withColumn("rn", F.row_number().over(by_time()) - 1).withColumn("next", F.lead("close").over(by_time()))
-    extreme = F.col("low") if side == "down" else F.col("high")
-    dev = F.try_divide(F.col("pre_close") - F.col("low"), F.col("pre_close")) if side == "down" else F.try_divide(F.col("high") - F.col("pre_close"), F.col("pre_close"))
-    depth = F.abs(F.col("pre_close") - extreme)
-    back = F.abs(F.col("close") - extreme)
-    cols = {"dev": dev, "recover": F.when(depth > 0, back / depth).otherwise(1.0)}
+    pre = F.col("pre_close")
+    b = bars.withColumn("pre_close", F.coalesce(F.lag("close").over(by_time()), F.col("open"))).withColumn("rn", F.row_number().over(by_time()) - 1)
+    cols = {"next": F.lead("close").over(by_time())}
     for h in horizons:
         w = by_time().rowsBetween(1, h)
-        cols |= {f"mfe_{h}": F.try_divide(F.max("high").over(w), F.col("close")) - 1, f"mae_{h}": F.try_divide(F.min("low").over(w), F.col("close")) - 1, f"ret_{h}": F.try_divide(F.last("close").over(w), F.col("close")) - 1}
-    b = b.withColumns(cols).where(F.col("next").isNotNull() & (F.col("rn") >= warm_up) & (F.col("qv") >= least_qv))
-    hit = F.filter(F.array(*[F.lit(float(x)) for x in levels]), lambda x: x <= F.col("dev"))
-    keep = ["symbol", "open_time", "pre_close", "close", "qv", "dev", "recover", *(f"{k}_{h}" for h in horizons for k in ("mfe", "mae", "ret"))]
-    return b.withColumn("level", F.explode(hit)).select(*keep, "level", (F.col("recover") >= recover).alias("rec_ok"))
+        cols |= {f"_h{h}": F.max("high").over(w), f"_l{h}": F.min("low").over(w), f"_c{h}": F.last("close").over(w)}
+    b = b.withColumns(cols).where(F.col("next").isNotNull() & (F.col("rn") >= warm_up) & (F.col("qv") >= least_qv) & (pre > 0))
+
+    def one(side: str) -> Column:
+        sign = 1 if side == "down" else -1
+        entry = F.col("low" if side == "down" else "high")
+        depth = sign * (pre - entry)
+        fields = [F.lit(side).alias("side"), entry.alias("entry"), (depth / pre).alias("dev"), F.when(depth > 0, sign * (F.col("close") - entry) / depth).otherwise(1.0).alias("recover")]
+        for h in horizons:
+            best, worst = (f"_h{h}", f"_l{h}") if side == "down" else (f"_l{h}", f"_h{h}")
+            move = lambda c: F.try_divide(sign * (F.col(c) - entry), entry)  # noqa: B023, E731
+            fields += [move(best).alias(f"mfe_{h}"), move(worst).alias(f"mae_{h}"), move(f"_c{h}").alias(f"ret_{h}"), (sign * (F.col(f"_c{h}") - pre) / pre).alias(f"back_{h}")]
+        return F.struct(*fields)
+
+    x = b.select("symbol", "open_time", "pre_close", "close", "qv", F.inline(F.array(*map(one, sides))))
+    x = x.where((F.col("entry") > 0) & (F.col("entry") < float("inf")) & ~F.isnan("dev"))
+    hit = F.filter(F.array(*[F.lit(float(v)) for v in levels]), lambda v: v <= F.col("dev"))
+    return x.withColumn("level", F.explode(hit)).withColumn("rec_ok", F.col("recover") >= recover)
 
 
 def market_wide(events: DataFrame, step_ms: int, reach: int = 2, least: int = 5, distinct: bool = False) -> DataFrame:
-    """Flags events with ``least`` events (or symbols) of their level within ``reach`` steps either side.
+    """Flags events with ``least`` events (or symbols) of their side and level within ``reach`` steps either side.
 
-    Counted by minute first, so a window sees one row for each step and level.
+    Counted by minute first, so a window sees one row for each step, side and level.
     """
-    e = events.withColumn("slot", F.expr(f"open_time div {step_ms}L"))
+    e, by = events.withColumn("slot", F.expr(f"open_time div {step_ms}L")), ["side", "level"]
     if distinct:
-        near = e.select("level", "symbol", F.explode(F.sequence(F.col("slot") - reach, F.col("slot") + reach)).alias("slot")).distinct()
-        n = near.groupBy("level", "slot").agg(F.count("*").alias("around"))
+        near = e.select(*by, "symbol", F.explode(F.sequence(F.col("slot") - reach, F.col("slot") + reach)).alias("slot")).distinct()
+        n = near.groupBy(*by, "slot").agg(F.count("*").alias("around"))
     else:
-        per = e.groupBy("level", "slot").agg(F.count("*").alias("k"))
-        n = per.select("level", "slot", F.sum("k").over(Window.partitionBy("level").orderBy("slot").rangeBetween(-reach, reach)).alias("around"))
-    return e.join(n, ["level", "slot"]).withColumn("mw", F.col("around") >= least).drop("slot")
+        per = e.groupBy(*by, "slot").agg(F.count("*").alias("k"))
+        n = per.select(*by, "slot", F.sum("k").over(Window.partitionBy(*by).orderBy("slot").rangeBetween(-reach, reach)).alias("around"))
+    return e.join(n, [*by, "slot"]).withColumn("mw", F.col("around") >= least).drop("slot")
 
 
 def compare(events: DataFrame, flag: str, horizon: int) -> DataFrame:
-    """By level and flag: number, mean and median return, medians of best and worst move, share of gains."""
+    """By side, level and flag: number, mean (cut at 100 %) and median return, medians of best and worst move, share of gains."""
     r = F.col(f"ret_{horizon}")
     half = lambda c: F.percentile(c, F.lit(0.5))
-    return events.groupBy("level", flag).agg(
+    return events.groupBy("side", "level", flag).agg(
         F.count("*").alias("n"), F.avg(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r))).alias("mean_ret"), half(r).alias("median_ret"), half(f"mfe_{horizon}").alias("median_mfe"), half(f"mae_{horizon}").alias("median_mae"), F.avg((r > 0).cast("double")).alias("gains")
     )
 
@@ -86,23 +98,32 @@ def non_overlapping(candidates: DataFrame, hold: int, by: list[str] | None = Non
     return rows.select(*by, F.inline(F.aggregate("r", start, step, lambda s: s["kept"])))
 
 
-def trade_summary(trades: DataFrame, by: list[str]) -> DataFrame:
-    """Number, mean and median return, medians of best and worst move, wins, longest losing run, span."""
+def spans(bars: DataFrame, ref_bars: int) -> DataFrame:
+    """symbol, span_ms: from the first bar with ref_bars before it to the last; symbols with fewer bars are absent."""
+    x = bars.withColumn("rn", F.row_number().over(by_time()) - 1)
+    return x.groupBy("symbol").agg((F.max("open_time") - F.min(F.when(F.col("rn") == ref_bars, F.col("open_time")))).alias("span_ms")).where("span_ms is not null")
+
+
+def trade_summary(trades: DataFrame, by: list[str], usable: DataFrame) -> DataFrame:
+    """Number, mean and median return, medians of best and worst move, wins, longest losing run, and span_ms, the
+    time in which trades were possible (usable: symbol, span_ms; see spans)."""
     w = Window.partitionBy(*by).orderBy("t0")
     x = trades.withColumn("g", F.sum((F.col("ret") >= 0).cast("int")).over(w))
     runs = x.groupBy(*by, "g").agg(F.count_if(F.col("ret") < 0).alias("k")).groupBy(*by).agg(F.max("k").alias("losing_run"))
     half = lambda c: F.percentile(c, F.lit(0.5))
     s = trades.groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg("ret").alias("mean_ret"), half("ret").alias("median_ret"), half("mfe").alias("median_mfe"), half("mae").alias("median_mae"), F.count_if(F.col("ret") > 0).alias("wins"), (F.max("t0") - F.min("t0")).alias("span_ms")
+        F.count("*").alias("n"), F.avg("ret").alias("mean_ret"), half("ret").alias("median_ret"), half("mfe").alias("median_mfe"), half("mae").alias("median_mae"), F.count_if(F.col("ret") > 0).alias("wins")
     )
-    return s.join(runs, by)
+    return s.join(runs, by).join(usable, "symbol")
 
 
-def cost_ladder(summary: DataFrame, fee: float = 0.002, slip: float = 0.0025) -> DataFrame:
-    """Mean of the symbols' means before costs, after fees, after slippage as well, and yearly frequency."""
+def cost_ladder(summary: DataFrame, fee: float = 0.002, slip: float = 0.0025, keep: float = 1.0) -> DataFrame:
+    """Mean of the symbols' means before costs, after fees, after slippage as well; trades a symbol and year; and
+    the product: frequency, net expectation and the share of trades kept."""
     year = 365 * 86_400_000
     m = F.avg("mean_ret")
-    return summary.agg(m.alias("raw"), (m - fee).alias("after_fee"), (m - fee - slip).alias("after_all"), F.sum("n").alias("trades"), F.when(F.sum("span_ms") > 0, F.sum("n") / (F.sum("span_ms") / year)).alias("per_year"))
+    rate = F.when(F.sum("span_ms") > 0, F.sum("n") / (F.sum("span_ms") / year))
+    return summary.agg(m.alias("raw"), (m - fee).alias("after_fee"), (m - fee - slip).alias("after_all"), F.sum("n").alias("trades"), rate.alias("per_year"), (rate * (m - fee - slip) * keep).alias("annual"))
 
 
 def tails(trades: DataFrame, by: list[str], tie: str = "t0") -> DataFrame:
@@ -136,33 +157,66 @@ def random_entries(bars: DataFrame, trades: DataFrame, hold: int, times: int, se
     return r.join(held, "symbol")
 
 
-def fills(orders: DataFrame, ticks: DataFrame, before_us: int, after_us: int) -> DataFrame:
-    """First tick at or under each order's limit in [t - before, t + after], the worse of limit and price, slippage.
+def near_ticks(orders: DataFrame, ticks: DataFrame, begin: Column, end: Column, span: int) -> DataFrame:
+    """Orders with each tick of a positive price from begin to end (microseconds, at most span apart).
 
-    Orders meet ticks by (symbol, bucket of the whole span), so only ticks near an order are joined.
+    Both meet by (symbol, bucket of span), so only ticks near an order are joined.
     """
-    span = before_us + after_us
-    o = orders.withColumn("_b", F.explode(F.array_distinct(F.expr(f"array((t - {before_us}L) div {span}L, (t + {after_us}L) div {span}L)"))))
-    k = ticks.where("price > 0").withColumn("_b", F.expr(f"us div {span}L")).select("symbol", "_b", "us", "id", "price")
-    near = o.join(k, ["symbol", "_b"]).where(f"us between t - {before_us}L and t + {after_us}L and price <= `limit`")
-    first = near.groupBy("symbol", "t", "limit").agg(F.min_by("price", F.struct("us", "id")).alias("touch"), F.min("us").alias("fill_us"))
-    worse = F.least("limit", "touch")
-    return first.select("symbol", "t", "limit", "fill_us", worse.alias("fill"), (F.try_divide(F.col("limit"), worse) - 1).alias("slippage"))
-
-
-def after_fill(fill: DataFrame, ticks: DataFrame, horizons: tuple[int, ...], span_us: int) -> DataFrame:
-    """Best, worst (at most 0) and end move over the next h ticks, and microseconds until the price is back at the limit."""
-    b = fill.withColumn("_b", F.explode(F.array_distinct(F.expr(f"array(fill_us div {span_us}L, (fill_us + {span_us}L) div {span_us}L)"))))
-    k = ticks.where("price > 0").withColumn("_b", F.expr(f"us div {span_us}L")).select("symbol", "_b", "us", "id", "price")
-    near = b.join(k, ["symbol", "_b"]).where(f"us > fill_us and us <= fill_us + {span_us}L")
-    near = near.withColumn("n", F.row_number().over(Window.partitionBy("symbol", "t").orderBy("us", "id")))
-    move = F.try_divide(F.col("price"), F.col("fill")) - 1
+    lo, hi = F.floor(begin / span).cast("long"), F.floor(end / span).cast("long")
+    o = orders.withColumn("_b", F.explode(F.sequence(lo, hi)))
+    k = ticks.where("price > 0").select("symbol", F.expr(f"us div {span}L").alias("_b"), "us", "id", "price")
+    return o.join(k, ["symbol", "_b"]).where((F.col("us") >= begin) & (F.col("us") <= end)).drop("_b")
+
+
+def fills(orders: DataFrame, ticks: DataFrame, before_us: int, after_us: int, least: int = 60, max_dev: float = 0.6) -> DataFrame:
+    """Whether, when and at what price each order is filled: at the first tick in [t - before, t + after] at or past
+    its limit, at the worse of limit and price; slippage is what that loses, as a share of the limit.
+
+    orders: symbol, side ("down": a purchase under the price, "up": a sale above it), t, limit, dev. All orders come
+    back; reason tells why one is not filled: too_far (dev above max_dev), few_ticks (under least), untouched.
+    Ticks without a positive price are left out before they are counted.
+    """
+    buy = F.col("side") == "down"
+    near = near_ticks(orders, ticks, F.col("t") - before_us, F.col("t") + after_us, before_us + after_us)
+    hit = F.when(buy, F.col("price") <= F.col("limit")).otherwise(F.col("price") >= F.col("limit"))
+    key = ["symbol", "side", "t", "limit"]
+    got = near.groupBy(*key).agg(F.count("*").alias("seen"), F.min(F.when(hit, F.struct("us", "id", "price"))).alias("first"))
+    x = orders.join(got, key, "left")
+    reason = F.when(F.col("dev") > max_dev, "too_far").when(F.coalesce("seen", F.lit(0)) < least, "few_ticks").when(F.col("first").isNull(), "untouched").otherwise("")
+    x = x.withColumn("reason", reason).withColumn("filled", F.col("reason") == "")
+    done = lambda c: F.when(F.col("filled"), c)
+    x = x.withColumn("fill", done(F.when(buy, F.least("limit", "first.price")).otherwise(F.greatest("limit", "first.price"))))
+    slip = F.try_divide(F.when(buy, F.col("limit") - F.col("fill")).otherwise(F.col("fill") - F.col("limit")), F.col("limit"))
+    return x.select(*orders.columns, "filled", "reason", done(F.col("first.us")).alias("fill_us"), done(F.col("first.id")).alias("fill_id"), "fill", slip.alias("slippage"))
+
+
+def after_fill(fill: DataFrame, ticks: DataFrame, horizons: tuple[int, ...], after_us: int, deep: int = 60) -> DataFrame:
+    """For each filled order, over its next h ticks up to t + after_us: best and worst (at most 0) move and move at
+    the end, all in the order's favour; recovery_us until the price is back at pre, the one before the event; and
+    deep_ticks, how many of the first ``deep`` ticks from the fill on are no better than the limit.
+
+    fill: filled rows of fills() with pre. Fewer ticks than h: what there is; none after the fill: null moves.
+    """
+    buy = F.col("side") == "down"
+    near = near_ticks(fill.where("filled"), ticks, F.col("fill_us"), F.col("t") + after_us, after_us)
+    near = near.where((F.col("us") > F.col("fill_us")) | (F.col("id") >= F.col("fill_id")))
+    key = ["symbol", "side", "t", "limit"]
+    near = near.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy("us", "id")) - 1)
+    move = F.try_divide(F.when(buy, F.col("price") - F.col("fill")).otherwise(F.col("fill") - F.col("price")), F.col("fill"))
     cols = []
     for h in horizons:
-        inside = F.col("n") <= h
-        cols += [F.max(F.when(inside, move)).alias(f"mfe_{h}"), F.least(F.lit(0.0), F.min(F.when(inside, move))).alias(f"mae_{h}"), F.max_by(F.when(inside, move), F.when(inside, F.col("n"))).alias(f"ret_{h}")]
-    back = (F.min(F.when(F.col("price") >= F.col("limit"), F.col("us"))) - F.first("fill_us")).alias("recovery_us")
-    return near.groupBy("symbol", "t").agg(*cols, back)
+        inside = F.col("n").between(1, h)
+        worst = F.min(F.when(inside, move))
+        cols += [F.max(F.when(inside, move)).alias(f"mfe_{h}"), F.when(worst.isNotNull(), F.least(F.lit(0.0), worst)).alias(f"mae_{h}"), F.max_by(F.when(inside, move), F.when(inside, F.col("n"))).alias(f"ret_{h}")]
+    back = F.when(buy, F.col("price") >= F.col("pre")).otherwise(F.col("price") <= F.col("pre"))
+    poor = F.when(buy, F.col("price") <= F.col("limit")).otherwise(F.col("price") >= F.col("limit"))
+    cols += [(F.min(F.when(back, F.col("us"))) - F.first("fill_us")).alias("recovery_us"), F.count_if(poor & (F.col("n") < deep)).alias("deep_ticks")]
+    return near.groupBy(*key).agg(*cols)
+
+
+def reasons(fill: DataFrame) -> DataFrame:
+    """How many orders of each side were filled, and why the others were not."""
+    return fill.groupBy("side", F.when(F.col("filled"), "filled").otherwise(F.col("reason")).alias("what")).agg(F.count("*").alias("n"))
 
 
 def first_touch(ticks: DataFrame, hours: DataFrame, step_us: int, stops: tuple[float, ...], targets: tuple[float, ...], least: int) -> DataFrame:
@@ -202,36 +256,130 @@ def ambiguity(outcomes: DataFrame) -> DataFrame:
 
 
 def breadth(bars: DataFrame, drop: float = -0.02) -> DataFrame:
-    """For each time: symbols that fell by more than drop, symbols that traded, their ratio."""
+    """For each time: symbols that fell by more than drop, symbols that traded, their ratio (null where none did)."""
     b = bars.withColumn("ret", F.coalesce(F.try_divide(F.col("close"), F.lag("close").over(by_time())) - 1, F.lit(0.0)))
     g = b.groupBy("open_time").agg(F.count_if(F.col("ret") < drop).alias("falling"), F.count_if(F.col("qv") > 0).alias("trading"))
-    return g.withColumn("share", F.when(F.col("trading") > 0, F.col("falling") / F.col("trading")).otherwise(0.0))
+    return g.withColumn("share", F.try_divide("falling", "trading"))
+
+
+#: What rules look at: each cuts off one end, at the quantile p of the past, or 1 - p for breadth.
+RULE_FEATURES = {"vol": False, "drop": False, "breadth": True, "breadth_pct": True}
+#: The rules: which features a trade must pass.
+RULES = {
+    "calm": ("vol",),
+    "deep": ("drop",),
+    "together": ("breadth_pct",),
+    "together_count": ("breadth",),
+    "calm_deep": ("vol", "drop"),
+    "all": ("vol", "drop", "breadth_pct"),
+}
+FEE, SLIP = 0.002, 0.0025
+
+
+def thresholds(trades: DataFrame, p: float = 0.75, by: str | None = None) -> DataFrame:
+    """th_<feature>: the quantile p (1 - p for breadth, linear) over all trades or for each value of ``by``."""
+    aggs = [F.percentile(f, F.lit(1 - p if above else p)).alias(f"th_{f}") for f, above in RULE_FEATURES.items()]
+    aggs.append(F.count("*").alias("past"))
+    return trades.groupBy(by).agg(*aggs) if by else trades.agg(*aggs)
 
 
-def thresholds(trades: DataFrame, features: dict[str, float], by: str | None = None) -> DataFrame:
-    """Quantile of each feature (linear), over all trades or for each value of ``by``."""
-    aggs = [F.percentile(f, F.lit(q)).alias(f"th_{f}") for f, q in features.items()]
-    return trades.groupBy(by).agg(*aggs) if by else trades.agg(*aggs)
+def passes(rule: str) -> Column:
+    """Whether a trade (features and thresholds in one row) is kept: under the thresholds of volatility and drop, at
+    or above those of breadth."""
+    out = None
+    for f in RULES[rule]:
+        one = F.col(f) >= F.col(f"th_{f}") if RULE_FEATURES[f] else F.col(f) < F.col(f"th_{f}")
+        out = one if out is None else out & one
+    return F.coalesce(out, F.lit(False))
+
 
+def masks(trades: DataFrame, th: DataFrame, on: Column | None = None) -> DataFrame:
+    """Each trade once for each rule: rule, keep. th: one row, or a row a group with the condition that joins it."""
+    x = trades.crossJoin(F.broadcast(th)) if on is None else trades.join(F.broadcast(th), on)
+    return x.select("*", F.inline(F.array(*[F.struct(F.lit(r).alias("rule"), passes(r).alias("keep")) for r in RULES])))
 
-def walk_forward(trades: DataFrame, features: dict[str, float], least_past: int, least_now: int, least_kept: int, loss: float) -> DataFrame:
-    """Expanding windows: each year's thresholds from all years before, applied to it.
 
-    trades: year, ret and the features. Years with fewer rows are left out. One row for each year and rule:
-    rows kept, their mean return and big-loss rate beside those of all rows.
+def control(pool: DataFrame, by: list[str], id_col: str, loss: float, reps: int, seed: str) -> DataFrame:
+    """For each group of pool (id, ret, keep): the big-loss rate and net mean of ``reps`` random subsets as large as
+    what is kept: medians, the best twentieth of loss rates, and the share of subsets with fewer big losses than kept.
+
+    Subsets follow md5(seed-replicate-id), the same in any engine. Groups that keep all have no control.
     """
-    years = trades.select("year").distinct()
-    past = trades.join(F.broadcast(years.withColumnRenamed("year", "y")), F.col("year") < F.col("y"))  # a row a year
-    aggs = [F.percentile(f, F.lit(q)).alias(f"th_{f}") for f, q in features.items()]
-    th = past.groupBy("y").agg(F.count("*").alias("past"), *aggs).where(F.col("past") >= least_past)
-    now = trades.join(F.broadcast(th), F.col("year") == F.col("y"))
-    rules = F.array(*[F.struct(F.lit(f).alias("rule"), (F.col(f) >= F.col(f"th_{f}")).alias("keep")) for f in features])
-    now = now.select("year", "ret", F.inline(rules))
-    bad = (F.col("ret") <= loss).cast("double")
-    g = now.groupBy("year", "rule").agg(
-        F.count("*").alias("n"), F.count_if("keep").alias("kept"), F.avg("ret").alias("base_ret"), F.avg(F.when(F.col("keep"), F.col("ret"))).alias("rule_ret"), F.avg(bad).alias("base_loss"), F.avg(F.when(F.col("keep"), bad)).alias("rule_loss")
+    n = pool.groupBy(*by).agg(F.count("*").alias("_n"), F.count_if("keep").alias("_k"), F.avg(F.when(F.col("keep"), (F.col("ret") <= loss).cast("double"))).alias("_loss"))
+    n = n.where((F.col("_k") > 0) & (F.col("_k") < F.col("_n")))
+    x = pool.select(*by, id_col, "ret").join(n, by).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    order = F.md5(F.concat_ws("-", F.lit(seed), F.col("rep").cast("string"), F.col(id_col).cast("string")))
+    # a share of the hashes that holds the _k least but for odds of about 1e-9, before anything is sorted
+    share = (F.col("_k") + 6 * F.sqrt("_k") + 20) / F.col("_n")
+    x = x.withColumn("_o", order).where(F.conv(F.substring("_o", 1, 8), 16, 10).cast("double") / 2**32 <= share)
+    x = x.withColumn("_i", F.row_number().over(Window.partitionBy(*by, "rep").orderBy("_o", id_col))).where("_i <= _k")
+    per = x.groupBy(*by, "rep").agg(F.avg((F.col("ret") <= loss).cast("double")).alias("bl"), F.avg(F.col("ret") - FEE - SLIP).alias("net"), F.first("_loss").alias("_loss"))
+    half = lambda c, q=0.5: F.percentile(c, F.lit(q))
+    return per.groupBy(*by).agg(half("bl").alias("control_loss"), half("bl", 0.05).alias("control_loss_p05"), half("net").alias("control_net"), F.avg((F.col("bl") < F.col("_loss")).cast("double")).alias("rank"))
+
+
+def judged(pool: DataFrame, by: list[str], loss: float) -> DataFrame:
+    """For each group of trades with keep: sizes, net means, big-loss rates and lower tails of all and of those kept."""
+    bad, net, r = (F.col("ret") <= loss).cast("double"), F.col("ret") - FEE - SLIP, F.when(F.col("keep"), F.col("ret"))
+    return pool.groupBy(*by).agg(
+        F.count("*").alias("n"),
+        F.count_if("keep").alias("kept"),
+        F.avg(net).alias("base_net"),
+        F.avg(F.when(F.col("keep"), net)).alias("rule_net"),
+        F.avg(bad).alias("base_loss"),
+        F.avg(F.when(F.col("keep"), bad)).alias("rule_loss"),
+        F.when(F.count_if("keep") >= 20, F.percentile(r, F.lit(0.05))).alias("rule_q05"),
     )
-    return g.where((F.col("n") >= least_now) & (F.col("kept") >= least_kept)).withColumn("inactive", F.col("kept") >= 0.995 * F.col("n"))
+
+
+def split_eval(trades: DataFrame, last_in: int, id_col: str, loss: float, reps: int, seed: str, least: int = 200, least_kept: int = 50) -> DataFrame:
+    """Every rule, its thresholds from trades up to the year last_in, on the trades after it, beside random subsets of
+    the same size. A rule that keeps 99.5 % is flagged inactive. Fewer than ``least`` trades on a side: no rows."""
+    inside, out = trades.where(F.col("year") <= last_in), trades.where(F.col("year") > last_in)
+    th = thresholds(inside).where(F.col("past") >= least)
+    pool = masks(out, th)
+    x = judged(pool, ["rule"], loss).where((F.col("n") >= least) & (F.col("kept") >= least_kept))
+    return x.join(control(pool, ["rule"], id_col, loss, reps, seed), "rule", "left").withColumn("inactive", F.col("kept") >= 0.995 * F.col("n"))
+
+
+def walk_forward(trades: DataFrame, least_past: int, least_now: int, least_kept: int, loss: float, id_col: str, reps: int, seed: str, rule: str = "all") -> DataFrame:
+    """Expanding windows: each year's thresholds from all years before, the combined rule applied to it, beside random
+    subsets of the same size. Years with fewer rows, and years of which the rule keeps 99.5 %, are left out."""
+    years = trades.select(F.col("year").alias("y")).distinct()
+    past = trades.join(F.broadcast(years), F.col("year") < F.col("y"))  # a row a year
+    th = thresholds(past, by="y").where(F.col("past") >= least_past)
+    pool = trades.join(F.broadcast(th), F.col("year") == F.col("y")).withColumn("keep", passes(rule))
+    return _tested(pool, ["year"], least_now, least_kept, loss, id_col, reps, seed)
+
+
+def cut_grid(trades: DataFrame, cuts: tuple[int, ...], ahead: int, least_past: int, least_now: int, least_kept: int, loss: float, id_col: str, reps: int, seed: str, rule: str = "all") -> DataFrame:
+    """For each cut, thresholds from the years up to it, tested on the ``ahead`` years after it: does the finding hang
+    on one cut? verdict: beats (fewer big losses than the best twentieth of random subsets), better, no."""
+    spark = trades.sparkSession
+    cut = spark.createDataFrame([(c,) for c in cuts], "cut int")
+    th = thresholds(trades.join(F.broadcast(cut), F.col("year") <= F.col("cut")), by="cut").where(F.col("past") >= least_past)
+    pool = trades.join(F.broadcast(th), (F.col("year") > F.col("cut")) & (F.col("year") <= F.col("cut") + ahead)).withColumn("keep", passes(rule))
+    x = _tested(pool, ["cut"], least_now, least_kept, loss, id_col, reps, seed)
+    return x.withColumn("verdict", F.when(F.col("rule_loss") < F.col("control_loss_p05"), "beats").when(F.col("rule_loss") < F.col("control_loss"), "better").otherwise("no"))
+
+
+def _tested(pool: DataFrame, by: list[str], least_now: int, least_kept: int, loss: float, id_col: str, reps: int, seed: str) -> DataFrame:
+    x = judged(pool, by, loss).where((F.col("n") >= least_now) & (F.col("kept") >= least_kept) & (F.col("kept") < 0.995 * F.col("n")))
+    return x.join(control(pool, by, id_col, loss, reps, seed), by)
+
+
+def candidate_filters(trades: DataFrame, loss: float, per_year: float, least: int = 30) -> DataFrame:
+    """Filters that drop one end of a feature (at the quartile of all trades), alone and combined: trades left, net
+    mean, big-loss rate, lower tail, yearly return; best has the greatest yearly return, safest the fewest big losses."""
+    edges = trades.agg(*[F.percentile(f, F.lit(0.75)).alias(f"e_{f}") for f in ("vol", "below", "drop", "vol_ratio", "breadth")], F.count("*").alias("_n"))
+    under = lambda f: F.col(f) < F.col(f"e_{f}")
+    crowd = F.col("breadth") > F.col("e_breadth")
+    kinds = {"none": F.lit(True), "calm": under("vol"), "far_from_high": under("below"), "deep": under("drop"), "quiet_volume": under("vol_ratio"), "crowd": crowd, "crowd_calm": crowd & under("vol"), "calm_deep": under("vol") & under("drop")}
+    x = trades.crossJoin(F.broadcast(edges)).select("ret", "_n", F.inline(F.array(*[F.struct(F.lit(k).alias("filter"), F.coalesce(c, F.lit(False)).alias("keep")) for k, c in kinds.items()]))).where("keep")
+    net = F.avg(F.col("ret") - FEE - SLIP)
+    g = x.groupBy("filter").agg(F.count("*").alias("n"), net.alias("net"), F.avg((F.col("ret") <= loss).cast("double")).alias("big_loss"), F.percentile("ret", F.lit(0.05)).alias("q05"), (net * per_year * F.count("*") / F.first("_n")).alias("annual")).where(F.col("n") >= least)
+    w = Window.partitionBy(F.lit(1))  # a row a filter
+    return g.withColumn("best", F.col("filter") == F.max_by("filter", F.struct("annual", "filter")).over(w)).withColumn("safest", F.col("filter") == F.min_by("filter", F.struct("big_loss", "filter")).over(w))
 
 
 def extremes(trades: DataFrame, features: list[str], loss: float) -> DataFrame:
@@ -245,11 +393,3 @@ def extremes(trades: DataFrame, features: list[str], loss: float) -> DataFrame:
         r = x.agg(F.lit(f).alias("feature"), F.avg(F.when(F.col(f) <= F.get(e, F.lit(0)), bad)).alias("low_quarter"), F.avg(F.when(F.col(f) >= F.get(e, F.lit(1)), bad)).alias("high_quarter"))
         out = r if out is None else out.unionByName(r)
     return out
-
-
-def split_eval(trades: DataFrame, rule: Column, last_in: int, loss: float, least: int) -> DataFrame:
-    """In-sample and out-of-sample size, big-loss rate and mean of a rule's trades beside all trades."""
-    x = trades.withColumn("side", F.when(F.col("year") <= last_in, "in").otherwise("out")).withColumn("keep", rule)
-    bad = (F.col("ret") <= loss).cast("double")
-    g = x.groupBy("side").agg(F.count("*").alias("n"), F.count_if("keep").alias("kept"), F.avg(bad).alias("base_loss"), F.avg(F.when(F.col("keep"), bad)).alias("rule_loss"), F.avg(F.when(F.col("keep"), F.col("ret"))).alias("rule_ret"))
-    return g.where(F.col("n") >= least)

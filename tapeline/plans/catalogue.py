@@ -325,7 +325,7 @@ def knn_same_symbol_half(spark, d):
 @query
 def knn_dedup_greedy(spark, d):
     q, lib = _window_sets(spark, d)
-    found = K.top(K.distances(q, lib), 60, ["q_symbol", "q_t0"], ["c_symbol", "c_t0"])
+    found = K.top(K.distances(q, lib), 500, ["q_symbol", "q_t0"], ["c_symbol", "c_t0"])
     return rounded(K.greedy(found, 10, ["q_symbol", "q_t0"]), "dist")
 
 
@@ -333,7 +333,7 @@ def knn_dedup_greedy(spark, d):
 def dist_random_scale(spark, d):
     v = S.vectors(spark, d)
     order = lambda s: F.md5(F.concat_ws("-", F.lit(s), F.col("id").cast("string")))
-    q, c = v.orderBy(order("q"), "id").limit(24), v.orderBy(order("c"), "id").limit(300)  # a sampling operator
+    q, c = v.orderBy(order("q"), "id").limit(24), v.orderBy(order("c"), "id").limit(3000)  # a sampling operator
     per = K.distances(q, c).groupBy("q_id").agg(F.percentile(F.sqrt("dist"), F.lit(0.5)).alias("m"))
     return per.agg(R(F.percentile("m", F.lit(0.5))).alias("scale"))
 
@@ -526,23 +526,23 @@ def by_year(spark, d):
 
 @query
 def block_bootstrap_sharpe(spark, d):
-    return rounded(E.block_bootstrap(_periods(spark, d), "g", 200, 10, "bst"), "diff", "se", "p")
+    return rounded(E.block_bootstrap(_periods(spark, d), "g", 1000, 10, "bst", 52.0), "diff", "se", "p")
 
 
 @query
 def block_bootstrap_mean(spark, d):
-    return rounded(E.bootstrap_mean(_periods(spark, d), "g", 200, 10, "bsm"), "mean", "se", "t")
+    return rounded(E.bootstrap_mean(_periods(spark, d), "g", 2000, 10, "bsm"), "mean", "se", "t")
 
 
 @query
 def random_control(spark, d):
     t = _trades(spark, d).withColumn("id", F.concat_ws("-", "symbol", F.col("t0").cast("string"))).withColumn("pick", F.col("mae") > -0.9)
-    return rounded(E.random_control(t, "id", "ret", "pick", 50, "rc"), "rule", "control", "rank")
+    return rounded(E.random_control(t, "id", "ret", "pick", 400, "rc"), "rule", "control", "rank")
 
 
 @query
 def random_k_portfolio(spark, d):
-    return rounded(E.random_portfolio(_cells(spark, d), "g", "sym", "ret", 5, 20, "rk"), "mean", "sd")
+    return rounded(E.random_portfolio(_cells(spark, d), "g", "sym", "ret", 5, 300, "rk"), "mean", "sd")
 
 
 @query
@@ -554,23 +554,23 @@ def perm_control(spark, d):
 
 
 def _wicks(spark, d):
-    return V.wicks(S.bars(spark, d), (0.5, 0.8, 0.95), "down", 0.5, 100.0, 60, (15, 60))
+    return V.wicks(S.bars(spark, d), (0.5, 0.8, 0.95), ("down", "up"), 0.5, 100.0, 60, (15, 60))
 
 
 @query
 def wick_events(spark, d):
-    cols = ["pre_close", "dev", "recover", "mfe_15", "mae_15", "ret_15"]
-    return rounded(_wicks(spark, d).select("symbol", "open_time", "level", "rec_ok", *cols), *cols)
+    cols = ["entry", "pre_close", "dev", "recover", *(f"{k}_{h}" for h in (15, 60) for k in ("mfe", "mae", "ret", "back"))]
+    return rounded(_wicks(spark, d).select("symbol", "side", "open_time", "level", "rec_ok", *cols), *cols)
 
 
 @query
 def wick_marketwide(spark, d):
-    return V.market_wide(_wicks(spark, d), HOUR).select("symbol", "open_time", "level", "around", "mw")
+    return V.market_wide(_wicks(spark, d), HOUR).select("symbol", "side", "open_time", "level", "around", "mw")
 
 
 @query
 def wick_marketwide_symbols(spark, d):
-    return V.market_wide(_wicks(spark, d), HOUR, 2, 4, distinct=True).select("symbol", "open_time", "level", "around", "mw")
+    return V.market_wide(_wicks(spark, d), HOUR, 2, 4, distinct=True).select("symbol", "side", "open_time", "level", "around", "mw")
 
 
 @query
@@ -578,9 +578,14 @@ def wick_recover_table(spark, d):
     return rounded(V.compare(_wicks(spark, d), "rec_ok", 15), "mean_ret", "median_ret", "median_mfe", "median_mae", "gains")
 
 
+@query
+def wick_marketwide_table(spark, d):
+    return rounded(V.compare(V.market_wide(_wicks(spark, d), HOUR), "mw", 15), "mean_ret", "median_ret", "median_mfe", "median_mae", "gains")
+
+
 @query
 def wick_days(spark, d):
-    return _wicks(spark, d).where("level > 0.9 and rec_ok").select("symbol", F.expr(f"open_time div {DAY}L").alias("day")).distinct()
+    return _wicks(spark, d).where("level > 0.9 and rec_ok and side = 'down'").select("symbol", F.expr(f"open_time div {DAY}L").alias("day")).distinct()
 
 
 def _candidates(spark, d):
@@ -603,12 +608,12 @@ def greedy_nonoverlap(spark, d):
 
 @query
 def trade_summary(spark, d):
-    return rounded(V.trade_summary(_trades(spark, d), ["symbol"]), "mean_ret", "median_ret", "median_mfe", "median_mae")
+    return rounded(V.trade_summary(_trades(spark, d), ["symbol"], V.spans(S.bars(spark, d), 12)), "mean_ret", "median_ret", "median_mfe", "median_mae")
 
 
 @query
 def cost_ladder(spark, d):
-    return rounded(V.cost_ladder(V.trade_summary(_trades(spark, d), ["symbol"])), "raw", "after_fee", "after_all", "per_year")
+    return rounded(V.cost_ladder(V.trade_summary(_trades(spark, d), ["symbol"], V.spans(S.bars(spark, d), 12))), "raw", "after_fee", "after_all", "per_year", "annual")
 
 
 @query
@@ -622,18 +627,30 @@ def random_entries(spark, d):
 
 
 def _orders(spark, d):
-    return _candidates(spark, d).select("symbol", (F.col("t0") * 1000).alias("t"), F.col("entry").alias("limit"))
+    """Orders at a distance of 0.8 from the close before, on either side, in bars whose wick reached it."""
+    e = _wicks(spark, d).where("level = 0.8")
+    limit = F.when(F.col("side") == "down", F.col("pre_close") * (1 - F.col("level"))).otherwise(F.col("pre_close") * (1 + F.col("level")))
+    return e.select("symbol", "side", (F.col("open_time") * 1000).alias("t"), limit.alias("limit"), "dev", F.col("pre_close").alias("pre"))
+
+
+def _fills(spark, d):
+    return V.fills(_orders(spark, d), S.ticks(spark, d), 300_000_000, 3_600_000_000, 2, 50.0)
 
 
 @query
 def tick_fill(spark, d):
-    return rounded(V.fills(_orders(spark, d), S.ticks(spark, d), 300_000_000, 3_600_000_000), "limit", "fill", "slippage")
+    return rounded(_fills(spark, d).select("symbol", "side", "t", "limit", "filled", "reason", "fill_us", "fill", "slippage"), "limit", "fill", "slippage")
+
+
+@query
+def fill_reasons(spark, d):
+    return V.reasons(_fills(spark, d))
 
 
 @query
 def fill_horizons(spark, d):
-    f = V.fills(_orders(spark, d), S.ticks(spark, d), 300_000_000, 3_600_000_000)
-    return rounded(V.after_fill(f, S.ticks(spark, d), (2, 5), 6 * 3_600_000_000), "mfe_2", "mae_2", "ret_2", "mfe_5", "mae_5", "ret_5")
+    cols = [f"{k}_{h}" for h in (2, 5) for k in ("mfe", "mae", "ret")]
+    return rounded(V.after_fill(_fills(spark, d), S.ticks(spark, d), (2, 5), 3_600_000_000, 3), "limit", *cols)
 
 
 def _outcomes(spark, d):
@@ -659,13 +676,19 @@ def breadth_minute(spark, d):
 
 
 def _features(spark, d):
-    """Trades over orders by nation and day, so that years exist: ret with three features."""
+    """Trades over orders by nation and day, so that years exist: ret with the features that rules look at."""
     p = S.panel(spark, d)
     w = Window.partitionBy("sym").orderBy("day")
+    p = p.withColumn("r1", F.coalesce(F.col("close") / F.lag("close").over(w) - 1, F.lit(0.0)))
+    fell = F.count_if(F.col("r1") < -0.02)
+    crowd = p.groupBy("day").agg(fell.alias("breadth"), (fell / F.count("*")).alias("breadth_pct"))
     x = p.withColumn("ret", F.lead("close").over(w) / F.col("close") - 1).withColumn("drop", F.col("close") / F.lag("close", 5).over(w) - 1)
     x = x.withColumn("vol_ratio", F.col("dvol") / F.percentile("dvol", F.lit(0.5)).over(w.rowsBetween(-20, -1)))
-    x = x.withColumn("below", F.col("close") / F.max("close").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).where("ret is not null and drop is not null and vol_ratio is not null")
-    return x.withColumn("year", F.year(F.date_from_unix_date(F.col("day").cast("int"))))
+    v = w.rowsBetween(-59, 0)
+    x = x.withColumn("vol", F.when(F.count("*").over(v) >= 20, F.stddev_samp("r1").over(v)))
+    x = x.withColumn("below", F.col("close") / F.max("close").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    x = x.where("ret is not null and drop is not null and vol_ratio is not null and vol is not null").join(crowd, "day")
+    return x.withColumn("year", F.year(F.date_from_unix_date(F.col("day").cast("int")))).withColumn("id", F.concat_ws("-", "sym", "day"))
 
 
 @query
@@ -673,32 +696,47 @@ def pretrade_features(spark, d):
     t = W.trailing(S.bars(spark, d), 12, 48, 24, 24, 10).select("symbol", "open_time", "vol", "med_qv", "qv", "below_ath", "drop")
     b = V.breadth(S.bars(spark, d)).select("open_time", "falling", "share")
     got = J.matched(_trades(spark, d).select("symbol", F.col("t0").alias("open_time"), "ret"), t, ["symbol", "open_time"]).join(b, "open_time", "left")
-    out = got.select("symbol", F.col("open_time").alias("t0"), R("drop").alias("drop"), R("vol").alias("vol"), R(F.try_divide(F.col("qv"), F.col("med_qv"))).alias("vol_ratio"), R("below_ath").alias("below_ath"), F.coalesce("falling", F.lit(0)).alias("breadth"), R(F.coalesce("share", F.lit(0.0))).alias("breadth_pct"))
+    out = got.select("symbol", F.col("open_time").alias("t0"), R("drop").alias("drop"), R("vol").alias("vol"), R(F.try_divide(F.col("qv"), F.col("med_qv"))).alias("vol_ratio"), R("below_ath").alias("below_ath"), F.coalesce("falling", F.lit(0)).alias("breadth"), R("share").alias("breadth_pct"))
     return out
 
 
-FEATURES = {"drop": 0.25, "vol_ratio": 0.5, "below": 0.25}
+TESTED = ("base_net", "rule_net", "base_loss", "rule_loss", "rule_q05", "control_loss", "control_loss_p05", "control_net", "rank")
 
 
 @query
 def rule_thresholds(spark, d):
-    return rounded(V.thresholds(_features(spark, d).where("year <= 1998"), FEATURES), *(f"th_{f}" for f in FEATURES))
+    return rounded(V.thresholds(_features(spark, d).where("year <= 1995")), *(f"th_{f}" for f in V.RULE_FEATURES))
+
+
+@query
+def rule_masks(spark, d):
+    f = _features(spark, d)
+    return V.masks(f.where("year > 1995"), V.thresholds(f.where("year <= 1995"))).groupBy("rule").agg(F.count("*").alias("n"), F.count_if("keep").alias("kept"))
+
+
+@query
+def split_evaluation(spark, d):
+    return rounded(V.split_eval(_features(spark, d), 1995, "id", -0.5, 100, "se"), *TESTED)
 
 
 @query
 def walkforward_years(spark, d):
-    return rounded(V.walk_forward(_features(spark, d), FEATURES, 500, 150, 50, -0.5), "base_ret", "rule_ret", "base_loss", "rule_loss")
+    return rounded(V.walk_forward(_features(spark, d), 500, 150, 50, -0.5, "id", 100, "wf"), *TESTED)
 
 
 @query
-def feature_extremes(spark, d):
-    return rounded(V.extremes(_features(spark, d), list(FEATURES), -0.5), "low_quarter", "high_quarter")
+def cut_grid(spark, d):
+    return rounded(V.cut_grid(_features(spark, d), (1993, 1994, 1995, 1996), 3, 500, 150, 50, -0.5, "id", 100, "cg"), *TESTED)
 
 
 @query
-def split_evaluation(spark, d):
-    f = _features(spark, d)
-    return rounded(V.split_eval(f, F.col("vol_ratio") >= 1, 1998, -0.5, 200), "base_loss", "rule_loss", "rule_ret")
+def candidate_filters(spark, d):
+    return rounded(V.candidate_filters(_features(spark, d), -0.5, 6.7), "net", "big_loss", "q05", "annual")
+
+
+@query
+def feature_extremes(spark, d):
+    return rounded(V.extremes(_features(spark, d), ["drop", "vol_ratio", "below", "vol", "breadth_pct"], -0.5), "low_quarter", "high_quarter")
 
 
 # incremental and streaming
@@ -725,7 +763,7 @@ def verify_seven(spark, d):
     b = S.bars(spark, d)
     before = W.library(b.where("open_time < 1706000000000"), 100, 5, 24)
     after = W.library(b, 100, 5, 24)
-    return I.verify(before, after, I.snapshot(before, 200))
+    return I.verify(before, after, I.snapshot(before, 4000))
 
 
 @query

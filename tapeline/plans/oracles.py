@@ -194,30 +194,36 @@ put("detrend", f"SELECT id, i::INT AS i, {r('x')} FROM {residual('e', 'id')}", E
 KEYS = "symbol, t0"
 
 
-def vec(kind: str) -> list[str]:
-    log = "lg AS (SELECT symbol, t0, i, ln(close) AS x FROM x)"
-    base = residual("lg", KEYS) if kind == "shape" else "lg"
+def vec(kind: str, name: str = "vl") -> list[str]:
+    """A row a window: symbol, t0, v (list of 64)."""
+    at = [i * 99 / 31 for i in range(32)]
+    low, share = [math.floor(x) for x in at], [x - math.floor(x) for x in at]
+    one = "(1 - {sh}[j + 1]) * {c}[{lo}[j + 1] + 1] + {sh}[j + 1] * {c}[least({lo}[j + 1] + 1, 99) + 1]"
+    res = lambda c: "list_transform(range(32), lambda j: " + one.format(c=c, lo=low, sh=share) + ")"
+    clip = lambda c, m, d: f"list_transform({c}, lambda y: least(3, greatest(-3, (y - {m}) / CASE WHEN {d} < 1e-9 THEN 1 ELSE {d} END)))"
+    flat = "list_transform(range(100), lambda i: c[i + 1] - list_avg(c) - b * (i - 49.5))" if kind == "shape" else "c"
     return [
-        log,
-        f"zs AS {zclip(base, KEYS)}",
-        "lv AS (SELECT symbol, t0, i, ln(1 + qv) AS x FROM x)",
-        f"zv AS {zclip('lv', KEYS)}",
-        f"v AS (SELECT * FROM {resampled('zs', KEYS, 100, 32)} UNION ALL SELECT * FROM {resampled('zv', KEYS, 100, 32, 32)})",
+        f"{name}1 AS (SELECT symbol, t0, list(ln(close) ORDER BY i) AS c, list(ln(1 + qv) ORDER BY i) AS q FROM x GROUP BY symbol, t0)",
+        f"{name}2 AS (SELECT *, list_sum(list_transform(range(100), lambda i: c[i + 1] * (i - 49.5))) / {sum((i - 49.5) ** 2 for i in range(100))!r} AS b FROM {name}1)",
+        f"{name}3 AS (SELECT symbol, t0, {flat} AS c, q FROM {name}2)",
+        f"{name}4 AS (SELECT symbol, t0, {clip('c', 'list_avg(c)', 'list_stddev_pop(c)')} AS c, {clip('q', 'list_avg(q)', 'list_stddev_pop(q)')} AS q FROM {name}3)",
+        f"{name} AS (SELECT symbol, t0, list_concat({res('c')}, {res('q')}) AS v FROM {name}4)",
     ]
 
 
-put_bars("vec_shape64", f"SELECT symbol, t0, i::INT AS i, {r('x')} FROM v", windows(), *vec("shape"))
-put_bars("vec_raw64", f"SELECT symbol, t0, i::INT AS i, {r('x')} FROM v", windows(), *vec("raw"))
+FLAT_VEC = "SELECT symbol, t0, unnest(range(64))::INT AS i, round(unnest(v), 6) AS x FROM vl"
+put_bars("vec_shape64", FLAT_VEC, windows(), *vec("shape"))
+put_bars("vec_raw64", FLAT_VEC, windows(), *vec("raw"))
 BLOCKS = [
     f"xt AS (SELECT *, CASE WHEN i = 0 THEN high - low ELSE greatest(high - low, abs(high - lag(close) OVER (PARTITION BY {KEYS} ORDER BY i)), abs(low - lag(close) OVER (PARTITION BY {KEYS} ORDER BY i))) END AS tr FROM x)",
-    f"""st AS (SELECT symbol, t0, avg(tr) AS a, first(close ORDER BY i) AS c0, last(close ORDER BY i) AS cl, max(high) AS hh, min(low) AS ll, greatest(quantile_cont(qv, 0.5), 1e-9) AS mv,
+    f"""st AS (SELECT symbol, t0, avg(tr) AS a, first(close ORDER BY i) AS c0, last(close ORDER BY i) AS cl, max(high) AS hh, min(low) AS ll, greatest(quantile_cont(qv, 0.5), 1e-12) AS mv,
   regr_slope(close, i) AS sl, regr_intercept(close, i) AS ic, sum(close * close) - count(*) * avg(close) * avg(close) AS rough, avg(close) AS mc FROM xt GROUP BY {KEYS})""",
     "j AS (SELECT xt.*, a, c0, cl, hh, ll, mv, sl, ic, mc FROM xt JOIN st USING (symbol, t0) WHERE a > 0)",
     "br AS (SELECT symbol, t0, i, (close - ic - sl * i) / a AS x FROM j)",
     "bw AS (SELECT symbol, t0, i, (close - c0) / a AS x FROM j)",
-    "bv AS (SELECT symbol, t0, i, ln(greatest(qv / mv, 1e-12)) AS x FROM j)",
+    "bv AS (SELECT symbol, t0, i, ln(greatest((qv + mv * 1e-9) / mv, 1e-9)) AS x FROM j)",
     "bt AS (SELECT symbol, t0, i, tr / a AS x FROM j)",
-    """tr4 AS (SELECT symbol, t0, any_value((cl - c0) / a) AS x0, 1 - sum((close - ic - sl * i) ** 2) / sum((close - mc) ** 2) AS x1, any_value((cl - ll) / (hh - ll)) AS x2, any_value((hh - ll) / a) AS x3 FROM j GROUP BY symbol, t0)""",
+    """tr4 AS (SELECT symbol, t0, any_value((cl - c0) / a) AS x0, 1 - avg((close - ic - sl * i) ** 2) / greatest(avg((close - mc) ** 2), 1e-18) AS x1, any_value((cl - ll) / greatest(hh - ll, 1e-18)) AS x2, any_value((hh - ll) / a) AS x3 FROM j GROUP BY symbol, t0)""",
     f"""v AS (SELECT * FROM {resampled('br', KEYS, 100, 48)} UNION ALL SELECT * FROM {resampled('bw', KEYS, 100, 48, 48)} UNION ALL SELECT * FROM {resampled('bv', KEYS, 100, 8, 96)}
   UNION ALL SELECT * FROM {resampled('bt', KEYS, 100, 4, 104)} UNION ALL SELECT symbol, t0, 108 + unnest(range(4)), unnest([x0, x1, x2, x3]) FROM tr4)""",
 ]
@@ -250,7 +256,7 @@ put(
     "v0 AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, ln(list_max(embedding::DOUBLE[]) - list_min(embedding::DOUBLE[])) AS l FROM embeddings)",
     "v AS (SELECT id, v, (l - avg(l) OVER ()) / stddev_pop(l) OVER () AS z FROM v0)",
 )
-WIN_VEC = [windows(), *vec("shape"), LABELS, "lib AS (SELECT m.symbol, m.k, m.t0, m.t1, amp_pct, fwd_ret, l.v FROM meta m JOIN (SELECT symbol, t0, list(x ORDER BY i) AS v FROM v GROUP BY 1, 2) l USING (symbol, t0))"]
+WIN_VEC = [windows(), *vec("shape"), LABELS, "lib AS (SELECT m.symbol, m.k, m.t0, m.t1, amp_pct, fwd_ret, l.v FROM meta m JOIN vl l USING (symbol, t0))"]
 DIST = [
     f"d AS (SELECT q.symbol AS q_symbol, q.t0 AS q_t0, q.t1 AS q_t1, c.symbol AS c_symbol, c.t0 AS c_t0, c.t1 AS c_t1, c.amp_pct, c.fwd_ret, {sq('q.v', 'c.v')} AS dist FROM lib q, lib c WHERE q.k % 40 = 0)"
 ]
@@ -271,7 +277,7 @@ put_bars(
     f"SELECT q_symbol, q_t0, rank, c_symbol, c_t0, {r('dist')} FROM g JOIN pool USING (q_symbol, q_t0, rank) WHERE took",
     *WIN_VEC,
     *DIST,
-    f"pool AS {ranked('d', 60)}",
+    f"pool AS {ranked('d', 500)}",
     """g AS (SELECT q_symbol, q_t0, rank, true AS took, [{'s': c_symbol, 'a': c_t0, 'b': c_t1}] AS kept FROM pool WHERE rank = 1
   UNION ALL SELECT p.q_symbol, p.q_t0, p.rank, t.took, CASE WHEN t.took THEN list_append(g.kept, {'s': p.c_symbol, 'a': p.c_t0, 'b': p.c_t1}) ELSE g.kept END
   FROM g JOIN pool p ON p.q_symbol = g.q_symbol AND p.q_t0 = g.q_t0 AND p.rank = g.rank + 1,
@@ -279,7 +285,7 @@ put_bars(
     recursive=True,
 )
 SCALE = f"""SELECT round(quantile_cont(m, 0.5), 6) AS scale FROM (SELECT q.id, quantile_cont(sqrt({sq('q.v', 'c.v')}), 0.5) AS m
-  FROM (SELECT * FROM v ORDER BY md5('q-' || id), id LIMIT 24) q, (SELECT * FROM v ORDER BY md5('c-' || id), id LIMIT 300) c GROUP BY q.id)"""
+  FROM (SELECT * FROM v ORDER BY md5('q-' || id), id LIMIT 24) q, (SELECT * FROM v ORDER BY md5('c-' || id), id LIMIT 3000) c GROUP BY q.id)"""
 put("dist_random_scale", SCALE, VEC)
 put("similarity_score", f"SELECT q_id, c_id, round(least(1, greatest(0, 1 - sqrt(dist) / scale)), 5) AS score FROM ({nearest(sq('q.v', 'c.v'))}), ({SCALE})", VEC)
 put_bars("index_info", "SELECT count(*) AS rows, count(DISTINCT symbol) AS symbols, min(t0) AS first, max(t1) AS last FROM w", windows(), hours=2)
@@ -404,27 +410,28 @@ put("drawdown", f"SELECT scheme, g, {r('nav', 'drawdown')} FROM dn", *CELLS, SCH
 put("by_year", "SELECT year, round(a, 6) AS equal, round(b, 6) AS inverse, (a > 0)::INT + (b > 0)::INT AS positive FROM (SELECT year, sum(a) AS a, sum(b) AS b FROM pr GROUP BY year)", *CELLS)
 
 
-def draws(seed: str) -> str:
+def draws(seed: str, reps: int) -> str:
     return f"""ix AS (SELECT row_number() OVER (ORDER BY g) - 1 AS i, a, b FROM pr), nn AS (SELECT count(*) AS n FROM ix),
-st AS (SELECT rep, n, j, ('0x' || substr(md5('{seed}-' || rep || '-' || j), 1, 8))::BIGINT % greatest(n - 9, 1) AS start FROM (SELECT n, unnest(range(200)) AS rep FROM nn), LATERAL (SELECT unnest(range(ceil(n / 10)::INT)) AS j)),
-bs AS (SELECT rep, a, b FROM (SELECT rep, start + unnest(range(least(10, n - j * 10))) AS i FROM st) JOIN ix USING (i))"""
+st AS (SELECT rep, n, j, ('0x' || substr(md5('{seed}-' || rep || '-' || j), 1, 8))::BIGINT % n AS start FROM (SELECT n, unnest(range({reps})) AS rep FROM nn), LATERAL (SELECT unnest(range(ceil(n / 10)::INT)) AS j)),
+bs AS (SELECT rep, a, b FROM (SELECT rep, start + unnest(range(10)) AS i FROM st) JOIN ix USING (i))"""
 
 
+_SH = "(avg(b) / stddev_pop(b) - avg(a) / stddev_pop(a)) * sqrt(52)"
 put(
     "block_bootstrap_sharpe",
-    f"SELECT (SELECT round(avg(a) / stddev_pop(a) - avg(b) / stddev_pop(b), 6) FROM ix) AS diff, {r('stddev_pop(d) AS se', '2 * least(avg((d <= 0)::INT), avg((d >= 0)::INT)) AS p')} FROM (SELECT rep, avg(a) / stddev_pop(a) - avg(b) / stddev_pop(b) AS d FROM bs GROUP BY rep)",
+    f"SELECT (SELECT round({_SH}, 6) FROM ix) AS diff, {r('stddev_pop(d) AS se', '2 * least(avg((d <= 0)::INT), avg((d >= 0)::INT)) AS p')} FROM (SELECT rep, {_SH} AS d FROM bs GROUP BY rep)",
     *CELLS,
-    draws("bst"),
+    draws("bst", 1000),
 )
 put(
     "block_bootstrap_mean",
-    "SELECT round(m, 6) AS mean, round(se, 6) AS se, round(m / se, 6) AS t FROM (SELECT avg(a - b) AS m FROM ix), (SELECT stddev_pop(d) AS se FROM (SELECT rep, avg(a - b) AS d FROM bs GROUP BY rep))",
+    "SELECT round(m, 6) AS mean, round(se, 6) AS se, round(m / se, 6) AS t FROM (SELECT avg(b - a) AS m FROM ix), (SELECT stddev_pop(d) AS se FROM (SELECT rep, avg(b - a) AS d FROM bs GROUP BY rep))",
     *CELLS,
-    draws("bsm"),
+    draws("bsm", 2000),
 )
 put(
     "random_k_portfolio",
-    f"SELECT rep, {r('avg(m) AS mean', 'stddev_pop(m) AS sd')} FROM (SELECT rep, g, avg(ret) AS m FROM (SELECT rep, g, ret, row_number() OVER (PARTITION BY rep, g ORDER BY md5('rk-' || rep || '-' || g || '-' || sym), sym) AS k FROM c, range(20) t(rep)) WHERE k <= 5 GROUP BY 1, 2) GROUP BY rep",
+    f"SELECT rep, {r('avg(m) AS mean', 'stddev_pop(m) AS sd')} FROM (SELECT rep, g, avg(ret) AS m FROM (SELECT rep, g, ret, row_number() OVER (PARTITION BY rep, g ORDER BY md5('rk-' || rep || '-' || g || '-' || sym), sym) AS k FROM c, range(300) t(rep)) WHERE k <= 5 GROUP BY 1, 2) GROUP BY rep",
     *CELLS,
 )
 put(
@@ -436,27 +443,30 @@ put(
 # events and simulation
 
 
-def _ahead(h: int) -> str:
-    f = f"OVER ({W} ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING)"
-    return f"max(high) {f} / close - 1 AS mfe_{h}, min(low) {f} / close - 1 AS mae_{h}, last_value(close) {f} / close - 1 AS ret_{h}"
+def _wick(side: str) -> str:
+    s, e, best, worst = ("", "low", "h", "l") if side == "down" else ("-", "high", "l", "h")
+    moves = ", ".join(f"{s}({p}{h} - {e}) / {e} AS {k}_{h}" for h in (15, 60) for k, p in (("mfe", best), ("mae", worst), ("ret", "c")))
+    backs = ", ".join(f"{s}(c{h} - pre_close) / pre_close AS back_{h}" for h in (15, 60))
+    return f"""SELECT symbol, open_time, pre_close, close, qv, '{side}' AS side, {e} AS entry, {s}(pre_close - {e}) / pre_close AS dev,
+  CASE WHEN {s}(pre_close - {e}) > 0 THEN {s}(close - {e}) / ({s}(pre_close - {e})) ELSE 1 END AS recover, {moves}, {backs} FROM wk WHERE {e} > 0"""
 
 
-WICKS = f"""wk AS (SELECT *, (pre_close - low) / pre_close AS dev, CASE WHEN abs(pre_close - low) > 0 THEN abs(close - low) / abs(pre_close - low) ELSE 1 END AS recover
-  FROM (SELECT *, coalesce(lag(close) OVER ({W}), open) AS pre_close, row_number() OVER ({W}) - 1 AS rn, lead(close) OVER ({W}) AS nxt, {_ahead(15)}, {_ahead(60)} FROM b) WHERE nxt IS NOT NULL AND rn >= 60 AND qv >= 100),
-ev AS (SELECT wk.*, level, recover >= 0.5 AS rec_ok FROM wk, (VALUES (0.5::DOUBLE), (0.8::DOUBLE), (0.95::DOUBLE)) l(level) WHERE dev >= level)"""
-put_bars("wick_events", f"SELECT symbol, open_time, level, rec_ok, {r('pre_close', 'dev', 'recover', 'mfe_15', 'mae_15', 'ret_15')} FROM ev", WICKS)
-put_bars("wick_marketwide", f"SELECT symbol, open_time, level, around, around >= 5 AS mw FROM (SELECT *, count(*) OVER (PARTITION BY level ORDER BY open_time RANGE BETWEEN {2 * HOUR} PRECEDING AND {2 * HOUR} FOLLOWING) AS around FROM ev)", WICKS)
+_AHEAD = ", ".join(f"{f} OVER ({W} ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING) AS {k}{h}" for h in (15, 60) for k, f in (("h", "max(high)"), ("l", "min(low)"), ("c", "last_value(close)")))
+WICKS = f"""wk AS (SELECT * FROM (SELECT *, coalesce(lag(close) OVER ({W}), open) AS pre_close, row_number() OVER ({W}) - 1 AS rn, lead(close) OVER ({W}) AS nxt, {_AHEAD} FROM b)
+  WHERE nxt IS NOT NULL AND rn >= 60 AND qv >= 100 AND pre_close > 0),
+ev AS (SELECT w.*, level, recover >= 0.5 AS rec_ok FROM ({_wick('down')} UNION ALL {_wick('up')}) w, (VALUES (0.5::DOUBLE), (0.8::DOUBLE), (0.95::DOUBLE)) l(level) WHERE dev >= level),
+mw AS (SELECT *, count(*) OVER (PARTITION BY side, level ORDER BY open_time RANGE BETWEEN {2 * HOUR} PRECEDING AND {2 * HOUR} FOLLOWING) AS around FROM ev)"""
+put_bars("wick_events", f"SELECT symbol, side, open_time, level, rec_ok, {r('entry', 'pre_close', 'dev', 'recover', 'mfe_15', 'mae_15', 'ret_15', 'back_15', 'mfe_60', 'mae_60', 'ret_60', 'back_60')} FROM ev", WICKS)
+put_bars("wick_marketwide", "SELECT symbol, side, open_time, level, around, around >= 5 AS mw FROM mw", WICKS)
 put_bars(
     "wick_marketwide_symbols",
-    f"SELECT e.symbol, e.open_time, e.level, count(DISTINCT o.symbol) AS around, count(DISTINCT o.symbol) >= 4 AS mw FROM ev e JOIN ev o ON o.level = e.level AND abs(o.open_time - e.open_time) <= {2 * HOUR} GROUP BY 1, 2, 3",
-    WICKS,
-)
-put_bars(
-    "wick_recover_table",
-    f"SELECT level, rec_ok, count(*) AS n, {r('avg(least(1, greatest(-1, ret_15))) AS mean_ret', 'quantile_cont(ret_15, 0.5) AS median_ret', 'quantile_cont(mfe_15, 0.5) AS median_mfe', 'quantile_cont(mae_15, 0.5) AS median_mae', 'avg((ret_15 > 0)::INT) AS gains')} FROM ev GROUP BY level, rec_ok",
+    f"SELECT e.symbol, e.side, e.open_time, e.level, count(DISTINCT o.symbol) AS around, count(DISTINCT o.symbol) >= 4 AS mw FROM ev e JOIN ev o ON o.level = e.level AND o.side = e.side AND abs(o.open_time - e.open_time) <= {2 * HOUR} GROUP BY 1, 2, 3, 4",
     WICKS,
 )
-put_bars("wick_days", f"SELECT DISTINCT symbol, open_time // {DAY} AS day FROM ev WHERE level > 0.9 AND rec_ok", WICKS)
+_COMPARED = f"count(*) AS n, {r('avg(least(1, greatest(-1, ret_15))) AS mean_ret', 'quantile_cont(ret_15, 0.5) AS median_ret', 'quantile_cont(mfe_15, 0.5) AS median_mfe', 'quantile_cont(mae_15, 0.5) AS median_mae', 'avg((ret_15 > 0)::INT) AS gains')}"
+put_bars("wick_recover_table", f"SELECT side, level, rec_ok, {_COMPARED} FROM ev GROUP BY side, level, rec_ok", WICKS)
+put_bars("wick_marketwide_table", f"SELECT side, level, around >= 5 AS mw, {_COMPARED} FROM mw GROUP BY 1, 2, 3", WICKS)
+put_bars("wick_days", f"SELECT DISTINCT symbol, open_time // {DAY} AS day FROM ev WHERE level > 0.9 AND rec_ok AND side = 'down'", WICKS)
 CAND = f"""cd AS (SELECT symbol, rn, open_time AS t0, entry, fc / entry - 1 AS ret, fh / entry - 1 AS mfe, fl / entry - 1 AS mae FROM (SELECT *, row_number() OVER ({W}) - 1 AS rn, count(*) OVER (PARTITION BY symbol) AS len,
   CASE WHEN count(*) OVER h = 12 THEN max(close) OVER h END * (1 - 0.9::DOUBLE) AS entry, lead(close, 6) OVER ({W}) AS fc, max(high) OVER f AS fh, min(low) OVER f AS fl FROM b
   WINDOW h AS ({W} ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING), f AS ({W} ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING)) WHERE high > entry AND low <= entry AND rn + 7 < len)"""
@@ -467,13 +477,15 @@ TRADES = [
 ]
 put_bars("limit_backtest", f"SELECT symbol, rn::INT AS rn, t0, {r('entry', 'ret', 'mfe', 'mae')} FROM cd", CAND)
 put_bars("greedy_nonoverlap", f"SELECT symbol, rn::INT AS rn, t0, {r('ret')} FROM tr", *TRADES, recursive=True)
-SUMMARY = """sm AS (SELECT symbol, count(*) AS n, avg(ret) AS mean_ret, quantile_cont(ret, 0.5) AS median_ret, quantile_cont(mfe, 0.5) AS median_mfe, quantile_cont(mae, 0.5) AS median_mae,
-  count(*) FILTER (ret > 0) AS wins, max(t0) - min(t0) AS span_ms FROM tr GROUP BY symbol),
+SUMMARY = f"""us AS (SELECT symbol, max(open_time) - min(open_time) FILTER (rn = 12) AS span_ms FROM (SELECT *, row_number() OVER ({W}) - 1 AS rn FROM b) GROUP BY symbol),
+sm AS (SELECT symbol, count(*) AS n, avg(ret) AS mean_ret, quantile_cont(ret, 0.5) AS median_ret, quantile_cont(mfe, 0.5) AS median_mfe, quantile_cont(mae, 0.5) AS median_mae,
+  count(*) FILTER (ret > 0) AS wins FROM tr GROUP BY symbol),
 lr AS (SELECT symbol, max(k) AS losing_run FROM (SELECT symbol, g, count(*) FILTER (ret < 0) AS k FROM (SELECT *, sum((ret >= 0)::INT) OVER (PARTITION BY symbol ORDER BY t0) AS g FROM tr) GROUP BY 1, 2) GROUP BY symbol)"""
-put_bars("trade_summary", f"SELECT symbol, n, {r('mean_ret', 'median_ret', 'median_mfe', 'median_mae')}, wins, span_ms, losing_run FROM sm JOIN lr USING (symbol)", *TRADES, SUMMARY, recursive=True)
+put_bars("trade_summary", f"SELECT symbol, n, {r('mean_ret', 'median_ret', 'median_mfe', 'median_mae')}, wins, span_ms, losing_run FROM sm JOIN lr USING (symbol) JOIN us USING (symbol)", *TRADES, SUMMARY, recursive=True)
 put_bars(
     "cost_ladder",
-    f"SELECT {r('avg(mean_ret) AS raw', 'avg(mean_ret) - 0.002 AS after_fee', 'avg(mean_ret) - 0.002 - 0.0025 AS after_all')}, sum(n)::BIGINT AS trades, round(sum(n) / (sum(span_ms) / {365 * DAY}), 6) AS per_year FROM sm",
+    f"""SELECT {r('raw', 'raw - 0.002 AS after_fee', 'raw - 0.002 - 0.0025 AS after_all')}, trades, {r('per_year', 'per_year * (raw - 0.002 - 0.0025) AS annual')}
+  FROM (SELECT avg(mean_ret) AS raw, sum(n)::BIGINT AS trades, sum(n) / (sum(span_ms) / {365 * DAY}) AS per_year FROM sm JOIN us USING (symbol))""",
     *TRADES,
     SUMMARY,
     recursive=True,
@@ -498,19 +510,30 @@ put_bars(
 put_bars(
     "random_control",
     """SELECT round(any_value(rule), 6) AS rule, round(avg(m), 6) AS control, round(avg((m < rule)::INT), 6) AS rank FROM (SELECT rep, avg(ret) AS m, any_value(rule) AS rule FROM (SELECT rep, ret, k, rule, row_number() OVER (PARTITION BY rep ORDER BY md5('rc-' || rep || '-' || id), id) AS n
-  FROM (SELECT symbol || '-' || t0 AS id, ret FROM tr), range(50) t(rep), (SELECT count(*) FILTER (mae > -0.9) AS k, avg(ret) FILTER (mae > -0.9) AS rule FROM tr)) WHERE n <= k GROUP BY rep)""",
+  FROM (SELECT symbol || '-' || t0 AS id, ret FROM tr), range(400) t(rep), (SELECT count(*) FILTER (mae > -0.9) AS k, avg(ret) FILTER (mae > -0.9) AS rule FROM tr)) WHERE n <= k GROUP BY rep)""",
     *TRADES,
     recursive=True,
 )
-FILL = """od AS (SELECT symbol, t0 * 1000 AS t, entry AS lim FROM cd),
-fl AS (SELECT symbol, t, lim, min(us) AS fill_us, least(lim, arg_min(price, us)) AS fill FROM od JOIN ticks USING (symbol) WHERE price > 0 AND us BETWEEN t - 300000000 AND t + 3600000000 AND price <= lim GROUP BY 1, 2, 3)"""
-put_bars("tick_fill", f'SELECT symbol, t, round(lim, 6) AS "limit", fill_us, {r("fill", "lim / fill - 1 AS slippage")} FROM fl', CAND, FILL)
+FILL = """od AS (SELECT symbol, side, open_time * 1000 AS t, CASE side WHEN 'down' THEN pre_close * (1 - level) ELSE pre_close * (1 + level) END AS lim, dev, pre_close AS pre FROM ev WHERE level = 0.8),
+nr AS (SELECT od.*, us, id, price, CASE side WHEN 'down' THEN price <= lim ELSE price >= lim END AS hit FROM od JOIN ticks USING (symbol) WHERE price > 0 AND us BETWEEN t - 300000000 AND t + 3600000000),
+tc AS (SELECT symbol, side, t, lim, count(*) AS seen, min(us) FILTER (hit) AS fus, first(id ORDER BY us, id) FILTER (hit) AS fid, first(price ORDER BY us, id) FILTER (hit) AS fp FROM nr GROUP BY 1, 2, 3, 4),
+rs AS (SELECT od.*, fus, fid, fp, CASE WHEN dev > 50 THEN 'too_far' WHEN coalesce(seen, 0) < 2 THEN 'few_ticks' WHEN fus IS NULL THEN 'untouched' ELSE '' END AS reason FROM od LEFT JOIN tc USING (symbol, side, t, lim)),
+fl AS (SELECT *, CASE WHEN reason = '' THEN CASE side WHEN 'down' THEN least(lim, fp) ELSE greatest(lim, fp) END END AS fill FROM rs)"""
+put_bars(
+    "tick_fill",
+    f"""SELECT symbol, side, t, round(lim, 6) AS "limit", reason = '' AS filled, reason, CASE WHEN reason = '' THEN fus END AS fill_us, {r("fill", "CASE side WHEN 'down' THEN lim - fill ELSE fill - lim END / lim AS slippage")} FROM fl""",
+    WICKS,
+    FILL,
+)
+put_bars("fill_reasons", "SELECT side, CASE reason WHEN '' THEN 'filled' ELSE reason END AS what, count(*) AS n FROM fl GROUP BY 1, 2", WICKS, FILL)
 put_bars(
     "fill_horizons",
-    "SELECT symbol, t, "
-    + r(*(e for h in (2, 5) for e in (f"max(m) FILTER (n <= {h}) AS mfe_{h}", f"least(0, min(m) FILTER (n <= {h})) AS mae_{h}", f"arg_max(m, n) FILTER (n <= {h}) AS ret_{h}")))
-    + ", min(us) FILTER (price >= lim) - any_value(fill_us) AS recovery_us FROM (SELECT fl.*, us, price, price / fill - 1 AS m, row_number() OVER (PARTITION BY fl.symbol, t ORDER BY us, id) AS n FROM fl JOIN ticks USING (symbol) WHERE price > 0 AND us > fill_us AND us <= fill_us + 21600000000) GROUP BY symbol, t",
-    CAND,
+    "SELECT symbol, side, t, round(lim, 6) AS \"limit\", "
+    + r(*(e for h in (2, 5) for e in (f"max(m) FILTER (n BETWEEN 1 AND {h}) AS mfe_{h}", f"CASE WHEN count(*) FILTER (n BETWEEN 1 AND {h}) > 0 THEN least(0, min(m) FILTER (n BETWEEN 1 AND {h})) END AS mae_{h}", f"arg_max(m, n) FILTER (n BETWEEN 1 AND {h}) AS ret_{h}")))
+    + """, min(us) FILTER (CASE side WHEN 'down' THEN price >= pre ELSE price <= pre END) - any_value(fus) AS recovery_us, count(*) FILTER (n < 3 AND CASE side WHEN 'down' THEN price <= lim ELSE price >= lim END) AS deep_ticks
+  FROM (SELECT fl.*, us, price, CASE fl.side WHEN 'down' THEN price - fill ELSE fill - price END / fill AS m, row_number() OVER (PARTITION BY fl.symbol, fl.side, t, lim ORDER BY us, id) - 1 AS n
+    FROM fl JOIN ticks USING (symbol) WHERE reason = '' AND price > 0 AND (us > fus OR us = fus AND id >= fid) AND us <= t + 3600000000) GROUP BY symbol, side, t, lim""",
+    WICKS,
     FILL,
 )
 TOUCH = f"""hr AS (SELECT symbol, open_time // {6 * HOUR} AS h, open, a FROM (SELECT symbol, open_time, open, lag(CASE WHEN rn >= 13 THEN y END) OVER ({W}) AS a FROM atr) WHERE a IS NOT NULL),
@@ -542,10 +565,10 @@ put_bars(
     recursive=True,
 )
 BREADTH = f"bd AS (SELECT open_time, count(*) FILTER (x < -0.02) AS falling, count(*) FILTER (qv > 0) AS trading FROM (SELECT *, coalesce(close / lag(close) OVER ({W}) - 1, 0) AS x FROM b) GROUP BY open_time)"
-put_bars("breadth_minute", "SELECT open_time, falling, trading, round(CASE WHEN trading > 0 THEN falling / trading ELSE 0 END, 6) AS share FROM bd", BREADTH)
+put_bars("breadth_minute", "SELECT open_time, falling, trading, round(falling / nullif(trading, 0), 6) AS share FROM bd", BREADTH)
 put_bars(
     "pretrade_features",
-    'SELECT tr.symbol, tr.t0, round(drop_, 6) AS "drop", round(vol, 6) AS vol, round(qv / med_qv, 6) AS vol_ratio, round(below_ath, 6) AS below_ath, coalesce(falling, 0) AS breadth, round(coalesce(falling / trading, 0), 6) AS breadth_pct FROM tr JOIN tf ON tf.symbol = tr.symbol AND tf.open_time = tr.t0 LEFT JOIN bd ON bd.open_time = tr.t0',
+    'SELECT tr.symbol, tr.t0, round(drop_, 6) AS "drop", round(vol, 6) AS vol, round(qv / med_qv, 6) AS vol_ratio, round(below_ath, 6) AS below_ath, coalesce(falling, 0) AS breadth, round(falling / nullif(trading, 0), 6) AS breadth_pct FROM tr JOIN tf ON tf.symbol = tr.symbol AND tf.open_time = tr.t0 LEFT JOIN bd ON bd.open_time = tr.t0',
     *TRADES,
     trail(12, 48, 24, 24, 10),
     BREADTH,
@@ -553,31 +576,76 @@ put_bars(
 )
 FEAT = [
     panel(),
-    """ft AS (SELECT *, year(DATE '1970-01-01' + day::INT) AS year FROM (SELECT sym, day, lead(close) OVER o / close - 1 AS ret, close / lag(close, 5) OVER o - 1 AS drop_, dvol / quantile_cont(dvol, 0.5) OVER (PARTITION BY sym ORDER BY day ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS vol_ratio,
-  close / max(close) OVER (PARTITION BY sym ORDER BY day ROWS UNBOUNDED PRECEDING) - 1 AS below FROM p WINDOW o AS (PARTITION BY sym ORDER BY day)) WHERE ret IS NOT NULL AND drop_ IS NOT NULL AND vol_ratio IS NOT NULL)""",
+    """f0 AS (SELECT *, coalesce(close / lag(close) OVER (PARTITION BY sym ORDER BY day) - 1, 0) AS r1 FROM p),
+bd AS (SELECT day, count(*) FILTER (r1 < -0.02) AS breadth, count(*) FILTER (r1 < -0.02) / count(*) AS breadth_pct FROM f0 GROUP BY day),
+ft AS (SELECT f.*, breadth, breadth_pct, sym || '-' || day AS id, year(DATE '1970-01-01' + day::INT) AS year FROM (SELECT sym, day, lead(close) OVER o / close - 1 AS ret, close / lag(close, 5) OVER o - 1 AS drop_, dvol / quantile_cont(dvol, 0.5) OVER (PARTITION BY sym ORDER BY day ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS vol_ratio,
+  CASE WHEN count(*) OVER v >= 20 THEN stddev_samp(r1) OVER v END AS vol, close / max(close) OVER (PARTITION BY sym ORDER BY day ROWS UNBOUNDED PRECEDING) - 1 AS below FROM f0 WINDOW o AS (PARTITION BY sym ORDER BY day), v AS (PARTITION BY sym ORDER BY day ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)) f
+  JOIN bd USING (day) WHERE ret IS NOT NULL AND drop_ IS NOT NULL AND vol_ratio IS NOT NULL AND vol IS NOT NULL)""",
 ]
-TH = "quantile_cont(drop_, 0.25) AS th_drop, quantile_cont(vol_ratio, 0.5) AS th_vol_ratio, quantile_cont(below, 0.25) AS th_below"
-put("rule_thresholds", f"SELECT {r('th_drop', 'th_vol_ratio', 'th_below')} FROM (SELECT {TH} FROM ft WHERE year <= 1998)", *FEAT)
+TH = "quantile_cont(vol, 0.75) AS th_vol, quantile_cont(drop_, 0.75) AS th_drop, quantile_cont(breadth, 0.25) AS th_breadth, quantile_cont(breadth_pct, 0.25) AS th_breadth_pct, count(*) AS past"
+RULE = {
+    "calm": "vol < th_vol",
+    "deep": "drop_ < th_drop",
+    "together": "breadth_pct >= th_breadth_pct",
+    "together_count": "breadth >= th_breadth",
+    "calm_deep": "vol < th_vol AND drop_ < th_drop",
+    "all": "vol < th_vol AND drop_ < th_drop AND breadth_pct >= th_breadth_pct",
+}
+MASKS = f"unnest([{', '.join(repr(k) for k in RULE)}]) AS rule, unnest([{', '.join(RULE.values())}]) AS keep"
+JUDGED = f"""count(*) AS n, count(*) FILTER (keep) AS kept, {r('avg(ret - 0.002 - 0.0025) AS base_net', 'avg(ret - 0.002 - 0.0025) FILTER (keep) AS rule_net', 'avg((ret <= -0.5)::INT) AS base_loss', 'avg((ret <= -0.5)::INT) FILTER (keep) AS rule_loss',
+  'CASE WHEN count(*) FILTER (keep) >= 20 THEN quantile_cont(ret, 0.05) FILTER (keep) END AS rule_q05')}, avg((ret <= -0.5)::INT) FILTER (keep) AS rl"""
+
+
+def control(by: str, seed: str, reps: int) -> str:
+    return f"""nk AS (SELECT {by}, count(*) FILTER (keep) AS k, count(*) AS total, avg((ret <= -0.5)::INT) FILTER (keep) AS loss FROM pool GROUP BY {by}),
+cs AS (SELECT {by}, rep, avg((ret <= -0.5)::INT) AS bl, avg(ret - 0.002 - 0.0025) AS net, any_value(loss) AS loss FROM (SELECT {by}, rep, ret, k, loss, row_number() OVER (PARTITION BY {by}, rep ORDER BY md5('{seed}-' || rep || '-' || id), id) AS i
+  FROM pool JOIN nk USING ({by}), range({reps}) t(rep) WHERE k > 0 AND k < total) WHERE i <= k GROUP BY {by}, rep),
+ct AS (SELECT {by}, quantile_cont(bl, 0.5) AS c50, quantile_cont(bl, 0.05) AS c05, {r('quantile_cont(bl, 0.5) AS control_loss', 'quantile_cont(bl, 0.05) AS control_loss_p05', 'quantile_cont(net, 0.5) AS control_net', 'avg((bl < loss)::INT) AS rank')} FROM cs GROUP BY {by}),
+jd AS (SELECT {by}, {JUDGED} FROM pool GROUP BY {by})"""
+
+
+put("rule_thresholds", f"SELECT {r('th_vol', 'th_drop', 'th_breadth', 'th_breadth_pct')}, past FROM (SELECT {TH} FROM ft WHERE year <= 1995)", *FEAT)
+put("rule_masks", f"SELECT rule, count(*) AS n, count(*) FILTER (keep) AS kept FROM (SELECT {MASKS} FROM ft, (SELECT {TH} FROM ft WHERE year <= 1995) WHERE year > 1995) GROUP BY rule", *FEAT)
+put(
+    "split_evaluation",
+    "SELECT jd.* EXCLUDE (rl), ct.* EXCLUDE (rule, c50, c05), kept >= 0.995 * n AS inactive FROM jd LEFT JOIN ct USING (rule) WHERE n >= 200 AND kept >= 50",
+    *FEAT,
+    f"pool AS (SELECT id, ret, {MASKS} FROM ft, (SELECT {TH} FROM ft WHERE year <= 1995) WHERE year > 1995 AND past >= 200)",
+    control("rule", "se", 100),
+)
 put(
     "walkforward_years",
-    f"""SELECT year, rule, n, kept, {r('base_ret', 'rule_ret', 'base_loss', 'rule_loss')}, kept >= 0.995 * n AS inactive FROM (SELECT year, rule, count(*) AS n, count(*) FILTER (keep) AS kept, avg(ret) AS base_ret, avg(ret) FILTER (keep) AS rule_ret, avg((ret <= -0.5)::INT) AS base_loss,
-  avg((ret <= -0.5)::INT) FILTER (keep) AS rule_loss FROM (SELECT f.year, ret, unnest(['drop', 'vol_ratio', 'below']) AS rule, unnest([drop_ >= th_drop, vol_ratio >= th_vol_ratio, below >= th_below]) AS keep FROM ft f JOIN th ON th.y = f.year) GROUP BY 1, 2) WHERE n >= 150 AND kept >= 50""",
+    "SELECT jd.* EXCLUDE (rl), ct.* EXCLUDE (year, c50, c05) FROM jd JOIN ct USING (year) WHERE n >= 150 AND kept >= 50 AND kept < 0.995 * n",
     *FEAT,
     f"th AS (SELECT y, {TH} FROM (SELECT DISTINCT year AS y FROM ft) q JOIN ft ON ft.year < y GROUP BY y HAVING count(*) >= 500)",
+    f"pool AS (SELECT id, ret, year, coalesce({RULE['all']}, false) AS keep FROM ft JOIN th ON th.y = ft.year)",
+    control("year", "wf", 100),
+)
+put(
+    "cut_grid",
+    "SELECT jd.* EXCLUDE (rl), ct.* EXCLUDE (cut, c50, c05), CASE WHEN rl < c05 THEN 'beats' WHEN rl < c50 THEN 'better' ELSE 'no' END AS verdict FROM jd JOIN ct USING (cut) WHERE n >= 150 AND kept >= 50 AND kept < 0.995 * n",
+    *FEAT,
+    f"th AS (SELECT cut, {TH} FROM (VALUES (1993), (1994), (1995), (1996)) v(cut) JOIN ft ON ft.year <= cut GROUP BY cut HAVING count(*) >= 500)",
+    f"pool AS (SELECT id, ret, cut, coalesce({RULE['all']}, false) AS keep FROM ft JOIN th ON ft.year > cut AND ft.year <= cut + 3)",
+    control("cut", "cg", 100),
+)
+_FILTERS = {"none": "true", "calm": "vol < e_vol", "far_from_high": "below < e_below", "deep": "drop_ < e_drop", "quiet_volume": "vol_ratio < e_vr", "crowd": "breadth > e_breadth", "crowd_calm": "breadth > e_breadth AND vol < e_vol", "calm_deep": "vol < e_vol AND drop_ < e_drop"}
+put(
+    "candidate_filters",
+    f"""SELECT filter, n, {r('net', 'big_loss', 'q05', 'annual')}, filter = (SELECT filter FROM g ORDER BY annual DESC, filter DESC LIMIT 1) AS best, filter = (SELECT filter FROM g ORDER BY big_loss, filter LIMIT 1) AS safest FROM g""",
+    *FEAT,
+    "ed AS (SELECT quantile_cont(vol, 0.75) AS e_vol, quantile_cont(below, 0.75) AS e_below, quantile_cont(drop_, 0.75) AS e_drop, quantile_cont(vol_ratio, 0.75) AS e_vr, quantile_cont(breadth, 0.75) AS e_breadth, count(*) AS total FROM ft)",
+    f"""g AS (SELECT filter, count(*) AS n, avg(ret - 0.002 - 0.0025) AS net, avg((ret <= -0.5)::INT) AS big_loss, quantile_cont(ret, 0.05) AS q05, avg(ret - 0.002 - 0.0025) * 6.7 * count(*) / any_value(total) AS annual
+  FROM (SELECT ret, total, unnest([{', '.join(repr(k) for k in _FILTERS)}]) AS filter, unnest([{', '.join(_FILTERS.values())}]) AS keep FROM ft, ed) WHERE keep GROUP BY filter HAVING count(*) >= 30)""",
 )
 put(
     "feature_extremes",
     " UNION ALL ".join(
         f"SELECT '{n}' AS feature, {r(f'avg((ret <= -0.5)::INT) FILTER ({c} <= e[1]) AS low_quarter', f'avg((ret <= -0.5)::INT) FILTER ({c} >= e[2]) AS high_quarter')} FROM ft, (SELECT quantile_cont({c}, [0.25, 0.75]) AS e FROM ft)"
-        for n, c in (("drop", "drop_"), ("vol_ratio", "vol_ratio"), ("below", "below"))
+        for n, c in (("drop", "drop_"), ("vol_ratio", "vol_ratio"), ("below", "below"), ("vol", "vol"), ("breadth_pct", "breadth_pct"))
     ),
     *FEAT,
 )
-put(
-    "split_evaluation",
-    f"SELECT * FROM (SELECT CASE WHEN year <= 1998 THEN 'in' ELSE 'out' END AS side, count(*) AS n, count(*) FILTER (vol_ratio >= 1) AS kept, {r('avg((ret <= -0.5)::INT) AS base_loss', 'avg((ret <= -0.5)::INT) FILTER (vol_ratio >= 1) AS rule_loss', 'avg(ret) FILTER (vol_ratio >= 1) AS rule_ret')} FROM ft GROUP BY 1) WHERE n >= 200",
-    *FEAT,
-)
 
 # incremental and streaming
 
