@@ -72,24 +72,31 @@ class Tile(NamedTuple):
 
 
 def bounds(a: Tile, b: Tile) -> tuple[np.ndarray, np.ndarray]:
-    """For all pairs the int8 product, scaled, and what the true product may differ from it.
-
-    float32 holds the integers exactly up to 1040 dimensions (127 * 127 * 1040 < 2^24), beyond that float64 is used.
-    """
-    kind = np.float32 if a.q.shape[1] <= 1040 else np.float64
-    product = (a.q.astype(kind) @ b.q.astype(kind).T).astype(np.float64) * a.scale[:, None] * b.scale[None, :]
+    """For all pairs the int8 product, scaled, and what the true product may differ from it."""
+    product = (a.q.astype(np.int32) @ b.q.astype(np.int32).T) * a.scale[:, None] * b.scale[None, :]
     # |u.v - u'.v'| <= |u'||v - v'| + |u - u'||v|, and |v| = 1
     return product, a.norm[:, None] * b.error[None, :] + a.error[:, None] * (1 + SLACK) + SLACK
 
 
 def split(a: Tile, b: Tile, same: bool, threshold: float) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """Positions of the pairs that surely link, and of those that the int8 products leave open."""
-    product, off = bounds(a, b)
-    sure, open_ = product - off >= threshold, (product + off >= threshold) & (product - off < threshold)
+    """Positions of the pairs that surely link, and of those that the int8 products leave open.
+
+    One pass in single precision, with the tiles' widest bound, finds the pairs that may link; only for these are
+    products and their own bounds taken in double precision.
+    """
+    rough = (a.q * a.scale[:, None].astype(np.float32)) @ (b.q * b.scale[:, None].astype(np.float32)).T
+    widest = a.norm.max() * b.error.max() + a.error.max() * (1 + SLACK) + SLACK
+    i, j = np.nonzero(rough >= threshold - widest - 1e-4)  # above single precision's rounding for unit rows
     if same:
-        once = a.cls[:, None] < b.cls[None, :]
-        sure, open_ = sure & once, open_ & once
-    return np.nonzero(sure), np.nonzero(open_)
+        once = a.cls[i] < b.cls[j]
+        i, j = i[once], j[once]
+    product = np.empty(len(i))
+    for k in range(0, len(i), 1 << 15):
+        p, q = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
+        product[k : k + (1 << 15)] = np.einsum("ij,ij->i", a.q[p].astype(np.int32), b.q[q].astype(np.int32)) * a.scale[p] * b.scale[q]
+    off = a.norm[i] * b.error[j] + a.error[i] * (1 + SLACK) + SLACK
+    sure, open_ = product - off >= threshold, (product + off >= threshold) & (product - off < threshold)
+    return (i[sure], j[sure]), (i[open_], j[open_])
 
 
 def links_of(a: Tile, b: Tile, i: np.ndarray, j: np.ndarray) -> pd.DataFrame | None:
