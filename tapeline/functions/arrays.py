@@ -139,3 +139,27 @@ def block_vectors(open_: Column, high: Column, low: Column, close: Column, volum
     assert sxx > 0
     blocks = let(true_ranges(close), lambda tr: let(mean(tr), lambda a: F.when(a > 0, build(close, tr, a))))
     return blocks
+
+
+def full_vector(blocks: Column, scales: dict[str, Column]) -> Column:
+    """The 64 places resid, vol, range and trend of block_vectors, each block over its scale: one for library and query."""
+    return F.concat(*[F.transform(blocks[b], _over(scales[b])) for b in ("resid", "vol", "range", "trend")])
+
+
+def _over(scale: Column):
+    return lambda x: x / scale
+
+
+def true_ranges(high: Column, low: Column, close: Column) -> Column:
+    """True range of each bar of a window, that of the first being its own range."""
+
+    def one(h: Column, i: Column) -> Column:
+        lo, pc = F.get(low, i), F.get(close, i - 1)
+        return F.when(i == 0, h - lo).otherwise(F.greatest(h - lo, F.abs(h - pc), F.abs(lo - pc)))
+
+    return F.transform(high, one)
+
+
+def overlay(close: Column, win: int, clip: float = 3.0) -> Column:
+    """The curve to draw one window over another: log closes, detrended, over their deviation, clipped."""
+    return let(F.transform(close, F.ln), lambda x: zscore_clip_of(detrend_of(x, win)))

@@ -38,14 +38,19 @@ def coarsen(bars: DataFrame, step_ms: int) -> DataFrame:
     )
 
 
-def sanity(bars: DataFrame) -> DataFrame:
-    """Counts of impossible bars for each symbol."""
+def sanity(bars: DataFrame, order: str | None = None) -> DataFrame:
+    """Counts of impossible bars for each symbol; descending: bars stored (by the column ``order``) after a later one."""
     gap = F.col("open_time") - F.lag("open_time").over(by_time())
     b = bars.withColumn("gap", gap)
+    if order:
+        b = b.withColumn("place", F.col("open_time") - F.lag("open_time").over(Window.partitionBy("symbol").orderBy(order)))
+    else:
+        b = b.withColumn("place", F.lit(0))
     count = lambda c: F.count_if(c)
     return b.groupBy("symbol").agg(
         F.count("*").alias("bars"),
         count(F.col("gap") == 0).alias("duplicates"),
+        count(F.col("place") < 0).alias("descending"),
         count(F.col("high") < F.col("low")).alias("high_below_low"),
         count(F.col("high") < F.greatest("open", "close")).alias("high_short"),
         count(F.col("low") > F.least("open", "close")).alias("low_short"),
@@ -58,7 +63,7 @@ def live_issues(bars: DataFrame, step_ms: int) -> DataFrame:
     slack = 1e-9
     issues = F.array_compact(
         F.array(
-            F.when(F.isnan("close") | (F.col("close") <= 0), F.lit("close")),
+            F.when(F.col("close").isNull() | F.isnan("close") | (F.abs("close") == float("inf")) | (F.col("close") <= 0), F.lit("close")),
             F.when((F.col("high") < F.greatest("open", "close") - slack) | (F.col("low") > F.least("open", "close") + slack), F.lit("envelope")),
             F.when(F.col("qv") < 0, F.lit("volume")),
             F.when(gap != step_ms, F.lit("step")),
@@ -219,3 +224,21 @@ def counts_changed(old: DataFrame, new: DataFrame) -> DataFrame:
     x = a.join(b, "symbol", "full").select("symbol", F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("after", F.lit(0)).alias("after"))
     what = F.when(F.col("before") == 0, "added").when(F.col("after") < F.col("before"), "shrunk").when(F.col("after") > F.col("before"), "grown").otherwise("same")
     return x.withColumn("what", what)
+
+
+def seams(old: DataFrame, new: DataFrame, step_ms: int) -> DataFrame:
+    """For each symbol with new bars, whether the first of them follows the last old one without hole or overlap."""
+    a, b = old.groupBy("symbol").agg(F.max("open_time").alias("last")), new.groupBy("symbol").agg(F.min("open_time").alias("first"))
+    return b.join(a, "symbol", "left").select("symbol", "last", "first", F.coalesce(F.col("last") + step_ms == F.col("first"), F.lit(False)).alias("joined"))
+
+
+def latest_window(bars: DataFrame, n: int, step_ms: int) -> DataFrame:
+    """The last n bars of each symbol, made of bars of the given step where the median step is shorter; symbols with
+    fewer are left out."""
+    gap = F.col("open_time") - F.lag("open_time").over(by_time())
+    fine = bars.withColumn("gap", gap).groupBy("symbol").agg((F.percentile("gap", F.lit(0.5)) < step_ms).alias("fine"))
+    x = bars.join(F.broadcast(fine), "symbol")  # a row a symbol
+    whole = coarsen(x.where("fine"), step_ms).unionByName(x.where("not coalesce(fine, false)").select("symbol", "open_time", "open", "high", "low", "close", "qv", "n"))
+    w = Window.partitionBy("symbol")
+    x = whole.withColumn("_n", F.row_number().over(w.orderBy(F.col("open_time").desc()))).where(F.col("_n") <= n)
+    return x.withColumn("_m", F.count("*").over(w)).where(F.col("_m") == n).drop("_n", "_m")

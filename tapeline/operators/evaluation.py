@@ -71,6 +71,12 @@ def exposure(periods: DataFrame, x: str, order: str) -> DataFrame:
     return s.crossJoin(F.broadcast(mean)).select(order, (F.col("_s") / F.col("_a")).alias("scale"))
 
 
+def inverse_exposure(cells: DataFrame, x: str, by: str) -> DataFrame:
+    """Scale of total exposure: the mean of 1 / x over a period's holdings (x above 0), with mean 1 over periods."""
+    per = cells.where(F.col(x) > 0).groupBy(by).agg(F.avg(1 / F.col(x)).alias("_s"))
+    return per.crossJoin(F.broadcast(per.agg(F.avg("_s").alias("_a")))).select(by, (F.col("_s") / F.col("_a")).alias("scale"))  # one row
+
+
 def nav(periods: DataFrame, by: list[str], order: str) -> DataFrame:
     """Net value and drawdown of returns above -1; periods are few (one row a period and scheme)."""
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

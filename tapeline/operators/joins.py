@@ -71,3 +71,11 @@ def excess(rows: DataFrame, benchmark: str) -> DataFrame:
     """ret minus the benchmark symbol's ret at the same t; rows without one are dropped."""
     b = rows.where(F.col("symbol") == benchmark).select("t", F.col("ret").alias("bench"))
     return rows.where(F.col("symbol") != benchmark).join(b, "t").withColumn("excess", F.col("ret") - F.col("bench"))
+
+
+def near(queries: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """queries (q_symbol, q_t0) with all rows (c_symbol, c_t0) of any symbol that begin at most ``width`` apart, the
+    query itself left out. Buckets of that width, so the join is an equi-join; queries are a stated set."""
+    q = queries.withColumn("_b", F.explode(F.expr(f"array(q_t0 div {width}L, q_t0 div {width}L - 1, q_t0 div {width}L + 1)")))
+    got = q.join(rows.withColumn("_b", F.expr(f"c_t0 div {width}L")), "_b").drop("_b")
+    return got.where((F.abs(F.col("q_t0") - F.col("c_t0")) <= width) & ~((F.col("q_symbol") == F.col("c_symbol")) & (F.col("q_t0") == F.col("c_t0"))))

@@ -1,7 +1,8 @@
 """Exact nearest neighbours by squared L2 with temporal exclusion.
 
-The query side is a stated, bounded set and is broadcast after its size has been checked; the library is read
-once, distances stay in generated code, and each task keeps its k best before anything is shuffled.
+The query side is a stated set: as many as may be broadcast are sent to the executors, more are searched in blocks.
+The library is read once a block, distances stay in generated code, and each task keeps its k best before anything
+is shuffled.
 """
 
 from __future__ import annotations
@@ -16,24 +17,49 @@ QUERIES = 100_000
 
 
 def checked(queries: DataFrame) -> DataFrame:
+    """queries for a broadcast join; more than QUERIES go through in_blocks."""
     if queries.limit(QUERIES + 1).count() > QUERIES:
-        raise ValueError(f"more than {QUERIES} queries: search them in blocks")
+        raise ValueError(f"more than {QUERIES} queries: search them with in_blocks")
     return F.broadcast(queries)
 
 
-def distances(queries: DataFrame, library: DataFrame, dim: int = 64, first: int = 0, amp_weight: float = 0.0) -> DataFrame:
-    """Every query against every library row: q_* and c_* columns and dist."""
+def in_blocks(queries: DataFrame, key: list[str], search) -> DataFrame:
+    """search(block) for blocks of at most about QUERIES queries, their results together.
+
+    search returns some rows for each query of its block alone, so blocks need not know of each other; few queries
+    are one block. Blocks follow a hash of the key, 10 % below the limit on average.
+    """
+    n = queries.count()
+    blocks = 1 if n <= QUERIES else -(-10 * n // (9 * QUERIES)) + 1
+    out = None
+    for b in range(blocks):
+        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(*key), F.lit(blocks)) == b)
+        got = search(part)
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def distances(queries: DataFrame, library: DataFrame, dim: int = 64, first: int = 0, amp_weight: float = 0.0, keep: list[str] | None = None) -> DataFrame:
+    """Every query against every library row: q_* and c_* columns (of c_* only those named in keep) and dist."""
     q = queries.select(*(F.col(c).alias(f"q_{c}") for c in queries.columns))
     c = library.select(*(F.col(x).alias(f"c_{x}") for x in library.columns))
     d = arrays.squared_l2(F.col("q_v"), F.col("c_v"), dim, first)
     if amp_weight:
         d = d + amp_weight * (F.col("c_amp_z") - F.col("q_amp_z")) * (F.col("c_amp_z") - F.col("q_amp_z"))
-    return c.crossJoin(checked(q)).withColumn("dist", d)  # a bounded query set against all rows
+    pairs = c.crossJoin(checked(q)).withColumn("dist", d)  # a bounded query set against all rows
+    # vectors are not sent on with the pairs
+    return pairs.drop("q_v", "c_v") if keep is None else pairs.select(*(x for x in q.columns if x != "q_v"), *(f"c_{x}" for x in keep), "dist")
 
 
-def top(pairs: DataFrame, k: int, by: list[str], ties: list[str], out: str = "rank") -> DataFrame:
-    """The k nearest of each query; ties by the given columns."""
-    w = Window.partitionBy(*by).orderBy("dist", *ties)
+def top(pairs: DataFrame, k: int, by: list[str], ties: list[str], out: str = "rank", order: str = "dist") -> DataFrame:
+    """The k nearest of each query; ties by the given columns.
+
+    Each task keeps its k best before the shuffle; Spark does so up to a limit that is raised to k here.
+    """
+    spark, name = pairs.sparkSession, "spark.sql.optimizer.windowGroupLimitThreshold"
+    if int(spark.conf.get(name, "1000")) < k:
+        spark.conf.set(name, str(k))
+    w = Window.partitionBy(*by).orderBy(order, *ties)
     return pairs.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)
 
 
@@ -106,26 +132,21 @@ def channels(queries: DataFrame, library: DataFrame, near: int, seed: str, pool:
     """Four candidates for each query, one a channel, none twice: nearest by shape, nearest by raw vector, a random
     one of like amplitude and time, a random one. place (1 to 4) is their shuffled order.
 
-    Each channel offers its first ``pool``; a channel whose offers are all taken yields nothing.
+    Each channel is a search of its own that brings its first ``pool`` offers; one whose offers are all taken yields
+    nothing.
     """
-    cols = ["symbol", "t0", "t1", "v", "raw", "amp_pct"]
-    pairs = distances(queries.select(cols), library.select(cols)).where(~overlaps())
-    pairs = pairs.withColumn("raw_dist", arrays.squared_l2(F.col("q_raw"), F.col("c_raw"), 64))
+    by, ties = ["q_symbol", "q_t0"], ["c_symbol", "c_t0"]
+    cols = ["symbol", "t0", "t1", "amp_pct"]
     h = F.md5(F.concat_ws("-", F.lit(seed), "q_symbol", F.col("q_t0").cast("string"), "c_symbol", F.col("c_t0").cast("string")))
     like = (F.abs(F.col("q_t0") - F.col("c_t0")) <= near) & F.col("c_amp_pct").between(F.col("q_amp_pct") * 0.5, F.col("q_amp_pct") * 2)
-    by = ["q_symbol", "q_t0"]
-    ties = ["c_symbol", "c_t0"]
-    w = Window.partitionBy(*by)
-    offers = pairs.withColumns(
-        {
-            "shape": F.row_number().over(w.orderBy("dist", *ties)),
-            "raw_rank": F.row_number().over(w.orderBy("raw_dist", *ties)),
-            "regime": F.when(like, F.row_number().over(w.orderBy(F.when(like, h).asc_nulls_last(), *ties))),
-            "any": F.row_number().over(w.orderBy(F.reverse(h), *ties)),
-        }
-    ).where(F.least("shape", "raw_rank", F.coalesce("regime", F.lit(10**9)), "any") <= pool)
-    c = F.struct("c_symbol", "c_t0")
-    lists = [F.sort_array(F.collect_list(F.when(F.col(r) <= pool, F.struct(F.col(r).alias("r"), c.alias("c"))))) for r in ("shape", "raw_rank", "regime", "any")]
+    shape, raw = (distances(*(x.select(*cols, F.col(v).alias("v")) for x in (queries, library))).where(~overlaps()) for v in ("v", "raw"))
+    q, c = queries.select(*(F.col(x).alias(f"q_{x}") for x in cols)), library.select(*(F.col(x).alias(f"c_{x}") for x in cols))
+    pairs = c.crossJoin(checked(q)).where(~overlaps()).withColumn("h", h).withColumn("back", F.reverse("h"))
+    offers = None
+    for i, (x, order) in enumerate(((shape, "dist"), (raw, "dist"), (pairs.where(like), "h"), (pairs, "back"))):
+        got = top(x.select(*by, *ties, order), pool, by, ties, "r", order).select(*by, F.lit(i).alias("i"), "r", F.struct(*ties).alias("c"))
+        offers = got if offers is None else offers.unionByName(got)
+    lists = [F.sort_array(F.collect_list(F.when(F.col("i") == i, F.struct("r", "c")))) for i in range(4)]  # pool rows each
     packed = offers.groupBy(*by).agg(*(x.alias(f"l{i}") for i, x in enumerate(lists)))
     picks: list[Column] = []
     for i in range(4):
@@ -135,8 +156,19 @@ def channels(queries: DataFrame, library: DataFrame, near: int, seed: str, pool:
     names = ("shape", "raw", "regime", "random")
     rows = packed.select(*by, F.inline(F.array(*[F.struct(F.lit(n).alias("channel"), p.alias("c")) for n, p in zip(names, picks, strict=True)]))).where("c is not null")
     order = F.md5(F.concat_ws("-", F.lit(seed), "q_symbol", F.col("q_t0").cast("string"), "channel"))
-    return rows.select(*by, "channel", "c.c_symbol", "c.c_t0", F.row_number().over(w.orderBy(order)).alias("place"))
+    return rows.select(*by, "channel", "c.c_symbol", "c.c_t0", F.row_number().over(Window.partitionBy(*by).orderBy(order)).alias("place"))
 
 
 def _free(taken: Column):
     return lambda x: ~F.array_contains(taken, x["c"])
+
+
+def with_norm(library: DataFrame, vector: str = "v") -> DataFrame:
+    """The library with norm2, the squared length of each row's vector, kept in the row itself."""
+    return library.withColumn("norm2", F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x))
+
+
+def stale_norms(library: DataFrame, vector: str = "v") -> DataFrame:
+    """Rows whose stored norm2 is missing or is not that of their vector."""
+    now = F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x)
+    return library.where(~F.equal_null(F.round("norm2", 9), F.round(now, 9)))

@@ -35,11 +35,24 @@ def pct_rank(value: str, by: list[str]) -> Column:
     return F.when(F.col(value).isNotNull(), (low + (ties - 1) / 2) / F.count(value).over(w))
 
 
-def top_k(liq: DataFrame, value: str, k: int, delay: int = 1, rank_zero: bool = False) -> DataFrame:
-    """(sym, day) in the universe of a day: the k greatest values ``delay`` days before, by rank then symbol."""
+def without(rows: DataFrame, names: DataFrame, column: str = "sym") -> DataFrame:
+    """Rows whose symbol is not listed in names (one column of that name)."""
+    return rows.join(names.select(column).distinct(), column, "left_anti")
+
+
+def greatest_least(rows: DataFrame, value: str, n: int) -> DataFrame:
+    """The n symbols with the greatest and with the least value, ties by symbol; a null value is neither."""
+    x = rows.where(F.col(value).isNotNull())
+    up, down = x.orderBy(F.col(value).desc(), "sym").limit(n), x.orderBy(F.col(value), "sym").limit(n)
+    return up.withColumn("end", F.lit("greatest")).unionByName(down.withColumn("end", F.lit("least"))).select("sym", value, "end")
+
+
+def top_k(liq: DataFrame, value: str, k: int, delay: int = 1, rank_zero: bool = False, floor: float = 0.0) -> DataFrame:
+    """(sym, day) in the universe of a day: the k greatest values ``delay`` days before, by rank then symbol; of these,
+    the ones of at least floor."""
     x = liq.where(F.col(value).isNotNull() if rank_zero else (F.col(value) > 0))
     w = Window.partitionBy("day").orderBy(F.col(value).desc(), "sym")
-    x = x.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    x = x.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= k) & (F.col(value) >= floor))
     return x.select("sym", (F.col("day") + delay).alias("day"), "rank")
 
 

@@ -77,9 +77,46 @@ def library(bars: DataFrame, win: int = 100, stride: int = 5, horizon: int = 0,
         "v",
         ((F.try_divide(F.array_max("high"), F.array_min("low")) - 1) * 100).alias("amp_pct"),
         F.when(full, F.try_divide(F.get("f_close", F.lit(max(horizon, 1) - 1)), last) - 1).alias("fwd_ret"),
+        F.when(full, F.try_divide(F.array_max("f_high"), last) - 1).alias("fwd_max"),
+        F.when(full, F.try_divide(F.array_min("f_low"), last) - 1).alias("fwd_min"),
     )
 
 
+def scales(blocks: DataFrame) -> DataFrame:
+    """One row: for each block of b (see arrays.block_vectors) the mean over its places of their deviation."""
+    names = ("resid", "vol", "range", "trend")
+    x = blocks.select(F.explode(F.array(*[F.struct(F.lit(n).alias("block"), F.col(f"b.{n}").alias("v")) for n in names])).alias("z")).select("z.block", F.posexplode("z.v").alias("i", "x"))
+    s = x.groupBy("block", "i").agg(F.stddev_pop("x").alias("s")).groupBy("block").agg(F.avg("s").alias("s"))
+    return s.agg(*[F.max(F.when(F.col("block") == n, F.col("s"))).alias(n) for n in names])
+
+
+def full_library(bars: DataFrame, win: int = 100, stride: int = 5) -> DataFrame:
+    """Windows with the scaled vector of 64 places; those without a true range, and all if a block does not vary, are
+    left out."""
+    w = windows(bars, win, stride)
+    b = w.select("symbol", "k", "t0", "t1", arrays.block_vectors(F.col("open"), F.col("high"), F.col("low"), F.col("close"), F.col("qv"), win).alias("b")).where("b is not null")
+    s = scales(b).where("resid > 0 and vol > 0 and `range` > 0 and trend > 0").select(F.struct("resid", "vol", "range", "trend").alias("s"))
+    v = arrays.full_vector(F.col("b"), {n: F.col(f"s.{n}") for n in ("resid", "vol", "range", "trend")})
+    return b.crossJoin(F.broadcast(s)).select("symbol", "k", "t0", "t1", v.alias("v"))  # one row
+
+
+def atr_forward(w: DataFrame, win: int = 100, least: int = 5) -> DataFrame:
+    """symbol, t0 and, in mean true ranges of the window, the move to the last bar after it and the greatest move up
+    and down on the way. w: windows() with a horizon; fewer than ``least`` bars after it, or no range: left out."""
+    last = F.get("close", F.lit(win - 1))
+    atr = arrays.let(arrays.true_ranges(F.col("high"), F.col("low"), F.col("close")), arrays.mean)
+    x = w.where(F.size("f_close") >= least).withColumn("atr", atr).where("atr > 0")
+    end = F.element_at("f_close", -1)
+    return x.select("symbol", "t0", ((end - last) / F.col("atr")).alias("fwd"), ((F.array_max("f_high") - last) / F.col("atr")).alias("max_up"), ((F.array_min("f_low") - last) / F.col("atr")).alias("max_down"))
+
+
+def plot_bars(w: DataFrame) -> DataFrame:
+    """Windows as they are drawn: rows of open, high, low, close (10 digits) and volume (2 digits)."""
+    p = lambda c: F.round(c, 10)
+    row = lambda b: F.array(p(b["open"]), p(b["high"]), p(b["low"]), p(b["close"]), F.round(b["qv"], 2))
+    return w.select("symbol", "t0", "t1", F.transform(F.arrays_zip("open", "high", "low", "close", "qv"), row).alias("bars"))
+
+
 def strict(w: DataFrame, win: int, step_ms: int, least_n: int) -> DataFrame:
     """Windows without holes whose bars all hold enough ticks."""
     return w.where((F.col("t1") - F.col("t0") == (win - 1) * step_ms) & (F.array_min("n") >= least_n))

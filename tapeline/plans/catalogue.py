@@ -14,6 +14,7 @@ from tapeline.operators import events as V
 from tapeline.operators import incremental as I
 from tapeline.operators import joins as J
 from tapeline.operators import knn as K
+from tapeline.operators import neighbours as N
 from tapeline.operators import universe as U
 from tapeline.operators import windows as W
 from tapeline.sources import fixtures as S
@@ -298,7 +299,7 @@ def knn_amp_aug(spark, d):
 
 def _window_sets(spark, d):
     lib = _lib(spark, d)
-    return lib.where("k % 40 = 0").select("symbol", "t0", "t1", "v"), lib.select("symbol", "t0", "t1", "v", "amp_pct", "fwd_ret")
+    return lib.where("k % 100 = 0").select("symbol", "t0", "t1", "v"), lib.select("symbol", "t0", "t1", "v", "amp_pct", "fwd_ret")
 
 
 @query
@@ -344,6 +345,119 @@ def similarity_score(spark, d):
     return x.select("q_id", "c_id", F.round(K.similarity(F.col("dist"), F.col("scale")), 5).alias("score"))
 
 
+def _labelled(spark, d):
+    """The library with excess labels, and as queries every hundredth window of a symbol."""
+    lib = N.with_excess(_lib(spark, d)).select("symbol", "t0", "t1", "v", "k", "amp_pct", "fwd_ret", "fwd_max", "fwd_min", "exc", "excmax", "hit")
+    return lib.where("k % 100 = 0"), lib
+
+
+BY, TIES = ["q_symbol", "q_t0"], ["c_symbol", "c_t0"]
+
+
+@query
+def stratified_queries(spark, d):
+    return N.stratified(N.eligible(_lib(spark, d), 1.0, 1e7, 1_704_200_000_000), 20, "sq", ["symbol", "t0"]).select("symbol", "t0", "year")
+
+
+def _neighbours(spark, d, k=40):
+    q, lib = _labelled(spark, d)
+    return K.top(K.distances(q, lib).where(K.isolated(DAY)), k, BY, TIES)
+
+
+@query
+def neighbour_summary(spark, d):
+    return rounded(N.summaries(_neighbours(spark, d), BY), "exc", "excmax", "hit", "dispersion", "days", "past_exc")
+
+
+@query
+def neighbour_consistency(spark, d):
+    q, lib = _labelled(spark, d)
+    own = q.select(F.col("symbol").alias("q_symbol"), F.col("t0").alias("q_t0"), F.col("exc").alias("own_exc"))
+    per = N.summaries(_neighbours(spark, d), BY).join(own, BY)
+    order = E.hash_order("nr", *BY, *TIES)
+    drawn = K.top(K.distances(q, lib).withColumn("o", order), 40, BY, TIES, order="o")
+    return rounded(N.consistency(per, N.summaries(drawn, BY), 3), "same_sign", "long_rule", "dispersion", "days", "neighbours", "random", "ratio")
+
+
+@query
+def neighbour_volatility(spark, d):
+    q, lib = _labelled(spark, d)
+    lib = N.clean_outcomes(lib, 1000.0)
+    return rounded(N.outlook(K.top(K.distances(q, lib).where(K.isolated(DAY)), 40, BY, TIES), BY), "nb_vol", "nb_ret")
+
+
+@query
+def neighbours_by_amplitude(spark, d):
+    q, lib = _labelled(spark, d)
+    cols = ["symbol", "t0", "t1", "amp_pct"]
+    return rounded(N.by_scalar(q.select(cols), lib.select(cols), "amp_pct", 50, 20, BY, TIES, K.isolated(DAY)).select(*BY, *TIES, "dist", "rank"), "dist")
+
+
+@query
+def neighbour_union(spark, d):
+    found = _neighbours(spark, d, 10)
+    ids = found.select(F.col("c_symbol").alias("symbol"), F.col("c_t0").alias("t0")).union(found.select("q_symbol", "q_t0"))
+    return ids.distinct()
+
+
+@query
+def decision_cells(spark, d):
+    r = _ranges(spark, d).withColumn("day", F.expr(f"t1 div {DAY}L"))
+    last = F.row_number().over(Window.partitionBy("day", "symbol").orderBy(F.col("t1").desc(), F.col("t0").desc()))
+    return N.every(r.withColumn("n", last).where("n = 1").drop("n"), "day", 3, 3).select("g", "day", "symbol", "t0", "t1")
+
+
+@query
+def market_context(spark, d):
+    market = B.true_range(S.bars(spark, d, 2).where("symbol = 'click'"))
+    return rounded(N.context(_ranges(spark, d), market), "net_atr", "atr_pct")
+
+
+@query
+def fwd_atr(spark, d):
+    return rounded(W.atr_forward(W.windows(S.bars(spark, d), 100, 5, 24)), "fwd", "max_up", "max_down")
+
+
+@query
+def vec_full64(spark, d):
+    return _flat(W.full_library(S.bars(spark, d)), "symbol", "t0")
+
+
+@query
+def knn_full64(spark, d):
+    lib = W.full_library(S.bars(spark, d))
+    found = K.search(lib.where("k % 100 = 0").select("symbol", "t0", "t1", "v"), lib.select("symbol", "t0", "t1", "v"), 10, 100, BY, TIES, K.overlaps())
+    return rounded(found.select(*BY, *TIES, "dist", "rank"), "dist")
+
+
+@query
+def norm_cache(spark, d):
+    return rounded(K.with_norm(S.vectors(spark, d)).select("id", "norm2"), "norm2")
+
+
+@query
+def query_window(spark, d):
+    return rounded(B.latest_window(S.bars(spark, d), 50, 6 * HOUR), "qv")
+
+
+@query
+def seam_check(spark, d):
+    b = S.bars(spark, d)
+    return B.seams(b.where("open_time < 1705000000000"), b.where("open_time >= 1705000000000"), HOUR)
+
+
+@query
+def plot_overlay(spark, d):
+    w = W.windows(S.bars(spark, d), 100, 5).where("k % 10 = 0")
+    return _flat(w.select("symbol", "t0", arrays.overlay(F.col("close"), 100).alias("v")), "symbol", "t0")
+
+
+@query
+def plot_frames(spark, d):
+    w = W.plot_bars(W.windows(S.bars(spark, d), 100, 5).where("k % 10 = 0"))
+    return w.select("symbol", "t0", F.posexplode("bars").alias("i", "b")).select("symbol", "t0", "i", *(F.round(F.get("b", F.lit(k)), 6).alias(c) for k, c in enumerate(("open", "high", "low", "close"))), F.round(F.get("b", F.lit(4)), 2).alias("qv"))
+
+
 @query
 def index_info(spark, d):
     return _ranges(spark, d).agg(F.count("*").alias("rows"), F.countDistinct("symbol").alias("symbols"), F.min("t0").alias("first"), F.max("t1").alias("last"))
@@ -370,7 +484,7 @@ def separated_sample(spark, d):
 @query
 def blind_candidates(spark, d):
     lib = _lib(spark, d).join(_lib(spark, d, kind="raw").select("symbol", "t0", F.col("v").alias("raw")), ["symbol", "t0"])
-    return K.channels(lib.where("k % 40 = 0"), lib, 10 * DAY, "blind")
+    return K.channels(lib.where("k % 100 = 0"), lib, 10 * DAY, "blind")
 
 
 @query
@@ -401,6 +515,30 @@ def pit_topk(spark, d):
     return U.top_k(_liq(spark, d), "liq60", 5)
 
 
+@query
+def pit_topk_floor(spark, d):
+    return U.top_k(_liq(spark, d), "liq60", 5, floor=150_000.0)
+
+
+@query
+def panel_without(spark, d):
+    p = S.panel(spark, d)
+    return U.without(p, p.where("sym in (3, 7, 24)").select("sym")).groupBy("sym").agg(F.count("*").alias("days"))
+
+
+@query
+def liquidity_ends(spark, d):
+    per = S.panel(spark, d).groupBy("sym").agg(F.percentile("dvol", F.lit(0.5)).alias("med"))
+    return rounded(U.greatest_least(per, "med", 5), "med")
+
+
+@query
+def near_any_symbol(spark, d):
+    r = _ranges(spark, d).withColumn("n", F.row_number().over(Window.partitionBy("symbol").orderBy("t0")))
+    q = r.where("n % 20 = 1").select(F.col("symbol").alias("q_symbol"), F.col("t0").alias("q_t0"))
+    return J.near(q, r.select(F.col("symbol").alias("c_symbol"), F.col("t0").alias("c_t0")), 2 * DAY)
+
+
 @query
 def pct_rank_avg(spark, d):
     return _liq(spark, d).select("sym", "day", R(U.pct_rank("liq30", ["day"])).alias("pr"))
@@ -503,6 +641,11 @@ def exposure_scale(spark, d):
     return rounded(E.exposure(per, "m", "g"), "scale")
 
 
+@query
+def exposure_inverse(spark, d):
+    return rounded(E.inverse_exposure(_cells(spark, d), "x", "g"), "scale")
+
+
 def _schemes(spark, d):
     p = _periods(spark, d)
     return p.select("g", "year", F.inline(F.array(F.struct(F.lit("equal").alias("scheme"), F.col("a").alias("ret")), F.struct(F.lit("inverse").alias("scheme"), F.col("b").alias("ret")))))
@@ -514,6 +657,13 @@ def sharpe_table(spark, d):
     return rounded(r, "annual_ret", "annual_vol", "sharpe", "max_drawdown", "win_rate", "t", "t_thin")
 
 
+@query
+def scheme_coverage(spark, d):
+    held = _weighted(spark, d).groupBy("g").agg((1 / F.sum(F.col("w") * F.col("w"))).alias("n")).agg(F.avg("n").alias("holdings"), F.count("*").alias("periods")).select(F.lit("inverse").alias("scheme"), "holdings", "periods")
+    all_of = _weighted(spark, d).groupBy("g").agg(F.count("*").cast("double").alias("n")).agg(F.avg("n").alias("holdings"), F.count("*").alias("periods")).select(F.lit("equal").alias("scheme"), "holdings", "periods")
+    return rounded(sharpe_table(spark, d).select("scheme", "sharpe").join(held.unionByName(all_of), "scheme"), "holdings")
+
+
 @query
 def drawdown(spark, d):
     return rounded(E.nav(_schemes(spark, d), ["scheme"], "g").select("scheme", "g", "nav", "drawdown"), "nav", "drawdown")
@@ -800,6 +950,22 @@ def props_json(spark, d):
     return e.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")).where("k is not null")
 
 
+@query
+def utc_strings(spark, d):
+    b = S.bars(spark, d, 24).select("symbol", "open_time")
+    at = F.date_format(F.timestamp_millis("open_time"), "yyyy-MM-dd HH:mm")
+    x = b.select("symbol", "open_time", at.alias("utc"), F.unix_millis(F.to_timestamp(at, "yyyy-MM-dd HH:mm")).alias("parsed"), F.year(F.timestamp_millis("open_time")).alias("year"))
+    month = lambda c: F.year(c) * 12 + F.month(c)
+    return x.withColumn("months", month(F.timestamp_millis("open_time")) - month(F.lit("2023-11-01").cast("date")))
+
+
+@query
+def coin_counts(spark, d):
+    per = _ranges(spark, d).groupBy("symbol").agg(F.count("*").alias("n"))
+    m = per.agg(F.map_from_entries(F.collect_list(F.struct("symbol", "n"))).alias("m"))  # a row a symbol
+    return per.crossJoin(F.broadcast(m)).select("symbol", F.try_element_at("m", F.col("symbol")).alias("n"), F.size("m").alias("symbols"), F.coalesce(F.try_element_at("m", F.lit("none")), F.lit(0)).alias("other"))
+
+
 @query
 def interval_parse(spark, d):
     x = spark.sql("SELECT * FROM VALUES ('15m'), ('1h'), ('4h'), ('1d'), ('h'), ('') AS t(s)")

@@ -81,7 +81,7 @@ put_bars(
 )
 put_bars(
     "ohlc_sanity",
-    f"""SELECT symbol, count(*) AS bars, count(*) FILTER (gap = 0) AS duplicates, count(*) FILTER (high < low) AS high_below_low, count(*) FILTER (high < greatest(open, close)) AS high_short,
+    f"""SELECT symbol, count(*) AS bars, count(*) FILTER (gap = 0) AS duplicates, 0::BIGINT AS descending, count(*) FILTER (high < low) AS high_below_low, count(*) FILTER (high < greatest(open, close)) AS high_short,
   count(*) FILTER (low > least(open, close)) AS low_short FROM (SELECT *, open_time - lag(open_time) OVER ({W}) AS gap FROM b) GROUP BY symbol""",
 )
 put_bars("live_validate", f"SELECT symbol, open_time, 'step' AS issues FROM (SELECT *, open_time - lag(open_time) OVER ({W}) AS gap FROM b) WHERE gap <> {HOUR}")
@@ -258,7 +258,7 @@ put(
 )
 WIN_VEC = [windows(), *vec("shape"), LABELS, "lib AS (SELECT m.symbol, m.k, m.t0, m.t1, amp_pct, fwd_ret, l.v FROM meta m JOIN vl l USING (symbol, t0))"]
 DIST = [
-    f"d AS (SELECT q.symbol AS q_symbol, q.t0 AS q_t0, q.t1 AS q_t1, c.symbol AS c_symbol, c.t0 AS c_t0, c.t1 AS c_t1, c.amp_pct, c.fwd_ret, {sq('q.v', 'c.v')} AS dist FROM lib q, lib c WHERE q.k % 40 = 0)"
+    f"d AS (SELECT q.symbol AS q_symbol, q.t0 AS q_t0, q.t1 AS q_t1, c.symbol AS c_symbol, c.t0 AS c_t0, c.t1 AS c_t1, c.amp_pct, c.fwd_ret, {sq('q.v', 'c.v')} AS dist FROM lib q, lib c WHERE q.k % 100 = 0)"
 ]
 
 
@@ -288,6 +288,97 @@ SCALE = f"""SELECT round(quantile_cont(m, 0.5), 6) AS scale FROM (SELECT q.id, q
   FROM (SELECT * FROM v ORDER BY md5('q-' || id), id LIMIT 24) q, (SELECT * FROM v ORDER BY md5('c-' || id), id LIMIT 3000) c GROUP BY q.id)"""
 put("dist_random_scale", SCALE, VEC)
 put("similarity_score", f"SELECT q_id, c_id, round(least(1, greatest(0, 1 - sqrt(dist) / scale)), 5) AS score FROM ({nearest(sq('q.v', 'c.v'))}), ({SCALE})", VEC)
+LABELLED = """lx AS (SELECT m.symbol, m.k, m.t0, m.t1, amp_pct, fwd_ret, fwd_max, fwd_min, fwd_ret - avg(fwd_ret) OVER (PARTITION BY m.t1) AS exc, fwd_max - avg(fwd_max) OVER (PARTITION BY m.t1) AS excmax, (fwd_max >= 0.05)::INT AS hit, l.v
+  FROM meta m JOIN vl l USING (symbol, t0))"""
+_PAIR = "q.symbol AS q_symbol, q.t0 AS q_t0, q.t1 AS q_t1, c.symbol AS c_symbol, c.t0 AS c_t0, c.t1 AS c_t1"
+DX = f"dx AS (SELECT {_PAIR}, q.exc AS own, c.exc, c.excmax, c.hit, c.fwd_ret, c.fwd_max, c.fwd_min, {sq('q.v', 'c.v')} AS dist FROM lx q, lx c WHERE q.k % 100 = 0)"
+ISO = f"(c_t1 <= q_t0 OR c_t0 >= q_t1 + {DAY})"
+FOUND40 = [windows(), *vec("shape"), LABELS, LABELLED, DX, f"fn AS {ranked('dx', 40, 'rank', ISO)}"]
+
+
+def summary(src: str) -> str:
+    past = "FILTER (c_t1 <= q_t0)"
+    return f"""(SELECT q_symbol, q_t0, any_value(own) AS own, CASE WHEN count(*) >= 10 THEN avg(exc) END AS exc, CASE WHEN count(*) >= 10 THEN avg(excmax) END AS excmax, CASE WHEN count(*) >= 10 THEN avg(hit) END AS hit,
+  CASE WHEN count(*) >= 10 THEN stddev_pop(fwd_ret) END AS dispersion, CASE WHEN count(*) >= 10 THEN avg(abs(c_t0 - q_t0) / {DAY}) END AS days,
+  CASE WHEN count(*) >= 10 AND count(*) {past} >= 10 THEN avg(exc) {past} END AS past_exc, CASE WHEN count(*) >= 10 THEN count(*) ELSE 0 END AS n FROM {src} GROUP BY 1, 2)"""
+
+
+put_bars(
+    "stratified_queries",
+    """SELECT symbol, t0, year FROM (SELECT *, row_number() OVER (PARTITION BY year ORDER BY o, symbol, t0) AS n, count(DISTINCT year) OVER () AS years FROM (SELECT symbol, t0, year(make_timestamp(t0 * 1000)) AS year, md5('sq-' || symbol || '-' || t0) AS o
+  FROM meta WHERE fwd_ret IS NOT NULL AND amp_pct BETWEEN 1 AND 1e7 AND t0 > 1704200000000)) WHERE n <= greatest(1, 20 // years) ORDER BY o, symbol, t0 LIMIT 20""",
+    windows(),
+    LABELS,
+)
+put_bars("neighbour_summary", f"SELECT q_symbol, q_t0, {r('exc', 'excmax', 'hit', 'dispersion', 'days', 'past_exc')}, n FROM {summary('fn')}", *FOUND40)
+put_bars(
+    "neighbour_consistency",
+    f"""SELECT {r('same_sign', 'long_rule', 'dispersion', 'days', 'neighbours', 'random', 'dispersion / random AS ratio')} FROM (SELECT avg((sign(exc) = sign(own))::INT) FILTER (exc IS NOT NULL AND own IS NOT NULL) AS same_sign,
+  CASE WHEN count(*) FILTER (exc > 0 AND own IS NOT NULL) >= 3 THEN avg(own) FILTER (exc > 0 AND own IS NOT NULL) END AS long_rule, quantile_cont(dispersion, 0.5) AS dispersion, quantile_cont(days, 0.5) AS days, avg(n) AS neighbours FROM {summary('fn')}),
+  (SELECT quantile_cont(dispersion, 0.5) AS random FROM {summary('dr')})""",
+    *FOUND40,
+    "dr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_symbol, q_t0 ORDER BY md5('nr-' || q_symbol || '-' || q_t0 || '-' || c_symbol || '-' || c_t0), c_symbol, c_t0) AS rk FROM dx) WHERE rk <= 40)",
+)
+put_bars(
+    "neighbour_volatility",
+    f"SELECT q_symbol, q_t0, {r('quantile_cont(least(1000, greatest(0, (fwd_max - fwd_min) * 100)), 0.5) AS nb_vol', 'avg(exc) AS nb_ret')} FROM {ranked('dx', 40, 'rank', f'{ISO} AND abs(fwd_ret) <= 1 AND least(1000, greatest(0, (fwd_max - fwd_min) * 100)) > 1e-9')} GROUP BY 1, 2",
+    windows(),
+    *vec("shape"),
+    LABELS,
+    LABELLED,
+    DX,
+)
+put_bars(
+    "neighbours_by_amplitude",
+    f"SELECT q_symbol, q_t0, c_symbol, c_t0, {r('dist')}, rank FROM {ranked('sd', 20)}",
+    windows(),
+    LABELS,
+    f"am AS (SELECT {_PAIR}, abs(c.amp_pct - q.amp_pct) AS dist, c.amp_pct >= q.amp_pct AS up FROM meta q, meta c WHERE q.k % 100 = 0)",
+    f"sd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_symbol, q_t0, up ORDER BY dist, c_symbol, c_t0) AS n FROM am WHERE {ISO}) WHERE n <= 50)",
+)
+put_bars("neighbour_union", f"SELECT c_symbol AS symbol, c_t0 AS t0 FROM {ranked('dx', 10, 'rank', ISO)} UNION SELECT q_symbol, q_t0 FROM {ranked('dx', 10, 'rank', ISO)}", *FOUND40[:-1])
+put_bars(
+    "decision_cells",
+    f"""SELECT (dense_rank() OVER (ORDER BY day) - 1)::INT AS g, day, symbol, t0, t1 FROM (SELECT *, dense_rank() OVER (ORDER BY day) - 1 AS k, count(*) OVER (PARTITION BY day) AS c
+  FROM (SELECT symbol, t0, t1, t1 // {DAY} AS day, row_number() OVER (PARTITION BY t1 // {DAY}, symbol ORDER BY t1 DESC, t0 DESC) AS n FROM w) WHERE n = 1) WHERE k % 3 = 0 AND c >= 3""",
+    windows(),
+    hours=2,
+)
+put_bars(
+    "market_context",
+    """SELECT w.symbol, w.t0, w.t1, round(CASE WHEN n > 1 AND a > 0 THEN (cz - ca) / a END, 6) AS net_atr, round(CASE WHEN n > 1 AND a > 0 THEN a / ca END, 6) AS atr_pct FROM w LEFT JOIN
+  (SELECT w.symbol, w.t0, count(*) AS n, avg(tr) AS a, arg_min(close, open_time) AS ca, arg_max(close, open_time) AS cz FROM w JOIN tr ON tr.symbol = 'click' AND open_time BETWEEN t0 AND t1 GROUP BY 1, 2) x USING (symbol, t0)""",
+    windows(),
+    TR,
+    hours=2,
+)
+put_bars(
+    "fwd_atr",
+    f"""SELECT symbol, t0, {r('(fc - cl) / a AS fwd', '(fh - cl) / a AS max_up', '(fl - cl) / a AS max_down')} FROM (SELECT symbol, k, any_value(t0) AS t0, avg(tr) AS a, last(close ORDER BY i) AS cl FROM xt GROUP BY symbol, k)
+  JOIN (SELECT w.symbol, w.k, last(n.close ORDER BY n.rn) AS fc, max(n.high) AS fh, min(n.low) AS fl FROM w JOIN nb n ON n.symbol = w.symbol AND n.rn BETWEEN w.rn + 100 AND w.rn + 123 GROUP BY 1, 2 HAVING count(*) >= 5) USING (symbol, k) WHERE a > 0""",
+    windows(),
+    BLOCKS[0],
+)
+FULL = [
+    *BLOCKS,
+    "sc AS (SELECT b, avg(s) AS s FROM (SELECT CASE WHEN i < 48 THEN 0 WHEN i < 104 THEN 1 WHEN i < 108 THEN 2 ELSE 3 END AS b, i, stddev_pop(x) AS s FROM v WHERE i < 48 OR i >= 96 GROUP BY 1, 2) GROUP BY b)",
+    "fv AS (SELECT symbol, t0, CASE WHEN i < 48 THEN i ELSE i - 48 END AS i, x / s AS x FROM v JOIN sc ON b = CASE WHEN i < 48 THEN 0 WHEN i < 104 THEN 1 WHEN i < 108 THEN 2 ELSE 3 END WHERE i < 48 OR i >= 96)",
+]
+put_bars("vec_full64", f"SELECT symbol, t0, i::INT AS i, {r('x')} FROM fv", windows(), *FULL)
+put_bars(
+    "knn_full64",
+    f"SELECT q_symbol, q_t0, c_symbol, c_t0, {r('dist')}, rank FROM {ranked('pool', 10, 'rank', OVERLAP)}",
+    windows(),
+    *FULL,
+    "fl AS (SELECT symbol, k, t0, t1, v FROM w JOIN (SELECT symbol, t0, list(x ORDER BY i) AS v FROM fv GROUP BY 1, 2) USING (symbol, t0))",
+    f"df AS (SELECT {_PAIR}, {sq('q.v', 'c.v')} AS dist FROM fl q, fl c WHERE q.k % 100 = 0)",
+    f"pool AS {ranked('df', 100, 'p')}",
+)
+put("norm_cache", "SELECT id, round(list_dot_product(v, v), 6) AS norm2 FROM v", VEC)
+put("query_window", f"SELECT symbol, open_time, open, high, low, close, {r('qv')}, n FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_time DESC) AS k, count(*) OVER (PARTITION BY symbol) AS c FROM b) WHERE k <= 50 AND c >= 50", TICKS, bars(6))
+put_bars("seam_check", f"SELECT symbol, max(open_time) FILTER (open_time < 1705000000000) AS last, min(open_time) FILTER (open_time >= 1705000000000) AS first, coalesce(max(open_time) FILTER (open_time < 1705000000000) + {HOUR} = min(open_time) FILTER (open_time >= 1705000000000), false) AS joined FROM b GROUP BY symbol HAVING count(*) FILTER (open_time >= 1705000000000) > 0")
+put_bars("plot_overlay", f"SELECT symbol, t0, i::INT AS i, {r('x')} FROM {zclip(residual('lg', KEYS), KEYS)}", windows(), "lg AS (SELECT symbol, t0, i, ln(close) AS x FROM x WHERE k % 10 = 0)")
+put_bars("plot_frames", f"SELECT symbol, t0, i::INT AS i, {r('open', 'high', 'low', 'close')}, round(qv, 2) AS qv FROM x WHERE k % 10 = 0", windows())
 put_bars("index_info", "SELECT count(*) AS rows, count(DISTINCT symbol) AS symbols, min(t0) AS first, max(t1) AS last FROM w", windows(), hours=2)
 put_bars(
     "neighbour_outlook",
@@ -296,6 +387,42 @@ put_bars(
 )
 put_bars("window_pick_latest", "SELECT symbol, arg_max(t0, t1) AS t0, max(t1) AS t1 FROM w GROUP BY symbol", windows(), hours=2)
 
+put_bars(
+    "separated_sample",
+    "SELECT symbol, unnest(kept) AS t0 FROM (SELECT symbol, arg_max(kept, n) AS kept FROM g GROUP BY symbol)",
+    windows(),
+    "od AS (SELECT symbol, t0, row_number() OVER (PARTITION BY symbol ORDER BY md5('sep-' || symbol || '-' || t0), t0) AS n FROM w)",
+    f"""g AS (SELECT symbol, n, [t0] AS kept FROM od WHERE n = 1 UNION ALL SELECT o.symbol, o.n, CASE WHEN len(list_filter(g.kept, lambda y: abs(y - o.t0) < {40 * HOUR})) > 0 THEN g.kept ELSE list_append(g.kept, o.t0) END
+  FROM g JOIN od o ON o.symbol = g.symbol AND o.n = g.n + 1)""",
+    hours=2,
+    recursive=True,
+)
+_HASH = "md5('blind-' || q_symbol || '-' || q_t0 || '-' || c_symbol || '-' || c_t0)"
+
+
+def _offer(i: int, order: str, where: str = "TRUE") -> str:
+    return f"(SELECT q_symbol, q_t0, {i} AS i, {{'s': c_symbol, 't': c_t0}} AS c, row_number() OVER (PARTITION BY q_symbol, q_t0 ORDER BY {order}, c_symbol, c_t0) AS n FROM bp WHERE {where} QUALIFY n <= 8)"
+
+
+BLIND = [
+    windows(),
+    *vec("shape"),
+    *vec("raw", "rl"),
+    LABELS,
+    "bl AS (SELECT m.symbol, m.k, m.t0, m.t1, amp_pct, a.v, b.v AS raw FROM meta m JOIN vl a USING (symbol, t0) JOIN rl b USING (symbol, t0))",
+    f"bp AS (SELECT *, {_HASH} AS h FROM (SELECT {_PAIR}, q.amp_pct AS qa, c.amp_pct AS ca, {sq('q.v', 'c.v')} AS ds, {sq('q.raw', 'c.raw')} AS dr FROM bl q, bl c WHERE q.k % 100 = 0) WHERE {OVERLAP})",
+    f"of AS ({_offer(0, 'ds')} UNION ALL {_offer(1, 'dr')} UNION ALL {_offer(2, 'h', f'abs(q_t0 - c_t0) <= {10 * DAY} AND ca BETWEEN qa * 0.5 AND qa * 2')} UNION ALL {_offer(3, 'reverse(h)')})",
+    "ls AS (SELECT q_symbol, q_t0, " + ", ".join(f"list(c ORDER BY n) FILTER (i = {i}) AS l{i}" for i in range(4)) + " FROM of GROUP BY 1, 2)",
+    "p0 AS (SELECT *, l0[1] AS c0 FROM ls)",
+    "p1 AS (SELECT *, list_filter(l1, lambda y: c0 IS NULL OR y <> c0)[1] AS c1 FROM p0)",
+    "p2 AS (SELECT *, list_filter(l2, lambda y: (c0 IS NULL OR y <> c0) AND (c1 IS NULL OR y <> c1))[1] AS c2 FROM p1)",
+    "p3 AS (SELECT *, list_filter(l3, lambda y: (c0 IS NULL OR y <> c0) AND (c1 IS NULL OR y <> c1) AND (c2 IS NULL OR y <> c2))[1] AS c3 FROM p2)",
+    """bc AS (SELECT q_symbol, q_t0, channel, c.s AS c_symbol, c.t AS c_t0, row_number() OVER (PARTITION BY q_symbol, q_t0 ORDER BY md5('blind-' || q_symbol || '-' || q_t0 || '-' || channel))::INT AS place
+  FROM (SELECT q_symbol, q_t0, unnest(['shape', 'raw', 'regime', 'random']) AS channel, unnest([c0, c1, c2, c3]) AS c FROM p3) WHERE c IS NOT NULL)""",
+]
+put_bars("blind_candidates", "SELECT * FROM bc", *BLIND)
+put_bars("blind_tally", "SELECT channel, count(*) AS n FROM bc WHERE place = 1 + q_t0 % 4 GROUP BY channel", *BLIND)
+
 # universe
 
 
@@ -317,6 +444,19 @@ TOP5 = "tk AS (SELECT sym, day + 1 AS day, rank::INT AS rank FROM (SELECT *, row
 put("liq_calendar_fill", f"SELECT sym, day, {r('dvol')} FROM ds", panel(), DENSE)
 put("liq_rolling_median", f"SELECT sym, day, {r('liq30', 'liq60')} FROM liq", *LIQ)
 put("pit_topk", "SELECT sym, day, rank FROM tk", *LIQ, TOP5)
+put("pit_topk_floor", "SELECT tk.sym, tk.day, tk.rank FROM tk JOIN liq ON liq.sym = tk.sym AND liq.day = tk.day - 1 WHERE liq60 >= 150000", *LIQ, TOP5)
+put("panel_without", "SELECT sym, count(*) AS days FROM p WHERE sym NOT IN (3, 7, 24) GROUP BY sym", panel())
+put(
+    "liquidity_ends",
+    "SELECT sym, round(med, 6) AS med, e AS \"end\" FROM (SELECT *, row_number() OVER (ORDER BY med DESC, sym) AS g, row_number() OVER (ORDER BY med, sym) AS l FROM (SELECT sym, quantile_cont(dvol, 0.5) AS med FROM p GROUP BY sym)), (VALUES ('greatest'), ('least')) v(e) WHERE CASE e WHEN 'greatest' THEN g ELSE l END <= 5",
+    panel(),
+)
+put_bars(
+    "near_any_symbol",
+    f"SELECT q.symbol AS q_symbol, q.t0 AS q_t0, c.symbol AS c_symbol, c.t0 AS c_t0 FROM w q JOIN w c ON abs(q.t0 - c.t0) <= {2 * DAY} AND NOT (q.symbol = c.symbol AND q.t0 = c.t0) WHERE q.k % 20 = 0",
+    windows(),
+    hours=2,
+)
 put(
     "pct_rank_avg",
     "SELECT sym, day, round(CASE WHEN liq30 IS NOT NULL THEN (rank() OVER (PARTITION BY day ORDER BY liq30 NULLS LAST) + (count(liq30) OVER (PARTITION BY day, liq30) - 1) / 2) / count(liq30) OVER (PARTITION BY day) END, 6) AS pr FROM liq",
@@ -386,6 +526,7 @@ put(
     "SELECT g, round(s / avg(s) OVER (), 6) AS scale FROM (SELECT g, exp(greatest(-1.5, least(1.5, avg(ln(m)) OVER () - ln(m)))) AS s FROM (SELECT g, quantile_cont(x, 0.5) AS m FROM c GROUP BY g))",
     *CELLS,
 )
+put("exposure_inverse", "SELECT g, round(s / avg(s) OVER (), 6) AS scale FROM (SELECT g, avg(1 / x) AS s FROM c WHERE x > 0 GROUP BY g)", *CELLS)
 SCHEMES = """sc AS (SELECT g, year, 'equal' AS scheme, a AS ret FROM pr UNION ALL SELECT g, year, 'inverse', b FROM pr),
 nv AS (SELECT *, row_number() OVER (PARTITION BY scheme ORDER BY g) - 1 AS i, exp(sum(ln(1 + ret)) OVER (PARTITION BY scheme ORDER BY g)) AS nav FROM sc),
 dn AS (SELECT *, nav / max(nav) OVER (PARTITION BY scheme ORDER BY g) - 1 AS drawdown FROM nv)"""
@@ -406,6 +547,13 @@ put(
     *CELLS,
     SCHEMES,
 )
+put(
+    "scheme_coverage",
+    f"""SELECT s.scheme, round(avg(ret) / stddev_pop(ret) * sqrt(52), 6) AS sharpe, round(any_value(holdings), 6) AS holdings, any_value(periods) AS periods FROM dn s JOIN
+  (SELECT 'inverse' AS scheme, avg(n) AS holdings, count(*) AS periods FROM (SELECT 1 / sum(w * w) AS n FROM cw GROUP BY g) UNION ALL SELECT 'equal', avg(n), count(*) FROM (SELECT count(*) AS n FROM cw GROUP BY g)) h USING (scheme) GROUP BY s.scheme""",
+    *CELLS,
+    SCHEMES,
+)
 put("drawdown", f"SELECT scheme, g, {r('nav', 'drawdown')} FROM dn", *CELLS, SCHEMES)
 put("by_year", "SELECT year, round(a, 6) AS equal, round(b, 6) AS inverse, (a > 0)::INT + (b > 0)::INT AS positive FROM (SELECT year, sum(a) AS a, sum(b) AS b FROM pr GROUP BY year)", *CELLS)
 
@@ -666,5 +814,12 @@ put(
     bars(24),
 )
 put("props_json", "SELECT event_id, (props::JSON->>'k')::BIGINT AS k FROM events WHERE (props::JSON->>'k') IS NOT NULL")
+put(
+    "utc_strings",
+    "SELECT symbol, open_time, strftime(make_timestamp(open_time * 1000), '%Y-%m-%d %H:%M') AS utc, open_time AS parsed, year(make_timestamp(open_time * 1000))::INT AS year, (year(make_timestamp(open_time * 1000)) * 12 + month(make_timestamp(open_time * 1000)) - (2023 * 12 + 11))::INT AS months FROM b",
+    TICKS,
+    bars(24),
+)
+put_bars("coin_counts", "SELECT symbol, count(*) AS n, any_value(s)::INT AS symbols, 0::BIGINT AS other FROM w, (SELECT count(DISTINCT symbol) AS s FROM w) GROUP BY symbol", windows(), hours=2)
 put("interval_parse", "SELECT s, ms::BIGINT AS ms FROM (VALUES ('15m', 900000), ('1h', 3600000), ('4h', 14400000), ('1d', -1), ('h', -1), ('', -1)) t(s, ms)")
 put("archive_months", "SELECT DISTINCT upper(event_type) || 'USDT-1m-' || strftime(ts, '%Y-%m') || '.zip' AS key, strftime(ts, '%Y-%m') AS month, upper(event_type) LIKE '%UP' AS leveraged FROM events")
