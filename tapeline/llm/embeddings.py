@@ -86,7 +86,7 @@ def split(a: Tile, b: Tile, same: bool, threshold: float) -> tuple[tuple[np.ndar
     """
     rough = (a.q * a.scale[:, None].astype(np.float32)) @ (b.q * b.scale[:, None].astype(np.float32)).T
     widest = a.norm.max() * b.error.max() + a.error.max() * (1 + SLACK) + SLACK
-    i, j = np.nonzero(rough >= threshold - widest - 1e-4)  # above single precision's rounding for unit rows
+    i, j = np.nonzero(rough >= threshold - widest - a.q.shape[1] * 2.0**-22)  # single precision's rounding of unit rows
     if same:
         once = a.cls[i] < b.cls[j]
         i, j = i[once], j[once]
