@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,6 +18,7 @@ from tapeline.operators import knn as K
 from tapeline.operators import neighbours as N
 from tapeline.operators import universe as U
 from tapeline.operators import windows as W
+from tapeline.session import scratch_root
 from tapeline.sources import fixtures as S
 from tapeline.sources import klines
 from tapeline.streaming.closed_bars import closed_bars, run_available
@@ -31,6 +33,13 @@ def query(f: Callable[[SparkSession, str], DataFrame]):
     return f
 
 
+def _stored(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back, where a query reads it several times."""
+    path = f"{scratch_root(spark)}/query-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def rounded(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: R(F.col(c)) for c in cols})
 
@@ -347,7 +356,7 @@ def similarity_score(spark, d):
 
 def _labelled(spark, d):
     """The library with excess labels, and as queries every hundredth window of a symbol."""
-    lib = N.with_excess(_lib(spark, d)).select("symbol", "t0", "t1", "v", "k", "amp_pct", "fwd_ret", "fwd_max", "fwd_min", "exc", "excmax", "hit")
+    lib = _stored(spark, N.with_excess(_lib(spark, d))).select("symbol", "t0", "t1", "v", "k", "amp_pct", "fwd_ret", "fwd_max", "fwd_min", "exc", "excmax", "hit")
     return lib.where("k % 100 = 0"), lib
 
 
@@ -483,7 +492,7 @@ def separated_sample(spark, d):
 
 @query
 def blind_candidates(spark, d):
-    lib = _lib(spark, d).join(_lib(spark, d, kind="raw").select("symbol", "t0", F.col("v").alias("raw")), ["symbol", "t0"])
+    lib = _stored(spark, _lib(spark, d).join(_lib(spark, d, kind="raw").select("symbol", "t0", F.col("v").alias("raw")), ["symbol", "t0"]))
     return K.channels(lib.where("k % 100 = 0"), lib, 10 * DAY, "blind")
 
 
@@ -911,21 +920,15 @@ def touched_refresh(spark, d):
 @query
 def verify_seven(spark, d):
     b = S.bars(spark, d)
-    before = W.library(b.where("open_time < 1706000000000"), 100, 5, 24)
-    after = W.library(b, 100, 5, 24)
-    return I.verify(before, after, I.snapshot(before, 4000))
+    before, after = _stored(spark, W.library(b.where("open_time < 1706000000000"), 100, 5, 24)), _stored(spark, W.library(b, 100, 5, 24))
+    panel = U.calendar(S.panel(spark, d, 7))
+    liquidity = tuple(U.rolling_liquidity(x) for x in (panel.where("day < 1300"), panel))
+    return I.verify(before, after, I.snapshot(before, 4000), liquidity)
 
 
 @query
 def closed_bar_stream(spark, d):
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tapeline-"))
-        root = spark.sparkContext.getCheckpointDir()
+    root = scratch_root(spark)
     src = spark.readStream.schema(S.read(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
     t = src.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), F.col("value").alias("price"), F.col("value").alias("qv"))
     return rounded(run_available(spark, closed_bars(t), f"{root}/bars-{uuid.uuid4().hex}"), "qv")

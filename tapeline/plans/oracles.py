@@ -802,7 +802,7 @@ put_bars(
     f"SELECT symbol, unnest(range(l + 1, 19741)) AS day FROM (SELECT symbol, max(open_time // {DAY}) AS l FROM b WHERE open_time < 1705000000000 GROUP BY symbol) WHERE (SELECT max(open_time // {DAY}) FROM b WHERE open_time < 1705000000000) - l <= 3",
 )
 put_bars("touched_refresh", "SELECT symbol, count(DISTINCT island) AS islands, count(*) AS bars FROM i GROUP BY symbol", STEP, ISLANDS)
-ORACLES["verify_seven"] = "SELECT unnest(['unique', 'order', 'not_fewer', 'none_lost', 'same_vectors', 'same_labels', 'complete']) AS \"check\", 0::BIGINT AS bad"
+ORACLES["verify_seven"] = "SELECT unnest(['unique', 'order', 'blocks', 'not_fewer', 'none_lost', 'same_vectors', 'same_labels', 'complete', 'old_liquidity', 'coverage']) AS \"check\", 0::BIGINT AS bad"
 put_bars("closed_bar_stream", f"SELECT symbol, open_time, open, high, low, close, {r('qv')}, n FROM b WHERE (open_time + {HOUR}) * 1000 <= (SELECT max(us) // 1000 * 1000 FROM ticks) - 600000000")
 
 # sources

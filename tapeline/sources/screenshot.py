@@ -12,12 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 SCHEMA = "origin string, open_time long, open double, high double, low double, close double, volume double"
 
 
-def candles(rgb: np.ndarray, t0: int, step_ms: int, top: float, bottom: float, log: bool = False, body: float = 0.55) -> pd.DataFrame:
+def candles(rgb: np.ndarray, t0: int, step_ms: int, top: float, bottom: float, log: bool = False, body: float = 0.55, box: tuple[int, int, int, int] | None = None, least: int = 0) -> pd.DataFrame:
     """One candle for each run of coloured columns; green rises, red falls.
 
     Rows coloured over ``body`` of a run's width are its body, the others its wick; without such rows the
-    widest row is both open and close. top and bottom are the prices of the first and the last row.
+    widest row is both open and close. top and bottom are the prices of the first and the last row. box (left, top,
+    right, bottom) is the plot area, by default the whole picture. Fewer than ``least`` candles: an error.
     """
+    if box:
+        rgb = rgb[box[1] : box[3], box[0] : box[2]]
     r, g, b = (rgb[..., i].astype(int) for i in range(3))
     up, down = (g > r + 30) & (g > b), (r > g + 30) & (r > b)
     ink = up | down
@@ -38,6 +41,8 @@ def candles(rgb: np.ndarray, t0: int, step_ms: int, top: float, bottom: float, l
         rising = up[:, a:z].sum() >= down[:, a:z].sum()
         high_side, low_side = price(wide[0]), price(wide[-1])
         out.append((t0 + k * step_ms, low_side if rising else high_side, price(rows[0]), price(rows[-1]), high_side if rising else low_side, 1.0))
+    if len(out) < least:
+        raise ValueError(f"only {len(out)} candles, {least} are needed")
     return pd.DataFrame(out, columns=["open_time", "open", "high", "low", "close", "volume"])
 
 
