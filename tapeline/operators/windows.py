@@ -117,6 +117,16 @@ def plot_bars(w: DataFrame) -> DataFrame:
     return w.select("symbol", "t0", "t1", F.transform(F.arrays_zip("open", "high", "low", "close", "qv"), row).alias("bars"))
 
 
+def numbered(library: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
+    """The library with idx, its place in the order (gapless from 0); rows are range-partitioned, not sorted in one task."""
+    parts = parts or int(library.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = library.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).cache()
+    p, local = F.expr("shiftrightunsigned(_at, 33)"), F.col("_at").bitwiseAND(F.lit(2**33 - 1))
+    sizes = x.groupBy(p.alias("_p")).agg(F.count("*").alias("_n"))  # a row a partition
+    before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
+    return x.withColumn("_p", p).join(F.broadcast(before), "_p").withColumn("idx", F.col("_before") + local).drop("_p", "_at", "_before")
+
+
 def strict(w: DataFrame, win: int, step_ms: int, least_n: int) -> DataFrame:
     """Windows without holes whose bars all hold enough ticks."""
     return w.where((F.col("t1") - F.col("t0") == (win - 1) * step_ms) & (F.array_min("n") >= least_n))

@@ -76,9 +76,16 @@ def read_zips(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.substring_index(name, "-", 1).alias("symbol"), month_of(name).alias("month"), *FIELDS)
 
 
-def empty_files(spark: SparkSession, path: str) -> DataFrame:
-    """path of every file under a folder that holds no byte."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length = 0").select("path")
+def empty_files(spark: SparkSession, path: str) -> list[str]:
+    """Every file under a folder that holds no byte, in order; listed by the driver, since scans leave such files out."""
+    sc = spark.sparkContext
+    root = sc._jvm.org.apache.hadoop.fs.Path(path)
+    files, found = root.getFileSystem(sc._jsc.hadoopConfiguration()).listFiles(root, True), []
+    while files.hasNext():
+        f = files.next()
+        if f.getLen() == 0:
+            found.append(f.getPath().toString())
+    return sorted(found)
 
 
 def symbols_in(spark: SparkSession, path: str) -> DataFrame:
