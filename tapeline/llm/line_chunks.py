@@ -1,12 +1,15 @@
 """Line de-duplication over content-defined chunks of lines, with DataFrame functions only.
 
 A hash over the hashes of the last two lines decides whether a chunk ends there, so boundaries follow the
-content and survive shifts. Chunks of two lines or more that occur before (smaller id, then earlier place)
-are removed, once their bytes equal those of the first occurrence.
-
-Such chunks miss most passages of a few lines, which hold no two boundaries. With whole=True every two
-neighbouring lines are a chunk, so every repeated run of two lines or more goes, wherever it begins; and so is
-every line of more than LINE_WORDS words.
+content and survive shifts. A chunk that occurs before (smaller id, then earlier place), once its bytes equal
+those of the first occurrence, is a repeat; it is extended line by line into the chunks on either side, as far
+as their lines equal those around the first occurrence. Repeated runs of two lines or more are removed, and
+lines of more than LINE_WORDS words, which are chunks of their own. Most lines end a chunk, since a passage of a few lines is found
+only if a whole chunk lies inside it.
+
+Passages that hold no whole chunk are missed. With whole=True every two neighbouring lines are a chunk, so
+every repeated run of two lines or more goes, wherever it begins; and so is every line of more than LINE_WORDS
+words.
 """
 
 from __future__ import annotations
@@ -16,55 +19,68 @@ from pyspark.sql import functions as F
 
 from .common import Store, dealt, free, let
 
-#: A chunk ends where the rolling hash's first hexadecimal digit is one of these: every fourth line on average.
-ENDS = ("0", "1", "2", "3")
+#: A chunk ends where the rolling hash's first hexadecimal digit is none of these: at seven lines of eight on average.
+GOES_ON = ("0", "1")
 ROLL = 2
-#: A line of more words than this is a chunk of its own where every two neighbouring lines are.
+#: A repeated line of more words than this goes though no line beside it is repeated with it.
 LINE_WORDS = 50
 WORD_GAP = r"[\x20\x09-\x0D]+"
 #: Occurrences of a chunk that are compared with its first one in one part.
 PART = 500
 
 
-def chunks(text: Column, min_lines: int) -> Column:
-    """array<struct<pos int, n int, h long>> of the chunks of min_lines lines or more; pos counts lines from 0."""
+def chunks(text: Column) -> Column:
+    """array<struct<pos int, n int, prev int, next int, h long>>: every chunk, pos counting lines from 0, and how many
+    lines the chunks before and after it have. A line of over LINE_WORDS words is a chunk of its own."""
 
     def ends(marks: Column) -> Column:
         def is_end(i: Column) -> Column:
-            roll = F.md5(F.concat(*[F.get(marks, i - k) for k in range(ROLL, 0, -1)]))
-            return (i == F.size(marks)) | ((i >= ROLL) & F.substring(roll, 1, 1).isin(*ENDS))
+            roll = F.md5(F.concat_ws("", *[F.get(marks, i - k)["m"] for k in range(ROLL, 0, -1)]))  # of the first line alone, at it
+            return (i == F.size(marks)) | F.get(marks, i - 1)["own"] | F.get(marks, i)["own"] | ~F.substring(roll, 1, 1).isin(*GOES_ON)
 
         return F.filter(F.sequence(F.lit(1), F.size(marks)), is_end)
 
     def cut(lines: Column, at: Column) -> Column:
         def chunk(end: Column, j: Column) -> Column:
             begin = F.coalesce(F.get(at, j - 1), F.lit(0))
-            return F.struct(begin.alias("pos"), (end - begin).alias("n"), F.xxhash64(F.slice(lines, begin + 1, end - begin)).alias("h"))
+            before = F.when(j > 0, begin - F.coalesce(F.get(at, j - 2), F.lit(0))).otherwise(0)
+            after = F.coalesce(F.get(at, j + 1) - end, F.lit(0))
+            return F.struct(begin.alias("pos"), (end - begin).alias("n"), before.alias("prev"), after.alias("next"), F.xxhash64(F.slice(lines, begin + 1, end - begin)).alias("h"))
 
-        return F.filter(F.transform(at, chunk), lambda c: c["n"] >= min_lines)
+        return F.transform(at, chunk)
 
     return let(
         F.split(text, "\n"),
         lambda lines: let(
-            F.transform(lines, lambda x: F.substring(F.md5(x), 1, 8)), lambda marks: let(ends(marks), lambda at: cut(lines, at))
+            F.transform(lines, lambda x: F.struct(F.substring(F.md5(x), 1, 8).alias("m"), long_line(x).alias("own"))), lambda marks: let(ends(marks), lambda at: cut(lines, at))
         ),
     )
 
 
+def in_common(a: Column, b: Column) -> Column:
+    """How many elements two arrays have in common from the first on."""
+    same = F.transform(a, lambda x, i: x.eqNullSafe(F.get(b, i)))
+    at = F.array_position(same, F.lit(False))
+    return F.when(at == 0, F.size(a)).otherwise(at - 1).cast("int")
+
+
+def long_line(line: Column) -> Column:
+    words = F.array_remove(F.split(line, WORD_GAP), "")
+    return (F.length(line) > 2 * LINE_WORDS) & (F.size(words) > LINE_WORDS)  # the length is cheap
+
+
 def rolls(text: Column) -> Column:
-    """array<struct<pos int, n int, h long>> of every two neighbouring lines and of every line of more than
-    LINE_WORDS words; pos counts lines from 0."""
+    """The same of every two neighbouring lines and of every line of more than LINE_WORDS words, without neighbours."""
 
     def all_of(lines: Column) -> Column:
         def pair(i: Column) -> Column:
-            return F.struct(i.alias("pos"), F.lit(2).alias("n"), F.xxhash64(F.get(lines, i), F.get(lines, i + 1)).alias("h"))
+            return F.struct(i.alias("pos"), F.lit(2).alias("n"), F.lit(0).alias("prev"), F.lit(0).alias("next"), F.xxhash64(F.get(lines, i), F.get(lines, i + 1)).alias("h"))
 
         def one(i: Column) -> Column:
-            return F.struct(i.alias("pos"), F.lit(1).alias("n"), F.xxhash64(F.get(lines, i)).alias("h"))
+            return F.struct(i.alias("pos"), F.lit(1).alias("n"), F.lit(0).alias("prev"), F.lit(0).alias("next"), F.xxhash64(F.get(lines, i)).alias("h"))
 
         def is_long(i: Column) -> Column:
-            words = F.array_remove(F.split(F.get(lines, i), WORD_GAP), "")
-            return (F.length(F.get(lines, i)) > 2 * LINE_WORDS) & (F.size(words) > LINE_WORDS)  # the length is cheap
+            return long_line(F.get(lines, i))
 
         places = F.sequence(F.lit(0), F.size(lines) - 1)
         return F.concat(F.transform(F.filter(places, lambda i: i < F.size(lines) - 1), pair), F.transform(F.filter(places, is_long), one))
@@ -92,7 +108,8 @@ def drop_repeated_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     Chunks are judged on the input. The first occurrence stays; of rows that repeat the same id and text each
     keeps what the others keep. A null id sorts before all others. Null text stays null (0 lines); empty text
     is one empty line. A text may become empty. A chunk whose hash equals that of an earlier one but whose
-    bytes differ stays. ``counts`` are the names of both new columns; columns of docs so named are replaced. No
+    bytes differ stays; lines that extend a chunk are compared by 64-bit hashes. min_lines: lines of the shortest run
+    that goes, but for single lines of over LINE_WORDS words. ``counts`` are the names of both new columns; columns of docs so named are replaced. No
     rows in: no rows out.
     whole takes the chunks of rolls(), and min_lines has no effect. These overlap, so that the first occurrence
     of every line stays, but not always that of a pair: of one line many times over, one is left.
@@ -103,7 +120,7 @@ def drop_repeated_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     rows = docs.select(*names, text_col).withColumn(own_hash, F.xxhash64(text_col))
     key = ["_id", "_th"]
     slim = rows.select(F.col(id_col).alias("_id"), F.col(own_hash).alias("_th"), F.col(text_col).alias("_text"))
-    cut = rolls(F.col("_text")) if whole else chunks(F.col("_text"), min_lines)
+    cut = rolls(F.col("_text")) if whole else chunks(F.col("_text"))
     held = slim.where(F.col("_text").isNotNull()).select(*key, F.inline(cut))
     place = F.struct("_id", "_th", "pos")
     # a chunk that many documents hold is dealt out by its count, here and where its bytes are compared
@@ -111,22 +128,29 @@ def drop_repeated_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     some, firsts, on = dealt(held, seen, ["h"], "c", "_id", "_th", "pos")
     found = some.join(firsts, on)
     found = found.withColumn("is_first", F.equal_null(place, F.col("first"))).withColumn("parts", (1 + F.floor(F.col("c") / PART)).cast("int"))
-    found = found.groupBy(*key).agg(F.collect_set(F.struct("pos", "n", "h", "is_first", "parts")).alias("found"))
+    found = found.groupBy(*key).agg(F.collect_set(F.struct("pos", "n", "prev", "next", "h", "is_first", "parts")).alias("found"))
     with_text = slim.alias("s").join(found.alias("f"), _same("s", "f"))
-    piece = let(
-        F.split("s._text", "\n"),
-        lambda lines: F.transform(
+    marks = lambda lines: F.transform(lines, lambda x: F.xxhash64(x))
+
+    def piece(lines: Column) -> Column:
+        return F.transform(
             "f.found",
             lambda c: F.struct(
-                c["pos"].alias("pos"), c["n"].alias("n"), c["h"].alias("h"), c["is_first"].alias("is_first"), c["parts"].alias("parts"), F.array_join(F.slice(lines, c["pos"] + 1, c["n"]), "\n").alias("body")
+                *(c[k].alias(k) for k in ("pos", "n", "h", "is_first", "parts")),
+                F.array_join(F.slice(lines, c["pos"] + 1, c["n"]), "\n").alias("body"),
+                F.reverse(marks(F.slice(lines, c["pos"] - c["prev"] + 1, c["prev"]))).alias("before"),
+                marks(F.slice(lines, c["pos"] + c["n"] + 1, c["next"])).alias("after"),
             ),
-        ),
-    )
-    pieces = with_text.select("s._id", "s._th", F.inline(piece))
-    firsts = pieces.where("is_first").select("h", "parts", F.col("body").alias("first_body")).dropDuplicates(["h"])
-    firsts = firsts.select("h", "first_body", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        )
+
+    pieces = with_text.select("s._id", "s._th", F.inline(let(F.split("s._text", "\n"), piece)))
+    firsts = pieces.where("is_first").select("h", "parts", F.col("body").alias("first_body"), F.col("before").alias("first_before"), F.col("after").alias("first_after")).dropDuplicates(["h"])
+    firsts = firsts.select("h", "first_body", "first_before", "first_after", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     rest = pieces.where("not is_first").withColumn("part", F.pmod(F.xxhash64(*key), F.col("parts")).cast("int"))
     gone = rest.join(firsts, ["h", "part"]).where("body = first_body")
+    back, fore = in_common(F.col("before"), F.col("first_before")), in_common(F.col("after"), F.col("first_after"))
+    gone = gone.select(*key, (F.col("pos") - back).alias("pos"), (F.col("n") + back + fore).alias("n"), "body")
+    gone = gone.where((F.col("n") >= min_lines) | ((F.col("n") == 1) & long_line(F.col("body"))))
     gone = gone.groupBy(*key).agg(F.collect_set(F.struct("pos", "n")).alias("gone"))
     # line by line, since chunks may overlap
     each = F.array_distinct(F.flatten(F.transform("gone", lambda c: F.sequence(c["pos"], c["pos"] + c["n"] - 1))))

@@ -44,17 +44,23 @@ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), nodes AS (SELECT id FROM
 k AS (SELECT a AS id, count(*) AS n FROM e GROUP BY a)
 SELECT id AS vec_id, coalesce(n, 0)::BIGINT AS n_links, c AS component_id, id = c AS kept FROM comp LEFT JOIN k USING (id)"""
 
-_LINES = """WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+_EXT = "CASE WHEN coalesce(list_position({0}, false), 0) = 0 THEN len({0}) ELSE list_position({0}, false) - 1 END"
+_SAME = "list_transform({0}, lambda x, i: x = {1}[i] AND i <= len({1}))"
+_LINES = f"""WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
 i AS (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS x, len(l) AS n FROM d),
-m AS (SELECT *, substr(md5(x), 1, 8) AS h FROM i),
-e AS (SELECT *, (i = n - 1 OR (i >= 1 AND substr(md5(lag(h) OVER (PARTITION BY doc_id ORDER BY i) || h), 1, 1) IN ('0', '1', '2', '3')))::INT AS last FROM m),
+m AS (SELECT *, substr(md5(x), 1, 8) AS h, len(regexp_extract_all(x, {_WORDS})) > 50 AS own FROM i),
+e AS (SELECT *, (i = n - 1 OR own OR lead(own) OVER (PARTITION BY doc_id ORDER BY i) OR substr(md5(coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), '') || h), 1, 1) NOT IN ('0', '1'))::INT AS last FROM m),
 g AS (SELECT *, coalesce(sum(last) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM e),
-k AS (SELECT doc_id, c, min(i) AS pos, count(*) AS n, string_agg(x, chr(10) ORDER BY i) AS body FROM g GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY body, n ORDER BY doc_id, pos) AS k FROM k WHERE n >= 2),
-z AS (SELECT g.* FROM g ANTI JOIN (SELECT doc_id, c FROM r WHERE k > 1) q USING (doc_id, c)),
-s AS (SELECT doc_id, count(*) AS n, string_agg(x, chr(10) ORDER BY i) AS kept FROM z GROUP BY doc_id)
-SELECT d.doc_id, coalesce(len(l), 0)::BIGINT AS n_lines, (coalesce(len(l), 0) - coalesce(s.n, 0))::BIGINT AS n_removed,
-  CASE WHEN text IS NOT NULL THEN sha256(coalesce(kept, '')) END AS kept_sha256 FROM d LEFT JOIN s USING (doc_id)"""
+k AS (SELECT doc_id, c, min(i) AS pos, count(*) AS n, list(x ORDER BY i) AS l FROM g GROUP BY 1, 2),
+y AS (SELECT *, coalesce(list_reverse(lag(l) OVER w), []) AS b, coalesce(lead(l) OVER w, []) AS a FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY c)),
+r AS (SELECT *, row_number() OVER v AS k, first_value(b) OVER v AS fb, first_value(a) OVER v AS fa FROM y WINDOW v AS (PARTITION BY l ORDER BY doc_id, pos)),
+s AS (SELECT *, {_SAME.format('b', 'fb')} AS sb, {_SAME.format('a', 'fa')} AS sa FROM r WHERE k > 1),
+t AS (SELECT doc_id, pos, n, l, {_EXT.format('sb')} AS eb, {_EXT.format('sa')} AS ea FROM s),
+q AS (SELECT DISTINCT doc_id, unnest(range((pos - eb)::BIGINT, (pos + n + ea)::BIGINT)) AS i FROM t WHERE eb + n + ea >= 2 OR len(regexp_extract_all(l[1], {_WORDS})) > 50),
+z AS (SELECT g.* FROM g ANTI JOIN q USING (doc_id, i)),
+o AS (SELECT doc_id, count(*) AS n, string_agg(x, chr(10) ORDER BY i) AS kept FROM z GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(l), 0)::BIGINT AS n_lines, (coalesce(len(l), 0) - coalesce(o.n, 0))::BIGINT AS n_removed,
+  CASE WHEN text IS NOT NULL THEN sha256(coalesce(kept, '')) END AS kept_sha256 FROM d LEFT JOIN o USING (doc_id)"""
 
 _TOKENS = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 # the rule itself, without seeds: 12 equal tokens of 15, 16 of 20 and so on hold three in a row
