@@ -84,11 +84,15 @@ def limit_candidates(bars: DataFrame, depth: float, high_bars: int, hold: int) -
 def non_overlapping(candidates: DataFrame, hold: int, by: list[str] | None = None) -> DataFrame:
     """Takes a candidate, skips all that begin within hold bars of it, and so on, for each symbol.
 
-    Candidates of a symbol are few against its bars; they are folded in order in one row.
+    Where a candidate begins hold bars or more after the one before it, the walk starts anew whatever was taken, so
+    only runs of closer candidates are folded in order, each in one row.
     """
     by = by or ["symbol"]
+    w = Window.partitionBy(*by).orderBy("rn")
+    apart = F.coalesce((F.col("rn") - F.lag("rn").over(w) >= hold).cast("int"), F.lit(0))
+    runs = candidates.withColumn("_apart", apart).withColumn("_run", F.sum("_apart").over(w)).drop("_apart")
     rest = [c for c in candidates.columns if c not in by]
-    rows = candidates.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("rn", *[c for c in rest if c != "rn"]))).alias("r"))
+    rows = runs.groupBy(*by, "_run").agg(F.sort_array(F.collect_list(F.struct("rn", *[c for c in rest if c != "rn"]))).alias("r"))
     start = F.struct(F.lit(-(2**31) + hold).cast("int").alias("last"), F.filter("r", lambda _: F.lit(False)).alias("kept"))
 
     def step(s: Column, x: Column) -> Column:

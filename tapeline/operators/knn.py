@@ -7,10 +7,13 @@ is shuffled.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeline.functions import arrays
+from tapeline.session import scratch_root
 
 #: Queries that may be broadcast: 64 doubles each, about 50 MB.
 QUERIES = 100_000
@@ -118,14 +121,27 @@ def similarity(dist: Column, scale: Column) -> Column:
 
 
 def separated(rows: DataFrame, gap: int, seed: str) -> DataFrame:
-    """Walks each symbol's windows in hash order and keeps those at least ``gap`` from every one kept."""
-    order = F.md5(F.concat_ws("-", F.lit(seed), "symbol", F.col("t0").cast("string")))
-    packed = rows.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), "t0"))).alias("r"))
-
-    def step(kept: Column, x: Column) -> Column:
-        return F.when(F.exists(kept, lambda t: F.abs(t - x["t0"]) < gap), kept).otherwise(F.concat(kept, F.array(x["t0"])))
+    """(symbol, t0): walks each symbol's windows in hash order and keeps those at least ``gap`` from every one kept.
 
-    return packed.select("symbol", F.explode(F.aggregate("r", F.array().cast("array<bigint>"), step)).alias("t0"))
+    In rounds: a window that comes first in hash order among all undecided ones less than gap away is kept, and these
+    are dropped; that is what the walk does. About log n rounds over frames of a symbol's windows; what is undecided is
+    stored between rounds in the shared folder.
+    """
+    spark, where = rows.sparkSession, f"{scratch_root(rows.sparkSession)}/separated-{uuid.uuid4().hex}"
+    order = F.md5(F.concat_ws("-", F.lit(seed), "symbol", F.col("t0").cast("string")))
+    left = rows.select("symbol", "t0", F.struct(order.alias("o"), F.col("t0").alias("t")).alias("o")).distinct()
+    near = Window.partitionBy("symbol").orderBy("t0").rangeBetween(1 - gap, gap - 1)
+    kept, n = None, 0
+    while True:
+        marked = left.withColumn("first", F.col("o") == F.min("o").over(near))
+        marked = marked.withColumn("beside", F.max(F.col("first").cast("int")).over(near))
+        marked.write.parquet(f"{where}/{n}")
+        marked = spark.read.schema(marked.schema).parquet(f"{where}/{n}")
+        got = marked.where("first").select("symbol", "t0")
+        kept = got if kept is None else kept.unionByName(got)
+        left, n = marked.where("beside = 0").select("symbol", "t0", "o"), n + 1
+        if left.limit(1).count() == 0:
+            return kept
 
 
 def channels(queries: DataFrame, library: DataFrame, near: int, seed: str, pool: int = 8) -> DataFrame:

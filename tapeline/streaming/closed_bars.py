@@ -24,17 +24,27 @@ def run_available(spark: SparkSession, stream: DataFrame, path: str) -> DataFram
 
 
 def upsert_batches(path: str, merge):
-    """A foreachBatch function that merges each batch of bars into the table at path; a repeated batch changes nothing."""
+    """A foreachBatch function that merges each batch of bars into the table at path/table; a repeated batch changes
+    nothing.
+
+    Only the partitions of the batch's symbols are read and written. What they become is stored first, so that a batch
+    that was stopped on the way can simply be done again.
+    """
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        slot = f"{path}/v{number % 2}"
+        table, stage = f"{path}/table", f"{path}/stage/{number}"
+        symbols = batch.select("symbol").distinct()
         try:
-            old = spark.read.parquet(f"{path}/v{(number + 1) % 2}")
+            old = spark.read.schema(batch.schema).parquet(table).join(F.broadcast(symbols), "symbol", "left_semi")  # a batch's symbols
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             old = batch.limit(0)
-        merge(old, batch).write.mode("overwrite").parquet(slot)
+        merge(old.select(batch.columns), batch).write.mode("overwrite").parquet(stage)
+        ready = spark.read.schema(batch.schema).parquet(stage)
+        ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol").parquet(table)
+        done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stage)
+        done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(done, True)
 
     return apply

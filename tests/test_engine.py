@@ -118,6 +118,23 @@ def test_greedy_trades_against_a_loop(spark):
     assert sorted(x.rn for x in events.non_overlapping(c, 7).collect()) == want
 
 
+def test_separated_rounds_equal_one_walk(spark):
+    import hashlib
+
+    rnd = random.Random(6)
+    times = {s: sorted(rnd.sample(range(2000), n)) for s, n in (("a", 300), ("b", 40), ("c", 1))}
+    df = spark.createDataFrame([(s, t) for s, ts in times.items() for t in ts], "symbol string, t0 long")
+    want = set()
+    for s, ts in times.items():
+        kept = []
+        for t in sorted(ts, key=lambda t: hashlib.md5(f"sep-{s}-{t}".encode()).hexdigest()):  # noqa: B023
+            if all(abs(t - k) >= 25 for k in kept):
+                kept.append(t)
+        want |= {(s, t) for t in kept}
+    assert {(r.symbol, r.t0) for r in knn.separated(df, 25, "sep").collect()} == want
+    assert knn.separated(df.limit(0), 25, "sep").count() == 0
+
+
 def test_archive_round_trip(spark, tmp_path):
     rows = ["open_time,open,high,low,close,volume,close_time,qv,n,tb,tq,ignore"] + [f"{1735689600000000 + i * 60000000},1,2,0.5,1.5,10,{1735689659999999 + i * 60000000},15,3,4,6,0" for i in range(3)] + ["bad,row", "1735689780000000,1,2,0.5,,10,1,15,3,4,6,0"]
     buf = io.BytesIO()
@@ -159,7 +176,9 @@ def test_foreach_batch_is_idempotent(spark, tmp_path):
     put(a, 0)
     put(b, 1)
     put(b, 1)
-    assert sorted((r.open_time, r.close) for r in spark.read.parquet(f"{path}/v1").collect()) == [(1, 1.0), (2, 5.0), (3, 1.0)]
+    put(spark.createDataFrame([("b", 9, 2.0)], a.schema), 2)
+    got = spark.read.parquet(f"{path}/table").collect()
+    assert sorted((r.symbol, r.open_time, r.close) for r in got) == [("a", 1, 1.0), ("a", 2, 5.0), ("a", 3, 1.0), ("b", 9, 2.0)]
 
 
 def test_emptied_symbol_vanishes(spark):
@@ -479,3 +498,17 @@ def test_empty_tables_give_empty_results(spark):
     b = fixtures.bars(spark, SF).limit(0)
     for out in (windows.library(b, 100, 5, 24), bars.audit(b), bars.atr(b), events.limit_candidates(b, 0.9, 12, 6), events.spans(b, 12), events.breadth(b), bars.latest_window(b, 10, 3_600_000), windows.full_library(b)):
         assert out.count() == 0
+
+
+def test_refresh_runs_all_stages_and_keeps_what_is_done(spark, tmp_path):
+    from tapeline.__main__ import refresh
+
+    b = fixtures.bars(spark, SF)
+    b.where("open_time < 1705000000000").write.parquet(str(tmp_path / "old"))
+    b.where("open_time >= 1704900000000").write.parquet(str(tmp_path / "new"))
+    root = str(tmp_path / "root")
+    made = {"merge": "made", "liquidity": "made", "index": "made"}
+    assert refresh(spark, str(tmp_path / "old"), str(tmp_path / "new"), root, horizon=24) == made
+    assert refresh(spark, str(tmp_path / "old"), str(tmp_path / "new"), root, horizon=24) == dict.fromkeys(made, "kept")
+    s = incremental.Stages(spark, root)
+    assert s.read("merge").count() == b.count() and s.complete("index") and s.read("index").count() == windows.library(b, 100, 5, 24).count()
