@@ -189,8 +189,10 @@ def near_duplicates(
     at ASCII white space after A-Z are lower-cased. component_id is the smallest id that links reach.
     Bands of 4 of 128 hashes miss a pair at 0.75 with probability 5e-6; ``miss`` bounds what each batch prunes.
 
-    Null or empty text, or white space alone: no shingles, linked with nothing. A null id: component null,
-    kept. Rows that share an id are one document to links; each keeps its own row and n_shingles. Other
+    Shingles stand for 64-bit hashes of their words (a polynomial modulo 2^64, finalised): texts made for it could
+    collide. Null or empty text, or white space alone: no shingles, linked with nothing. A null id: component null,
+    kept. Rows that share an id are one document to links, any one of their texts where these differ; each keeps its
+    own row and n_shingles. Other
     columns are ignored. No rows in: no rows out.
     """
     spark = docs.sparkSession

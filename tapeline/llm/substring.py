@@ -278,7 +278,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     Null or empty text: no words. Rows with a null id are not compared and lose nothing. Rows that share an id
     are one document and must hold the same text; windows at the same place of it are the same window. Other
-    columns are ignored; no rows in, no rows out. window must be a multiple of 4.
+    columns are ignored; no rows in, no rows out. window must be a multiple of 4. Windows are compared by 160 bits of
+    hashes, never word by word. ``buckets`` (by default three a shuffle partition) hold an even share of the windows
+    each, so they grow with the input unless the partitions do; windows of one hash are in one bucket as places, a few
+    bytes each.
     """
     if window % 4:
         raise ValueError("window must be a multiple of 4")
@@ -288,8 +291,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     buckets = buckets or 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = texts.where("id is not null")
-    # a key that is never null: both joins below then read one and the same exchange of the texts
-    keyed = texts.withColumn("k", F.coalesce("id", F.lit(-(2**63))))
+    # a key that is never null: both joins below then read one and the same exchange of the texts; rows without id are
+    # dealt out by their text
+    keyed = texts.withColumn("k", F.coalesce("id", F.xxhash64("text"))).withColumn("no", F.col("id").isNull())
+    on = ["k", "no"]
 
     def first(batches):
         return _first_level(batches, base, window, buckets)
@@ -301,10 +306,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         return _window_answer(pdf, window)
 
     alive = known.mapInArrow(first, LEVEL_1).groupBy("bucket").applyInPandas(_first_answer, "id long, at int")
-    alive = alive.groupBy(F.col("id").alias("k")).agg(F.collect_set("at").alias("marks"))
-    near = keyed.join(alive.hint("merge"), "k").select("id", "text", "marks").mapInArrow(windows, LEVEL_3)
+    alive = alive.groupBy(F.col("id").alias("k"), F.lit(False).alias("no")).agg(F.collect_set("at").alias("marks"))
+    near = keyed.join(alive.hint("merge"), on).select("id", "text", "marks").mapInArrow(windows, LEVEL_3)
     gone = near.groupBy("bucket").applyInPandas(answer, "id long, at int, to int")
-    gone = gone.groupBy(F.col("id").alias("k")).agg(F.collect_list(F.struct("at", "to")).alias("r"))
-    gone = gone.select("k", F.col("r.at").alias("at"), F.col("r.to").alias("to"))
-    cut = keyed.join(gone.hint("merge"), "k", "left").select("id", "text", "at", "to").mapInArrow(_cut, "id long, kept_text string, n_words long, n_removed long")
+    gone = gone.groupBy(F.col("id").alias("k"), F.lit(False).alias("no")).agg(F.collect_list(F.struct("at", "to")).alias("r"))
+    gone = gone.select(*on, F.col("r.at").alias("at"), F.col("r.to").alias("to"))
+    cut = keyed.join(gone.hint("merge"), on, "left").select("id", "text", "at", "to").mapInArrow(_cut, "id long, kept_text string, n_words long, n_removed long")
     return cut.withColumnRenamed("id", id_col)
