@@ -947,6 +947,65 @@ def json_klines(spark, d):
     return rounded(k.select("symbol", "open_time", "close_time", "close", "quote_volume", "trades", "taker_buy_quote"), "close", "quote_volume")
 
 
+@query
+def archive_round_trip(spark, d):
+    """Daily bars of each symbol, zipped as archives in microseconds with a header, then read back."""
+    import io
+    import zipfile
+
+    rows = S.bars(spark, d, 24).orderBy("symbol", "open_time").collect()  # a row a symbol and day
+    sc, root = spark.sparkContext, f"{scratch_root(spark)}/archives-{uuid.uuid4().hex}"
+    for symbol in sorted({r.symbol for r in rows}):
+        lines = ["open_time,open,high,low,close,volume,close_time,qv,n,tb,tq,ignore", "not,a,row"]
+        lines += [f"{r.open_time * 1000},{r.open!r},{r.high!r},{r.low!r},{r.close!r},1,{(r.open_time + DAY - 1) * 1000},{r.qv!r},{r.n},0,0,0" for r in rows if r.symbol == symbol]
+        buf = io.BytesIO()
+        with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr(f"{symbol}.csv", "\n".join(lines))
+        path = sc._jvm.org.apache.hadoop.fs.Path(f"{root}/{symbol}-1d-2024-01.zip")
+        out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+        out.write(bytearray(buf.getvalue()))
+        out.close()
+    got = klines.read_zips(spark, root)
+    return rounded(got.select("symbol", "month", "open_time", "close_time", "open", "close", "quote_volume", "trades"), "open", "close", "quote_volume")
+
+
+@query
+def fetch_day_rows(spark, d):
+    b = S.bars(spark, d)
+    cut = b.where("open_time < 1705000000000")
+    return rounded(I.fetch_days(b.select("symbol", "open_time", "close"), I.missing_days(cut, 19_740)), "close")
+
+
+@query
+def closed_klines(spark, d):
+    b = S.bars(spark, d).select("symbol", "open_time", (F.col("open_time") + HOUR - 1).alias("close_time"))
+    return klines.closed_only(b, 1_705_000_000_000, 30, whole=True)
+
+
+@query
+def symbol_spec(spark, d):
+    known = S.bars(spark, d, 24).select(F.upper("symbol").alias("symbol")).distinct()
+    return klines.symbol_list(spark, "click, VIEW,view", known)
+
+
+@query
+def newest_archives(spark, d):
+    b = S.bars(spark, d, 24)
+    key = F.concat("symbol", F.lit("-1d-"), F.date_format(F.timestamp_millis("open_time"), "yyyy-MM-dd"), F.lit(".zip"))
+    return klines.newest_archive(b.select("symbol", key.alias("key")), 19_740, 8)
+
+
+@query
+def staged_refresh(spark, d):
+    """A stage done, then kept since its source is the same, then done again for more rows; stale and row checks."""
+    b = S.bars(spark, d)
+    s, seen = I.Stages(spark, f"{scratch_root(spark)}/stages-{uuid.uuid4().hex}"), []
+    for rows in (b.where("symbol != 'click'"), b.where("symbol != 'click'"), b):
+        n = s.run("bars", rows, lambda x: x, partition="symbol").count()
+        seen.append((len(seen), s.done["bars"], n, s.complete("bars")))
+    return spark.createDataFrame(seen, "step int, done string, n long, complete boolean")
+
+
 @query
 def props_json(spark, d):
     e = S.read(spark, d, "events")

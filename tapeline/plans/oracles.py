@@ -813,6 +813,26 @@ put(
     TICKS,
     bars(24),
 )
+put(
+    "archive_round_trip",
+    f"SELECT symbol, '2024-01' AS month, open_time, open_time + {DAY} - 1 AS close_time, {r('open', 'close', 'qv AS quote_volume')}, n AS trades FROM b",
+    TICKS,
+    bars(24),
+)
+put_bars(
+    "fetch_day_rows",
+    f"""SELECT symbol, open_time, round(close, 6) AS close FROM b JOIN (SELECT symbol, max(open_time // {DAY}) AS l FROM b WHERE open_time < 1705000000000 GROUP BY symbol) USING (symbol)
+  WHERE open_time // {DAY} > l AND open_time // {DAY} <= 19740 AND (SELECT max(open_time // {DAY}) FROM b WHERE open_time < 1705000000000) - l <= 3""",
+)
+put_bars("closed_klines", f"SELECT symbol, open_time, open_time + {HOUR} - 1 AS close_time FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_time DESC) AS k, count(*) OVER (PARTITION BY symbol) AS c FROM b WHERE open_time + {HOUR} - 1 < 1705000000000) WHERE k <= 30 AND c >= 30")
+put("symbol_spec", "SELECT DISTINCT upper(event_type) AS symbol FROM events WHERE upper(event_type) IN ('CLICK', 'VIEW')")
+put(
+    "newest_archives",
+    f"SELECT symbol, symbol || '-1d-' || strftime(make_timestamp(max(open_time) * 1000), '%Y-%m-%d') || '.zip' AS key, max(open_time // {DAY})::INT AS day FROM b WHERE open_time // {DAY} <= 19740 AND open_time // {DAY} > 19732 GROUP BY symbol",
+    TICKS,
+    bars(24),
+)
+put_bars("staged_refresh", "SELECT i AS step, d AS done, CASE WHEN i < 2 THEN (SELECT count(*) FROM b WHERE symbol <> 'click') ELSE (SELECT count(*) FROM b) END AS n, true AS complete FROM (VALUES (0, 'made'), (1, 'kept'), (2, 'made')) v(i, d)")
 put("props_json", "SELECT event_id, (props::JSON->>'k')::BIGINT AS k FROM events WHERE (props::JSON->>'k') IS NOT NULL")
 put(
     "utc_strings",
