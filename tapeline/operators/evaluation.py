@@ -171,6 +171,29 @@ def random_portfolio(cells: DataFrame, by: str, key: str, ret: str, k: int, reps
     return got.groupBy("rep", by).agg(F.avg(ret).alias("r")).groupBy("rep").agg(F.avg("r").alias("mean"), F.stddev_pop("r").alias("sd"))
 
 
+def fixed_control(cells: DataFrame, chosen: Column, by: str, key: str, ret: str, k: int, reps: int, seed: str, per_year: float) -> DataFrame:
+    """Yearly Sharpe ratios on the periods in which the scheme (cells that are ``chosen``) holds anything: the scheme's,
+    that of k holdings drawn anew each period, and median, 5 % and 95 % of ``reps`` draws of k holdings for good; and
+    the share of these below the scheme's. Holdings without a return in a period are left out of its mean."""
+    mean, sd = F.avg("r"), F.stddev_pop("r")
+    sharpe = F.when(F.count("r") > 1, F.try_divide(mean, sd)) * per_year**0.5
+    scheme = cells.where(chosen).groupBy(by).agg(F.avg(ret).alias("r"))
+    common = scheme.select(by)  # a row a period
+    held = cells.join(F.broadcast(common), by, "left_semi")
+    keys = cells.select(key).distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    w = Window.partitionBy("rep").orderBy(hash_order(seed, "rep", key), key)
+    keys = keys.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")  # k a replicate
+    fixed = held.join(F.broadcast(keys), key).groupBy("rep", by).agg(F.avg(ret).alias("r")).groupBy("rep").agg(sharpe.alias("s"))
+    w = Window.partitionBy(by).orderBy(hash_order(f"{seed}-each", by, key), key)
+    drawn = held.withColumn("_n", F.row_number().over(w)).withColumn("_m", F.count("*").over(Window.partitionBy(by)))
+    rotated = drawn.where((F.col("_n") <= k) & (F.col("_m") >= k)).groupBy(by).agg(F.avg(ret).alias("r")).agg(sharpe.alias("rotated"))
+    own = scheme.agg(F.count("*").alias("periods"), sharpe.alias("scheme"))
+    x = fixed.crossJoin(F.broadcast(own))  # one row
+    q = lambda p: F.percentile("s", F.lit(p))
+    out = x.agg(F.first("periods").alias("periods"), F.first("scheme").alias("scheme"), q(0.5).alias("fixed"), q(0.05).alias("fixed_p05"), q(0.95).alias("fixed_p95"), F.avg((F.col("s") < F.col("scheme")).cast("double")).alias("rank"))
+    return out.crossJoin(rotated)
+
+
 def permuted(cells: DataFrame, by: str, key: str, weight: str, ret: str, seed: str) -> DataFrame:
     """Period returns with the weights dealt out at random among the period's holdings."""
     a = cells.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(key))).select(by, "n", ret)

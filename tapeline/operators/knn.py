@@ -175,6 +175,39 @@ def channels(queries: DataFrame, library: DataFrame, near: int, seed: str, pool:
     return rows.select(*by, "channel", "c.c_symbol", "c.c_t0", F.row_number().over(Window.partitionBy(*by).orderBy(order)).alias("place"))
 
 
+def context_random(queries: DataFrame, pool: DataFrame, seed: str, days: tuple[int, ...] = (45, 120, 365), least: int = 5, dim: int = 64) -> DataFrame:
+    """For each query a random window of the pool in a like market, but of another shape: begun within 45 days, else
+    120, of it with a like net move and range of the market (net_atr, atr_pct), else within 365 days, else any time;
+    the first of these steps that leaves ``least`` windows. Of them the nearer three fifths by shape are left out.
+
+    Both sides: symbol, t0, t1, v, net_atr, atr_pct; the pool is a stated sample. step counts from 1; a query with too
+    few windows in the last step has none.
+    """
+    by = ["q_symbol", "q_t0"]
+    pairs = distances(queries, pool, dim, keep=["symbol", "t0", "t1", "net_atr", "atr_pct"]).where(~shares_half())
+    like = (F.abs(F.col("c_net_atr") - F.col("q_net_atr")) <= 0.6) & (F.col("c_atr_pct") / F.greatest("q_atr_pct", F.lit(1e-12))).between(0.6000000001, 1.5999999999)
+    apart = F.abs(F.col("q_t0") - F.col("c_t0"))
+    steps = [(apart <= d * 86_400_000) & (F.coalesce(like, F.lit(False)) if i < 2 else F.lit(True)) for i, d in enumerate(days)] + [F.lit(True)]
+    first = None  # the first step that takes the window; later ones take it too, but for the market
+    flags = F.array(*steps)
+    counts = pairs.groupBy(*by).agg(*[F.count_if(c).alias(f"n{i}") for i, c in enumerate(steps)])
+    for i in range(len(steps)):
+        one = F.col(f"n{i}") >= least
+        first = F.when(one, i + 1) if first is None else first.when(one, i + 1)
+    counts = counts.select(*by, first.alias("step")).where("step is not null")
+    x = pairs.withColumn("_f", flags).join(F.broadcast(counts), by).where(F.get("_f", F.col("step") - 1))  # a row a query
+    far = x.groupBy(*by).agg(F.percentile("dist", F.lit(0.6)).alias("_d"))
+    h = F.md5(F.concat_ws("-", F.lit(seed), "q_symbol", F.col("q_t0").cast("string"), "c_symbol", F.col("c_t0").cast("string")))
+    x = x.join(F.broadcast(far), by).where("dist > _d")
+    return x.groupBy(*by, "step").agg(F.min_by(F.struct("c_symbol", "c_t0"), h).alias("c")).select(*by, "step", "c.c_symbol", "c.c_t0")
+
+
+def tally(candidates: DataFrame, answers: DataFrame) -> DataFrame:
+    """How often each channel was picked: answers hold q_symbol, q_t0 and the place picked."""
+    picked = candidates.join(answers.select("q_symbol", "q_t0", F.col("pick").alias("place")), ["q_symbol", "q_t0", "place"])
+    return picked.groupBy("channel").agg(F.count("*").alias("n"))
+
+
 def _free(taken: Column):
     return lambda x: ~F.array_contains(taken, x["c"])
 

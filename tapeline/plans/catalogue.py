@@ -498,8 +498,17 @@ def blind_candidates(spark, d):
 
 @query
 def blind_tally(spark, d):
-    x = blind_candidates(spark, d).withColumn("picked", F.col("place") == 1 + F.col("q_t0") % 4)
-    return x.where("picked").groupBy("channel").agg(F.count("*").alias("n"))
+    x = _stored(spark, blind_candidates(spark, d))
+    answers = x.select("q_symbol", "q_t0").distinct().withColumn("pick", (1 + F.col("q_t0") % 4).cast("int"))
+    return K.tally(x, answers)
+
+
+@query
+def context_candidates(spark, d):
+    market = B.true_range(S.bars(spark, d).where("symbol = 'click'"))
+    ctx = N.context(W.windows(S.bars(spark, d), 100, 5).select("symbol", "t0", "t1"), market)
+    lib = _stored(spark, _lib(spark, d).select("symbol", "k", "t0", "t1", "v").join(ctx.drop("t1"), ["symbol", "t0"]))
+    return K.context_random(lib.where("k % 100 = 0").drop("k"), lib.drop("k"), "ctx", (2, 4, 8))
 
 
 # universe
@@ -704,6 +713,12 @@ def random_k_portfolio(spark, d):
     return rounded(E.random_portfolio(_cells(spark, d), "g", "sym", "ret", 5, 300, "rk"), "mean", "sd")
 
 
+@query
+def fixed_k_control(spark, d):
+    c = _cells(spark, d).withColumn("big", E.quintile("x", "sym", ["g"]) == 5)
+    return rounded(E.fixed_control(c, F.col("big"), "g", "sym", "ret", 5, 300, "fk", 52.0), "scheme", "fixed", "fixed_p05", "fixed_p95", "rank", "rotated")
+
+
 @query
 def perm_control(spark, d):
     return rounded(E.permuted(_weighted(spark, d), "g", "sym", "w", "ret", "pc"), "ret")

@@ -423,6 +423,21 @@ BLIND = [
 put_bars("blind_candidates", "SELECT * FROM bc", *BLIND)
 put_bars("blind_tally", "SELECT channel, count(*) AS n FROM bc WHERE place = 1 + q_t0 % 4 GROUP BY channel", *BLIND)
 
+put_bars(
+    "context_candidates",
+    """SELECT q_symbol, q_t0, step, arg_min(c_symbol, h) AS c_symbol, arg_min(c_t0, h) AS c_t0 FROM (SELECT *, quantile_cont(dist, 0.6) OVER (PARTITION BY q_symbol, q_t0) AS far FROM cs WHERE CASE step WHEN 1 THEN s1 WHEN 2 THEN s2 WHEN 3 THEN s3 ELSE true END) WHERE dist > far GROUP BY 1, 2, 3""",
+    windows(),
+    *vec("shape"),
+    TR,
+    """cx AS (SELECT symbol, t0, CASE WHEN n > 1 AND a > 0 THEN (cz - ca) / a END AS net, CASE WHEN n > 1 AND a > 0 THEN a / ca END AS pct FROM (SELECT w.symbol, w.t0, count(*) AS n, avg(tr) AS a, arg_min(close, open_time) AS ca, arg_max(close, open_time) AS cz
+  FROM w JOIN tr ON tr.symbol = 'click' AND open_time BETWEEN t0 AND t1 GROUP BY 1, 2))""",
+    "lc AS (SELECT w.symbol, w.k, w.t0, w.t1, v, net, pct FROM w JOIN vl USING (symbol, t0) LEFT JOIN cx USING (symbol, t0))",
+    f"""pc AS (SELECT *, md5('ctx-' || q_symbol || '-' || q_t0 || '-' || c_symbol || '-' || c_t0) AS h, coalesce(abs(cn - qn) <= 0.6 AND cp / greatest(qp, 1e-12) > 0.6 AND cp / greatest(qp, 1e-12) < 1.6, false) AS alike, abs(q_t0 - c_t0) AS ap
+  FROM (SELECT {_PAIR}, q.net AS qn, q.pct AS qp, c.net AS cn, c.pct AS cp, {sq('q.v', 'c.v')} AS dist FROM lc q, lc c WHERE q.k % 100 = 0) WHERE {HALF})""",
+    f"sf AS (SELECT *, ap <= {2 * DAY} AND alike AS s1, ap <= {4 * DAY} AND alike AS s2, ap <= {8 * DAY} AS s3 FROM pc)",
+    """cs AS (SELECT *, CASE WHEN count(*) FILTER (s1) OVER v >= 5 THEN 1 WHEN count(*) FILTER (s2) OVER v >= 5 THEN 2 WHEN count(*) FILTER (s3) OVER v >= 5 THEN 3 WHEN count(*) OVER v >= 5 THEN 4 END AS step FROM sf WINDOW v AS (PARTITION BY q_symbol, q_t0))""",
+)
+
 # universe
 
 
@@ -582,6 +597,17 @@ put(
     f"SELECT rep, {r('avg(m) AS mean', 'stddev_pop(m) AS sd')} FROM (SELECT rep, g, avg(ret) AS m FROM (SELECT rep, g, ret, row_number() OVER (PARTITION BY rep, g ORDER BY md5('rk-' || rep || '-' || g || '-' || sym), sym) AS k FROM c, range(300) t(rep)) WHERE k <= 5 GROUP BY 1, 2) GROUP BY rep",
     *CELLS,
 )
+put(
+    "fixed_k_control",
+    f"""SELECT any_value(periods) AS periods, {r('any_value(scheme) AS scheme', 'quantile_cont(s, 0.5) AS fixed', 'quantile_cont(s, 0.05) AS fixed_p05', 'quantile_cont(s, 0.95) AS fixed_p95', 'avg((s < scheme)::INT) AS rank', 'any_value(rotated) AS rotated')}
+  FROM (SELECT rep, avg(r) / stddev_pop(r) * sqrt(52) AS s FROM (SELECT rep, g, avg(ret) AS r FROM c JOIN ks USING (sym) WHERE g IN (SELECT g FROM sch) GROUP BY rep, g) GROUP BY rep),
+  (SELECT count(*) AS periods, avg(r) / stddev_pop(r) * sqrt(52) AS scheme FROM sch), (SELECT avg(r) / stddev_pop(r) * sqrt(52) AS rotated FROM (SELECT g, avg(ret) AS r FROM dw WHERE n <= 5 AND m >= 5 GROUP BY g))""",
+    *CELLS,
+    QUINT,
+    "sch AS (SELECT g, avg(ret) AS r FROM cq WHERE q = 5 GROUP BY g)",
+    "ks AS (SELECT * FROM (SELECT sym, rep, row_number() OVER (PARTITION BY rep ORDER BY md5('fk-' || rep || '-' || sym), sym) AS n FROM (SELECT DISTINCT sym FROM c), range(300) t(rep)) WHERE n <= 5)",
+    "dw AS (SELECT g, ret, row_number() OVER (PARTITION BY g ORDER BY md5('fk-each-' || g || '-' || sym), sym) AS n, count(*) OVER (PARTITION BY g) AS m FROM c WHERE g IN (SELECT g FROM sch))",
+)
 put(
     "perm_control",
     "SELECT a.g, round(sum(b.w * a.ret), 6) AS ret FROM (SELECT g, ret, row_number() OVER (PARTITION BY g ORDER BY sym) AS n FROM cw) a JOIN (SELECT g, w, row_number() OVER (PARTITION BY g ORDER BY md5('pc-' || g || '-' || sym), sym) AS n FROM cw) b USING (g, n) GROUP BY a.g",
