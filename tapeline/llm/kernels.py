@@ -22,7 +22,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _P, _Q = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
 #: Bytes of text handled at once, so that the temporary arrays stay small.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 class _Powers:
