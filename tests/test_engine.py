@@ -322,6 +322,36 @@ def test_search_by_picture(service):
     assert service.answer("/api/other", b"{}")[0] == 404
 
 
+def test_charts_are_read_from_a_folder(spark, tmp_path):
+    from tapeline.sources.screenshot import candles, read_charts
+
+    img = np.zeros((100, 20 * 6, 3), np.uint8)
+    for k in range(20):
+        img[40 - k : 60 - k, k * 6 + 1 : k * 6 + 5] = (0, 200, 80) if k % 2 else (220, 30, 30)
+    (tmp_path / "a.png").write_bytes(png(img))
+    (tmp_path / "broken.png").write_bytes(b"no picture")
+    got = read_charts(spark, str(tmp_path), 0, 60_000, 200.0, 100.0).orderBy("open_time").toPandas()
+    want = candles(img, 0, 60_000, 200.0, 100.0)
+    assert np.allclose(got[["open_time", "open", "high", "low", "close"]], want[["open_time", "open", "high", "low", "close"]])
+    with pytest.raises(ValueError, match="20 candles"):
+        candles(img, 0, 60_000, 200.0, 100.0, least=21)
+
+
+def test_a_library_of_another_length_is_refused(spark):
+    from tapeline.api import Service
+
+    lib = windows.library(fixtures.bars(spark, SF), 100, 5, 24)
+    Service(lib, rows=lib.count())
+    with pytest.raises(ValueError, match="manifest"):
+        Service(lib, rows=1)
+
+
+def test_norms_that_do_not_fit_are_found(spark):
+    lib = knn.with_norm(windows.library(fixtures.bars(spark, SF), 100, 5, 24))
+    assert knn.stale_norms(lib).count() == 0
+    assert knn.stale_norms(lib.withColumn("norm2", F.when(F.col("k") == 0, 1.0).otherwise(F.col("norm2")))).count() == lib.where("k = 0").count()
+
+
 # events, by hand
 
 
