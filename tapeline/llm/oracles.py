@@ -74,7 +74,45 @@ o AS (SELECT DISTINCT doc_id, item FROM f WHERE len(list_filter(range(need), lam
 g AS (SELECT doc_id, count(*) AS n, min(item) AS first_item FROM o GROUP BY doc_id)
 SELECT doc_id, n IS NULL AS kept, coalesce(n, 0)::BIGINT AS n_items, coalesce(first_item, -1) AS first_item FROM documents LEFT JOIN g USING (doc_id)"""
 
+
+
+def _hilbert(bits: int = 4) -> str:
+    """Cells of lang, source and bytes at quantiles, their place on the curve, runs of the order as shards."""
+    n = 2**bits
+    text_cell = lambda c: f"""e_{c} AS (SELECT list({c}) AS e FROM (SELECT {c}, floor(cum * {n} / total) AS k, floor((cum - n) * {n} / total) AS before FROM (SELECT {c}, n, sum(n) OVER (ORDER BY {c}) AS cum, sum(n) OVER () AS total
+  FROM (SELECT {c}, count(*) AS n FROM d WHERE {c} IS NOT NULL GROUP BY {c}))) WHERE k > before AND k < {n})"""
+    below = lambda c: f"coalesce(len(list_filter(e_{c}.e, lambda y: y < {c})), 0)"
+    steps, last = [], "x0"
+    for k in range(3 * (bits - 1)):
+        q, i, now = 1 << (bits - 1 - k // 3), "abc"[k % 3], f"x{k + 1}"
+        cols = {c: c for c in "abc"}
+        swap = f"(xor(a, {i}) & {q - 1})"
+        cols["a"] = f"CASE WHEN {i} & {q} <> 0 THEN xor(a, {q - 1}) ELSE {'a' if i == 'a' else f'xor(a, {swap})'} END"
+        if i != "a":
+            cols[i] = f"CASE WHEN {i} & {q} <> 0 THEN {i} ELSE xor({i}, {swap}) END"
+        steps.append(f"{now} AS (SELECT id, {', '.join(f'{v} AS {c}' for c, v in cols.items())} FROM {last})")
+        last = now
+    turn = "0"
+    for j in range(1, bits):
+        turn = f"xor({turn}, CASE WHEN c & {1 << j} <> 0 THEN {(1 << j) - 1} ELSE 0 END)"
+    woven = " + ".join(f"((({'abc'[s % 3]} >> {bits - 1 - s // 3}) & 1) << {3 * bits - 1 - s})" for s in range(3 * bits))
+    table = "list_transform(range(256), lambda v: list_reduce(list_prepend(v, range(8)), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+    crc = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda y: ('0x' || y)::BIGINT)), lambda c, y: xor(c >> 8, tb[(xor(c, y) & 255) + 1])), 4294967295)"
+    return f"""WITH d AS (SELECT doc_id AS id, lang, source, coalesce(text, '') AS t, octet_length(encode(coalesce(text, '')))::BIGINT AS b FROM documents),
+{text_cell('lang')}, {text_cell('source')},
+e_b AS (SELECT list(DISTINCT (SELECT min(b) FROM (SELECT b, count(*) OVER (ORDER BY b) AS cum, count(*) OVER () AS total FROM d) WHERE cum >= ceil(total * k / {n}))) AS e FROM range(1, {n}) r(k)),
+x0 AS (SELECT id, {below('lang')}::BIGINT AS a, {below('source')}::BIGINT AS b, {below('b')}::BIGINT AS c FROM d, e_lang, e_source, e_b),
+{', '.join(steps)},
+g AS (SELECT id, a, xor(a, b) AS b, xor(xor(a, b), c) AS c FROM {last}),
+f AS (SELECT id, xor(a, {turn}) AS a, xor(b, {turn}) AS b, xor(c, {turn}) AS c FROM g),
+h AS (SELECT id, {woven} AS hilbert FROM f),
+r AS (SELECT *, row_number() OVER (ORDER BY hilbert, id) - 1 AS k, count(*) OVER () AS n FROM h),
+tb AS (SELECT {table} AS tb)
+SELECT id AS doc_id, b + 1 AS size, {crc}::BIGINT AS text_crc32, 'rows' AS law, (k * 16 // n)::INT AS shard, k - ((k * 16 // n) * n + 15) // 16 AS slot, NULL::INT AS grown_shard, hilbert FROM r JOIN d USING (id), tb"""
+
+
 ORACLES: dict[str, str] = {
+    "op2_hilbert": _hilbert(),
     "op3_substring_doubling": _SUBSTRING,
     "op4_prefix_targets": _CHAT,
     "op6_bayes_minhash": _MINHASH,
