@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from tapeline.operators.joins import matched
+
 
 def by_time() -> WindowSpec:
     return Window.partitionBy("symbol").orderBy("open_time")
@@ -266,6 +268,17 @@ def breadth(bars: DataFrame, drop: float = -0.02) -> DataFrame:
     return g.withColumn("share", F.try_divide("falling", "trading"))
 
 
+def pretrade(trades: DataFrame, trailing: DataFrame, crowd: DataFrame, prior: int, least: float = 0.5) -> DataFrame:
+    """trades (symbol, t0) with what was known at t0: drop, vol, vol_ratio, below_ath of trailing() and the market's
+    breadth and breadth_pct at that time (0 and null where nothing traded). Trades with fewer than ``prior`` bars before
+    them are left out; fewer than ``least`` of the others with features is an error."""
+    w = by_time()
+    t = trailing.withColumn("_prior", F.row_number().over(w) - 1).select("symbol", F.col("open_time").alias("t0"), "drop", "vol", "below_ath", F.try_divide(F.col("qv"), F.col("med_qv")).alias("vol_ratio"), "_prior")
+    x = matched(trades, t, ["symbol", "t0"], least).where(F.col("_prior") >= prior).drop("_prior")
+    c = crowd.select(F.col("open_time").alias("t0"), F.col("falling").alias("breadth"), F.col("share").alias("breadth_pct"))
+    return x.join(c, "t0", "left").withColumn("breadth", F.coalesce("breadth", F.lit(0)))
+
+
 #: What rules look at: each cuts off one end, at the quantile p of the past, or 1 - p for breadth.
 RULE_FEATURES = {"vol": False, "drop": False, "breadth": True, "breadth_pct": True}
 #: The rules: which features a trade must pass.

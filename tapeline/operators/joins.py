@@ -51,6 +51,14 @@ def nearest(points: DataFrame, ranges: DataFrame) -> DataFrame:
     return b.withColumn("nearest_t0", pick).drop("below", "above")
 
 
+def locate(points: DataFrame, ranges: DataFrame, width: int) -> DataFrame:
+    """points (symbol, t) with one range each: of those that cover t the first to begin (exact true), else the one that
+    begins nearest. Symbols without ranges are left out."""
+    inside = covering(points.select("symbol", "t").distinct(), ranges.select("symbol", "t0", "t1"), width).groupBy("symbol", "t").agg(F.min("t0").alias("_in"))
+    x = nearest(points, ranges).join(inside, ["symbol", "t"], "left")
+    return x.withColumn("exact", F.col("_in").isNotNull()).withColumn("t0", F.coalesce("_in", "nearest_t0")).drop("_in", "nearest_t0").where("t0 is not null")
+
+
 def band(rows: DataFrame, width: int, id_col: str) -> DataFrame:
     """Pairs of rows of a symbol at most ``width`` of t apart, each once, by buckets of that width."""
     a = rows.select("symbol", F.col("t").alias("t_a"), F.col(id_col).alias("a"), F.expr(f"t div {width}L").alias("_b"))

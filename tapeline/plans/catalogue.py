@@ -177,6 +177,12 @@ def nearest_window(spark, d):
     return J.nearest(p, _ranges(spark, d))
 
 
+@query
+def locate_window(spark, d):
+    p = S.bars(spark, d, 24).select("symbol", F.col("open_time").alias("t"))
+    return J.locate(p, _ranges(spark, d), 10 * DAY)
+
+
 @query
 def band_selfjoin(spark, d):
     r = _ranges(spark, d).select("symbol", F.col("t1").alias("t"), F.col("t0").alias("id"))
@@ -867,11 +873,9 @@ def _features(spark, d):
 
 @query
 def pretrade_features(spark, d):
-    t = W.trailing(S.bars(spark, d), 12, 48, 24, 24, 10).select("symbol", "open_time", "vol", "med_qv", "qv", "below_ath", "drop")
-    b = V.breadth(S.bars(spark, d)).select("open_time", "falling", "share")
-    got = J.matched(_trades(spark, d).select("symbol", F.col("t0").alias("open_time"), "ret"), t, ["symbol", "open_time"]).join(b, "open_time", "left")
-    out = got.select("symbol", F.col("open_time").alias("t0"), R("drop").alias("drop"), R("vol").alias("vol"), R(F.try_divide(F.col("qv"), F.col("med_qv"))).alias("vol_ratio"), R("below_ath").alias("below_ath"), F.coalesce("falling", F.lit(0)).alias("breadth"), R("share").alias("breadth_pct"))
-    return out
+    t = W.trailing(S.bars(spark, d), 12, 48, 24, 24, 10)
+    got = V.pretrade(_trades(spark, d).select("symbol", "t0"), t, V.breadth(S.bars(spark, d)), 48)
+    return rounded(got, "drop", "vol", "vol_ratio", "below_ath", "breadth_pct")
 
 
 TESTED = ("base_net", "rule_net", "base_loss", "rule_loss", "rule_q05", "control_loss", "control_loss_p05", "control_net", "rank")

@@ -122,6 +122,11 @@ DAYBARS = bars(24, "p24")
 RANGES = [TICKS, bars(2), windows(), DAYBARS, "p AS (SELECT symbol, open_time AS t FROM p24)"]
 put("range_contains", "SELECT p.symbol, t, t0, t1 FROM p JOIN w ON w.symbol = p.symbol AND t BETWEEN t0 AND t1", *RANGES)
 put("nearest_window", "SELECT p.symbol, t, arg_min(t0, abs(t - t0) * 4 + CASE WHEN t0 <= t THEN 0 ELSE 1 END) AS nearest_t0 FROM p LEFT JOIN w ON w.symbol = p.symbol GROUP BY p.symbol, t", *RANGES)
+put(
+    "locate_window",
+    """SELECT symbol, t, i IS NOT NULL AS exact, coalesce(i, nt) AS t0 FROM (SELECT p.symbol, t, arg_min(t0, abs(t - t0) * 4 + CASE WHEN t0 <= t THEN 0 ELSE 1 END) AS nt, min(t0) FILTER (t BETWEEN t0 AND t1) AS i FROM p JOIN w ON w.symbol = p.symbol GROUP BY p.symbol, t)""",
+    *RANGES,
+)
 put("band_selfjoin", f"SELECT x.symbol, x.t0 AS a, y.t0 AS b FROM w x JOIN w y ON x.symbol = y.symbol AND x.t0 < y.t0 AND abs(x.t1 - y.t1) <= {DAY}", *RANGES)
 put("point_lookup", f"SELECT q.symbol, q.open_time, pos FROM q JOIN (SELECT symbol, open_time, row_number() OVER ({W}) - 1 AS pos FROM b) USING (symbol, open_time)", TICKS, bars(), bars(6, "q"))
 
@@ -156,7 +161,7 @@ def trail(high: int, sd: int, sd_least: int, med: int, med_least: int) -> str:
     return f"""t1 AS (SELECT *, coalesce(close / lag(close) OVER ({W}) - 1, 0) AS ret1 FROM b),
 tf AS (SELECT symbol, open_time, qv, CASE WHEN count(*) {p} = {high} THEN max(close) {p} END AS high_ref, CASE WHEN count(*) {s} >= {sd_least} THEN stddev_samp(ret1) {s} END AS vol,
   CASE WHEN count(*) {m} >= {med_least} THEN quantile_cont(qv, 0.5) {m} END AS med_qv, close / max(close) OVER ({W} ROWS UNBOUNDED PRECEDING) - 1 AS below_ath,
-  close / lag(close, {high}) OVER ({W}) - 1 AS drop_ FROM t1)"""
+  close / lag(close, {high}) OVER ({W}) - 1 AS drop_, row_number() OVER ({W}) - 1 AS prior FROM t1)"""
 
 
 put_bars("trailing_features", f'SELECT symbol, open_time, {r("high_ref", "vol", "med_qv", "below_ath")}, round(drop_, 6) AS "drop" FROM tf', trail(60, 240, 60, 60, 20))
@@ -742,7 +747,7 @@ BREADTH = f"bd AS (SELECT open_time, count(*) FILTER (x < -0.02) AS falling, cou
 put_bars("breadth_minute", "SELECT open_time, falling, trading, round(falling / nullif(trading, 0), 6) AS share FROM bd", BREADTH)
 put_bars(
     "pretrade_features",
-    'SELECT tr.symbol, tr.t0, round(drop_, 6) AS "drop", round(vol, 6) AS vol, round(qv / med_qv, 6) AS vol_ratio, round(below_ath, 6) AS below_ath, coalesce(falling, 0) AS breadth, round(falling / nullif(trading, 0), 6) AS breadth_pct FROM tr JOIN tf ON tf.symbol = tr.symbol AND tf.open_time = tr.t0 LEFT JOIN bd ON bd.open_time = tr.t0',
+    'SELECT tr.symbol, tr.t0, round(drop_, 6) AS "drop", round(vol, 6) AS vol, round(qv / med_qv, 6) AS vol_ratio, round(below_ath, 6) AS below_ath, coalesce(falling, 0) AS breadth, round(falling / nullif(trading, 0), 6) AS breadth_pct FROM tr JOIN tf ON tf.symbol = tr.symbol AND tf.open_time = tr.t0 LEFT JOIN bd ON bd.open_time = tr.t0 WHERE prior >= 48',
     *TRADES,
     trail(12, 48, 24, 24, 10),
     BREADTH,
