@@ -155,7 +155,9 @@ def random_control(rows: DataFrame, key: str, value: str, chosen: str, reps: int
     leaves the others out.
     """
     size = rows.agg(F.count_if(chosen).alias("k"), F.count("*").alias("total"), F.avg(F.when(F.col(chosen), F.col(value))).alias("rule"))
-    draws = rows.select(key, value).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).crossJoin(F.broadcast(size))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    draws = rows.select(key, value).repartition(parts, key)  # few rows become reps times as many
+    draws = draws.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).crossJoin(F.broadcast(size))
     draws = draws.withColumn("o", hash_order(seed, "rep", key))
     draws = draws.where(F.conv(F.substring("o", 1, 8), 16, 10).cast("double") / 2**32 <= (F.col("k") + 6 * F.sqrt("k") + 20) / F.col("total"))
     draws = draws.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("o", key))).where("n <= k")

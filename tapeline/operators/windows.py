@@ -28,7 +28,9 @@ def windows(bars: DataFrame, win: int = 100, stride: int = 5, horizon: int = 0,
     own = F.expr(f"rn div {chunk}")
     before = F.when((own > 0) & (F.col("rn") % chunk < reach), own - 1)  # the chunk before reaches into this one
     rows = rows.withColumn("c", F.explode(F.array_compact(F.array(own, before))))
-    packed = rows.groupBy("symbol", "c").agg(F.sort_array(F.collect_list(F.struct("rn", *FIELDS))).alias("r"))
+    # a number of partitions of its own: few bars become many windows with vectors, so small ones are not run together
+    parts = int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = rows.repartition(parts, "symbol", "c").groupBy("symbol", "c").agg(F.sort_array(F.collect_list(F.struct("rn", *FIELDS))).alias("r"))
     first = F.col("c") * chunk
     starts = F.filter(F.sequence(F.lit(0), F.lit(chunk - stride), F.lit(stride)), lambda s: s + win <= F.size("r"))
     one = packed.select("symbol", "c", "r", F.explode(starts).alias("s"))

@@ -888,33 +888,33 @@ def rule_thresholds(spark, d):
 
 @query
 def rule_masks(spark, d):
-    f = _features(spark, d)
+    f = _stored(spark, _features(spark, d))
     return V.masks(f.where("year > 1995"), V.thresholds(f.where("year <= 1995"))).groupBy("rule").agg(F.count("*").alias("n"), F.count_if("keep").alias("kept"))
 
 
 @query
 def split_evaluation(spark, d):
-    return rounded(V.split_eval(_features(spark, d), 1995, "id", -0.5, 100, "se"), *TESTED)
+    return rounded(V.split_eval(_stored(spark, _features(spark, d)), 1995, "id", -0.5, 100, "se"), *TESTED)
 
 
 @query
 def walkforward_years(spark, d):
-    return rounded(V.walk_forward(_features(spark, d), 500, 150, 50, -0.5, "id", 100, "wf"), *TESTED)
+    return rounded(V.walk_forward(_stored(spark, _features(spark, d)), 500, 150, 50, -0.5, "id", 100, "wf"), *TESTED)
 
 
 @query
 def cut_grid(spark, d):
-    return rounded(V.cut_grid(_features(spark, d), (1993, 1994, 1995, 1996), 3, 500, 150, 50, -0.5, "id", 100, "cg"), *TESTED)
+    return rounded(V.cut_grid(_stored(spark, _features(spark, d)), (1993, 1994, 1995, 1996), 3, 500, 150, 50, -0.5, "id", 100, "cg"), *TESTED)
 
 
 @query
 def candidate_filters(spark, d):
-    return rounded(V.candidate_filters(_features(spark, d), -0.5, 6.7), "net", "big_loss", "q05", "annual")
+    return rounded(V.candidate_filters(_stored(spark, _features(spark, d)), -0.5, 6.7), "net", "big_loss", "q05", "annual")
 
 
 @query
 def feature_extremes(spark, d):
-    return rounded(V.extremes(_features(spark, d), ["drop", "vol_ratio", "below", "vol", "breadth_pct"], -0.5), "low_quarter", "high_quarter")
+    return rounded(V.extremes(_stored(spark, _features(spark, d)), ["drop", "vol_ratio", "below", "vol", "breadth_pct"], -0.5), "low_quarter", "high_quarter")
 
 
 # incremental and streaming
