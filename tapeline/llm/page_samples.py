@@ -45,6 +45,11 @@ class _Page:
         self.n += 1
         return f"{self.n} {' '.join(words)}{'.' if stop else ''}"
 
+    def aside(self, n: int) -> str:
+        """A sentence of boilerplate, at times as long as a paragraph where the markup says what it is."""
+        long = self.style != "mute" and self.rnd.random() < 0.25
+        return self.said(n * self.rnd.randint(3, 10) if long else n)
+
     def box(self, part: str, body: str) -> str:
         if self.style == "mute":
             name = "" if self.rnd.random() < 0.5 else f' class="x{self.rnd.randrange(10**6)}"'
@@ -84,12 +89,17 @@ class _Page:
             else:
                 out.append(f"<blockquote>{p}</blockquote>")
             if rnd.random() < 0.08:
-                out.append(rnd.choice((lambda: self.box("ad", f"<p>{self.said(rnd.randint(3, 14))}</p>"), lambda: self.box("side", self.links(3)), lambda: self.box("form", f"<label>{self.said(2, False)}</label><input>")))())
+                out.append(rnd.choice((lambda: self.box("ad", f"<p>{self.aside(rnd.randint(3, 14))}</p>"), lambda: self.box("side", self.links(3)), lambda: self.box("form", f"<label>{self.said(2, False)}</label><input>")))())
         return "".join(out)
 
     def talk(self) -> str:
         tag = "article" if self.style == "tags" and self.rnd.random() < 0.5 else "div"
-        return self.box("talk", "".join(f"<{tag}><p>{self.said(self.rnd.randint(3, 25))}</p></{tag}>" for _ in range(self.rnd.randint(1, 5))))
+        return self.box("talk", "".join(f"<{tag}><p>{self.aside(self.rnd.randint(3, 25))}</p></{tag}>" for _ in range(self.rnd.randint(1, 5))))
+
+    def wrapped(self, body: str, most: int) -> str:
+        """body in up to so many elements that say nothing."""
+        n = self.rnd.randint(0, most) if self.rnd.random() < 0.5 else 0
+        return "<div>" * n + body + "</div>" * n
 
     def html(self) -> str:
         rnd, top, end = self.rnd, [], []
@@ -98,17 +108,18 @@ class _Page:
         if rnd.random() < 0.4:
             top.append(self.box("head", f"<h2>{self.said(2, False)}</h2>" if rnd.random() < 0.5 else self.said(3, False)))
         if rnd.random() < 0.3:
-            top.append(self.box("note", self.said(rnd.randint(6, 20))))
+            top.append(self.box("note", self.aside(rnd.randint(6, 20))))
         if rnd.random() < 0.6:
-            top.append(self.box("ad", self.said(rnd.randint(3, 14))))
+            top.append(self.box("ad", self.aside(rnd.randint(3, 14))))
         if rnd.random() < 0.35:
-            end.append(self.box("side", f"<p>{self.said(rnd.randint(3, 12))}</p>" if rnd.random() < 0.4 else self.links(5)))
+            end.append(self.box("side", "".join(f"<p>{self.aside(rnd.randint(3, 12))}</p>" for _ in range(rnd.randint(1, 3))) if rnd.random() < 0.4 else self.links(5)))
         if rnd.random() < (0.1 if self.style == "mute" else 0.4):
             end.append(self.talk())
         if rnd.random() < 0.3:
             end.append(self.box("form", f"<label>{self.said(3, False)}</label><input>"))
         if rnd.random() < 0.95:
-            end.append(self.box("foot", rnd.choice(("&copy; ", "&copy; a.example.com &middot; ", "")) + self.said(rnd.randint(2, 16))))
+            foot = rnd.choice(("&copy; ", "&copy; a.example.com &middot; ", "")) + self.aside(rnd.randint(2, 16))
+            end.append(self.box("foot", f"<p>{foot}</p>" + (f"<p>{self.aside(9)}</p>" if rnd.random() < 0.3 else "") if rnd.random() < 0.4 else foot))
         if rnd.random() < 0.1:  # nothing but the main text
             top, end = [], []
         rnd.shuffle(top)
@@ -121,7 +132,8 @@ class _Page:
                 top, end = [], []
         else:
             story = self.box("main", self.story()) if rnd.random() < 0.95 else self.story()
-        return f"<!DOCTYPE html><html><head><title>x</title></head><body>{''.join(top)}{story}{''.join(end)}</body></html>"
+        page = "".join(self.wrapped(x, 2) for x in top) + self.wrapped(story, 4) + "".join(self.wrapped(x, 2) for x in end)
+        return f"<!DOCTYPE html><html><head><title>x</title></head><body>{self.wrapped(page, 3)}</body></html>"
 
 
 def labelled_pages(n: int, seed: int = 1) -> Iterator[tuple[str, set[str]]]:

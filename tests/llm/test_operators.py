@@ -490,8 +490,8 @@ def article(page):
 
 @pytest.mark.parametrize("headings", [True, False])
 def test_the_cut_decides_where_names_say_nothing(headings):
-    """Pages without article, nav, footer and class names still equal their article; without headings as well the
-    cut changes many labels, and fewer pages are wrong than by the costs of each block alone."""
+    """Of pages without article, nav, footer and class names nearly all still equal their article; the cut changes many
+    labels, and without it, by the costs of each block alone, far more pages are wrong, without headings too."""
     pages = pd.read_parquet(f"{DATA}/sf0.1/pages.parquet").html
     change = mute if headings else lambda h: re.sub(r"<(/?)h1>", r"<\1div>", mute(h))
     model = html.default_model()
@@ -503,7 +503,7 @@ def test_the_cut_decides_where_names_say_nothing(headings):
         changed += sum(a != b for a, b in zip(*got, strict=True))
         for k in (0, 1):
             wrong[k] += "\n".join(b.text for b, x in zip(blocks, got[k], strict=True) if x) != article(h)
-    assert wrong[0] == 0 if headings else wrong[0] < wrong[1] and changed > 100
+    assert 2 * wrong[0] < wrong[1] and changed > 100 and wrong[0] < (10 if headings else 150)
 
 
 def test_edges_help_on_made_pages():
@@ -535,6 +535,44 @@ def test_boilerplate_of_other_shapes():
     assert blocks > kept == 4
 
 
+def _text(n, word):
+    return " ".join(f"{word}{i}" for i in range(n)) + "."
+
+
+def _own(*sizes):
+    return "".join(f"<p>{_text(n, 'own')}</p>" for n in sizes)
+
+
+SHAPES = {
+    "long sidebar": f"<article><h1>own</h1>{_own(40, 30)}</article><aside><p>{_text(80, 'bad')}</p><p>{_text(60, 'bad')}</p></aside><footer><p>{_text(40, 'bad')}</p></footer>",
+    "long footer": f"<article><h1>own</h1>{_own(5)}</article><footer><p>{_text(120, 'bad')}</p><p>{_text(100, 'bad')}</p></footer>",
+    "comments": f"<main><h1>own</h1>{_own(40, 30)}</main><section class='comments'><article><p>{_text(80, 'bad')}</p></article><article><p>{_text(70, 'bad')}</p></article></section>",
+    "notice": f"<div class='cookie-banner'><p>{_text(60, 'bad')}</p></div><article><h1>own</h1>{_own(20)}</article>",
+    "advert inside": f"<article><h1>own</h1>{_own(20)}<div class='advertisement'><p>{_text(30, 'bad')}</p></div>{_own(25)}<div class='share'><a href=x>bad0</a></div>{_own(10)}</article>",
+    "form inside": f"<article><h1>own</h1>{_own(20)}<form><p>{_text(12, 'bad')}</p><button>bad0</button></form>{_own(25)}</article>",
+    "contents inside": f"<article><h1>own</h1><nav><ol><li><a href='#a'>bad0 bad1</a></li><li><a href='#b'>bad2</a></li></ol></nav>{_own(20, 25)}</article>",
+    "short paragraphs": f"<article><h1>own</h1><p>own1.</p><p>own2.</p>{_own(20)}<p>own3</p></article><footer>bad1 bad2</footer>",
+    "lists and tables": f"<article><h1>own</h1>{_own(20)}<ul><li>{_text(8, 'own')}</li><li>{_text(5, 'own')}</li></ul><table><tr><td>own1</td><td>own2</td></tr></table>{_own(10)}</article><div class='ad'>bad here.</div>",
+    "links in the text": f"<article><h1>own</h1>{_own(20)}<p><a href=x>own5 own6</a> own8</p><p><a href=x>own9 own10</a></p>{_own(10)}</article>",
+    "headers": f"<header><h1>bad0 Site</h1><p>{_text(9, 'bad')}</p></header><article><header><h1>own</h1><p>{_text(6, 'own')}</p></header>{_own(20)}</article>",
+    "sidebar first": f"<div class='sidebar'><h2>bad0</h2><p>{_text(70, 'bad')}</p></div><div class='content'><h1>own</h1>{_own(20, 9)}</div>",
+    "empty": "<nav><a href=x>bad0</a></nav><article></article><footer>bad1 bad2 bad3</footer>",
+    "short": "<nav><a href=x>bad0</a></nav><article><h1>own</h1><p>own1</p></article><footer>bad1 bad2</footer>",
+    "newsletter": f"<article><h1>own</h1>{_own(50)}</article><div class='newsletter'><h3>bad0</h3><p>{_text(25, 'bad')}</p></div>",
+    "plain boxes": f"<div class='post'><h1>own</h1><div>{_text(30, 'own')}</div><div>{_text(20, 'own')}</div></div><div class='related'><p>{_text(30, 'bad')}</p></div>",
+}
+
+
+@pytest.mark.parametrize("deep", [False, True])
+@pytest.mark.parametrize("shape", sorted(SHAPES))
+def test_shapes_of_pages(shape, deep):
+    page = SHAPES[shape]
+    if deep:
+        page = "<div>" * 4 + page.replace("<h1>own</h1>", "<div><div><h1>own</h1></div></div>") + "</div>" * 4
+    blocks = html.blocks_of(f"<!DOCTYPE html><html><body>{page}</body></html>")
+    assert html.main_text(page)[0].split("\n") == ([b.text for b in blocks if "own" in b.text] or [""])
+
+
 def test_minimum_cut_against_all_labellings():
     rnd = random.Random(0)
     for _ in range(60):
