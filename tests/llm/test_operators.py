@@ -806,6 +806,69 @@ def test_pipeline_stages_keep_their_columns_and_the_clean(spark, tmp_path):
     assert set(pd.unique(docs.toPandas().doc_id)) == set(texts[3])
 
 
+def plain_lines_stage(docs):
+    """Every repeated pair of neighbouring lines goes, every repeated line of over 50 words, and emptied documents."""
+    pairs, longs, out = {}, {}, {}
+    for d, t in sorted(docs.items()):
+        ls, gone = t.split("\n"), set()
+        for i, x in enumerate(ls):
+            if i + 1 < len(ls) and pairs.setdefault((x, ls[i + 1]), (d, i)) != (d, i):
+                gone.update((i, i + 1))
+            if len(words(x)) > 50 and longs.setdefault(x, (d, i)) != (d, i):
+                gone.add(i)
+        kept = "\n".join(x for i, x in enumerate(ls) if i not in gone)
+        if kept or not gone:
+            out[d] = kept
+    return out
+
+
+def plain_contaminated(docs, items):
+    """As plain_overlaps, but only where three tokens in a row are shared, without which there is no overlap."""
+    cut = lambda t: re.findall(r"[^\W_]+", t.lower())
+    found, by = set(), defaultdict(list)
+    for i, u in items:
+        b = cut(u)
+        assert len(b) >= 13
+        for k in range(len(b) - 2):
+            by[tuple(b[k : k + 3])].append((i, k, b))
+    for d, t in docs.items():
+        a = cut(t)
+        for shift, b in {(p - k, tuple(b)) for p in range(len(a) - 2) for _, k, b in by.get(tuple(a[p : p + 3]), ())}:
+            need = min(20, len(b))
+            same = [0 <= q + shift < len(a) and a[q + shift] == x for q, x in enumerate(b)]
+            if any(100 * sum(same[q : q + need]) >= 80 * need and 0 <= q + shift and q + shift + need <= len(a) for q in range(len(b) - need + 1)):
+                found.add(d)
+    return found
+
+
+def test_pipeline_against_brute_force(spark):
+    """From the documents that the quality stage keeps on, every row of run() by plain Python, but for the sequences,
+    which are held to their rules."""
+    import corpus_pipeline
+
+    base = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = {r.doc_id: r.text for r in corpus_pipeline.quality(spark, base, SF).collect()}
+    assert 0.5 * base.count() < len(docs) < base.count()
+    docs = plain_lines_stage(docs)
+    comp = plain_components(list(docs.items()))
+    docs = {d: t for d, t in docs.items() if comp[d][1] == d}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    bad = plain_contaminated(docs, items)
+    assert bad
+    want = set()
+    for d in set(docs) - bad:
+        ids = [*packing.encoder(BPE)(docs[d]).tolist(), 0]
+        first = len(ids) % 2048 or 2048
+        for k, end in enumerate(range(first, len(ids) + 1, 2048)):
+            start = 0 if k == 0 else end - 2048
+            want.add((d, k, start, end - start, zlib.crc32(np.array(ids[start:end], "<u4").tobytes())))
+    got = corpus_pipeline.run(spark, SF).toPandas()
+    assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got.itertuples()} == want and len(got) == len(want)
+    by = got.sort_values(["sequence_id", "offset"]).groupby("sequence_id")
+    assert (by.length.sum() <= 2048).all() and all((g.offset == g.length.cumsum() - g.length).all() for _, g in by)
+    assert by.ngroups <= -(-got.length.sum() // 2048) + 1
+
+
 def test_pipeline_stages_handle_odd_tables(spark, tmp_path):
     """Nulls, empty texts, repeated rows, a null id, columns named like results; then an empty table."""
     import corpus_pipeline
