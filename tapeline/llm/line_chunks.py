@@ -129,7 +129,8 @@ def drop_repeated_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     found = some.join(firsts, on)
     found = found.withColumn("is_first", F.equal_null(place, F.col("first"))).withColumn("parts", (1 + F.floor(F.col("c") / PART)).cast("int"))
     found = found.groupBy(*key).agg(F.collect_set(F.struct("pos", "n", "prev", "next", "h", "is_first", "parts")).alias("found"))
-    with_text = slim.alias("s").join(found.alias("f"), _same("s", "f"))
+    # the same columns as below where docs has no others: both joins then read one exchange of the texts
+    with_text = rows.alias("s").join(found.alias("f").hint("merge"), _same("s", own_hash, id_col, "f", "_th", "_id"))
     marks = lambda lines: F.transform(lines, lambda x: F.xxhash64(x))
 
     def piece(lines: Column) -> Column:
@@ -143,7 +144,7 @@ def drop_repeated_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
             ),
         )
 
-    pieces = with_text.select("s._id", "s._th", F.inline(let(F.split("s._text", "\n"), piece)))
+    pieces = with_text.select(F.col(f"s.{id_col}").alias("_id"), F.col(f"s.{own_hash}").alias("_th"), F.inline(let(F.split(f"s.{text_col}", "\n"), piece)))
     firsts = pieces.where("is_first").select("h", "parts", F.col("body").alias("first_body"), F.col("before").alias("first_before"), F.col("after").alias("first_after")).dropDuplicates(["h"])
     firsts = firsts.select("h", "first_body", "first_before", "first_after", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     rest = pieces.where("not is_first").withColumn("part", F.pmod(F.xxhash64(*key), F.col("parts")).cast("int"))
@@ -156,12 +157,12 @@ def drop_repeated_chunks(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     each = F.array_distinct(F.flatten(F.transform("gone", lambda c: F.sequence(c["pos"], c["pos"] + c["n"] - 1))))
     gone = gone.select(*key, F.transform(F.sort_array(each), lambda i: F.struct(i.alias("pos"), F.lit(1).alias("n"))).alias("gone"))
     gone = gone.select(F.col("_id").alias(own_id), F.col("_th").alias(own_hash), "gone")
-    out = rows.alias("l").join(gone.alias("g"), (F.col(f"l.{own_hash}") == F.col(f"g.{own_hash}")) & F.col(f"l.{id_col}").eqNullSafe(F.col(f"g.{own_id}")), "left")
+    out = rows.alias("l").join(gone.alias("g").hint("merge"), _same("l", own_hash, id_col, "g", own_hash, own_id), "left")
     text = F.when(F.col("g.gone").isNull(), F.col(f"l.{text_col}")).otherwise(without(F.col(f"l.{text_col}"), F.col("g.gone")))
     lines = F.when(F.col(f"l.{text_col}").isNull(), 0).otherwise(F.size(F.split(f"l.{text_col}", "\n")))
     removed = F.coalesce(F.aggregate("g.gone", F.lit(0), lambda a, c: a + c["n"]), F.lit(0))
     return out.select(*(F.col(f"l.{c}") for c in names), text.alias(text_col), lines.cast("long").alias(counts[0]), removed.cast("long").alias(counts[1]))
 
 
-def _same(a: str, b: str) -> Column:
-    return (F.col(f"{a}._th") == F.col(f"{b}._th")) & F.col(f"{a}._id").eqNullSafe(F.col(f"{b}._id"))
+def _same(a: str, hash_a: str, id_a: str, b: str, hash_b: str, id_b: str) -> Column:
+    return (F.col(f"{a}.{hash_a}") == F.col(f"{b}.{hash_b}")) & F.col(f"{a}.{id_a}").eqNullSafe(F.col(f"{b}.{id_b}"))
