@@ -292,9 +292,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = texts.where("id is not null")
     # a key that is never null: both joins below then read one and the same exchange of the texts; rows without id are
-    # dealt out by their text
-    keyed = texts.withColumn("k", F.coalesce("id", F.xxhash64("text"))).withColumn("no", F.col("id").isNull())
-    on = ["k", "no"]
+    # dealt out by their text. A struct, since a flag of its own would become a filter of one of the joins.
+    key = lambda c: F.struct(F.coalesce(c, F.xxhash64("text")).alias("k"), F.col(c).isNull().alias("no")).alias("k")
+    plain = F.struct(F.coalesce("id", F.lit(0).cast("long")).alias("k"), F.lit(False).alias("no")).alias("k")
+    keyed = texts.select("*", key("id"))
 
     def first(batches):
         return _first_level(batches, base, window, buckets)
@@ -306,10 +307,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         return _window_answer(pdf, window)
 
     alive = known.mapInArrow(first, LEVEL_1).groupBy("bucket").applyInPandas(_first_answer, "id long, at int")
-    alive = alive.groupBy(F.col("id").alias("k"), F.lit(False).alias("no")).agg(F.collect_set("at").alias("marks"))
-    near = keyed.join(alive.hint("merge"), on).select("id", "text", "marks").mapInArrow(windows, LEVEL_3)
+    alive = alive.groupBy("id").agg(F.collect_set("at").alias("marks")).select(plain, "marks")
+    near = keyed.join(alive.hint("merge"), "k").select("id", "text", "marks").mapInArrow(windows, LEVEL_3)
     gone = near.groupBy("bucket").applyInPandas(answer, "id long, at int, to int")
-    gone = gone.groupBy(F.col("id").alias("k"), F.lit(False).alias("no")).agg(F.collect_list(F.struct("at", "to")).alias("r"))
-    gone = gone.select(*on, F.col("r.at").alias("at"), F.col("r.to").alias("to"))
-    cut = keyed.join(gone.hint("merge"), on, "left").select("id", "text", "at", "to").mapInArrow(_cut, "id long, kept_text string, n_words long, n_removed long")
+    gone = gone.groupBy("id").agg(F.collect_list(F.struct("at", "to")).alias("r"))
+    gone = gone.select(plain, F.col("r.at").alias("at"), F.col("r.to").alias("to"))
+    cut = keyed.join(gone.hint("merge"), "k", "left").select("id", "text", "at", "to").mapInArrow(_cut, "id long, kept_text string, n_words long, n_removed long")
     return cut.withColumnRenamed("id", id_col)
