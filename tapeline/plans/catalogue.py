@@ -313,7 +313,7 @@ def knn_amp_aug(spark, d):
 
 
 def _window_sets(spark, d):
-    lib = _lib(spark, d)
+    lib = _stored(spark, _lib(spark, d))
     return lib.where("k % 100 = 0").select("symbol", "t0", "t1", "v"), lib.select("symbol", "t0", "t1", "v", "amp_pct", "fwd_ret")
 
 
@@ -440,7 +440,7 @@ def vec_full64(spark, d):
 
 @query
 def knn_full64(spark, d):
-    lib = W.full_library(S.bars(spark, d))
+    lib = _stored(spark, W.full_library(S.bars(spark, d)))
     found = K.search(lib.where("k % 100 = 0").select("symbol", "t0", "t1", "v"), lib.select("symbol", "t0", "t1", "v"), 10, 100, BY, TIES, K.overlaps())
     return rounded(found.select(*BY, *TIES, "dist", "rank"), "dist")
 
