@@ -44,7 +44,8 @@ class Service:
 
     def __init__(self, library: DataFrame, bars: DataFrame | None = None, fetch: Callable[[str, int], tuple[list[list], int]] | None = None, step_ms: int = 900_000, rows: int | None = None):
         cols = ["symbol", "t0", "t1", "v", "amp_pct", "fwd_ret", *(c for c in ("raw",) if c in library.columns)]
-        self.library = numbered(library.select(cols), ["symbol", "t0"]).cache()
+        finite = {c: F.when(F.abs(c) < float("inf"), F.col(c)) for c in ("amp_pct", "fwd_ret")}  # JSON has no other numbers
+        self.library = numbered(library.select(cols).withColumns(finite), ["symbol", "t0"]).cache()
         if rows is not None and self.library.count() != rows:
             raise ValueError(f"the library holds {self.library.count()} windows, its manifest says {rows}")
         self.bars, self.fetch, self.step = bars, fetch, step_ms

@@ -15,6 +15,16 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b as doubles have it: by zero infinite, or NaN for zero by zero; null only where a or b is."""
+    return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(F.try_divide(a, b))
+
+
+def log(x: Column) -> Column:
+    """The natural logarithm as doubles have it: -infinity of zero, NaN below; null only of null."""
+    return F.when(x == 0, float("-inf")).when(x < 0, float("nan")).otherwise(F.ln(x))
+
+
 def total(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(ZERO), lambda a, x: a + x)
 
@@ -71,14 +81,17 @@ def squared_l2(a: Column, b: Column, dim: int, first: int = 0) -> Column:
 
 
 def shape_vector(close: Column, qv: Column, win: int, dst: int = 32) -> Column:
-    """Detrended log closes and log volumes, each z-scored, clipped and resampled to dst places."""
-    shape = let(zscore_clip_of(detrend_of(F.transform(close, F.ln), win)), lambda x: resample(x, win, dst))
+    """Detrended log closes and log volumes, each z-scored, clipped and resampled to dst places.
+
+    A close of zero leaves no finite mean: all places of the closes are then the upper end of the clip.
+    """
+    shape = let(zscore_clip_of(detrend_of(F.transform(close, log), win)), lambda x: resample(x, win, dst))
     return F.concat(shape, volume_part(qv, win, dst))
 
 
 def raw_vector(close: Column, qv: Column, win: int, dst: int = 32) -> Column:
     """As shape_vector without the detrending."""
-    raw = let(zscore_clip_of(F.transform(close, F.ln)), lambda x: resample(x, win, dst))
+    raw = let(zscore_clip_of(F.transform(close, log)), lambda x: resample(x, win, dst))
     return F.concat(raw, volume_part(qv, win, dst))
 
 
