@@ -55,14 +55,14 @@ def distances(queries: DataFrame, library: DataFrame, dim: int = 64, first: int
 
 
 def top(pairs: DataFrame, k: int, by: list[str], ties: list[str], out: str = "rank", order: str = "dist") -> DataFrame:
-    """The k nearest of each query; ties by the given columns.
+    """The k nearest of each query; ties by the given columns, those without a distance last.
 
     Each task keeps its k best before the shuffle; Spark does so up to a limit that is raised to k here.
     """
     spark, name = pairs.sparkSession, "spark.sql.optimizer.windowGroupLimitThreshold"
     if int(spark.conf.get(name, "1000")) < k:
         spark.conf.set(name, str(k))
-    w = Window.partitionBy(*by).orderBy(order, *ties)
+    w = Window.partitionBy(*by).orderBy(F.col(order).asc_nulls_last(), *ties)
     return pairs.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)
 
 
