@@ -72,10 +72,15 @@ def live_issues(bars: DataFrame, step_ms: int) -> DataFrame:
     return bars.withColumn("issues", F.array_join(issues, ",")).where("issues != ''").select("symbol", "open_time", "issues")
 
 
-def repair(bars: DataFrame) -> DataFrame:
-    """High and low that are missing, not finite or not positive become the close."""
-    fix = lambda c: F.when(F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf")) | (F.col(c) <= 0), F.col("close")).otherwise(F.col(c))
-    return bars.withColumn("high", fix("high")).withColumn("low", fix("low"))
+def repair(bars: DataFrame, zero: bool = False) -> DataFrame:
+    """High and low that are missing, not finite or not positive become the close.
+
+    zero: prices may be anything, zero too; only those that are missing or do not cover open and close are replaced.
+    """
+    wrong = {c: F.isnan(c) | (F.abs(c) == float("inf")) | (F.col(c) <= 0) for c in ("high", "low")}
+    if zero:
+        wrong = {"high": F.col("high") < F.greatest("open", "close"), "low": F.col("low") > F.least("open", "close")}
+    return bars.withColumns({c: F.when(F.col(c).isNull() | w, F.col("close")).otherwise(F.col(c)) for c, w in wrong.items()})
 
 
 def with_step(bars: DataFrame) -> DataFrame:
