@@ -21,12 +21,22 @@ def interval_ms(text: Column) -> Column:
     return F.when(unit == "m", n.try_cast("long") * 60_000).when(unit == "h", n.try_cast("long") * 3_600_000)
 
 
+def total(x: Column) -> Column:
+    """Sum of doubles that does not follow the order of the rows: equal ticks make equal bars, however they are read.
+
+    In decimals, and rounded once, where every value has at most 18 digits before the point and 20 behind it; else as
+    doubles add up.
+    """
+    d = x.try_cast("decimal(38, 20)")
+    return F.coalesce(F.when(F.count_if(~x.eqNullSafe(d.cast("double"))) == 0, F.try_sum(d).cast("double")), F.sum(x))
+
+
 def resample(ticks: DataFrame, step_ms: int) -> DataFrame:
     """OHLC, quote volume and count for each symbol and bucket; empty buckets are absent."""
     at = F.struct("us", "id")
     bucket = F.expr(f"(us div {step_ms * 1000}L) * {step_ms}L")
     return ticks.groupBy("symbol", bucket.alias("open_time")).agg(
-        F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.sum("qv").alias("qv"), F.count("*").alias("n")
+        F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), total(F.col("qv")).alias("qv"), F.count("*").alias("n")
     )
 
 
@@ -34,7 +44,7 @@ def coarsen(bars: DataFrame, step_ms: int) -> DataFrame:
     """Bars of a longer step from bars; equal to resampling the ticks."""
     bucket = F.expr(f"(open_time div {step_ms}L) * {step_ms}L")
     return bars.groupBy("symbol", bucket.alias("open_time")).agg(
-        F.min_by("open", "open_time").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "open_time").alias("close"), F.sum("qv").alias("qv"), F.sum("n").alias("n")
+        F.min_by("open", "open_time").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "open_time").alias("close"), total(F.col("qv")).alias("qv"), F.sum("n").alias("n")
     )
 
 
