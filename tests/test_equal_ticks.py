@@ -21,7 +21,7 @@ def repeated(tmp_path_factory):
     return str(folder), c
 
 
-@pytest.mark.parametrize("name", ["blind_candidates"])
+@pytest.mark.parametrize("name", ["blind_candidates", "knn_exclude_overlap"])
 def test_equal_windows_match_sql(name, spark, repeated, same):
     folder, c = repeated
     same(QUERIES[name](spark, folder).toPandas(), c.execute(ORACLES[name]).df())
