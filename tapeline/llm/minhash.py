@@ -223,8 +223,10 @@ def near_duplicates(
         bands.groupBy("key").agg(F.count("*").alias("m"), F.min(pick).alias("p")).where("m > 1").select("key", "m", F.col("p.id").alias("pivot"))
     )
 
+    # stored: bands are made anew each time they are read, and most of their rows are alone in their bucket
+    shared = store.save(bands.join(buckets.hint("merge"), "key").select("key", "band", "m", "pivot", "id"))
+    store.drop(buckets)
     # texts of the classes that share a bucket with another; merge joins behave alike at every size
-    shared = bands.join(buckets, "key")
     some = store.save(texts.join(shared.select("id").distinct().hint("merge"), "id", "left_semi"))
 
     star = shared.where("id != pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
@@ -264,7 +266,7 @@ def near_duplicates(
     spread = spread.join(reps.hint("merge"), "id").join(full.hint("merge"), "id")
     spread = spread.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     more = store.save(spread.mapInPandas(across, "a long, b long").distinct())
-    for t in (some, members, comps):
+    for t in (shared, some, members, comps):
         store.drop(t)
     comps = connected_components(links.unionByName(more), store)
 

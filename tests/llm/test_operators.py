@@ -394,6 +394,17 @@ def test_minhash_against_all_pairs(spark, monkeypatch):
     assert got == plain_components(docs)
 
 
+def test_minhash_makes_bands_twice(spark, monkeypatch):
+    """For the buckets' sizes and for their members; what comes after reads the members that are stored."""
+    plans, save = [], Store.save
+    monkeypatch.setattr(Store, "save", lambda self, df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or save(self, df))
+    words = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join([*words[: 60 - i], f"x{i}"])) for i in range(4)]
+    got = minhash.near_duplicates(spark.createDataFrame(docs, DOC))
+    assert {r.component_id for r in got.collect()} == {0}
+    assert sum(p.count("posexplode") for p in plans) == 2
+
+
 def test_minhash_pruning_bound():
     least = minhash.least_matches(0.75, 1e-6)
     assert sorted(least) == [32, 64, 96, 128] and least[128] < 96 and all(least[m] > m * 0.3 for m in least)
